@@ -118,7 +118,7 @@ def shingles(hashes: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
         if b - a >= k:
             out.append(np.unique(g[a : b - k + 1]))
         elif b > a:
-            out.append(mix(np.array([np.sum(hashes[a:b] * PLACE[: b - a]) + U((b - a) * GOLD % (1 << 64))], U)))
+            out.append(mix(np.sum(hashes[a:b] * PLACE[: b - a], keepdims=True) + np.array([(b - a) * GOLD % (1 << 64)], U)))
         else:
             out.append(np.zeros(0, U))
     return out

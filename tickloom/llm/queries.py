@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import quality
+from . import mixing, neardup, quality
 
-QUERIES = {"op1_quality_rules": quality.query}
-ORACLE = {"op1_quality_rules": quality.ORACLE}
+_ALL = {"op1_quality_rules": quality, "op7_source_mixing": mixing, "op10_minhash_neardup": neardup}
+QUERIES = {name: module.query for name, module in _ALL.items()}
+ORACLE = {name: module.ORACLE for name, module in _ALL.items() if getattr(module, "ORACLE", None)}
