@@ -4,10 +4,12 @@
    full bin in its own fixed random order (optimal densification), which keeps a bin's chance of agreeing at the Jaccard
    similarity. BANDS bands of ROWS bins give bucket keys: at similarity 0.8 a pair misses every bucket with chance 3e-7.
 2. Texts with equal sets are one class from here on. Buckets with one class are dropped.
-3. In each bucket one class, that which meets most others over all its buckets, is the centre; only the edges of this star
-   are confirmed, on full sets, and components are joined. A centre has then met all its bucket, so it leaves it; while a
-   bucket still holds classes of different components, new centres are taken from it, twice as many each round. That ends
-   with every pair in a bucket either confirmed, refuted, or in one component, at the cost of a star for each centre.
+3. In each bucket one class, that which meets most others over all its buckets, is the centre; the edges of this star are
+   confirmed on full sets and joined to components. That settles the large groups at a cost linear in their size.
+4. A bucket that still holds different components may hide a link that no centre had part in. Its members' signatures are
+   compared, in blocks, between different components only; the pairs near enough are confirmed on full sets and joined too.
+   So every pair that shares a bucket is confirmed, refuted, or already in one component, and none is written out unless its
+   signatures agree in nearly the share of bins that a link has.
 
 Defined results: texts are whole. A null or blank text has an empty set, links with nothing and is its own component. Equal
 texts, repeated rows and repeated ids fall in one class; component_id is the least doc_id reachable (null ids count only
@@ -22,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -33,6 +35,10 @@ ROWS = 7
 BANDS = 64
 BINS = ROWS * BANDS
 BROADCAST_ROWS = 1_000_000
+#: A task compares the members of two such blocks of a bucket at most.
+BLOCK = 1024
+#: Signatures that agree in so many percent of bins less than the threshold still go to confirmation (7 standard errors).
+MARGIN = 15
 
 
 @lru_cache(maxsize=1)
@@ -89,7 +95,8 @@ def _packed(k: int):  # noqa: ANN202
         for batch in batches:
             for i, j, data, offsets in K.chunks(batch.column(1)):
                 sets = K.shingles(*K.word_hashes(data, offsets), k)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "shingles"])
+                sigs = [(signature(s) >> K.U(8)).astype(np.uint8).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(sigs, pa.binary())], ["cid", "shingles", "sig"])
 
     return run
 
@@ -110,18 +117,53 @@ def _confirmed(percent: int):  # noqa: ANN202
 
 
 def _sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(cid, shingles) of each node: the packed set of one of its texts."""
+    """(cid, shingles, sig) of each node: the packed set of one of its texts, and a byte of each of its bins."""
     reps = written(rows.select("uid", "doc_id", "h").join(nodes.select("cid"), F.col("uid") == F.col("cid")).select("cid", F.col("doc_id").alias("rep"), F.col("h").alias("rep_h")), "reps")
     n = reps.count()
     # a few tens of MB at most go to every executor; beyond that the texts are shuffled to their keys
     side = F.broadcast(reps) if n <= BROADCAST_ROWS else reps
     texts = docs.join(side, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rep_h"))).select("cid", "text")
-    sets = written(texts.mapInArrow(_packed(k), "cid bigint, shingles binary"), "sets", compression="none")
+    sets = written(texts.mapInArrow(_packed(k), "cid bigint, shingles binary, sig binary"), "sets", compression="none")
     if sets.count() != n:  # rows that are repeated as a whole
         sets = written(sets.dropDuplicates(["cid"]), "sets")
     return sets
 
 
+def _near(percent: int):  # noqa: ANN202
+    """Of two blocks of a bucket, the pairs of different components whose signatures are near enough to be worth confirming."""
+
+    def run(table: pa.Table) -> pa.Table:
+        label = table["label"].to_numpy()
+        order = np.argsort(label, kind="stable")
+        label = label[order]
+        cid, n, own = (table[c].to_numpy()[order] for c in ("cid", "n", "own"))
+        sig = np.frombuffer(b"".join(v.as_py() for v in table["sig"]), np.uint8).reshape(-1, BINS)[order]
+        across = table["i"][0].as_py() != table["j"][0].as_py()
+        end = np.searchsorted(label, label, "right")
+        a, b = [], []
+        for x in range(len(cid)):
+            y = np.arange(end[x], len(cid))
+            ok = 100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])
+            if across:
+                ok &= own[y] != own[x]
+            y = y[ok]
+            if len(y):
+                y = y[(sig[y] == sig[x]).sum(axis=1) * 100 >= (percent - MARGIN) * BINS]
+                a.append(np.full(len(y), cid[x]))
+                b.append(cid[y])
+        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    pairs = pairs.distinct()
+    both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    return written(both.mapInArrow(_confirmed(percent), "a bigint, b bigint"), "links")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: links at 100 * intersection >= percent * union."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
@@ -140,30 +182,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     members = written(met.join(nodes.join(weight, ["d1", "d2"]), ["d1", "d2"]).select("band", "cid", "n", "weight"), "members")
 
     sets = _sets(docs, rows, nodes, k)
-    labels, links, left, take = None, None, members, 1
-    while True:
-        if labels is not None:
-            tagged = left.join(labels, left["cid"] == labels["node"], "left").select("band", "cid", "n", "weight", F.coalesce("label", "cid").alias("label"))
-            mixed = tagged.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-            left = written(tagged.join(mixed, "band"), "left")
-        else:
-            left = left.withColumn("label", F.col("cid"))
-        if labels is not None and left.isEmpty():
-            break
-        if take == 1:
-            hubs = left.groupBy("band").agg(F.max(F.struct("weight", "cid", "n", "label")).alias("c")).select("band", F.col("c.cid").alias("hub"), F.col("c.n").alias("hub_n"), F.col("c.label").alias("hub_label"))
-        else:
-            first = Window.partitionBy("band").orderBy(F.desc("weight"), F.desc("cid"))
-            hubs = left.withColumn("r", F.row_number().over(first)).where(F.col("r") <= take).select("band", F.col("cid").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
-        hubs = written(hubs, "hubs")
-        fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-        edges = left.join(hubs, "band").where((F.col("label") != F.col("hub_label")) & fits).select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
-        pairs = edges.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-        found = written(pairs.mapInArrow(_confirmed(percent), "a bigint, b bigint"), "links")
-        links = found if links is None else links.union(found)
-        labels = written(components(links, "a", "b"), "labels")
-        left = left.join(hubs.select("band", F.col("hub").alias("cid")), ["band", "cid"], "left_anti").select("band", "cid", "n", "weight")
-        take *= 2
+
+    # a star in each bucket
+    hubs = members.groupBy("band").agg(F.max(F.struct("weight", "cid", "n")).alias("c")).select("band", F.col("c.cid").alias("hub"), F.col("c.n").alias("hub_n"))
+    fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+    edges = members.join(written(hubs, "hubs"), "band").where((F.col("cid") != F.col("hub")) & fits).select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
+    links = _confirm(edges, sets, percent)
+    labels = written(components(links, "a", "b"), "labels")
+
+    # what the stars left: buckets that still hold different components
+    tagged = members.join(labels, members["cid"] == labels["node"], "left").select("band", "cid", "n", F.coalesce("label", "cid").alias("label"))
+    mixed = tagged.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    left = tagged.join(written(mixed, "mixed"), "band").join(sets.select("cid", "sig"), "cid")
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    # a bucket of many blocks is dealt out as pairs of blocks, so that no task holds more than two
+    left = left.withColumn("own", own).select("band", "cid", "n", "label", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    left = left.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "n", "label", "sig", "own")
+    near = left.groupBy("band", "i", "j").applyInArrow(_near(percent), "a bigint, b bigint")
+    more = _confirm(near, sets, percent)
+    labels = written(components(links.union(more), "a", "b"), "labels")
 
     named = classes.join(labels, classes["cid"] == labels["node"], "left").select("d1", "d2", "root", F.coalesce("label", "cid").alias("label"))
     least = named.groupBy("label").agg(F.min("root").alias("component_id"))
