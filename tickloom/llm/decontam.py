@@ -60,7 +60,9 @@ def _blocks(df: DataFrame, variants: list[int]) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words, distance): each document and item with the best window at or above the threshold."""
-    items = benchmark.select("item_id", words(F.lower(F.col("text").cast("string"))).alias("w")).withColumn("n", F.size("w")).where("n > 0").withColumn("k", F.least(F.lit(k), "n"))
+    items = benchmark.select("item_id", words(F.lower(F.col("text").cast("string"))).alias("w"))
+    # a table of its own, so that the filters below don't split the texts again
+    items = written(items.select("item_id", "w", F.size("w").alias("n"), F.least(F.lit(k), F.size("w")).alias("k")), "words").where("n > 0")
     widths = sorted(r["k"] for r in items.select("k").distinct().collect())  # k values at most
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     out = None
@@ -77,8 +79,9 @@ def _leaks(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFrame
     slack = F.floor(F.size("s") * (100 - percent) / (100 + percent)).cast("int")
     anchors = written(items.select(F.posexplode("s").alias("off", "g"), F.col("n").alias("len"), slack.alias("slack")).distinct(), "anchors")
 
-    tokens = docs.withColumn("w", words(F.lower("text"))).withColumn("n", F.size("w")).where(F.col("n") >= k)
-    places = tokens.withColumn("s", _shingles("w", "n", k)).select("doc_id", "h", "n", F.posexplode("s").alias("pos", "g"))
+    tokens = docs.withColumn("w", words(F.lower("text"))).withColumn("n", F.size("w"))
+    # outer: else a filter on the array's size is pushed below, which would split the text again for every shingle
+    places = tokens.withColumn("s", _shingles("w", "n", k)).select("doc_id", "h", "n", F.posexplode_outer("s").alias("pos", "g"))
     hits = places.join(_small(anchors, anchors.count()), "g").select("doc_id", "h", "len", (F.col("pos") - F.col("off")).alias("at"), "slack", "n").distinct()
     near = F.sequence(F.col("at") - F.col("slack"), F.col("at") + F.col("slack"))
     starts = hits.select("doc_id", "h", "len", F.explode(near).alias("at"), "n").select("doc_id", "h", "len", F.greatest(F.lit(0), F.least("at", F.col("n") - F.col("len"))).alias("start"))

@@ -1,7 +1,16 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import mixing, neardup, quality, sstable, tokencount
+from . import chat, decontam, mixing, neardup, quality, sstable, tokencount, warc
 
-_ALL = {"op1_quality_rules": quality, "op6_token_counts": tokencount, "op7_source_mixing": mixing, "op8_token_sstable": sstable, "op10_minhash_neardup": neardup}
+_ALL = {
+    "op1_quality_rules": quality,
+    "op2_benchmark_decontamination": decontam,
+    "op3_chat_formatting": chat,
+    "op5_warc": warc,
+    "op6_token_counts": tokencount,
+    "op7_source_mixing": mixing,
+    "op8_token_sstable": sstable,
+    "op10_minhash_neardup": neardup,
+}
 QUERIES = {name: module.query for name, module in _ALL.items()}
 ORACLE = {name: module.ORACLE for name, module in _ALL.items() if getattr(module, "ORACLE", None)}
