@@ -26,6 +26,8 @@ TOTAL_PERCENT = 150
 MAX_EPOCHS = 2
 SEED = "mix-1"
 BUCKETS = 4096
+#: Up to so many rows of a plan go to every executor (some tens of MB); beyond that it is joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def n_words(text) -> F.Column:  # noqa: ANN001
@@ -53,8 +55,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, percent: flo
 
 
 def mixed(docs: DataFrame, source: str = "source", text: str = "text", id_col: str = "doc_id", seed: str = SEED, weights: tuple[float, ...] = WEIGHTS, percent: float = TOTAL_PERCENT, epochs: float = MAX_EPOCHS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, repeats, taken) of every row of docs."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+    """(doc_id, source, h, size, source_size, target, repeats, taken) of every row of docs; h is a hash of the text."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), F.xxhash64(F.col(text).cast("string")).alias("h"), n_words(F.col(text)).alias("size"))
     rows = rows.withColumn("place", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     rows = rows.withColumn("slice", F.conv(F.substring("place", 1, 8), 16, 10).cast("long") % BUCKETS)
     rows = written(rows, "sizes")
@@ -69,13 +71,23 @@ def mixed(docs: DataFrame, source: str = "source", text: str = "text", id_col: s
     a, b = begun.alias("a"), aims.alias("b")
     plan = written(a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "slice", "begun", "n", "source_size", "target", "whole", "rest"), "plan")
     r, p = rows.alias("r"), plan.alias("p")
-    both = r.join(p, F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.slice") == F.col("p.slice"))).select("r.doc_id", "r.source", "size", "place", "begun", "n", "source_size", "target", "whole", "rest")
+    both = r.join(p, F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.slice") == F.col("p.slice"))).select("r.doc_id", "r.source", "r.h", "size", "place", "begun", "n", "source_size", "target", "whole", "rest")
     edge = (F.col("begun") < F.col("rest")) & (F.col("begun") + F.col("n") > F.col("rest"))
     inside = both.where(~edge).withColumn("more", (F.col("begun") + F.col("n") <= F.col("rest")).cast("long"))
-    upto = Window.partitionBy("source").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("source").orderBy("place", "doc_id", "size", "h").rowsBetween(Window.unboundedPreceding, -1)
     ends = both.where(edge).withColumn("before", F.col("begun") + F.coalesce(F.sum("size").over(upto), F.lit(0))).withColumn("more", (F.col("before") + F.col("size") / 2 <= F.col("rest")).cast("long")).drop("before")
     out = inside.unionByName(ends).withColumn("repeats", F.when(F.col("source_size") > 0, F.col("whole") + F.col("more")).otherwise(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+    return out.select("doc_id", "source", "h", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+def repeated(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
+    """The mix itself: each document as often as it is taken, with docs' own columns."""
+    plan = mixed(docs, **options).where("repeats > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("h").alias("_h")).agg(F.max("repeats").alias("_n"))
+    plan = written(plan, "repeats")
+    side = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_s")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_h"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.join(side, same).select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_k")).select(*own)
 
 
 def query(spark, sf_dir):  # noqa: ANN001, ANN201

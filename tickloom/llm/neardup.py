@@ -164,7 +164,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(both.mapInArrow(_confirmed(percent), "a bigint, b bigint"), "links")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", with_hash: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: links at 100 * intersection >= percent * union."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -205,9 +205,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     named = classes.join(labels, classes["cid"] == labels["node"], "left").select("d1", "d2", "root", F.coalesce("label", "cid").alias("label"))
     least = named.groupBy("label").agg(F.min("root").alias("component_id"))
     named = named.join(least, "label").select("d1", "d2", "component_id")
-    out = rows.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
+    out = rows.select("doc_id", "h", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
     component = F.when(F.col("d1").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    out = out.select("doc_id", "h", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out if with_hash else out.drop("h")
+
+
+def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group, with docs' own columns; of rows repeated as a whole one stays, and rows without an id stay."""
+    found = written(near_duplicates(docs, k, percent, with_hash=True).select("doc_id", "h", "kept"), "kept")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    gone = written(gone, "gone")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    out = docs.join(side, (F.col("doc_id") == F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_h")), "left_anti")
+    again = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1")
+    return out if again.isEmpty() else out.dropDuplicates(["doc_id", "text"])
 
 
 def query(spark, sf_dir):  # noqa: ANN001, ANN201

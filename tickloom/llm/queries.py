@@ -1,15 +1,17 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import chat, decontam, mixing, neardup, quality, sstable, tokencount, warc
+from . import chat, decontam, mixing, neardup, quality, repeats, sstable, suffixtree, tokencount, warc
 
 _ALL = {
     "op1_quality_rules": quality,
     "op2_benchmark_decontamination": decontam,
     "op3_chat_formatting": chat,
+    "op4_lm_scoring": suffixtree,
     "op5_warc": warc,
     "op6_token_counts": tokencount,
     "op7_source_mixing": mixing,
     "op8_token_sstable": sstable,
+    "op9_repeat_removal": repeats,
     "op10_minhash_neardup": neardup,
 }
 QUERIES = {name: module.query for name, module in _ALL.items()}
