@@ -37,8 +37,8 @@ BINS = ROWS * BANDS
 BROADCAST_ROWS = 1_000_000
 #: A task compares the members of two such blocks of a bucket at most.
 BLOCK = 1024
-#: Signatures that agree in so many percent of bins less than the threshold still go to confirmation (7 standard errors).
-MARGIN = 15
+#: Signatures that agree in so many percent of bins less than the threshold still go to confirmation (5 standard errors).
+MARGIN = 10
 
 
 @lru_cache(maxsize=1)
@@ -138,6 +138,8 @@ def _near(percent: int):  # noqa: ANN202
         label = label[order]
         cid, n, own = (table[c].to_numpy()[order] for c in ("cid", "n", "own"))
         sig = np.frombuffer(b"".join(v.as_py() for v in table["sig"]), np.uint8).reshape(-1, BINS)[order]
+        band, lists = table["band"][0].as_py(), table["shares"].to_pylist()
+        shares = [frozenset(lists[v]) for v in order]
         across = table["i"][0].as_py() != table["j"][0].as_py()
         end = np.searchsorted(label, label, "right")
         a, b = [], []
@@ -149,6 +151,8 @@ def _near(percent: int):  # noqa: ANN202
             y = y[ok]
             if len(y):
                 y = y[(sig[y] == sig[x]).sum(axis=1) * 100 >= (percent - MARGIN) * BINS]
+                # of the buckets that two share, the first one writes them out
+                y = y[[min(shares[x] & shares[v]) == band for v in y]] if len(y) else y
                 a.append(np.full(len(y), cid[x]))
                 b.append(cid[y])
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
@@ -193,11 +197,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # what the stars left: buckets that still hold different components
     tagged = members.join(labels, members["cid"] == labels["node"], "left").select("band", "cid", "n", F.coalesce("label", "cid").alias("label"))
     mixed = tagged.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    left = tagged.join(written(mixed, "mixed"), "band").join(sets.select("cid", "sig"), "cid")
+    left = written(tagged.join(mixed, "band"), "left")
+    held = left.groupBy("cid").agg(F.collect_set("band").alias("shares"))
+    left = left.join(held.join(sets.select("cid", "sig"), "cid"), "cid")
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     # a bucket of many blocks is dealt out as pairs of blocks, so that no task holds more than two
-    left = left.withColumn("own", own).select("band", "cid", "n", "label", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    left = left.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "n", "label", "sig", "own")
+    left = left.withColumn("own", own).select("band", "cid", "n", "label", "sig", "shares", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    left = left.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "n", "label", "sig", "shares", "own")
     near = left.groupBy("band", "i", "j").applyInArrow(_near(percent), "a bigint, b bigint")
     more = _confirm(near, sets, percent)
     labels = written(components(links.union(more), "a", "b"), "labels")
