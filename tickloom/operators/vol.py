@@ -51,16 +51,25 @@ def vol_rows(bars: DataFrame, period: int = 28, src_ms: int = 10_000) -> DataFra
 
 
 def winsorized(values: Column, least: int = 5, cut: float = 0.05) -> Column:
-    """struct(mean, var) of an array, its lowest and highest shares clamped; var is that of a sample."""
+    """struct(mean, var) of an array, its lowest and highest shares clamped; var is that of a sample.
+
+    The bounds travel in the fold's state: an expression inside a lambda would be evaluated for each element.
+    """
     v = F.array_sort(values)
-    n = F.size(v)
-    lo = F.get(v, F.floor(n * cut).cast("int"))
-    hi = F.get(v, F.least(F.greatest(F.floor(n * (1 - cut)).cast("int") - 1, F.lit(0)), n - 1))
-    clamped = F.when(n < least, v).otherwise(F.transform(v, lambda x: F.least(F.greatest(x, lo), hi)))
-    total = F.aggregate(clamped, F.lit(0.0), lambda a, x: a + x)
-    mean = total / n
-    var = F.aggregate(clamped, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.greatest(n - 1, F.lit(1))
-    return F.struct(mean.alias("mean"), F.when(n < 2, 0.0).otherwise(var).alias("var"))
+    n = F.size(values)
+    few = n < least
+    lo = F.get(v, F.when(few, 0).otherwise(F.floor(n * cut)).cast("int"))
+    hi = F.get(v, F.when(few, n - 1).otherwise(F.least(F.greatest(F.floor(n * (1 - cut)).cast("int") - 1, F.lit(0)), n - 1)))
+
+    def step(a: Column, x: Column) -> Column:
+        d = F.greatest(F.least(x, a["hi"]), a["lo"]) - a["lo"]
+        return F.struct(a["lo"].alias("lo"), a["hi"].alias("hi"), (a["s"] + d).alias("s"), (a["q"] + d * d).alias("q"))
+
+    def finish(a: Column) -> Column:
+        var = (a["q"] - a["s"] * a["s"] / n) / F.greatest(n - 1, F.lit(1))
+        return F.struct((a["lo"] + a["s"] / n).alias("mean"), F.when(n < 2, 0.0).otherwise(F.greatest(var, F.lit(0.0))).alias("var"))
+
+    return F.aggregate(values, F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), step, finish)
 
 
 def mtf_blend(rows: DataFrame, windows: tuple[tuple[int, float], ...] = ((672, 1.0), (2880, 1.0), (8640, 1.0)), least: int = 48) -> DataFrame:

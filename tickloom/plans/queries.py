@@ -171,10 +171,10 @@ def delta_gate(spark, d):  # noqa: ANN001, ANN201
 
 
 @query(""", o AS (SELECT ticker, provider, tc_ms, seq, row_number() OVER (PARTITION BY ticker, provider ORDER BY tc_ms, seq) AS n, (tc_ms - lag(tc_ms) OVER (PARTITION BY ticker, provider ORDER BY tc_ms, seq)) / 1000.0 AS gap FROM ticks),
-g AS (WITH RECURSIVE g(ticker, provider, n, e) AS (SELECT ticker, provider, n, CAST(5.0 AS DOUBLE) FROM o WHERE n = 1 UNION ALL SELECT o.ticker, o.provider, o.n, 0.1 * least(greatest(o.gap, 1e-6), 300.0) + 0.9 * g.e FROM g JOIN o ON o.ticker = g.ticker AND o.provider = g.provider AND o.n = g.n + 1) SELECT * FROM g)
-SELECT o.ticker || '|' || o.provider AS leg, o.tc_ms AS ts, o.seq, round(g.e, 4) AS ema_ipi FROM o JOIN g ON g.ticker = o.ticker AND g.provider = o.provider AND g.n = o.n""")
+g AS (WITH RECURSIVE g(ticker, provider, n, e) AS (SELECT ticker, provider, n, CAST(5.0 AS DOUBLE) FROM o WHERE n = 1 UNION ALL SELECT o.ticker, o.provider, o.n, CAST(0.1 AS DOUBLE) * least(greatest(CAST(o.gap AS DOUBLE), 1e-6), 300.0) + CAST(0.9 AS DOUBLE) * g.e FROM g JOIN o ON o.ticker = g.ticker AND o.provider = g.provider AND o.n = g.n + 1) SELECT * FROM g)
+SELECT o.ticker || '|' || o.provider AS leg, o.tc_ms AS ts, o.seq, round(g.e, 6) AS ema_ipi FROM o JOIN g ON g.ticker = o.ticker AND g.provider = o.provider AND g.n = o.n""")
 def leg_state_ipi(spark, d):  # noqa: ANN001, ANN201
-    return Q.leg_states(ticks(spark, d)).select("leg", "ts", "seq", r("ema_ipi", 4))
+    return Q.leg_states(ticks(spark, d)).select("leg", "ts", "seq", r("ema_ipi", 6))
 
 
 @query()
@@ -474,15 +474,15 @@ def row_filters(spark, d):  # noqa: ANN001, ANN201
     return ticks(spark, d).select("seq", X.sane_px("value").alias("sane"), X.valid_tick().alias("tick_ok"), X.valid_book().alias("book_ok"), (~F.col("provider").isin(3, 5)).alias("admitted"))
 
 
-@query("WITH s AS (SELECT DISTINCT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS day FROM lineitem), r AS (SELECT *, dense_rank() OVER (PARTITION BY ticker ORDER BY day DESC) AS n FROM s) SELECT ticker, day, n > 5000 AS drop FROM r", raw=True)
+@query("WITH s AS (SELECT DISTINCT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS day FROM lineitem), r AS (SELECT *, dense_rank() OVER (PARTITION BY ticker ORDER BY day DESC) AS n FROM s) SELECT ticker, CAST(day AS VARCHAR) AS day, n > 5000 AS drop FROM r", raw=True)
 def retention(spark, d):  # noqa: ANN001, ANN201
     s = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("day")).distinct()
-    return R.retained(s, 5000)
+    return R.retained(s, 5000).select("ticker", F.col("day").cast("string").alias("day"), "drop")
 
 
-@query("WITH p AS (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS day, l_extendedprice / l_quantity AS px, l_orderkey, l_linenumber, l_quantity FROM lineitem) SELECT ticker, day, round(arg_min(px, (l_orderkey, l_linenumber)), 6) AS open, round(max(px), 6) AS high, round(min(px), 6) AS low, round(arg_max(px, (l_orderkey, l_linenumber)), 6) AS close, round(sum(l_quantity), 2) AS volume, count(*) AS n FROM p GROUP BY ALL", raw=True)
+@query("WITH p AS (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS day, l_extendedprice / l_quantity AS px, l_orderkey, l_linenumber, l_quantity FROM lineitem) SELECT ticker, CAST(day AS VARCHAR) AS day, round(arg_min(px, (l_orderkey, l_linenumber)), 6) AS open, round(max(px), 6) AS high, round(min(px), 6) AS low, round(arg_max(px, (l_orderkey, l_linenumber)), 6) AS close, round(sum(l_quantity), 2) AS volume, count(*) AS n FROM p GROUP BY ALL", raw=True)
 def daily_ohlc(spark, d):  # noqa: ANN001, ANN201
-    p = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("day"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), F.struct("l_orderkey", "l_linenumber").alias("at"), "l_quantity")
+    p = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").cast("string").alias("day"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), F.struct("l_orderkey", "l_linenumber").alias("at"), "l_quantity")
     return p.groupBy("ticker", "day").agg(r(F.min_by("px", "at"), 6, "open"), r(F.max("px"), 6, "high"), r(F.min("px"), 6, "low"), r(F.max_by("px", "at"), 6, "close"), r(F.sum("l_quantity"), 2, "volume"), F.count("*").alias("n"))
 
 
