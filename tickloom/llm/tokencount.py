@@ -32,7 +32,7 @@ def _flat(path: str, end_id: int, block_ids: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, block, enc = TaskContext.get().partitionId(), 0, encoder(path, plain=True)
+        part, file, block, enc = TaskContext.get().partitionId(), 0, 0, encoder(path, plain=True)
         held: list[np.ndarray] = []
         names: list = []
         have = 0
@@ -41,7 +41,7 @@ def _flat(path: str, end_id: int, block_ids: int):  # noqa: ANN202
             ends = int((ids == end_id).sum())
             mine, names[:] = names[:ends], names[ends:]
             return pa.RecordBatch.from_arrays(
-                [pa.array([part * (1 << 20) + block // FILE_BLOCKS], pa.int64()), pa.array([block % FILE_BLOCKS], pa.int32()), pa.array([ids.astype("<u2").tobytes()], pa.binary()), pa.array([mine], pa.list_(pa.int64()))], ["file_id", "block", "ids", "doc_ids"]
+                [pa.array([part * (1 << 20) + file], pa.int64()), pa.array([block], pa.int32()), pa.array([ids.astype("<u2").tobytes()], pa.binary()), pa.array([mine], pa.list_(pa.int64()))], ["file_id", "block", "ids", "doc_ids"]
             )
 
         for batch in batches:
@@ -54,13 +54,17 @@ def _flat(path: str, end_id: int, block_ids: int):  # noqa: ANN202
                 names += all_names[i:j]
                 held.append(out)
                 have += len(out)
-            if have >= block_ids:
-                flat = np.concatenate(held)
-                n = have // block_ids * block_ids
-                for a in range(0, n, block_ids):
-                    yield cut(flat[a : a + block_ids])
-                    block += 1
-                held, have = [flat[n:].copy()], have - n
+                if have >= block_ids:
+                    flat = np.concatenate(held)
+                    n = have // block_ids * block_ids
+                    for a in range(0, n, block_ids):
+                        yield cut(flat[a : a + block_ids])
+                        block += 1
+                    held, have = [flat[n:].copy()], have - n
+                if block >= FILE_BLOCKS:  # a file ends where a document does
+                    if have:
+                        yield cut(np.concatenate(held))
+                    file, block, held, have = file + 1, 0, [], 0
         if have:
             yield cut(np.concatenate(held))
 
