@@ -160,7 +160,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kee
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row; with keep_text the bytes kept and the spans removed too."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("h"), "text")
     parsed = written(docs.mapInArrow(_parsed(length, gram), "doc_id bigint, h bigint, g bigint, first int, last int"), "parsed")
-    again = parsed.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    # a table of its own: then the join deals out both sides itself and can split a trigger that many texts share
+    again = written(parsed.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "again")
     found = parsed.join(again, "g").groupBy("doc_id", "h").agg(F.collect_set(F.struct("g", "first", "last")).alias("found"), F.sum(F.col("last") - F.col("first") + length).alias("size"))
     found = written(found, "found")
     size = found.agg(F.sum("size")).first()[0] or 0
