@@ -28,17 +28,20 @@ def compose_ticks(paths: DataFrame, quotes: DataFrame, max_price: float = X.ANY_
     return out.withColumn("conf", F.when(F.col("bid") > F.col("ask"), 0).otherwise(F.col("conf")))
 
 
-def asof_cross(base: DataFrame, quote: DataFrame, ttl_ms: int = 5000, ts: str = "tc_ms") -> DataFrame:
+def asof_cross(base: DataFrame, quote: DataFrame, ttl_ms: int = 5000, ts: str = "tc_ms", slice_ms: int = 3_600_000) -> DataFrame:
     """On each tick of either leg, the cross with the other's latest, if neither is older than ttl_ms. Ties go by seq.
 
-    One union and one ordered pass with last(): no inequality join. With a day column on both sides the pass could be split there.
+    A union and an ordered pass with last(): no inequality join. The pass runs for each slice of time by itself: what a slice
+    needs from the one before is at most ttl_ms old, so those rows are dealt to both and give results in their own only.
     """
+    slice_ms = max(slice_ms, ttl_ms)
     row = lambda df, side: df.select(F.col(ts).alias("ts"), "seq", F.lit(side).alias("side"), F.struct(F.col(ts).alias("ts"), "bid", "ask", "vbid", "vask", "ci", "accepted").alias("q"))
-    both = row(base, 0).unionByName(row(quote, 1))
-    # keyed, so that many pairs run side by side; one pair is one ordered pass
-    w = Window.partitionBy(F.lit(1)).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    own = X.bucket("ts", slice_ms)
+    late = F.col("ts") >= own + slice_ms - ttl_ms
+    both = row(base, 0).unionByName(row(quote, 1)).withColumn("slice", F.explode(F.when(late, F.array(own, own + slice_ms)).otherwise(F.array(own))))
+    w = Window.partitionBy("slice").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
     last = lambda s: F.last(F.when(F.col("side") == s, F.col("q")), ignorenulls=True).over(w)
-    j = both.withColumn("b", last(0)).withColumn("c", last(1)).where("b IS NOT NULL AND c IS NOT NULL")
+    j = both.withColumn("b", last(0)).withColumn("c", last(1)).where("b IS NOT NULL AND c IS NOT NULL").where(F.col("slice") == own)
     j = j.where((F.col("ts") - F.col("b.ts") <= ttl_ms) & (F.col("ts") - F.col("c.ts") <= ttl_ms))
     ci = X.ci_encode(F.sqrt(F.pow(X.ci_decode("b.ci"), F.lit(2.0)) + F.pow(X.ci_decode("c.ci"), F.lit(2.0))))
     out = j.select("ts", "seq", (F.col("b.bid") / F.col("c.ask")).alias("bid"), (F.col("b.ask") / F.col("c.bid")).alias("ask"), F.least("b.vbid", "c.vbid").alias("vbid"), F.least("b.vask", "c.vask").alias("vask"), F.least("b.accepted", "c.accepted").alias("accepted"), ci.alias("ci"))

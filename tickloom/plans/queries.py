@@ -259,7 +259,7 @@ def vol_signed_blend(spark, d):  # noqa: ANN001, ANN201
 
 @query()
 def renko_bricks(spark, d):  # noqa: ANN001, ANN201
-    b = Q.renko(ticks(spark, d), _vol30(spark, d), k=1.0, ts="ts_ms")
+    b = Q.renko(ticks(spark, d), _vol30(spark, d), k=1.0, min_pct=0.005, ts="ts_ms")
     return b.select("ticker", "ts", "seq", "brick_no", r("open"), r("high"), r("low"), r("close"), "up", "tick_count", "flags")
 
 
