@@ -127,8 +127,8 @@ WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\
 b AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
 bs AS (SELECT item_id, len(w) AS n, o, array_to_string(w[o + 1:o + 5], ' ') AS g FROM (SELECT item_id, w, unnest(range(0, len(w) - 4)) AS o FROM b)),
 ds AS (SELECT doc_id, len(w) AS n, p, array_to_string(w[p + 1:p + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS p FROM d)),
-h AS (SELECT DISTINCT ds.doc_id, bs.item_id, bs.n AS len, ds.n, p - o AS at FROM ds JOIN bs USING (g)),
-s AS (SELECT DISTINCT doc_id, item_id, len, greatest(0, least(at + e, n - len)) AS start FROM h, (SELECT unnest(range(-60, 61)) AS e)),
+h AS (SELECT DISTINCT ds.doc_id, bs.item_id, bs.n AS len, ds.n, p - o AS base FROM ds JOIN bs USING (g)),
+s AS (SELECT DISTINCT doc_id, item_id, len, greatest(0, least(base + e, n - len)) AS start FROM h, (SELECT unnest(range(-60, 61)) AS e) AS shifts),
 wc AS (SELECT s.doc_id, s.item_id, s.len, s.start, ds.g, count(*) AS c FROM s JOIN ds ON ds.doc_id = s.doc_id AND ds.p BETWEEN s.start AND s.start + s.len - 5 GROUP BY ALL),
 wt AS (SELECT doc_id, item_id, len, start, sum(c) AS total FROM wc GROUP BY ALL),
 bc AS (SELECT item_id, n, g, count(*) AS c FROM bs GROUP BY ALL),
