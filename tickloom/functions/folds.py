@@ -154,25 +154,25 @@ class DeltaGate:
 
 @dataclass
 class LegState:
-    """What the composite knows of one provider's quote."""
+    """What the composite knows of one provider's quote. Times are in milliseconds, gaps in seconds."""
 
     bid: float = 0.0
     ask: float = 0.0
-    last_update: float | None = None
-    live_at: float | None = None
-    joined: float | None = None
+    last_update: int | None = None
+    live_at: int | None = None
+    joined: int | None = None
     ema_ipi: float = 5.0
     last_gap: float = 0.0
     injected: bool = False
 
-    def update(self, now: float, bid: float, ask: float, carry: bool = False) -> None:
+    def update(self, now: int, bid: float, ask: float, carry: bool = False) -> None:
         if carry:
             self.live_at = now
             return
         if self.last_update is None:
             self.joined = now
         else:
-            self.last_gap = now - self.last_update
+            self.last_gap = (now - self.last_update) / 1000.0
             self.ema_ipi = 0.1 * min(max(self.last_gap, 1e-6), 300.0) + 0.9 * self.ema_ipi
         self.bid, self.ask, self.last_update, self.live_at, self.injected = bid, ask, now, now, False
 

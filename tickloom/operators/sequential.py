@@ -91,7 +91,7 @@ def leg_states(ticks: DataFrame, ts: str = "tc_ms") -> DataFrame:
     rows = ticks.select(F.concat_ws("|", "ticker", "provider").alias("leg"), F.col(ts).alias("ts"), "seq", "bid", "ask")
 
     def step(s, r):  # noqa: ANN001, ANN202
-        s.update(r.ts / 1000.0, r.bid, r.ask)
+        s.update(r.ts, r.bid, r.ask)
         return [(r.leg, r.ts, r.seq, s.ema_ipi, s.last_gap)]
 
     return fold_rows(rows, "leg", ["ts", "seq"], "leg string, ts bigint, seq bigint, ema_ipi double, last_gap double", folds.LegState, step)
