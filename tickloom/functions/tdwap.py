@@ -144,8 +144,8 @@ def composite(legs: list[Leg], now: float, stale: float = 10.0, kernel: str = "A
     n = n_eff([min(kept[i].weight, anomaly) * g[i] for i in own])
     share = [a / sum(w) for a in w]
     other = sum(a for a, x in zip(share, kept, strict=True) if not x.mapped)
-    if 0 < other < 1:  # legs without a market mapping are a bloc that evidence may outweigh
-        inside = sum(a for a, x in zip(w, kept, strict=True) if x.mapped)
+    inside = sum(a for a, x in zip(w, kept, strict=True) if x.mapped)
+    if inside > 0 and 0 < other < 1:  # legs without a market mapping are a bloc that evidence may outweigh
         seen = sum(a * p for a, p, x in zip(w, g, kept, strict=True) if x.mapped) / inside
         bound = seen * min(other, bloc / (1 + bloc)) + (1 - seen) * other
         share = [a * ((1 - bound) / (1 - other) if x.mapped else bound / other) for a, x in zip(share, kept, strict=True)]
