@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import partitions, written
+from .shared import written
 
 DEPTH = 2
 P_MIN = 2.0**-16
@@ -37,8 +37,9 @@ MIN_COUNT = 4
 RATIO = 1.5
 DISCOUNT = 0.75
 FOLDS, HELD_OUT = 5, 1
-#: Symbols that one task counts, about.
+#: A task counts so many symbols, about; small inputs are still dealt to LEAST_TASKS.
 TASK_SYMBOLS = 4_000_000
+LEAST_TASKS = 32
 END = K.mix(np.array([77], K.U))[0]
 
 
@@ -280,7 +281,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     rows = rows.select("doc_id", F.xxhash64("text").alias("h"), "text", (rest != HELD_OUT).alias("train"))
     vocabulary = written(rows.mapInArrow(_counted, "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c")), "vocabulary")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    tasks = max(1, -(-int(total * 1.25) // TASK_SYMBOLS), min(partitions(spark), 8))
+    tasks = max(LEAST_TASKS, -(-int(total * 1.25) // TASK_SYMBOLS))
     tree = spark.sparkContext.broadcast(grow(rows, vocabulary, total, tasks)) if total else spark.sparkContext.broadcast(Tree())
     kind = "t int, w binary, sizes binary, local binary, n binary, rooted binary, doc_id array<bigint>, h array<bigint>, train array<boolean>, given array<double>"
     parts = rows.mapInArrow(_entries(tree, tasks), kind).groupBy("t").applyInArrow(_summed(total, distinct), "doc_id bigint, h bigint, ends bigint, n_tokens bigint, n_known bigint, base_score double, score double")
