@@ -20,7 +20,8 @@ from ..operators import sequential as Q
 from ..operators import stats as S
 from ..operators import synth as Y
 from ..operators import vol as V
-from ..session import TICKS_SQL, table, ticks
+from ..session import TICKS_SQL, stream_ticks, table, ticks
+from ..streaming import live as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -552,3 +553,24 @@ def idx_codec_roundtrip(spark, d):  # noqa: ANN001, ANN201
     t = ticks(spark, d).select((F.crc32(F.col("ticker").cast("binary"))).alias("ticker"), "seq", X.ms_to_mts("ts_ms").alias("mts"), "bid", "ask", "vbid", "vask", "ci", "accepted", "rejected")
     blobs = codec.encode_rows(t.withColumn("key", F.col("ticker").cast("string")), "idx", ["key"], ["seq"])
     return codec.decoded_view(codec.decode_column(blobs, "idx", label="key")).select("ticker", "ts_ms", "bid", "ask", "vbid", "vask", "ci", "accepted", "rejected", r("mid"))
+
+
+# streams, run over all that is there
+
+
+@query(f"SELECT ticker, bar_ts, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, tick_count FROM ({_ohlc_sql(MIN)}) WHERE bar_ts + {MIN} <= (SELECT max(tc_ms) FROM ticks)")
+def stream_ohlc(spark, d):  # noqa: ANN001, ANN201
+    out = L.collected(L.stream_ohlc(stream_ticks(spark, d), 60), "tl_stream_ohlc")
+    return out.select("ticker", "bar_ts", r("open"), r("high"), r("low"), r("close"), "tick_count")
+
+
+@query()
+def stream_delta_gate(spark, d):  # noqa: ANN001, ANN201
+    return L.collected(L.stream_delta_gate(stream_ticks(spark, d)), "tl_stream_delta_gate").select("ticker", "ts", "seq", r("bid"), r("ask"), "flags")
+
+
+@query("SELECT seq, provider, tc_ms FROM ticks")
+def stream_dedupe(spark, d):  # noqa: ANN001, ANN201
+    t = stream_ticks(spark, d)
+    twice = t.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return L.collected(L.deduplicated(twice, ts="tc_ms").select("seq", "provider", "tc_ms"), "tl_stream_dedupe")

@@ -31,9 +31,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as quotes: five tickers, eight providers, a clock pressed together a hundredfold in tc_ms."""
+    return ticks_of(table(spark, sf_dir, "events"))
+
+
+def stream_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same quotes as a stream over the table's file."""
+    kind = table(spark, sf_dir, "events").schema
+    return ticks_of(spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+
+
+def ticks_of(events: DataFrame) -> DataFrame:
+    """An events table as quotes: five tickers, eight providers, a clock pressed together a hundredfold in tc_ms."""
     ms = F.expr("unix_date(to_date(ts)) * 86400000L + hour(ts) * 3600000L + minute(ts) * 60000L + cast(floor(extract(SECOND FROM ts) * 1000) AS BIGINT)")
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("ticker"), (F.col("user_id") % 8).alias("provider"), ms.alias("ts_ms"), "value")
+    e = events.select(F.col("event_id").alias("seq"), F.col("event_type").alias("ticker"), (F.col("user_id") % 8).alias("provider"), ms.alias("ts_ms"), "value")
     base, h = 100 + F.col("value") / 10, (F.col("seq") % 7) * 0.00005
     return e.select(
         "seq",
