@@ -186,6 +186,49 @@ def test_suffix_tree(spark, docs, rows):
     assert suffixtree.scored(empty(spark)).count() == 0
 
 
+def plain_suffix_tree(tokens, held):
+    """Depths, and log10 scores by position, of the tree as its docstring gives it, without blocks or levels of tasks."""
+    train = [t for t, h in zip(tokens, held, strict=True) if not h]
+    count = collections.Counter(w for t in train for w in t)
+    n, v = sum(count.values()), len(count)
+    root = lambda w: np.log10((count[w] + 0.5) / (n + 0.5 * (v + 1)))
+    q = {(i, p): root(w) for i, t in enumerate(tokens) for p, w in enumerate(t)}
+    retained, depth = None, 0
+    while retained is None or retained or depth < 2:
+        depth += 1
+        follow = collections.defaultdict(collections.Counter)
+        was = {}
+        places = [(i, p) for i, t in enumerate(tokens) for p in range(depth, len(t)) if depth <= 2 or t[p - depth + 1 : p] in retained]
+        for i, p in places:
+            if not held[i]:
+                follow[tokens[i][p - depth : p]][tokens[i][p]] += 1
+            was[tokens[i][p - depth : p], tokens[i][p]] = q[i, p]
+        retained = set()
+        scores = {}
+        for c, f in follow.items():
+            total = sum(f.values())
+            p = {w: (m - suffixtree.DISCOUNT) / total for w, m in f.items() if m >= suffixtree.MIN_COUNT}
+            if total >= suffixtree.MIN_COUNT and any(x >= 1.5 * 10 ** was[c, w] or 10 ** was[c, w] >= 1.5 * x for w, x in p.items()):
+                retained.add(c)
+                scores[c] = p, np.log10(max(1e-9, 1 - sum(p.values())))
+        for i, p in places:
+            c, w = tokens[i][p - depth : p], tokens[i][p]
+            if c in retained:
+                q[i, p] = np.log10(scores[c][0][w]) if w in scores[c][0] else scores[c][1] + root(w)
+    return depth, [sum(q[i, p] for p in range(len(t))) for i, t in enumerate(tokens)]
+
+
+def test_suffix_tree_thresholds_are_alike_at_every_size(spark):
+    """A context that stands 6 times is in the tree of 700,000 symbols."""
+    texts = [f"red green blue{i}" for i in range(2)] + ["some rare phrase here"] * 8 + ["one", "na " * 700_000]
+    tokens = [(*t.split(), None) for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
+    assert not held[-1] and 4 <= sum(not h for h in held[2:10])
+    _, want = plain_suffix_tree(tokens, held)
+    got = {r["doc_id"]: r["score"] for r in suffixtree.scored(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], COLUMNS)).collect()}
+    assert all(abs(got[i] - want[i]) < 1e-3 for i in range(10)) and got[5] > -7
+
+
 def test_suffix_tree_is_a_distribution():
     """Over the kept symbols and all others the probabilities of a context sum to at most 1."""
     tree = suffixtree.Tree()

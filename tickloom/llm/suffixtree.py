@@ -1,17 +1,19 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 Symbols are words in lower case (A-Z) and one end for each text. The root's distribution is the smoothed one of single symbols,
-(c + 0.5) / (N + 0.5 (V + 1)). A context is up to DEPTH symbols before the next one. As usual for these trees, a context is
-grown only where its probability is at least P_MIN, so a level has at most 1 / P_MIN of them, and it keeps the next symbols whose
-probability there is at least GAMMA, at most 1 / GAMMA. It is retained if for some kept symbol the probability differs from
-the suffix's by RATIO: the divergence test. Those two bounds make the tree a table of at most DEPTH / (P_MIN * GAMMA) rows,
-whatever the corpus; it is sent to every executor. All counts behind it cover all training texts.
+(c + 0.5) / (N + 0.5 (V + 1)). A context is the symbols before the next one, within a text. It is tried where it stands at least
+MIN_COUNT times in training texts and its suffix is retained (contexts of one and two symbols always), and keeps every next
+symbol that follows it MIN_COUNT times or more. It is retained if for some kept symbol the probability differs by RATIO from
+the one that the suffix gives it: the divergence test. Depth has no bound; it ends when no context is left to try. No threshold
+depends on the size of the corpus, so the tree grows with it.
 
 At a retained context a kept symbol has (c(s, w) - DISCOUNT) / c(s); what that leaves goes to all symbols by the root's distribution.
 Each symbol is scored at the longest retained suffix of what came before it.
 
-Single symbols can't be sent anywhere whole, so their counting and scoring is one shuffle: a symbol's occurrences, in training
-and elsewhere, meet in its partition, packed by blocks of texts, which returns partial sums for each text.
+The tree is never in one place. Texts are packed into blocks. For each level a block asks for its distinct (context, symbol), with
+their counts and present scores; what is asked of a context meets in its partition, which counts, tests and answers. An answer
+goes back to its block in the order asked, so rows are blocks by partitions and never texts by partitions. Single symbols are
+counted alike. Positions whose context can't be retained deeper ask no more.
 
 Defined results: a null or blank text is the end alone. A null id counts as the empty string in the split. Repeated rows are scored
 alike and returned each. Texts are whole. An empty table gives no rows; without training texts every c is 0. Other columns
@@ -24,23 +26,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .shared import written
 
-DEPTH = 2
-P_MIN = 2.0**-16
-GAMMA = 0.05
 MIN_COUNT = 4
 RATIO = 1.5
 DISCOUNT = 0.75
 FOLDS, HELD_OUT = 5, 1
-#: A task counts so many symbols, about; small inputs are still dealt to LEAST_TASKS.
-TASK_SYMBOLS = 4_000_000
-LEAST_TASKS = 32
+#: A partition answers for so many symbols, about; a block holds so many bytes of text.
+TASK_SYMBOLS = 2_000_000
+BLOCK_BYTES = 4 << 20
 END = K.mix(np.array([77], K.U))[0]
+STEP = K.PLACE[0]
+
+#: words: distinct symbols of the block; codes: each position's place among them; at: where texts begin; active: a bit for each
+#: position that asks at the next level; q: their present scores, at level 1 the root's; done: what the others of a text sum to.
+STATE = "block bigint, doc_id array<bigint>, train binary, at binary, words binary, codes binary, counts binary, active binary, q binary, done binary, size bigint"
+#: w: distinct symbols; place: that of each row among them; q: of each row, at level 1 of each of w.
+ASKED = "t int, block bigint, c binary, sizes binary, w binary, place binary, n binary, q binary"
+ANSWERED = "t int, block bigint, flags binary, score binary, total bigint, distinct bigint"
+KEPT, RETAINED = 1, 2
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,18 +58,22 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.insert(words, at[1:], END), at + np.arange(len(at))
 
 
-def contexts(sym: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """The hash of the depth symbols before each symbol; 0 where the text doesn't hold so many."""
-    out = np.zeros(len(sym), K.U)
-    if len(sym) > depth:
-        h = np.zeros(len(sym) - depth, K.U)
-        for j in range(depth):
-            h += sym[j : j + len(h)] * K.PLACE[j]
-        out[depth:] = K.mix(h)
-    for j in range(depth):
-        i = at[:-1] + j
-        out[i[i < at[1:]]] = 0
-    return out
+def contexts(sym: np.ndarray, depth: int, where: np.ndarray) -> np.ndarray:
+    """The hash of the depth symbols before each of the positions where, which all have so many in their text."""
+    h = np.full(len(where), K.U(depth))
+    for j in range(depth, 0, -1):
+        h = h * STEP + sym[where - j]
+    return K.mix(h)
+
+
+def _zip(x: np.ndarray) -> bytes:
+    raw = x.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True) if raw else b""
+
+
+def _unzip(b, kind) -> np.ndarray:  # noqa: ANN001
+    b = memoryview(b)
+    return np.frombuffer(pa.Codec("zstd").decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True) if len(b) else b"", kind)
 
 
 def _places(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -71,66 +84,61 @@ def _places(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
     return np.where(keys[i] == found, i, -1)
 
 
-def _train_mask(at: np.ndarray, train: np.ndarray) -> np.ndarray:
-    return np.repeat(train, np.diff(at))
+def _raw(row: dict, name: str, kind) -> np.ndarray:  # noqa: ANN001
+    return _unzip(row[name], kind)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        train = batch.column(3).to_numpy(zero_copy_only=False)
-        for i, j, data, offsets in K.chunks(batch.column(2), 8 << 20):
-            sym, at = symbols(data, offsets)
-            keys, counts = np.unique(sym[_train_mask(at, train[i:j])], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["w", "c"])
+def _packed(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(list(v), kinds[k]) for v, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
 
 
-def _pairs(depth: int, keys: np.ndarray, tasks: int):  # noqa: ANN202
-    """Counts of (context, next symbol) in training texts, packed for each task: context places, symbols, counts."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            train = batch.column(3).to_numpy(zero_copy_only=False)
-            for i, j, data, offsets in K.chunks(batch.column(2), 8 << 20):
-                sym, at = symbols(data, offsets)
-                place = _places(keys, contexts(sym, at, depth))
-                use = (place >= 0) & _train_mask(at, train[i:j])
-                c, w = place[use], sym[use]
-                order = np.lexsort((w, c))
-                c, w = c[order], w[order]
-                new = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])]) if len(c) else np.zeros(0, np.int64)
-                n = np.diff(np.r_[new, len(c)])
-                c, w = c[new], w[new]
-                for t in range(tasks):
-                    mine = c % tasks == t
-                    if mine.any():
-                        yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (c[mine].astype(np.int32), w[mine], n[mine].astype(np.int32)))], ["t", "c", "w", "n"])
 
-    return run
+def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    made = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        train = batch.column(2).to_numpy(zero_copy_only=False)
+        for i, j, data, offsets in K.chunks(batch.column(1), BLOCK_BYTES):
+            sym, at = symbols(data, offsets)
+            words, codes = np.unique(sym, return_inverse=True)
+            row = (made, batch.column(0).slice(i, j - i).to_pylist(), *map(_zip, (train[i:j], at.astype(np.int64), words, codes.astype(np.int32))), b"", b"", b"", b"", len(sym))
+            yield _packed([row], STATE)
+            made += 1
 
 
-def _joined(table: pa.Table, name: str, kind) -> np.ndarray:  # noqa: ANN001
-    return np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in table[name]])
+def _positions(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, whether each position is of a training text, and how many symbols its text has before it."""
+    words, codes, at = _raw(row, "words", K.U), _raw(row, "codes", np.int32), _raw(row, "at", np.int64)
+    size = np.diff(at)
+    return words[codes], np.repeat(_raw(row, "train", bool), size), np.arange(len(codes)) - np.repeat(at[:-1], size)
 
 
-def _frequent(gamma: float, least: int, grown: int):  # noqa: ANN202
-    """Of each context its count, its kept symbols, and those that make it a context of the next level."""
+def _active(row: dict) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(_raw(row, "active", np.uint8)))
 
-    def run(table: pa.Table) -> pa.Table:
-        c, w, n = _joined(table, "c", np.int32), _joined(table, "w", K.U), _joined(table, "n", np.int32).astype(np.int64)
-        order = np.lexsort((w, c))
-        c, w, n = c[order], w[order], n[order]
-        new = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])])
-        n = np.add.reduceat(n, new)
-        c, w = c[new], w[new]
-        total = np.bincount(c, weights=n).astype(np.int64)[c]
-        keep = (n >= np.maximum(least, gamma * total)) | (n >= grown)
-        return pa.table({"ctx": c[keep].astype(np.int64), "total": total[keep], "w": w[keep].view(np.int64), "n": n[keep]})
 
-    return run
+def _asked(row: dict, depth: int) -> tuple[np.ndarray, ...]:
+    """Distinct (context, symbol) of the active positions in order, where each first stands, and each position's place among them."""
+    sym, train, _ = _positions(row)
+    active = _active(row)
+    c, w = contexts(sym, depth, active), _raw(row, "codes", np.int32)[active]
+    order = np.lexsort((w, c))
+    new = np.r_[True, (np.diff(c[order]) != 0) | (np.diff(w[order]) != 0)] if len(c) else np.zeros(0, bool)
+    place = np.zeros(len(c), np.int64)
+    place[order] = np.cumsum(new) - 1
+    first = order[new]
+    n = np.bincount(place, weights=train[active], minlength=len(first)).astype(np.int32)
+    return active, c[first], sym[active[first]], n, first, place
 
 
 class Tree:
-    """The retained contexts, by level: sorted hashes, log10 of what a context leaves, and its kept symbols."""
+    """A tree in one place, for small ones: by level sorted hashes, log10 of what a context leaves, and its kept symbols."""
 
     def __init__(self) -> None:
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -140,7 +148,9 @@ class Tree:
         part, full, done = np.zeros(len(sym)), np.zeros(len(sym), bool), np.zeros(len(sym), bool)
         for depth in range(len(self.levels), 0, -1):
             keys, left, pairs, logs = self.levels[depth - 1]
-            ctx = contexts(sym, at, depth)
+            where = np.flatnonzero(np.arange(len(sym)) - np.repeat(at[:-1], np.diff(at)) >= depth)
+            ctx = np.zeros(len(sym), K.U)
+            ctx[where] = contexts(sym, depth, where)
             place = _places(keys, ctx)
             here = (place >= 0) & ~done
             pair = _places(pairs, K.mix(ctx[here] + sym[here] * K.PLACE[40]))
@@ -150,146 +160,184 @@ class Tree:
         return part, full
 
 
-def grow(docs: DataFrame, vocabulary: DataFrame, total: int, tasks: int) -> Tree:
-    """The tree from all training texts; what comes to the driver is bounded by P_MIN and GAMMA."""
-    tree = Tree()
-    grown = max(MIN_COUNT, int(np.ceil(P_MIN * total)))
-    first = np.array([r["w"] for r in vocabulary.where((F.col("c") >= grown) & (F.col("w") != int(END.view(np.int64)))).select("w").collect()], np.int64).view(K.U)
-    spelled = [np.array([w], K.U) for w in first]
-    root = {int(r["w"]): r["c"] / total for r in vocabulary.where(F.col("c") >= max(1, GAMMA * MIN_COUNT)).where(F.col("c") >= grown).collect()}
-    floor = grown / total  # what any other symbol has at most
-    below: dict[int, dict[int, float]] = {}
-    for depth in range(1, DEPTH + 1):
-        if not spelled:
-            break
-        seq = np.array(spelled)
-        hashes = K.mix(sum(seq[:, j] * K.PLACE[j] for j in range(depth)))
-        order = np.argsort(hashes)
-        hashes, seq = hashes[order], seq[order]
-        rows = docs.mapInArrow(_pairs(depth, hashes, tasks), "t int, c binary, w binary, n binary").groupBy("t").applyInArrow(_frequent(GAMMA, MIN_COUNT, grown), "ctx bigint, total bigint, w bigint, n bigint")
-        found = written(rows, "contexts").toPandas()
-        keys, left, pairs, logs, spelled, kept_here = [], [], [], [], [], {}
-        for ctx, g in found.groupby("ctx"):
-            w, n, c = g["w"].to_numpy(), g["n"].to_numpy(), int(g["total"].iloc[0])
-            spelled += [np.r_[seq[ctx], x] for x in w[n >= grown].view(K.U) if x != END]
-            kept = n >= max(MIN_COUNT, GAMMA * c)
-            w, n = w[kept], n[kept]
-            if not len(w):
-                continue
-            p = (n - DISCOUNT) / c
-            suffix = below.get(int(K.mix(np.sum(seq[ctx][1:] * K.PLACE[: depth - 1], keepdims=True))[0]), {}) if depth > 1 else {}
-            q = np.array([suffix.get(int(x)) or root.get(int(x), floor) for x in w])
-            if not ((p >= RATIO * q) | (q >= RATIO * p)).any():
-                continue
-            kept_here[int(hashes[ctx])] = dict(zip(w.tolist(), p.tolist(), strict=True))
-            keys.append(hashes[ctx])
-            left.append(np.log10(max(1e-9, 1 - p.sum())))
-            pairs.append(K.mix(hashes[ctx] + w.view(K.U) * K.PLACE[40]))
-            logs.append(np.log10(p))
-        below = kept_here
-        if not keys:
-            tree.levels.append((np.zeros(0, K.U), np.zeros(0), np.zeros(0, K.U), np.zeros(0)))
-            continue
-        pairs_, logs_ = np.concatenate(pairs), np.concatenate(logs)
-        by = np.argsort(pairs_)
-        tree.levels.append((np.array(keys, K.U), np.array(left), pairs_[by], logs_[by]))
-    return tree
-
-
-def _entries(tree, tasks: int):  # noqa: ANN001, ANN202
-    """For each block of texts and task: distinct (symbol, text) with how often it stands there, and how often scored at the root."""
-
+def _ask(depth: int, tasks: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tree.value
-        for batch in batches:
-            train = batch.column(3).to_numpy(zero_copy_only=False)
-            for i, j, data, offsets in K.chunks(batch.column(2), 8 << 20):
-                sym, at = symbols(data, offsets)
-                part, full = model.states(sym, at)
-                given = np.add.reduceat(part, at[:-1])
-                doc = np.repeat(np.arange(j - i), np.diff(at))
-                order = np.lexsort((doc, sym))
-                s, d, rooted = sym[order], doc[order], ~full[order]
-                new = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (d[1:] != d[:-1])])
-                n = np.diff(np.r_[new, len(s)])
-                rooted = np.add.reduceat(rooted.astype(np.int64), new)
-                s, d = s[new], d[new]
-                task = (s >> K.U(20)) % K.U(tasks)
-                home = int((END >> K.U(20)) % K.U(tasks))
-                for t in range(tasks):
-                    mine = task == t
-                    if not mine.any():
-                        continue
-                    w, first, sizes = np.unique(s[mine], return_index=True, return_counts=True)
-                    docs, local = np.unique(d[mine], return_inverse=True)
-                    rows = pa.array(docs + i)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([t], pa.int32()),
-                            *(pa.array([x.tobytes()], pa.binary()) for x in (w, sizes.astype(np.int32), local.astype(np.uint16 if len(docs) < 1 << 16 else np.uint32), n[mine].astype(np.uint32), rooted[mine].astype(np.uint32))),
-                            *(pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), v) for v in (batch.column(0).take(rows), batch.column(1).take(rows), pa.array(train[i:j][docs]), pa.array(given[docs] if t == home else np.zeros(0 if len(docs) == 0 else len(docs))))),
-                        ],
-                        ["t", "w", "sizes", "local", "n", "rooted", "doc_id", "h", "train", "given"],
-                    )
+        for row in _rows(batches):
+            if not depth:
+                c = w = _raw(row, "words", K.U)
+                _, train, _ = _positions(row)
+                n, q = np.bincount(_raw(row, "codes", np.int32), weights=train, minlength=len(w)).astype(np.int32), np.zeros(len(w), np.float32)
+            else:
+                _, c, w, n, first, _ = _asked(row, depth)
+                q = _raw(row, "q", np.float32)[first]
+            task = (c >> K.U(20)) % K.U(tasks)
+            for t in range(tasks):
+                mine = np.flatnonzero(task == t)
+                if len(mine):
+                    ctx, sizes = np.unique(c[mine], return_counts=True)
+                    every, at, place = np.unique(w[mine], return_index=True, return_inverse=True) if depth else (w[:0], w[:0], w[:0])
+                    yield _packed([(t, row["block"], *map(_zip, (ctx, sizes.astype(np.int32), every, place.astype(np.int32), n[mine], q[mine][at] if depth == 1 else q[mine])))], ASKED)
 
     return run
 
 
-def _summed(total: int, distinct: int):  # noqa: ANN202
-    scale = np.log10(total + 0.5 * (distinct + 1))
+def judged(c: np.ndarray, w: np.ndarray, n: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flags and score of each (context, symbol) row from all rows of its context: log10 p where kept, else log10 of what is left."""
+    order = np.lexsort((w, c))
+    c, w, n, q = c[order], w[order], n[order], q[order]
+    edge = np.r_[True, np.diff(c) != 0]
+    new = edge | np.r_[True, np.diff(w) != 0]
+    pair = np.cumsum(new) - 1
+    ctx = (np.cumsum(edge) - 1)[new]
+    n = np.add.reduceat(n.astype(np.int64), np.flatnonzero(new))
+    total = np.bincount(ctx, weights=n)
+    kept = n >= MIN_COUNT
+    p = np.where(kept, (n - DISCOUNT) / np.maximum(total[ctx], 1), 0.0)
+    was = 10.0 ** q[new].astype(float)
+    retained = np.bincount(ctx, weights=kept & ((p >= RATIO * was) | (was >= RATIO * p))) > 0
+    left = np.log10(np.maximum(1e-9, 1 - np.bincount(ctx, weights=p)))
+    score = np.where(kept, np.log10(np.where(kept, p, 1.0)), left[ctx])
+    flags = (kept * KEPT + retained[ctx] * RETAINED).astype(np.uint8)
+    back = np.empty(len(order), np.int64)
+    back[order] = pair
+    return flags[back], score.astype(np.float32)[back]
+
+
+def _answer(depth: int):  # noqa: ANN202
+    """Level 0 answers with counts in place of scores, and its first row has the partition's training symbols and distinct ones."""
 
     def run(table: pa.Table) -> pa.Table:
-        blocks = table.num_rows
-        col = lambda name, b, kind: np.frombuffer(table[name][b].as_buffer(), kind)
-        w = [col("w", b, K.U) for b in range(blocks)]
-        every = np.unique(np.concatenate(w))
-        count = np.zeros(len(every), np.int64)
-        held = []
-        for b in range(blocks):
-            docs = len(table["doc_id"][b])
-            place = np.repeat(np.searchsorted(every, w[b]), col("sizes", b, np.int32))
-            local = col("local", b, np.uint16 if docs < 1 << 16 else np.uint32)
-            n = col("n", b, np.uint32).astype(np.int64)
-            train = table["train"][b].values.to_numpy(zero_copy_only=False)
-            held.append((docs, place, local, n))
-            count += np.bincount(place, weights=n * train[local], minlength=len(every)).astype(np.int64)
-        logs, known = np.log10(count + 0.5) - scale, count > 0
-        end = int(np.searchsorted(every, END))
-        out = []
-        for b, (docs, place, local, n) in enumerate(held):
-            rooted = col("rooted", b, np.uint32)
-            total_of = lambda weights: np.bincount(local, weights=weights, minlength=docs)  # noqa: B023, E731
-            ends = total_of(n * (place == end)) if end < len(every) and every[end] == END else np.zeros(docs)
-            out.append(
-                pa.table(
-                    {
-                        "doc_id": table["doc_id"][b].values, "h": table["h"][b].values, "ends": ends.astype(np.int64), "n_tokens": total_of(n).astype(np.int64), "n_known": total_of(n * known[place]).astype(np.int64),
-                        "base_score": total_of(n * logs[place]), "score": total_of(rooted * logs[place]) + table["given"][b].values.to_numpy(),
-                    }
-                )
-            )
-        return pa.concat_tables(out)
+        column = lambda name, kind: [_unzip(v.as_buffer(), kind) for v in table[name]]
+        parts = column("n", np.int32)
+        n = np.concatenate(parts)
+        c = np.repeat(np.concatenate(column("c", K.U)), np.concatenate(column("sizes", np.int32)))
+        total, distinct = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        if depth:
+            place = column("place", np.int32)
+            each = lambda v: np.concatenate([x[i] for x, i in zip(v, place, strict=True)])
+            q = column("q", np.float32)
+            flags, score = judged(c, each(column("w", K.U)), n, each(q) if depth == 1 else np.concatenate(q))
+        else:
+            every, place = np.unique(c, return_inverse=True)
+            count = np.bincount(place, weights=n, minlength=len(every)).astype(np.int64)
+            flags, score, total[0], distinct[0] = np.zeros(len(c), np.uint8), count[place], count.sum(), (count > 0).sum()
+        cuts = np.cumsum([len(x) for x in parts])[:-1]
+        zipped = [pa.array([_zip(x) for x in np.split(v, cuts)], pa.binary()) for v in (flags, score)]
+        return pa.table({"t": table["t"], "block": table["block"], "flags": zipped[0], "score": zipped[1], "total": total, "distinct": distinct})
 
     return run
 
 
+def _gathered(row: dict, name: str, kind, task: np.ndarray) -> np.ndarray:  # noqa: ANN001
+    """Answers of all partitions in the order asked."""
+    out = np.zeros(len(task), kind)
+    for a in row["answers"] or []:
+        out[task == a["t"]] = _unzip(a[name], kind)
+    return out
+
+
+def _state(row: dict, **changed: np.ndarray) -> pa.RecordBatch:
+    row = row | {k: _zip(v) for k, v in changed.items()}
+    return _packed([tuple(row[f.split()[0]] for f in STATE.split(", "))], STATE)
+
+
+def root_logs(counts: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    return np.log10(counts + 0.5) - np.log10(total + 0.5 * (distinct + 1))
+
+
+def _handed(row: dict, here: np.ndarray, go: np.ndarray, q: np.ndarray, **changed: np.ndarray) -> pa.RecordBatch:
+    """The state where of the positions here those of go stay active; scores of the others are summed by text."""
+    at, codes = _raw(row, "at", np.int64), _raw(row, "codes", np.int32)
+    before = _raw(row, "done", np.float64)
+    text = np.searchsorted(at, here[~go], "right") - 1
+    done = np.bincount(text, weights=q[~go], minlength=len(at) - 1) + (before if len(before) else 0.0)
+    bits = np.zeros(len(codes), bool)
+    bits[here[go]] = True
+    return _state(row, active=np.packbits(bits) if go.any() else np.zeros(0, np.uint8), q=q[go].astype(np.float32), done=done, **changed)
+
+
+def _started(tasks: int, total: int, distinct: int):  # noqa: ANN202
+    """Takes in the counts: every position has the root's score, and those behind a symbol that stands MIN_COUNT times ask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            codes, (_, _, before) = _raw(row, "codes", np.int32), _positions(row)
+            counts = _gathered(row, "score", np.int64, (_raw(row, "words", K.U) >> K.U(20)) % K.U(tasks))
+            go = (before > 0) & np.r_[False, counts[codes[:-1]] >= MIN_COUNT]
+            yield _handed(row, np.arange(len(codes)), go, root_logs(counts, total, distinct)[codes], counts=counts)
+
+    return run
+
+
+def _deeper(depth: int, tasks: int, total: int, distinct: int):  # noqa: ANN202
+    """Takes in the answers of a level, and keeps active what can have a longer context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            active, c, _, _, _, place = _asked(row, depth)
+            task = (c >> K.U(20)) % K.U(tasks)
+            flags, score = _gathered(row, "flags", np.uint8, task)[place], _gathered(row, "score", np.float32, task)[place].astype(float)
+            codes, (_, _, before) = _raw(row, "codes", np.int32), _positions(row)
+            root = root_logs(_raw(row, "counts", np.int64), total, distinct)[codes[active]]
+            retained, kept = flags & RETAINED > 0, flags & KEPT > 0
+            q = np.where(retained, np.where(kept, score, score + root), _raw(row, "q", np.float32))
+            # the longer context is the position before, with its own context: where that was asked for, its count is known
+            rare = np.zeros(len(codes) + 1, bool)
+            rare[active[~kept] + 1] = True
+            yield _handed(row, active, (retained | (depth == 1)) & (before[active] > depth) & ~rare[active], q)
+
+    return run
+
+
+def _results(total: int, distinct: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            codes, counts, at = _raw(row, "codes", np.int32), _raw(row, "counts", np.int64), _raw(row, "at", np.int64)
+            known, base = (np.add.reduceat(v[codes], at[:-1]) for v in ((counts > 0).astype(np.int64), root_logs(counts, total, distinct)))
+            columns = [pa.array(row["doc_id"], pa.int64()), *map(pa.array, (np.diff(at), known, base, _raw(row, "done", np.float64)))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    return run
+
+
+def _let_go(*tables: DataFrame) -> None:
+    """Removes tables of a level that is over, and shuffles nobody refers to."""
+    jvm, conf = tables[0].sparkSession._jvm, tables[0].sparkSession._jsc.hadoopConfiguration()
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+    jvm.System.gc()
+
+
+def _answers(state: DataFrame, depth: int, tasks: int) -> DataFrame:
+    answers = written(state.mapInArrow(_ask(depth, tasks), ASKED).groupBy("t").applyInArrow(_answer(depth), ANSWERED), "answers")
+    state.sparkSession._jvm.System.gc()
+    return answers
+
+
+def _taken(state: DataFrame, answers: DataFrame, take) -> DataFrame:  # noqa: ANN001
+    """The state after the answers of one level, as a table in place of both."""
+    each = answers.groupBy("block").agg(F.collect_list(F.struct("t", "flags", "score")).alias("answers"))
+    out = written(state.join(each.hint("shuffle_hash"), "block", "left").mapInArrow(take, STATE), "state")
+    _let_go(state, answers)
+    return out
+
+
 def scored(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    spark = docs.sparkSession
     rest = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), "text", (rest != HELD_OUT).alias("train"))
-    vocabulary = written(rows.mapInArrow(_counted, "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c")), "vocabulary")
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    tasks = max(LEAST_TASKS, -(-int(total * 1.25) // TASK_SYMBOLS))
-    tree = spark.sparkContext.broadcast(grow(rows, vocabulary, total, tasks)) if total else spark.sparkContext.broadcast(Tree())
-    kind = "t int, w binary, sizes binary, local binary, n binary, rooted binary, doc_id array<bigint>, h array<bigint>, train array<boolean>, given array<double>"
-    parts = rows.mapInArrow(_entries(tree, tasks), kind).groupBy("t").applyInArrow(_summed(total, distinct), "doc_id bigint, h bigint, ends bigint, n_tokens bigint, n_known bigint, base_score double, score double")
-    sums = parts.groupBy("doc_id", "h").agg(*[F.sum(c).alias(c) for c in ("ends", "n_tokens", "n_known", "base_score", "score")])
-    # a row that is repeated as a whole was summed with its likes
-    each = sums.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("ends"))))
-    share = [(F.col(c) / F.col("ends")).cast("long").alias(c) for c in ("n_tokens", "n_known")]
-    return each.select("doc_id", (rest == HELD_OUT).alias("held_out"), *share, F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") / F.col("ends")).alias("base_score"), (F.col("score") / F.col("ends")).alias("score"))
+    state = written(rows.select("doc_id", "text", (rest != HELD_OUT).alias("train")).mapInArrow(_blocked, STATE), "state")
+    tasks = max(1, -(-state.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // TASK_SYMBOLS))
+    answers = _answers(state, 0, tasks)
+    total, distinct = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    state, depth = _taken(state, answers, _started(tasks, total, distinct)), 1
+    while not state.where(F.octet_length("active") > 0).isEmpty():
+        state = _taken(state, _answers(state, depth, tasks), _deeper(depth, tasks, total, distinct))
+        depth += 1
+    out = state.mapInArrow(_results(total, distinct), "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    return out.select("doc_id", (rest == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def query(spark, sf_dir):  # noqa: ANN001, ANN201
