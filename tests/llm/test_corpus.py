@@ -218,6 +218,22 @@ def plain_suffix_tree(tokens, held):
     return depth, [sum(q[i, p] for p in range(len(t))) for i, t in enumerate(tokens)]
 
 
+def test_suffix_tree_keeps_rare_symbols_and_grows_deep(spark, monkeypatch):
+    """Symbols of less than 1 in 20 at a context are kept, and contexts of three symbols are tried; blocks and tasks change nothing."""
+    rng = random.Random(4)
+    texts = [f"{rng.choice('ab')} {' '.join(rng.choices('xyz', k=2))} hub w{rng.randrange(40)} end" for _ in range(600)]
+    texts = [t.replace("hub w", f"hub {t[0]}w") if t[2] == "x" else t for t in texts]
+    texts += ["one two three four"] * 7 + [""]
+    tokens = [(*t.split(), None) for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
+    depth, want = plain_suffix_tree(tokens, held)
+    assert depth > 3
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], COLUMNS).repartition(3)
+    monkeypatch.setattr(suffixtree, "TASK_SYMBOLS", 900)
+    got = {r["doc_id"]: r["score"] for r in suffixtree.scored(table).collect()}
+    assert len(got) == len(texts) and all(abs(got[i] - want[i]) < 1e-4 for i in got)
+
+
 def test_suffix_tree_thresholds_are_alike_at_every_size(spark):
     """A context that stands 6 times is in the tree of 700,000 symbols."""
     texts = [f"red green blue{i}" for i in range(2)] + ["some rare phrase here"] * 8 + ["one", "na " * 700_000]
