@@ -157,6 +157,19 @@ def test_decontamination(spark, docs):
     assert decontam.leaks(empty(spark), bench).count() == 0 and decontam.leaks(table, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [40, 60, 120])
+def test_decontamination_of_reordered_items(spark, n):
+    """Halves swapped, or the last fifth moved to the front, amid a document."""
+    rng = random.Random(n)
+    w = [f"w{n}x{i}" for i in range(n)]
+    texts = [w[n // 2 :] + w[: n // 2], w[-n // 5 :] + w[: -n // 5], w[: n // 2] + prose(rng, n // 2).split()]
+    table = spark.createDataFrame([(i, f"{prose(rng, 70)} {' '.join(t)} {prose(rng, 80)}", "en", "s", 0) for i, t in enumerate(texts)], COLUMNS)
+    bench = spark.createDataFrame([(0, " ".join(w))], "item_id bigint, text string")
+    got = {r["doc_id"]: (r["start_word"], round(r["similarity"], 6)) for r in decontam.leaks(table, bench).collect()}
+    m = n - 4
+    assert got == {i: (70, round((m - 4) / (m + 4), 6)) for i in range(2)}
+
+
 def test_chat_round_trip():
     for text in ("", "<|im_end|>", "<\\|x<\\\\|", "a<|im_start|>b\n<|", "\\<|"):
         assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)

@@ -3,9 +3,9 @@
 A document's windows are as long as the item they are held against. Window and item are multisets of K-word shingles, lower
 case; their similarity is the weighted Jaccard index, a shingle's weight being how often it stands there.
 
-1. Only windows near a shingle of the item can reach the threshold, so document shingles are looked up among the items'.
-   A match proposes the window that it is aligned with, and those up to SLACK words away: at similarity t a window lacks at
-   most (1 - t) / (1 + t) of its shingles, so it can't be shifted further. Nothing that can reach the threshold is left out.
+1. At similarity t a window of a shingles and an item of b share at least t / (1 + t) * (a + b), wherever they stand. So document
+   shingles are looked up among the items', and every window that holds so many of one item's shingles is proposed, in
+   whatever order they stand. Nothing that can reach the threshold is left out.
 2. Each proposed window and each item gets a 64-bit SimHash. Within RADIUS bits, one of BLOCKS blocks differs in at most
    RADIUS // BLOCKS bits, so items are indexed under every such variant of every block and windows look up their own blocks:
    all fingerprints within the radius are found. At similarity 0.8 a distance above RADIUS has a chance of about 1e-4.
@@ -76,15 +76,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = K, percent: int = PERC
 
 def _leaks(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFrame:
     items = written(items.withColumn("s", _shingles("w", "n", k)).withColumn("f", F.expr(SIMHASH)).select("item_id", "n", "s", "f"), "items")
-    slack = F.floor(F.size("s") * (100 - percent) / (100 + percent)).cast("int")
-    anchors = written(items.select(F.posexplode("s").alias("off", "g"), F.col("n").alias("len"), slack.alias("slack")).distinct(), "anchors")
+    anchors = written(items.select("item_id", F.xxhash64("s").alias("item_h"), F.explode("s").alias("g"), F.col("n").alias("len")).distinct(), "anchors")
 
     tokens = docs.withColumn("w", words(F.lower("text"))).withColumn("n", F.size("w"))
     # outer: else a filter on the array's size is pushed below, which would split the text again for every shingle
     places = tokens.withColumn("s", _shingles("w", "n", k)).select("doc_id", "h", "n", F.posexplode_outer("s").alias("pos", "g"))
-    hits = places.join(_small(anchors, anchors.count()), "g").select("doc_id", "h", "len", (F.col("pos") - F.col("off")).alias("at"), "slack", "n").distinct()
-    near = F.sequence(F.col("at") - F.col("slack"), F.col("at") + F.col("slack"))
-    starts = hits.select("doc_id", "h", "len", F.explode(near).alias("at"), "n").select("doc_id", "h", "len", F.greatest(F.lit(0), F.least("at", F.col("n") - F.col("len"))).alias("start"))
+    hits = places.join(_small(anchors, anchors.count()), "g").groupBy("doc_id", "h", "item_id", "item_h", "len", "n").agg(F.sort_array(F.collect_set("pos")).alias("p"))
+    # shingles of the item, of a window, and the least that they share at the threshold
+    hits = hits.withColumn("b", F.col("len") - (k - 1)).withColumn("a", F.least("b", F.col("n") - (k - 1)))
+    hits = hits.withColumn("need", F.ceil((F.col("a") + F.col("b")) * percent / (100 + percent) - 1e-9).cast("int")).where(F.size("p") >= F.col("need"))
+    # a window with so many of the positions has some p[i] first and p[i + need - 1] in it as well
+    runs = F.expr("transform(slice(p, 1, size(p) - need + 1), (x, i) -> struct(greatest(0, p[i + need - 1] - a + 1) as lo, least(x, greatest(0, n - len)) as hi))")
+    runs = hits.select("doc_id", "h", "len", F.inline(runs)).where("lo <= hi").distinct()
+    starts = runs.select("doc_id", "h", "len", F.explode(F.sequence("lo", "hi")).alias("start"))
     starts = written(starts.groupBy("doc_id", "h").agg(F.collect_set(F.struct("len", "start")).alias("windows")), "windows")
 
     d, s = docs.alias("d"), _small(starts, starts.count()).alias("s")
