@@ -172,3 +172,10 @@ def test_entry_without_the_corpus_package():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_resolver_holds_all_names_against_a_symbol(spark):
+    """A wrong first letter, and a suffix of five letters."""
+    r = spark.createDataFrame([("bitcoincash", "CR", 6, 1), ("abcdefghijklmnop", "CR", 6, 2), ("other", "CR", 6, 3)], "name string, class string, class_id int, asset_id int")
+    s = spark.createDataFrame([("xbitcoincsh",), ("abcdefghijklmnopqrstu",), ("nothing",)], "symbol string")
+    assert {x["symbol"]: x["asset_id"] for x in N.resolved(s, r).collect()} == {"xbitcoincsh": 1, "abcdefghijklmnopqrstu": 2}

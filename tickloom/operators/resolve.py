@@ -1,7 +1,7 @@
 """Symbols to ids: splitting, normalising, exact and fuzzy lookup, quotes, phantom ids.
 
 Symbols are resolved once for each distinct spelling; the registry is the small side of every join. Jaro-Winkler has no
-built-in form and runs as an Arrow batch over distinct (symbol, candidate) pairs that share a first letter or length band.
+built-in form and runs as an Arrow batch over distinct (symbol, candidate) pairs that an upper bound lets through.
 """
 
 from __future__ import annotations
@@ -116,6 +116,15 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
+def upper_bound(a: str, b: str) -> Column:
+    """What the Jaro-Winkler similarity of two columns can't exceed: all letters of the shorter match, and the common prefix is real."""
+    x, y = F.length(a).cast("double"), F.length(b).cast("double")
+    m = F.least(x, y)
+    same = [F.when((m >= i) & (F.substring(a, 1, i) == F.substring(b, 1, i)), 1).otherwise(0) for i in range(1, 5)]
+    jaro = (m / x + m / y + 1) / 3
+    return F.when(F.col(a) == F.col(b), 1.0).when(m == 0, 0.0).otherwise(jaro + (same[0] + same[1] + same[2] + same[3]) * 0.1 * (1 - jaro))
+
+
 def similarities(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Adds jw to distinct pairs."""
 
@@ -130,14 +139,14 @@ def resolved(symbols: DataFrame, registry: DataFrame, threshold: float = 0.9) ->
     """(symbol, name, class, asset_id, jw): exact on the symbol, then on its stripped form, then the nearest name at the threshold.
 
     symbols holds distinct spellings. Ties go to the shorter name, then to the lower class and id. The registry has a bounded
-    number of rows; candidates for fuzzy lookup share their first letter or differ in length by at most two.
+    number of rows; every unresolved symbol is held against all of it, but for names whose upper bound is below the threshold.
     """
     s = symbols.select("symbol").distinct().withColumn("k1", normalized("symbol")).withColumn("k2", normalized(stripped("symbol")))
     r = registry.withColumn("key", normalized("name"))
     exact = s.join(r, (F.col("k1") == F.col("key")) | (F.col("k2") == F.col("key"))).withColumn("jw", F.when(F.col("k1") == F.col("key"), 2.0).otherwise(1.5))
     rest = s.join(exact.select("symbol").distinct(), "symbol", "left_anti")
-    near = rest.join(r, (F.substring("k2", 1, 1) == F.substring("key", 1, 1)) & (F.abs(F.length("k2") - F.length("key")) <= 4))
     need = F.when(F.length("k2") <= 4, F.greatest(F.lit(0.95), F.lit(threshold))).otherwise(F.lit(threshold))
+    near = rest.crossJoin(F.broadcast(r)).where(upper_bound("k2", "key") >= need - 1e-9)
     fuzzy = similarities(near, "k2", "key").where(F.col("jw") >= need)
     best = Window.partitionBy("symbol").orderBy(F.desc("jw"), F.length("name"), "class_id", "asset_id")
     both = exact.select("symbol", "name", "class", "class_id", "asset_id", "jw").unionByName(fuzzy.select("symbol", "name", "class", "class_id", "asset_id", "jw"))
