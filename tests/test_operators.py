@@ -179,3 +179,18 @@ def test_resolver_holds_all_names_against_a_symbol(spark):
     r = spark.createDataFrame([("bitcoincash", "CR", 6, 1), ("abcdefghijklmnop", "CR", 6, 2), ("other", "CR", 6, 3)], "name string, class string, class_id int, asset_id int")
     s = spark.createDataFrame([("xbitcoincsh",), ("abcdefghijklmnopqrstu",), ("nothing",)], "symbol string")
     assert {x["symbol"]: x["asset_id"] for x in N.resolved(s, r).collect()} == {"xbitcoincsh": 1, "abcdefghijklmnopqrstu": 2}
+
+
+def test_calibration_meets_the_target(spark):
+    """Between two k of the grid, beyond its end, and on the ticker's own sigma."""
+    import random
+
+    rng = random.Random(2)
+    mids = [100.0]
+    for _ in range(4000):
+        mids.append(mids[-1] * math.exp(rng.choice((-1, 1)) * 0.0005 * rng.uniform(0.5, 1.5)))
+    ticks = tick_rows(spark, mids)
+    sigma = ticks.select("ticker", (F.col("tc_ms") - F.pmod("tc_ms", F.lit(X.BIN_MS))).alias("bin_start_ms")).distinct().withColumn("sigma", F.lit(0.0004))
+    for own in (None, sigma):
+        (r,) = Q.calibrate_k(ticks, 80.0, sigma=own).collect()
+        assert abs(r["median"] / 80 - 1) <= 0.05 and (own is None or r["k"] > 5)

@@ -6,6 +6,7 @@ already sorted by Spark, so memory holds a batch and the state, not the series.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -143,10 +144,52 @@ def bricks_per_day(bricks: DataFrame) -> DataFrame:
     return bricks.groupBy("ticker", (F.col("ts") - F.pmod("ts", F.lit(86_400_000))).alias("day_ms")).agg(F.count("*").alias("bricks"))
 
 
-def calibrate_k(ticks: DataFrame, target: float, grid: tuple[float, ...] = (0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0), ts: str = "tc_ms", default_sigma: float = 0.01) -> DataFrame:
-    """(ticker, k, median): the k of a grid whose median bricks a day is nearest to target; all k run in one job."""
-    out = None
-    for k in grid:
-        days = bricks_per_day(renko(ticks, None, k, ts=ts, default_sigma=default_sigma)).groupBy("ticker").agg(F.median("bricks").alias("median")).withColumn("k", F.lit(k))
-        out = days if out is None else out.unionByName(days)
-    return out.groupBy("ticker").agg(F.min_by(F.struct("k", "median"), F.struct(F.abs(F.log(F.col("median") / target)), "k")).alias("b")).select("ticker", "b.k", "b.median")
+def _brick_medians(rows: DataFrame, tries: list[tuple[str, float]]) -> dict[tuple[str, float], float]:
+    """The median of bricks a day of each (ticker, k), all in one job; 0 where there is none."""
+    ks = rows.sparkSession.createDataFrame(tries, "ticker string, k double")
+    rows = rows.join(F.broadcast(ks), "ticker").withColumn("series", F.concat_ws("|", "k", "ticker"))
+
+    class Lazy:
+        fold = None
+
+    def step(s, r):  # noqa: ANN001, ANN202
+        s.fold = s.fold or folds.Renko(r.k, 0.0)
+        return [(r.ticker, r.ts, r.k) for _ in s.fold.feed(r.ts, r.mid, r.sigma)]
+
+    bricks = fold_rows(rows, "series", ["ts", "seq"], "ticker string, ts bigint, k double", Lazy, step)
+    days = bricks.groupBy("ticker", "k", (F.col("ts") - F.pmod("ts", F.lit(86_400_000))).alias("day_ms")).agg(F.count("*").alias("bricks"))
+    found = {(r["ticker"], r["k"]): r["median"] for r in days.groupBy("ticker", "k").agg(F.median("bricks").alias("median")).collect()}
+    return {t: found.get(t, 0.0) for t in tries}
+
+
+def calibrate_k(ticks: DataFrame, target: float, grid: tuple[float, ...] = (0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0), ts: str = "tc_ms", default_sigma: float = 0.01, sigma: DataFrame | None = None, tolerance: float = 0.05, steps: int = 12) -> DataFrame:
+    """(ticker, k, median): a k whose median bricks a day is within tolerance of target.
+
+    After the grid each ticker without one halves log k between its brackets, doubling where none brackets from above and halving
+    where none does from below, all tickers of a step in one job. After the last step the nearest k stands; no bricks, no row.
+    """
+    rows = ticks.select("ticker", F.col(ts).alias("ts"), "seq", "mid")
+    own = F.lit(default_sigma)
+    if sigma is not None:
+        s = sigma.select(F.col("ticker").alias("_t"), F.col("bin_start_ms").alias("_b"), "sigma")
+        rows = rows.join(s, (F.col("ticker") == F.col("_t")) & (X.bucket("ts", X.BIN_MS) == F.col("_b")), "left")
+        own = F.coalesce("sigma", own)
+    rows = rows.select("ticker", "ts", "seq", "mid", own.alias("sigma"))
+    names = [r["ticker"] for r in ticks.select("ticker").where("ticker IS NOT NULL").distinct().collect()]
+    seen: dict[str, dict[float, float]] = {n: {} for n in names}
+    tries = [(n, float(k)) for n in names for k in grid]
+    for _ in range(steps + 1):
+        if not tries:
+            break
+        for (n, k), median in _brick_medians(rows, tries).items():
+            seen[n][k] = median
+        tries = []
+        for n, had in seen.items():
+            if any(abs(m / target - 1) <= tolerance for m in had.values()):
+                continue
+            lo = max((k for k, m in had.items() if m > target), default=None)
+            hi = min((k for k, m in had.items() if m < target and (lo is None or k > lo)), default=None)
+            tries.append((n, lo * 2 if hi is None else hi / 2 if lo is None else (lo * hi) ** 0.5))
+    near = lambda had: min((abs(math.log(m / target)), k, m) for k, m in had.items() if m > 0)
+    best = [(n, *near(had)[1:]) for n, had in seen.items() if any(had.values())]
+    return ticks.sparkSession.createDataFrame(best, "ticker string, k double, median double")

@@ -276,7 +276,7 @@ def renko_per_day(spark, d):  # noqa: ANN001, ANN201
 
 @query()
 def renko_calibration(spark, d):  # noqa: ANN001, ANN201
-    return Q.calibrate_k(ticks(spark, d), 172.0, ts="ts_ms")
+    return Q.calibrate_k(ticks(spark, d), 172.0, ts="ts_ms", sigma=_vol30(spark, d))
 
 
 _SNAP = "pow(10, floor(log10(mid)) - 3)"
