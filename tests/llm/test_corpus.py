@@ -199,36 +199,48 @@ def test_suffix_tree(spark, docs, rows):
     assert suffixtree.scored(empty(spark)).count() == 0
 
 
+class PlainTree:
+    """The tree as its docstring gives it, by tuples of words, without blocks, hashes, levels of tasks or logarithms."""
+
+    def __init__(self, train):
+        self.count = collections.Counter(w for t in train for w in t)
+        self.n, self.v = sum(self.count.values()), len(self.count)
+        self.follow, self.depth = {}, 0
+        tried = None
+        while tried is None or tried or self.depth < 3:
+            self.depth += 1
+            tried = collections.defaultdict(collections.Counter)
+            for t in train:
+                for p in range(self.depth, len(t)):
+                    if self.depth <= 2 or t[p - self.depth + 1 : p] in self.follow:
+                        tried[t[p - self.depth : p]][t[p]] += 1
+            self.follow |= {c: f for c, f in tried.items() if self.diverges(c, f)}
+
+    def diverges(self, c, f):
+        pairs = [(self.mixed(f, w, self.p(c[1:], w)), self.p(c[1:], w)) for w, m in f.items() if m >= suffixtree.MIN_COUNT]
+        return any(p >= suffixtree.RATIO * q or q >= suffixtree.RATIO * p for p, q in pairs)
+
+    @staticmethod
+    def mixed(f, w, q):
+        return (f[w] + suffixtree.PRIOR * q) / (sum(f.values()) + suffixtree.PRIOR)
+
+    def p(self, history, w):
+        """From the root to the longest retained suffix, each smoothed towards the one before."""
+        q = (self.count[w] + 0.5) / (self.n + 0.5 * (self.v + 1))
+        for d in range(1, min(len(history), self.depth) + 1):
+            f = self.follow.get(tuple(history[-d:]))
+            q = q if f is None else self.mixed(f, w, q)
+            if f is None and d >= 2:
+                break
+        return q
+
+    def score(self, t):
+        return sum(np.log10(self.p(t[max(0, p - self.depth) : p], w)) for p, w in enumerate(t))
+
+
 def plain_suffix_tree(tokens, held):
-    """Depths, and log10 scores by position, of the tree as its docstring gives it, without blocks or levels of tasks."""
-    train = [t for t, h in zip(tokens, held, strict=True) if not h]
-    count = collections.Counter(w for t in train for w in t)
-    n, v = sum(count.values()), len(count)
-    root = lambda w: np.log10((count[w] + 0.5) / (n + 0.5 * (v + 1)))
-    q = {(i, p): root(w) for i, t in enumerate(tokens) for p, w in enumerate(t)}
-    retained, depth = None, 0
-    while retained is None or retained or depth < 2:
-        depth += 1
-        follow = collections.defaultdict(collections.Counter)
-        was = {}
-        places = [(i, p) for i, t in enumerate(tokens) for p in range(depth, len(t)) if depth <= 2 or t[p - depth + 1 : p] in retained]
-        for i, p in places:
-            if not held[i]:
-                follow[tokens[i][p - depth : p]][tokens[i][p]] += 1
-            was[tokens[i][p - depth : p], tokens[i][p]] = q[i, p]
-        retained = set()
-        scores = {}
-        for c, f in follow.items():
-            total = sum(f.values())
-            p = {w: (m - suffixtree.DISCOUNT) / total for w, m in f.items() if m >= suffixtree.MIN_COUNT}
-            if total >= suffixtree.MIN_COUNT and any(x >= 1.5 * 10 ** was[c, w] or 10 ** was[c, w] >= 1.5 * x for w, x in p.items()):
-                retained.add(c)
-                scores[c] = p, np.log10(max(1e-9, 1 - sum(p.values())))
-        for i, p in places:
-            c, w = tokens[i][p - depth : p], tokens[i][p]
-            if c in retained:
-                q[i, p] = np.log10(scores[c][0][w]) if w in scores[c][0] else scores[c][1] + root(w)
-    return depth, [sum(q[i, p] for p in range(len(t))) for i, t in enumerate(tokens)]
+    tree = PlainTree([t for t, h in zip(tokens, held, strict=True) if not h])
+    return tree.depth, [tree.score(t) if len(t) < 10_000 else None for t in tokens]
 
 
 def test_suffix_tree_keeps_rare_symbols_and_grows_deep(spark, monkeypatch):
@@ -254,18 +266,38 @@ def test_suffix_tree_thresholds_are_alike_at_every_size(spark):
     held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
     assert not held[-1] and 4 <= sum(not h for h in held[2:10])
     _, want = plain_suffix_tree(tokens, held)
-    got = {r["doc_id"]: r["score"] for r in suffixtree.scored(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], COLUMNS)).collect()}
-    assert all(abs(got[i] - want[i]) < 1e-3 for i in range(10)) and got[5] > -7
+    rows = suffixtree.scored(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], COLUMNS)).collect()
+    got, base = ({r["doc_id"]: r[c] for r in rows} for c in ("score", "base_score"))
+    assert all(abs(got[i] - want[i]) < 1e-3 for i in range(10)) and got[5] > base[5] / 3
+
+
+def repetitive(rng, n):
+    """Texts in which contexts of one to five words tell something, so that every level is used."""
+    phrases = [rng.choices("abcdefgh", k=rng.randint(2, 7)) for _ in range(12)]
+    return [" ".join(sum((rng.choice(phrases) for _ in range(rng.randint(0, 9))), [])) for _ in range(n)]
+
+
+@pytest.mark.parametrize("hot", [5, 10**9])
+def test_suffix_tree_scores_are_those_of_the_plain_tree(spark, monkeypatch, hot):
+    """All rows; with contexts dealt out by symbol and without; over several blocks and tasks."""
+    texts = repetitive(random.Random(9), 300)
+    tokens = [(*t.split(), None) for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
+    depth, want = plain_suffix_tree(tokens, held)
+    assert depth > 4
+    monkeypatch.setattr(suffixtree, "TASK_SYMBOLS", 700)
+    monkeypatch.setattr(suffixtree, "HOT", hot)
+    got = suffixtree.scored(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], COLUMNS).repartition(4)).collect()
+    assert len(got) == len(texts) and all(abs(r["score"] - want[r["doc_id"]]) < 1e-4 for r in got)
 
 
 def test_suffix_tree_is_a_distribution():
-    """Over the kept symbols and all others the probabilities of a context sum to at most 1."""
-    tree = suffixtree.Tree()
-    keys = np.array([5], np.uint64)
-    tree.levels.append((keys, np.array([np.log10(0.3)]), np.array([9], np.uint64), np.array([np.log10(0.7)])))
-    sym = np.array([1, 2, 3], np.uint64)
-    part, full = tree.states(sym, np.array([0, 3]))
-    assert part.tolist() == [0, 0, 0] and not full.any()
+    """After every history the probabilities of all symbols seen and of one unseen sum to 1."""
+    texts = [(*t.split(), None) for t in repetitive(random.Random(5), 200)]
+    tree = PlainTree(texts)
+    assert any(len(c) > 2 for c in tree.follow)
+    for history in [t[:p] for t in texts[:20] for p in range(len(t))] + [("zz", "a"), ("zz",)]:
+        assert abs(sum(tree.p(history, w) for w in tree.count) + tree.p(history, "never seen") - 1) < 1e-9
 
 
 def test_warc(spark, monkeypatch):

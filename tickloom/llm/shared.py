@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -45,13 +46,13 @@ def lower_ascii(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where none is named (tests) is a local one made."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share. Only a local master, whose executors are the driver, gets one made where none is named."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        made = spark.sparkContext.getCheckpointDir()
-        where = made or f"file://{tempfile.mkdtemp(prefix='tickloom-')}"
-        if not made:
-            spark.sparkContext.setCheckpointDir(where)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='tickloom-')}"
+        spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
@@ -63,5 +64,28 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, n: int, key: str) -> DataFrame:
+    """df as written, in n buckets by key: tables bucketed alike are joined where they are."""
+    spark = df.sparkSession
+    table = f"tickloom_{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(n, key).option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
+def let_go(*tables: DataFrame) -> None:
+    """Removes tables that nothing reads any more, and shuffles that nobody refers to."""
+    spark = tables[0].sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = shared_dir(spark)
+    for df in tables:
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for name in {f.rsplit("/", 1)[1] for f in folders}:
+            if name.startswith("tickloom_"):
+                spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+            path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+            path.getFileSystem(conf).delete(path, True)
+    jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,19 +1,24 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 Symbols are words in lower case (A-Z) and one end for each text. The root's distribution is the smoothed one of single symbols,
-(c + 0.5) / (N + 0.5 (V + 1)). A context is the symbols before the next one, within a text. It is tried where it stands at least
-MIN_COUNT times in training texts and its suffix is retained (contexts of one and two symbols always), and keeps every next
-symbol that follows it MIN_COUNT times or more. It is retained if for some kept symbol the probability differs by RATIO from
-the one that the suffix gives it: the divergence test. Depth has no bound; it ends when no context is left to try. No threshold
-depends on the size of the corpus, so the tree grows with it.
+(c + 0.5) / (N + 0.5 (V + 1)). A context s is the symbols before the next one, within a text; n(s) is how often it stands in
+training texts and n(s, w) how often w follows it there. Its distribution is smoothed towards that of its longest retained
+proper suffix s', by PRIOR symbols' worth:
 
-At a retained context a kept symbol has (c(s, w) - DISCOUNT) / c(s); what that leaves goes to all symbols by the root's distribution.
-Each symbol is scored at the longest retained suffix of what came before it.
+    p(w | s) = (n(s, w) + PRIOR p(w | s')) / (n(s) + PRIOR)
 
-The tree is never in one place. Texts are packed into blocks. For each level a block asks for its distinct (context, symbol), with
-their counts and present scores; what is asked of a context meets in its partition, which counts, tests and answers. An answer
-goes back to its block in the order asked, so rows are blocks by partitions and never texts by partitions. Single symbols are
-counted alike. Positions whose context can't be retained deeper ask no more.
+which sums to 1 over all symbols, seen or not, since that of the root does. Contexts of one and two symbols are tried always,
+longer ones where their suffix is retained. A context is retained if for some symbol that follows it MIN_COUNT times or more the
+probability differs by RATIO from the one that its suffix gives: the divergence test. Depth has no bound; it ends when no
+context is left to try. No threshold depends on the size of the corpus, so the tree grows with it. Each symbol is scored at
+the longest retained suffix of what came before it.
+
+The tree is never in one place. Texts are packed into blocks, which stay where they are: a bucketed table that no level deals
+out anew. For each level a block asks for its distinct (context, symbol) pairs with their counts and present scores. What is
+asked of a context meets in its partition, which counts, tests and answers in the order asked, so rows are blocks by
+partitions and never texts by partitions. A context that stands HOT times or more (and one in HOT_PART of all symbols: at most
+HOT_PART contexts a level) is dealt out by its symbols as well: how often it stands is known from the level before, and which of
+them are retained is a list so bounded. Positions whose context can't be retained deeper ask no more.
 
 Defined results: a null or blank text is the end alone. A null id counts as the empty string in the split. Repeated rows are scored
 alike and returned each. Texts are whole. An empty table gives no rows; without training texts every c is 0. Other columns
@@ -31,25 +36,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import written
+from .shared import bucketed, let_go, partitions, written
 
 MIN_COUNT = 4
 RATIO = 1.5
-DISCOUNT = 0.75
+PRIOR = 24.0
 FOLDS, HELD_OUT = 5, 1
 #: A partition answers for so many symbols, about; a block holds so many bytes of text.
 TASK_SYMBOLS = 2_000_000
 BLOCK_BYTES = 4 << 20
+HOT, HOT_PART = TASK_SYMBOLS // 4, 100_000
 END = K.mix(np.array([77], K.U))[0]
 STEP = K.PLACE[0]
 
-#: words: distinct symbols of the block; codes: each position's place among them; at: where texts begin; active: a bit for each
-#: position that asks at the next level; q: their present scores, at level 1 the root's; done: what the others of a text sum to.
-STATE = "block bigint, doc_id array<bigint>, train binary, at binary, words binary, codes binary, counts binary, active binary, q binary, done binary, size bigint"
-#: w: distinct symbols; place: that of each row among them; q: of each row, at level 1 of each of w.
-ASKED = "t int, block bigint, c binary, sizes binary, w binary, place binary, n binary, q binary"
-ANSWERED = "t int, block bigint, flags binary, score binary, total bigint, distinct bigint"
-KEPT, RETAINED = 1, 2
+#: words: distinct symbols of the block; codes: each position's place among them; at: where texts begin.
+FIXED = "block bigint, doc_id array<bigint>, train binary, at binary, words binary, codes binary, size bigint"
+#: counts: of each of words; active: a bit for each position that asks at the next level, how many, their present scores and how often
+#: their contexts stand (-1: not known; from level 2 on, before that both follow from counts); done: what the others of a text sum to.
+STATE = "block bigint, counts binary, active binary, asking bigint, q binary, stands binary, done binary"
+#: c: distinct contexts, how many rows each has and how often it stands; w: distinct symbols; place: that of each row among them;
+#: n: of each row; q: of each row, at level 1 of each of w.
+ASKED = "t int, block bigint, c binary, sizes binary, stands binary, w binary, place binary, n binary, q binary"
+#: n: of each row asked; about: of each context asked, twice how often it stands, and one more if it is retained.
+ANSWERED = "t int, block bigint, n binary, about binary, hot binary, total bigint, distinct bigint"
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,25 +76,19 @@ def contexts(sym: np.ndarray, depth: int, where: np.ndarray) -> np.ndarray:
 
 
 def _zip(x: np.ndarray) -> bytes:
-    raw = x.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True) if raw else b""
+    """Compressed, first bytes first: high bytes of small numbers are alike."""
+    if not len(x):
+        return b""
+    raw = x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
 
 
 def _unzip(b, kind) -> np.ndarray:  # noqa: ANN001
-    b = memoryview(b)
-    return np.frombuffer(pa.Codec("zstd").decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True) if len(b) else b"", kind)
-
-
-def _places(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """Where each of found stands in sorted keys, or -1."""
-    if not len(keys):
-        return np.full(len(found), -1)
-    i = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-    return np.where(keys[i] == found, i, -1)
-
-
-def _raw(row: dict, name: str, kind) -> np.ndarray:  # noqa: ANN001
-    return _unzip(row[name], kind)
+    b, size = memoryview(b), np.dtype(kind).itemsize
+    if not len(b):
+        return np.zeros(0, kind)
+    raw = np.frombuffer(pa.Codec("zstd").decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
 
 
 def _packed(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -94,10 +97,40 @@ def _packed(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(v), kinds[k]) for v, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+class Block:
+    """One row of the joined tables, arrays unpacked when asked for."""
+
+    def __init__(self, row: dict) -> None:
+        self.row, self.block = row, row["block"]
+        self.words, self.codes, self.at = (self.raw(n, k) for n, k in (("words", K.U), ("codes", np.int32), ("at", np.int64)))
+
+    def raw(self, name: str, kind) -> np.ndarray:  # noqa: ANN001
+        return _unzip(self.row[name], kind)
+
+    def train(self) -> np.ndarray:
+        return np.repeat(self.raw("train", bool), np.diff(self.at))
+
+    def before(self) -> np.ndarray:
+        """How many symbols of its text stand before each position."""
+        return np.arange(len(self.codes)) - np.repeat(self.at[:-1], np.diff(self.at))
+
+    def active(self) -> np.ndarray:
+        return np.flatnonzero(np.unpackbits(self.raw("active", np.uint8)))
+
+    def state(self, counts: np.ndarray, here: np.ndarray, go: np.ndarray, q: np.ndarray, stands: np.ndarray | None, done: np.ndarray) -> pa.RecordBatch:
+        """Of the positions here those of go stay active; scores of the others are summed by text."""
+        text = np.searchsorted(self.at, here[~go], "right") - 1
+        done = np.bincount(text, weights=q[~go], minlength=len(self.at) - 1) + (done if len(done) else 0.0)
+        bits = np.zeros(len(self.codes), bool)
+        bits[here[go]] = True
+        kept = (b"", b"") if stands is None else (_zip(q[go].astype(np.float32)), _zip(stands[go].astype(np.int32)))
+        return _packed([(self.block, _zip(counts), _zip(np.packbits(bits)) if go.any() else b"", int(go.sum()), *kept, _zip(done))], STATE)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     for batch in batches:
         for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
+            yield Block(batch.slice(i, 1).to_pylist()[0])
 
 
 def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,236 +140,220 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, data, offsets in K.chunks(batch.column(1), BLOCK_BYTES):
             sym, at = symbols(data, offsets)
             words, codes = np.unique(sym, return_inverse=True)
-            row = (made, batch.column(0).slice(i, j - i).to_pylist(), *map(_zip, (train[i:j], at.astype(np.int64), words, codes.astype(np.int32))), b"", b"", b"", b"", len(sym))
-            yield _packed([row], STATE)
+            yield _packed([(made, batch.column(0).slice(i, j - i).to_pylist(), *map(_zip, (train[i:j], at.astype(np.int64), words, codes.astype(np.int32))), len(sym))], FIXED)
             made += 1
 
 
-def _positions(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, whether each position is of a training text, and how many symbols its text has before it."""
-    words, codes, at = _raw(row, "words", K.U), _raw(row, "codes", np.int32), _raw(row, "at", np.int64)
-    size = np.diff(at)
-    return words[codes], np.repeat(_raw(row, "train", bool), size), np.arange(len(codes)) - np.repeat(at[:-1], size)
+def root_logs(counts: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    return np.log10(counts + 0.5) - np.log10(total + 0.5 * (distinct + 1))
 
 
-def _active(row: dict) -> np.ndarray:
-    return np.flatnonzero(np.unpackbits(_raw(row, "active", np.uint8)))
+def smoothed(n: np.ndarray, stands: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Probability of symbols that follow n times a context that stands so often, given what its suffix makes of them."""
+    return (n + PRIOR * q) / (stands + PRIOR)
 
 
-def _asked(row: dict, depth: int) -> tuple[np.ndarray, ...]:
-    """Distinct (context, symbol) of the active positions in order, where each first stands, and each position's place among them."""
-    sym, train, _ = _positions(row)
-    active = _active(row)
-    c, w = contexts(sym, depth, active), _raw(row, "codes", np.int32)[active]
-    order = np.lexsort((w, c))
-    new = np.r_[True, (np.diff(c[order]) != 0) | (np.diff(w[order]) != 0)] if len(c) else np.zeros(0, bool)
-    place = np.zeros(len(c), np.int64)
-    place[order] = np.cumsum(new) - 1
-    first = order[new]
-    n = np.bincount(place, weights=train[active], minlength=len(first)).astype(np.int32)
-    return active, c[first], sym[active[first]], n, first, place
-
-
-class Tree:
-    """A tree in one place, for small ones: by level sorted hashes, log10 of what a context leaves, and its kept symbols."""
-
-    def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def states(self, sym: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 of the part that the context gives, whether that is all) of each symbol, at its longest retained suffix."""
-        part, full, done = np.zeros(len(sym)), np.zeros(len(sym), bool), np.zeros(len(sym), bool)
-        for depth in range(len(self.levels), 0, -1):
-            keys, left, pairs, logs = self.levels[depth - 1]
-            where = np.flatnonzero(np.arange(len(sym)) - np.repeat(at[:-1], np.diff(at)) >= depth)
-            ctx = np.zeros(len(sym), K.U)
-            ctx[where] = contexts(sym, depth, where)
-            place = _places(keys, ctx)
-            here = (place >= 0) & ~done
-            pair = _places(pairs, K.mix(ctx[here] + sym[here] * K.PLACE[40]))
-            part[here] = np.where(pair >= 0, logs[pair] if len(logs) else 0.0, left[place[here]])
-            full[here] = pair >= 0
-            done |= here
-        return part, full
-
-
-def _ask(depth: int, tasks: int):  # noqa: ANN202
+class Pairs:
+    """Distinct (context, symbol) of a block's active positions, dealt out to tasks: by context, of hot ones by symbol as well."""
+
+    def __init__(self, b: Block, depth: int, tasks: int, total: int, distinct: int, hot: int) -> None:
+        self.counts, self.active = b.raw("counts", np.int64), b.active()
+        sym = b.words[b.codes]
+        c, w = contexts(sym, depth, self.active), b.codes[self.active]
+        if depth == 1:
+            self.q, stands = root_logs(self.counts, total, distinct)[w], self.counts[b.codes[self.active - 1]]
+        else:
+            self.q, stands = b.raw("q", np.float32).astype(float), b.raw("stands", np.int32).astype(np.int64)
+        s = sym[self.active]
+        task = np.where(stands >= hot, K.mix(c + s * K.PLACE[1]), c) >> K.U(20)
+        task = (task % K.U(tasks)).astype(np.int32)
+        order = np.lexsort((w, c, task))
+        new = np.r_[True, (np.diff(c[order]) != 0) | (np.diff(w[order]) != 0)] if len(c) else np.zeros(0, bool)
+        #: each active position's pair
+        self.place = np.zeros(len(c), np.int64)
+        self.place[order] = np.cumsum(new) - 1
+        first = order[new]
+        self.c, self.w, self.stands, self.first = c[first], s[first], stands[first], first
+        self.task = task[first]
+        self.edge = np.r_[True, (np.diff(self.c) != 0) | (np.diff(self.task) != 0)] if len(first) else np.zeros(0, bool)
+
+    def counted(self, train: np.ndarray) -> np.ndarray:
+        return np.bincount(self.place, weights=train[self.active], minlength=len(self.first)).astype(np.int32)
+
+
+def _parts(task: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(task, from, to) of each run of a sorted array."""
+    cuts = np.flatnonzero(np.r_[True, np.diff(task) != 0, True]) if len(task) else np.zeros(1, int)
+    yield from zip(task[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+
+
+def _ask_words(tasks: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            if not depth:
-                c = w = _raw(row, "words", K.U)
-                _, train, _ = _positions(row)
-                n, q = np.bincount(_raw(row, "codes", np.int32), weights=train, minlength=len(w)).astype(np.int32), np.zeros(len(w), np.float32)
-            else:
-                _, c, w, n, first, _ = _asked(row, depth)
-                q = _raw(row, "q", np.float32)[first]
-            task = (c >> K.U(20)) % K.U(tasks)
-            for t in range(tasks):
-                mine = np.flatnonzero(task == t)
-                if len(mine):
-                    ctx, sizes = np.unique(c[mine], return_counts=True)
-                    every, at, place = np.unique(w[mine], return_index=True, return_inverse=True) if depth else (w[:0], w[:0], w[:0])
-                    yield _packed([(t, row["block"], *map(_zip, (ctx, sizes.astype(np.int32), every, place.astype(np.int32), n[mine], q[mine][at] if depth == 1 else q[mine])))], ASKED)
+        for b in _blocks(batches):
+            n = np.bincount(b.codes, weights=b.train(), minlength=len(b.words)).astype(np.int32)
+            task = ((b.words >> K.U(20)) % K.U(tasks)).astype(np.int32)
+            order = np.argsort(task, kind="stable")
+            for t, i, j in _parts(task[order]):
+                mine = order[i:j]
+                yield _packed([(t, b.block, _zip(b.words[mine]), b"", b"", b"", b"", _zip(n[mine]), b"")], ASKED)
 
     return run
 
 
-def judged(c: np.ndarray, w: np.ndarray, n: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Flags and score of each (context, symbol) row from all rows of its context: log10 p where kept, else log10 of what is left."""
+def _ask(depth: int, tasks: int, total: int, distinct: int, hot: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _blocks(batches):
+            p = Pairs(b, depth, tasks, total, distinct, hot)
+            n, q = p.counted(b.train()), p.q[p.first].astype(np.float32)
+            starts = np.flatnonzero(p.edge)
+            for t, i, j in _parts(p.task):
+                heads = starts[np.searchsorted(starts, i) : np.searchsorted(starts, j)]
+                every, at, place = np.unique(p.w[i:j], return_index=True, return_inverse=True)
+                arrays = (p.c[heads], np.diff(np.r_[heads, j]).astype(np.int32), p.stands[heads], every, place.astype(np.int32), n[i:j], q[i:j][at] if depth == 1 else q[i:j])
+                yield _packed([(t, b.block, *map(_zip, arrays))], ASKED)
+
+    return run
+
+
+def judged(c: np.ndarray, w: np.ndarray, n: np.ndarray, q: np.ndarray, stands: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (context, symbol) rows, with all rows of each pair: counts, how often contexts stand, whether one of these symbols retains it."""
     order = np.lexsort((w, c))
-    c, w, n, q = c[order], w[order], n[order], q[order]
+    c, w, n, q, stands = c[order], w[order], n[order], q[order], stands[order]
     edge = np.r_[True, np.diff(c) != 0]
     new = edge | np.r_[True, np.diff(w) != 0]
     pair = np.cumsum(new) - 1
     ctx = (np.cumsum(edge) - 1)[new]
     n = np.add.reduceat(n.astype(np.int64), np.flatnonzero(new))
-    total = np.bincount(ctx, weights=n)
-    kept = n >= MIN_COUNT
-    p = np.where(kept, (n - DISCOUNT) / np.maximum(total[ctx], 1), 0.0)
+    known = stands[edge]
+    stands = np.where(known >= 0, known, np.bincount(ctx, weights=n).astype(np.int64))
     was = 10.0 ** q[new].astype(float)
-    retained = np.bincount(ctx, weights=kept & ((p >= RATIO * was) | (was >= RATIO * p))) > 0
-    left = np.log10(np.maximum(1e-9, 1 - np.bincount(ctx, weights=p)))
-    score = np.where(kept, np.log10(np.where(kept, p, 1.0)), left[ctx])
-    flags = (kept * KEPT + retained[ctx] * RETAINED).astype(np.uint8)
+    p = smoothed(n, stands[ctx], was)
+    retained = np.bincount(ctx, weights=(n >= MIN_COUNT) & ((p >= RATIO * was) | (was >= RATIO * p))) > 0
     back = np.empty(len(order), np.int64)
     back[order] = pair
-    return flags[back], score.astype(np.float32)[back]
+    return n[back], stands[ctx][back], retained[ctx][back]
 
 
-def _answer(depth: int):  # noqa: ANN202
-    """Level 0 answers with counts in place of scores, and its first row has the partition's training symbols and distinct ones."""
+def _counts(table: pa.Table) -> pa.Table:
+    """Level 0: the counts of the partition's words, and in its first row how many training symbols and distinct ones it has."""
+    c, n = ([_unzip(v.as_buffer(), k) for v in table[name]] for name, k in (("c", K.U), ("n", np.int32)))
+    every, place = np.unique(np.concatenate(c), return_inverse=True)
+    count = np.bincount(place, weights=np.concatenate(n), minlength=len(every)).astype(np.int64)
+    total, distinct = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
+    total[0], distinct[0] = count.sum(), (count > 0).sum()
+    zipped = [_zip(x) for x in np.split(count[place], np.cumsum([len(x) for x in c])[:-1])]
+    none = pa.array([b""] * len(c), pa.binary())
+    return pa.table({"t": table["t"], "block": table["block"], "n": pa.array(zipped, pa.binary()), "about": none, "hot": none, "total": total, "distinct": distinct})
 
+
+def _answer(depth: int, hot: int):  # noqa: ANN202
     def run(table: pa.Table) -> pa.Table:
         column = lambda name, kind: [_unzip(v.as_buffer(), kind) for v in table[name]]
-        parts = column("n", np.int32)
-        n = np.concatenate(parts)
-        c = np.repeat(np.concatenate(column("c", K.U)), np.concatenate(column("sizes", np.int32)))
-        total, distinct = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
-        if depth:
-            place = column("place", np.int32)
-            each = lambda v: np.concatenate([x[i] for x, i in zip(v, place, strict=True)])
-            q = column("q", np.float32)
-            flags, score = judged(c, each(column("w", K.U)), n, each(q) if depth == 1 else np.concatenate(q))
-        else:
-            every, place = np.unique(c, return_inverse=True)
-            count = np.bincount(place, weights=n, minlength=len(every)).astype(np.int64)
-            flags, score, total[0], distinct[0] = np.zeros(len(c), np.uint8), count[place], count.sum(), (count > 0).sum()
-        cuts = np.cumsum([len(x) for x in parts])[:-1]
-        zipped = [pa.array([_zip(x) for x in np.split(v, cuts)], pa.binary()) for v in (flags, score)]
-        return pa.table({"t": table["t"], "block": table["block"], "flags": zipped[0], "score": zipped[1], "total": total, "distinct": distinct})
+        parts, sizes, place, heads = column("n", np.int32), column("sizes", np.int32), column("place", np.int32), column("c", K.U)
+        each = lambda v: np.concatenate([x[i] for x, i in zip(v, place, strict=True)])
+        spread = lambda v: np.repeat(np.concatenate(v), np.concatenate(sizes))
+        q = column("q", np.float32)
+        known = spread(column("stands", np.int64))
+        n, stands, retained = judged(spread(heads), each(column("w", K.U)), np.concatenate(parts), each(q) if depth == 1 else np.concatenate(q), known)
+        begins = np.cumsum(np.concatenate(sizes)) - np.concatenate(sizes)
+        about = (stands * 2 + retained)[begins]
+        listed = np.unique(np.concatenate(heads)[(known >= hot)[begins] & retained[begins]])
+        zipped = [pa.array([_zip(x) for x in np.split(v, np.cumsum([len(x) for x in of])[:-1])], pa.binary()) for v, of in ((n.astype(np.int32), parts), (about, heads))]
+        none = np.zeros(len(parts), np.int64)
+        return pa.table({"t": table["t"], "block": table["block"], "n": zipped[0], "about": zipped[1], "hot": pa.array([_zip(listed)] + [b""] * (len(parts) - 1), pa.binary()), "total": none, "distinct": none})
 
     return run
 
 
-def _gathered(row: dict, name: str, kind, task: np.ndarray) -> np.ndarray:  # noqa: ANN001
-    """Answers of all partitions in the order asked."""
-    out = np.zeros(len(task), kind)
-    for a in row["answers"] or []:
-        out[task == a["t"]] = _unzip(a[name], kind)
-    return out
-
-
-def _state(row: dict, **changed: np.ndarray) -> pa.RecordBatch:
-    row = row | {k: _zip(v) for k, v in changed.items()}
-    return _packed([tuple(row[f.split()[0]] for f in STATE.split(", "))], STATE)
-
-
-def root_logs(counts: np.ndarray, total: int, distinct: int) -> np.ndarray:
-    return np.log10(counts + 0.5) - np.log10(total + 0.5 * (distinct + 1))
-
-
-def _handed(row: dict, here: np.ndarray, go: np.ndarray, q: np.ndarray, **changed: np.ndarray) -> pa.RecordBatch:
-    """The state where of the positions here those of go stay active; scores of the others are summed by text."""
-    at, codes = _raw(row, "at", np.int64), _raw(row, "codes", np.int32)
-    before = _raw(row, "done", np.float64)
-    text = np.searchsorted(at, here[~go], "right") - 1
-    done = np.bincount(text, weights=q[~go], minlength=len(at) - 1) + (before if len(before) else 0.0)
-    bits = np.zeros(len(codes), bool)
-    bits[here[go]] = True
-    return _state(row, active=np.packbits(bits) if go.any() else np.zeros(0, np.uint8), q=q[go].astype(np.float32), done=done, **changed)
+def _answers(row: dict, name: str, kind) -> np.ndarray:  # noqa: ANN001
+    """Answers of all tasks, in their order."""
+    found = [_unzip(a[name], kind) for a in sorted(row["answers"] or [], key=lambda a: a["t"])]
+    return np.concatenate(found) if found else np.zeros(0, kind)
 
 
 def _started(tasks: int, total: int, distinct: int):  # noqa: ANN202
     """Takes in the counts: every position has the root's score, and those behind a symbol that stands MIN_COUNT times ask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            codes, (_, _, before) = _raw(row, "codes", np.int32), _positions(row)
-            counts = _gathered(row, "score", np.int64, (_raw(row, "words", K.U) >> K.U(20)) % K.U(tasks))
-            go = (before > 0) & np.r_[False, counts[codes[:-1]] >= MIN_COUNT]
-            yield _handed(row, np.arange(len(codes)), go, root_logs(counts, total, distinct)[codes], counts=counts)
+        for b in _blocks(batches):
+            counts = np.zeros(len(b.words), np.int64)
+            counts[np.argsort((b.words >> K.U(20)) % K.U(tasks), kind="stable")] = _answers(b.row, "n", np.int64)
+            go = (b.before() > 0) & np.r_[False, counts[b.codes[:-1]] >= MIN_COUNT]
+            yield b.state(counts, np.arange(len(b.codes)), go, root_logs(counts, total, distinct)[b.codes], None, np.zeros(0))
 
     return run
 
 
-def _deeper(depth: int, tasks: int, total: int, distinct: int):  # noqa: ANN202
+def _deeper(depth: int, tasks: int, total: int, distinct: int, hot: int, listed: np.ndarray):  # noqa: ANN202
     """Takes in the answers of a level, and keeps active what can have a longer context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            active, c, _, _, _, place = _asked(row, depth)
-            task = (c >> K.U(20)) % K.U(tasks)
-            flags, score = _gathered(row, "flags", np.uint8, task)[place], _gathered(row, "score", np.float32, task)[place].astype(float)
-            codes, (_, _, before) = _raw(row, "codes", np.int32), _positions(row)
-            root = root_logs(_raw(row, "counts", np.int64), total, distinct)[codes[active]]
-            retained, kept = flags & RETAINED > 0, flags & KEPT > 0
-            q = np.where(retained, np.where(kept, score, score + root), _raw(row, "q", np.float32))
+        for b in _blocks(batches):
+            p = Pairs(b, depth, tasks, total, distinct, hot)
+            n, run_of = _answers(b.row, "n", np.int32).astype(np.int64), np.cumsum(p.edge) - 1
+            about = _answers(b.row, "about", np.int64)[run_of]
+            retained = (about & 1 > 0) | ((p.stands >= hot) & np.isin(p.c, listed))
+            n, stands, retained = n[p.place], (about >> 1)[p.place], retained[p.place]
+            q = np.where(retained, np.log10(smoothed(n, stands, 10.0**p.q)), p.q)
             # the longer context is the position before, with its own context: where that was asked for, its count is known
-            rare = np.zeros(len(codes) + 1, bool)
-            rare[active[~kept] + 1] = True
-            yield _handed(row, active, (retained | (depth == 1)) & (before[active] > depth) & ~rare[active], q)
+            longer = np.full(len(b.codes) + 1, -1, np.int64)
+            longer[p.active + 1] = n
+            longer = longer[p.active]
+            known = longer >= MIN_COUNT if depth == 1 else (longer >= MIN_COUNT) | (longer < 0)
+            go = (retained | (depth == 1)) & (b.before()[p.active] > depth) & known
+            yield b.state(p.counts, p.active, go, q, longer, b.raw("done", np.float64))
 
     return run
 
 
 def _results(total: int, distinct: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            codes, counts, at = _raw(row, "codes", np.int32), _raw(row, "counts", np.int64), _raw(row, "at", np.int64)
-            known, base = (np.add.reduceat(v[codes], at[:-1]) for v in ((counts > 0).astype(np.int64), root_logs(counts, total, distinct)))
-            columns = [pa.array(row["doc_id"], pa.int64()), *map(pa.array, (np.diff(at), known, base, _raw(row, "done", np.float64)))]
+        for b in _blocks(batches):
+            counts = b.raw("counts", np.int64)
+            known, base = (np.add.reduceat(v[b.codes], b.at[:-1]) for v in ((counts > 0).astype(np.int64), root_logs(counts, total, distinct)))
+            columns = [pa.array(b.row["doc_id"], pa.int64()), *map(pa.array, (np.diff(b.at), known, base, b.raw("done", np.float64)))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def _let_go(*tables: DataFrame) -> None:
-    """Removes tables of a level that is over, and shuffles nobody refers to."""
-    jvm, conf = tables[0].sparkSession._jvm, tables[0].sparkSession._jsc.hadoopConfiguration()
-    for df in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-    jvm.System.gc()
-
-
-def _answers(state: DataFrame, depth: int, tasks: int) -> DataFrame:
-    answers = written(state.mapInArrow(_ask(depth, tasks), ASKED).groupBy("t").applyInArrow(_answer(depth), ANSWERED), "answers")
-    state.sparkSession._jvm.System.gc()
-    return answers
+def _joined(fixed: DataFrame, *others: DataFrame) -> DataFrame:
+    """Blocks with what belongs to them. Both tables are bucketed alike, so only answers travel."""
+    for df in others:
+        fixed = fixed.join(df.hint("shuffle_hash"), "block", "left")
+    return fixed
 
 
-def _taken(state: DataFrame, answers: DataFrame, take) -> DataFrame:  # noqa: ANN001
-    """The state after the answers of one level, as a table in place of both."""
-    each = answers.groupBy("block").agg(F.collect_list(F.struct("t", "flags", "score")).alias("answers"))
-    out = written(state.join(each.hint("shuffle_hash"), "block", "left").mapInArrow(take, STATE), "state")
-    _let_go(state, answers)
-    return out
+def _by_block(answers: DataFrame) -> DataFrame:
+    return answers.groupBy("block").agg(F.collect_list(F.struct("t", "n", "about")).alias("answers"))
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     rest = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    state = written(rows.select("doc_id", "text", (rest != HELD_OUT).alias("train")).mapInArrow(_blocked, STATE), "state")
-    tasks = max(1, -(-state.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // TASK_SYMBOLS))
-    answers = _answers(state, 0, tasks)
+    buckets = partitions(docs.sparkSession)
+    fixed = bucketed(rows.select("doc_id", "text", (rest != HELD_OUT).alias("train")).mapInArrow(_blocked, FIXED), "blocks", buckets, "block")
+    tasks_for = lambda n: max(1, -(-n // TASK_SYMBOLS))
+    tasks = tasks_for(fixed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    answers = written(fixed.mapInArrow(_ask_words(tasks), ASKED).groupBy("t").applyInArrow(_counts, ANSWERED), "answers")
     total, distinct = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    state, depth = _taken(state, answers, _started(tasks, total, distinct)), 1
-    while not state.where(F.octet_length("active") > 0).isEmpty():
-        state = _taken(state, _answers(state, depth, tasks), _deeper(depth, tasks, total, distinct))
+    hot = max(HOT, total // HOT_PART)
+    state, depth = bucketed(_joined(fixed, _by_block(answers)).mapInArrow(_started(tasks, total, distinct), STATE), "state", buckets, "block"), 1
+    let_go(answers)
+    while asking := state.agg(F.coalesce(F.sum("asking"), F.lit(0))).first()[0]:
+        tasks = tasks_for(asking)
+        answers = written(_joined(fixed, state).mapInArrow(_ask(depth, tasks, total, distinct, hot), ASKED).groupBy("t").applyInArrow(_answer(depth, hot), ANSWERED), "answers")
+        # at most HOT_PART contexts
+        listed = [_unzip(r[0], K.U) for r in answers.where(F.octet_length("hot") > 0).select("hot").collect()]
+        listed = np.unique(np.concatenate(listed)) if listed else np.zeros(0, K.U)
+        before = state
+        state = bucketed(_joined(fixed, state, _by_block(answers)).mapInArrow(_deeper(depth, tasks, total, distinct, hot, listed), STATE), "state", buckets, "block")
+        let_go(before, answers)
         depth += 1
-    out = state.mapInArrow(_results(total, distinct), "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = _joined(fixed, state).mapInArrow(_results(total, distinct), "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = written(out, "scores")
+    let_go(fixed, state)
     return out.select("doc_id", (rest == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
