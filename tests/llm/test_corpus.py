@@ -122,6 +122,50 @@ def test_signature_agreement_estimates_similarity():
         assert abs((x == y).mean() - 0.8) < 0.12
 
 
+def test_small_sets_share_a_bucket():
+    """Recall of the buckets at similarity 0.8 to 0.84, from 4 shingles on, where most bins are borrowed."""
+    rng = np.random.default_rng(2)
+    for common, n in ((4, 1), (5, 1), (9, 2), (16, 4), (80, 20)):
+        met = 0
+        for _ in range(300):
+            x = np.unique(rng.integers(0, 1 << 63, common + n).astype(np.uint64))
+            y = x[rng.permutation(len(x))[:common]]
+            keys = neardup.band_keys(np.array([neardup.signature(np.sort(v)) for v in (x, y)]))
+            met += bool((keys[0] == keys[1]).any())
+        assert met == 300
+
+
+def test_spanning_links_are_those_of_all_pairs():
+    rng = np.random.default_rng(1)
+    draw = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    for it in range(60):
+        base = [draw(rng.integers(1, 60)) for _ in range(4)]
+        sets = [np.unique(np.r_[b[rng.random(len(b)) > rng.choice([0, 0.05, 0.1, 0.2])], draw(rng.integers(1, 5))]) for b in (base[rng.integers(0, 4)] for _ in range(25))]
+        label, side = rng.integers(0, 25, 25), None if it % 2 else rng.integers(0, 2, 25)
+        joined = lambda comp, a, b: [comp[a] if v == comp[b] else v for v in comp]
+        got = want = label.tolist()
+        for a, b in neardup.spanning(sets, label, side, 80):
+            assert got[a] != got[b]
+            got = joined(got, a, b)
+        for a in range(25):
+            for b in range(a):
+                c = len(np.intersect1d(sets[a], sets[b]))
+                if (side is None or side[a] != side[b]) and 100 * c >= 80 * (len(sets[a]) + len(sets[b]) - c):
+                    want = joined(want, a, b)
+        assert [got.index(v) for v in got] == [want.index(v) for v in want]
+
+
+def test_deduplicated_has_one_row_of_each_group_whatever_ids_and_names(spark):
+    rng = random.Random(8)
+    text = prose(rng, 60)
+    other = prose(rng, 60)
+    rows = [(None, text, "a"), (None, text + " end", "b"), (None, text, "a"), (4, other, "c"), (4, other, "c"), (5, other + " x", "d"), (None, "", "e"), (None, None, "f")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, _id string").withColumns({c: F.lit(1) for c in ("_h", "id", "x", "row", "h", "uid", "d1", "label", "g", "kept", "n")}).repartition(2)
+    out = neardup.deduplicated(table)
+    assert out.columns == table.columns
+    assert sorted((r["doc_id"] or 0, r["_id"]) for r in out.collect()) in ([(0, v), (0, "e"), (0, "f"), (4, "c")] for v in "ab") or sorted((r["doc_id"] or 0, r["_id"]) for r in out.collect()) == [(0, "b"), (0, "e"), (0, "f"), (4, "c")]
+
+
 def test_residual_blocks_find_links_that_no_star_has(spark):
     rng = random.Random(3)
     base = [f"w{rng.randrange(10**6)}" for _ in range(120)]

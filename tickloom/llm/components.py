@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import let_go, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,7 +31,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = written(edges, "cc")
     last = None
     while True:
-        edges = written(_star(_star(edges, True), False), "cc")
+        before, edges = edges, written(_star(_star(edges, True), False), "cc")
+        let_go(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break

@@ -6,14 +6,17 @@
 2. Texts with equal sets are one class from here on. Buckets with one class are dropped.
 3. In each bucket one class, that which meets most others over all its buckets, is the centre; the edges of this star are
    confirmed on full sets and joined to components. That settles the large groups at a cost linear in their size.
-4. A bucket that still holds different components may hide a link that no centre had part in. Its members' signatures are
-   compared, in blocks, between different components only; the pairs near enough are confirmed on full sets and joined too.
-   So every pair that shares a bucket is confirmed, refuted, or already in one component, and none is written out unless its
-   signatures agree in nearly the share of bins that a link has.
+4. A bucket that still holds different components may hide a link that no centre had part in. Its members' full sets meet in one
+   task, or, by blocks of BLOCK_BYTES, in as many as it has pairs of blocks; buckets of the same members meet once. There
+   members of different components are compared by what is rare: two sets that are similar enough share one of their rarest
+   n - ceil(n * percent / 100) + 1 shingles, so nothing else need be looked at, and nothing is left out. A pair found joins its
+   components at once, so a task writes at most one link less than it has members, however many pairs are similar.
+So every pair that shares a bucket is confirmed, refuted, or already in one component.
 
 Defined results: texts are whole. A null or blank text has an empty set, links with nothing and is its own component. Equal
 texts, repeated rows and repeated ids fall in one class; component_id is the least doc_id reachable (null ids count only
-where nothing else is there). Columns beside the id and the text are not read. An empty table gives no rows.
+where nothing else is there). Columns beside the id and the text are not read. An empty table gives no rows. Of a group without
+any id one row stays in ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -35,10 +38,8 @@ ROWS = 7
 BANDS = 64
 BINS = ROWS * BANDS
 BROADCAST_ROWS = 1_000_000
-#: A task compares the members of two such blocks of a bucket at most.
-BLOCK = 1024
-#: Signatures that agree in so many percent of bins less than the threshold still go to confirmation (5 standard errors).
-MARGIN = 10
+#: A task compares the members of two blocks of a bucket at most, each of about so many bytes of sets.
+BLOCK_BYTES = 8 << 20
 
 
 @lru_cache(maxsize=1)
@@ -95,8 +96,7 @@ def _packed(k: int):  # noqa: ANN202
         for batch in batches:
             for i, j, data, offsets in K.chunks(batch.column(1)):
                 sets = K.shingles(*K.word_hashes(data, offsets), k)
-                sigs = [(signature(s) >> K.U(8)).astype(np.uint8).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(sigs, pa.binary())], ["cid", "shingles", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "shingles"])
 
     return run
 
@@ -117,45 +117,64 @@ def _confirmed(percent: int):  # noqa: ANN202
 
 
 def _sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(cid, shingles, sig) of each node: the packed set of one of its texts, and a byte of each of its bins."""
+    """(cid, shingles) of each node: the packed set of one of its texts."""
     reps = written(rows.select("uid", "doc_id", "h").join(nodes.select("cid"), F.col("uid") == F.col("cid")).select("cid", F.col("doc_id").alias("rep"), F.col("h").alias("rep_h")), "reps")
     n = reps.count()
     # a few tens of MB at most go to every executor; beyond that the texts are shuffled to their keys
     side = F.broadcast(reps) if n <= BROADCAST_ROWS else reps
     texts = docs.join(side, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rep_h"))).select("cid", "text")
-    sets = written(texts.mapInArrow(_packed(k), "cid bigint, shingles binary, sig binary"), "sets", compression="none")
+    sets = written(texts.mapInArrow(_packed(k), "cid bigint, shingles binary"), "sets", compression="none")
     if sets.count() != n:  # rows that are repeated as a whole
         sets = written(sets.dropDuplicates(["cid"]), "sets")
     return sets
 
 
-def _near(percent: int):  # noqa: ANN202
-    """Of two blocks of a bucket, the pairs of different components whose signatures are near enough to be worth confirming."""
+def spanning(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Links (positions) that join all components which similar sets connect; with side only between its two values."""
+    size = np.array([len(s) for s in sets])
+    order = np.argsort(size, kind="stable")
+    size, comp = size[order], np.unique(label, return_inverse=True)[1][order]
+    side = None if side is None else side[order]
+    owner, begin = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+    _, token, count = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    token = rank[token]
+    token = token[np.lexsort((token, owner))]  # of each set the rarest first
+    prefix = size - (percent * size + 99) // 100 + 1
+    first = np.arange(len(token)) - begin[owner] < prefix[owner]
+    listed = np.lexsort((owner[first], token[first]))
+    posted, at = owner[first][listed], np.searchsorted(token[first][listed], np.arange(len(count) + 1))
+    mark, out = np.zeros(len(count), bool), []
+    for x in range(len(size)):
+        t = token[begin[x] : begin[x] + prefix[x]]
+        n = at[t + 1] - at[t]
+        y = np.unique(posted[np.repeat(at[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        y = y[(y > x) & (100 * size[x] >= percent * size[y])]
+        y = y if side is None else y[side[y] != side[x]]
+        mine = token[begin[x] : begin[x] + size[x]]
+        mark[mine] = True
+        while len(y := y[comp[y] != comp[x]]):
+            now, y = y[:64], y[64:]
+            length = size[now]
+            ends = np.cumsum(length) - length
+            common = np.add.reduceat(mark[token[np.repeat(begin[now] - ends, length) + np.arange(length.sum())]].astype(np.int64), ends)
+            for v in now[100 * common >= percent * (size[x] + length - common)]:
+                if comp[v] != comp[x]:
+                    comp[comp == comp[v]] = comp[x]
+                    out.append((int(order[x]), int(order[v])))
+        mark[mine] = False
+    return out
+
+
+def _spanned(percent: int):  # noqa: ANN202
+    """Of two blocks of a bucket, the links that similar sets of different components need."""
 
     def run(table: pa.Table) -> pa.Table:
-        label = table["label"].to_numpy()
-        order = np.argsort(label, kind="stable")
-        label = label[order]
-        cid, n, own = (table[c].to_numpy()[order] for c in ("cid", "n", "own"))
-        sig = np.frombuffer(b"".join(v.as_py() for v in table["sig"]), np.uint8).reshape(-1, BINS)[order]
-        band, lists = table["band"][0].as_py(), table["shares"].to_pylist()
-        shares = [frozenset(lists[v]) for v in order]
+        cid, label, own = (table[c].to_numpy() for c in ("cid", "label", "own"))
         across = table["i"][0].as_py() != table["j"][0].as_py()
-        end = np.searchsorted(label, label, "right")
-        a, b = [], []
-        for x in range(len(cid)):
-            y = np.arange(end[x], len(cid))
-            ok = 100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])
-            if across:
-                ok &= own[y] != own[x]
-            y = y[ok]
-            if len(y):
-                y = y[(sig[y] == sig[x]).sum(axis=1) * 100 >= (percent - MARGIN) * BINS]
-                # of the buckets that two share, the first one writes them out
-                y = y[[min(shares[x] & shares[v]) == band for v in y]] if len(y) else y
-                a.append(np.full(len(y), cid[x]))
-                b.append(cid[y])
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+        links = spanning([np.frombuffer(v.as_buffer(), K.U) for v in table["shingles"]], label, own if across else None, percent)
+        a, b = (cid[[x[i] for x in links]] if links else np.zeros(0, np.int64) for i in (0, 1))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
@@ -194,38 +213,43 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     links = _confirm(edges, sets, percent)
     labels = written(components(links, "a", "b"), "labels")
 
-    # what the stars left: buckets that still hold different components
+    # what the stars left: buckets that still hold different components; of buckets with the same members one is enough
     tagged = members.join(labels, members["cid"] == labels["node"], "left").select("band", "cid", "n", F.coalesce("label", "cid").alias("label"))
-    mixed = tagged.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    left = written(tagged.join(mixed, "band"), "left")
-    held = left.groupBy("cid").agg(F.collect_set("band").alias("shares"))
-    left = left.join(held.join(sets.select("cid", "sig"), "cid"), "cid")
+    tagged = written(tagged, "tagged")
+    alike = F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64(F.col("cid") * 31 + 7)).alias("y"), F.count("*").alias("size")
+    mixed = tagged.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("n"), *alike).where("lo < hi")
+    mixed = mixed.groupBy("x", "y", "size").agg(F.min("band").alias("band"), F.max(F.ceil(F.col("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     # a bucket of many blocks is dealt out as pairs of blocks, so that no task holds more than two
-    left = left.withColumn("own", own).select("band", "cid", "n", "label", "sig", "shares", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    left = left.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "n", "label", "sig", "shares", "own")
-    near = left.groupBy("band", "i", "j").applyInArrow(_near(percent), "a bigint, b bigint")
-    more = _confirm(near, sets, percent)
+    left = tagged.join(mixed.select("band", "blocks"), "band").withColumn("own", own).select("band", "cid", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    left = left.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "label", "own").join(sets, "cid")
+    more = written(left.groupBy("band", "i", "j").applyInArrow(_spanned(percent), "a bigint, b bigint"), "more")
     labels = written(components(links.union(more), "a", "b"), "labels")
 
     named = classes.join(labels, classes["cid"] == labels["node"], "left").select("d1", "d2", "root", F.coalesce("label", "cid").alias("label"))
     least = named.groupBy("label").agg(F.min("root").alias("component_id"))
-    named = named.join(least, "label").select("d1", "d2", "component_id")
-    out = rows.select("doc_id", "h", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
+    named = named.join(least, "label").select("d1", "d2", "component_id", "label")
+    out = rows.select("doc_id", "h", "n_shingles", "d1", "d2", "uid").join(named, ["d1", "d2"], "left")
     component = F.when(F.col("d1").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "h", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
-    return out if with_hash else out.drop("h")
+    out = out.select("doc_id", "h", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "uid", F.coalesce("label", "uid").alias("label"))
+    return out if with_hash else out.drop("h", "uid", "label")
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, with docs' own columns; of rows repeated as a whole one stays, and rows without an id stay."""
-    found = written(near_duplicates(docs, k, percent, with_hash=True).select("doc_id", "h", "kept"), "kept")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    gone = written(gone, "gone")
+    """One document of each group, with docs' own columns whatever their names; of rows repeated as a whole one stays."""
+    found = written(near_duplicates(docs, k, percent, with_hash=True), "kept")
+    # a group without any id: the first of its rows
+    firsts = found.where("kept AND doc_id IS NULL").groupBy("label").agg(F.min("uid").alias("first"))
+    found = found.join(firsts, "label", "left").withColumn("stays", F.col("kept") & (F.col("doc_id").isNotNull() | F.col("uid").eqNullSafe(F.col("first"))))
+    each = written(found.groupBy("doc_id", "h").agg(F.max("stays").alias("stays"), F.count("*").alias("n")), "each")
+    gone = each.where(~F.col("stays")).select("doc_id", "h")
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    out = docs.join(side, (F.col("doc_id") == F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_h")), "left_anti")
-    again = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1")
-    return out if again.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    # docs' columns travel as one, so that none of their names can clash
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("x")).alias("d")
+    out = d.join(side.alias("g"), F.col("d.id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.x") == F.col("g.h")), "left_anti")
+    if not each.where("stays AND n > 1").isEmpty():
+        out = out.dropDuplicates(["id", "x"])
+    return out.select("row.*")
 
 
 def query(spark, sf_dir):  # noqa: ANN001, ANN201
