@@ -447,9 +447,7 @@ def test_shard_keys_sort_as_ids():
     assert keys == sorted(keys) and [sstable.id_of(k) for k in keys] == ids
 
 
-@pytest.mark.parametrize("length", [200, 60])
-def test_repeats(spark, docs, rows, length):
-    got = repeats.without_repeats(docs, length=length, gram=16).collect()
+def plain_repeats(rows, length):
     raws = [(r[0], (r[1] or "").encode()) for r in rows]
     seen = collections.Counter(b[i : i + length] for _, b in raws for i in range(len(b) - length + 1))
     want = []
@@ -460,10 +458,41 @@ def test_repeats(spark, docs, rows, length):
                 mark[p : p + length] = b"\1" * length
         left = bytes(x for x, m in zip(b, mark, strict=True) if not m)
         want.append((i, len(b), sum(mark), len(re.findall(b"\1+", bytes(mark))), hashlib.sha256(left).hexdigest()))
-    same(got, want)
+    return want
+
+
+@pytest.mark.parametrize("length", [200, 60])
+def test_repeats(spark, docs, rows, length):
+    got = repeats.without_repeats(docs, length=length, gram=16).collect()
+    same(got, plain_repeats(rows, length))
     assert sum(r["n_removed"] for r in got) > 0 and repeats.without_repeats(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 10**9])
+def test_repeats_of_a_passage_that_many_texts_share(spark, monkeypatch, hot):
+    """Borders of shared passages, copies, near copies, a text that repeats itself; triggers sorted in one task and not."""
+    rng = random.Random(12)
+    passages, base = [prose(rng, n) for n in (30, 50, 90)], prose(rng, 120)
+    texts = [f"{prose(rng, rng.randrange(40))} {rng.choice(passages)} {prose(rng, rng.randrange(40))}" for _ in range(60)]
+    texts += [base] * 5 + [base[:p] + "#" + base[p + 1 :] for p in range(50, 500, 45)] + ["ab " * 300, prose(rng, 20) * 3]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    monkeypatch.setattr(repeats, "HOT", hot)
+    same(repeats.without_repeats(spark.createDataFrame(rows, COLUMNS).repartition(5), gram=24).collect(), plain_repeats(rows, 200))
+
+
+def test_very_long_texts_are_read_in_parts(monkeypatch):
+    rng = random.Random(3)
+    text = prose(rng, 3000)
+    data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
+    whole = kernels.word_hashes(data, offsets)[0]
+    full = repeats.phrases(data, offsets, 200, 48)
+    monkeypatch.setattr(kernels, "CHUNK_BYTES", 500)
+    assert (kernels.word_hashes(data, offsets)[0] == whole).all()
+    text_, g, _, a, b = repeats.phrases(data, offsets, 200, 48)
+    spread = lambda g, a, b: [(t, w) for t, x, y in zip(g.tolist(), a.tolist(), b.tolist(), strict=True) for w in range(x, y + 1)]
+    assert not text_.any() and sorted(spread(g, a, b)) == sorted(spread(full[1], full[3], full[4]))
+
+
 def test_pipeline(spark, docs, rows, tmp_path):
     import corpus_pipeline
 

@@ -16,7 +16,7 @@ U = np.uint64
 GOLD = 0x9E3779B97F4A7C15
 BASE = 0xD6E8FEB86659FD93
 INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -102,9 +102,13 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word, and of each text the index of its first word (and one more at the end)."""
     starts, ends, at = word_spans(data, offsets)
-    if not len(starts):
-        return np.zeros(0, U), at
-    return span_hash(prefix_hash(LOWER[data] if lower else data), starts, ends), at
+    out, i = np.zeros(len(starts), U), 0
+    while i < len(starts):  # a very long text in parts, so that memory is bounded by its words
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK_BYTES, "right")))
+        part = data[starts[i] : ends[j - 1]]
+        out[i:j] = span_hash(prefix_hash(LOWER[part] if lower else part), starts[i:j] - starts[i], ends[i:j] - starts[i])
+        i = j
+    return out, at
 
 
 def shingles(hashes: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:

@@ -2,17 +2,21 @@
 
 1. Parse. A rolling hash over GRAM bytes chooses triggers: in each window of LENGTH bytes, the least hash (the last of equals).
    A trigger depends on the window's bytes alone, so equal windows have equal triggers at the same place, wherever they stand.
-   Windows with one trigger are neighbours and form a phrase: trigger, first and last window.
-2. Dictionary. Phrases are counted by trigger. Where a trigger stands once, none of its windows can repeat, and that is all
-   there is to say about most of a corpus.
-3. Order. For the other phrases their bytes go to the trigger's partition, where all windows of all phrases are sorted by
-   fingerprint at once; equal neighbours are repeats. Only equality classes matter for the rule, so windows are sorted by a
-   64-bit fingerprint of their bytes in place of their suffix rank; the classes are those a suffix array would give.
+   Windows with one trigger are neighbours and form a phrase: trigger, first and last window. Phrases overlap by LENGTH - 1 bytes.
+2. Dictionary. Phrases are counted by trigger and digest of their bytes, summed before they are shuffled, so thousands of copies
+   are one entry. An entry that stands twice is repeated from end to end, and where a trigger stands once, none of its windows
+   can repeat: for both that is all there is to say, and no byte of them is looked at again.
+3. Order. Other entries stand once, but another entry has their trigger. The bytes of such a trigger's entries, once each, meet in
+   one task, which builds their suffix array up to LENGTH bytes by doubling: ranks of 8 bytes, of 16, of 32 and so on, each
+   from pairs of the last. Windows of equal rank are equal byte by byte. As phrases overlap, no window crosses from
+   one to the next, so the order of the parse itself is never needed.
+   A trigger with more than HOT entries (the border of a passage that very many texts share) isn't sorted in one task: its
+   windows are counted by fingerprint, each with its trigger, and meet only windows equal to them.
 4. Repeated windows go back to their documents as byte ranges and are cut out there.
 
 Defined results: a null text is empty; texts shorter than LENGTH keep all. Matches never cross texts. Repeated rows are
 elsewhere to one another, so both lose their bytes. Null ids and clashing columns do no harm: rows are named by id and hash
-of the text, and nothing else is read. An empty table gives no rows. Texts of any length are judged whole, in one go.
+of the text, and nothing else is read. An empty table gives no rows. Texts of any length are judged whole.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,17 +36,22 @@ from .shared import partitions, written
 LENGTH = 200
 GRAM = 48
 #: Bytes of phrases that one task sorts, about.
-TASK_BYTES = 24 << 20
+TASK_BYTES = 4 << 20
+#: Entries of a trigger that meet in one task at most.
+HOT = 10_000
 
 
-def phrases(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, trigger hash, first window, last window) of each phrase; windows are counted from the text's first byte."""
+def phrases(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, trigger hash, digest, first window, last window) of each phrase; windows are counted from the text's first byte."""
     sizes = np.diff(offsets)
+    if len(sizes) == 1 and sizes[0] > 2 * K.CHUNK_BYTES:  # a very long text in parts: each window is in one of them
+        parts = [(s, phrases(part := data[s : s + K.CHUNK_BYTES + length - 1], np.array([0, len(part)]), length, gram)) for s in range(0, int(sizes[0]), K.CHUNK_BYTES)]
+        return tuple(np.concatenate([p[c] + (s if c > 2 else 0) for s, p in parts]) for c in range(5))
     counts = np.maximum(sizes - (length - 1), 0)
     total = int(counts.sum())
     if not total:
         z = np.zeros(0, np.int64)
-        return z, z, z, z
+        return z, z, z, z, z
     prefix = K.prefix_hash(data)
     at = np.arange(len(data) - gram + 1)
     grams = K.span_hash(prefix, at, at + gram)
@@ -58,21 +68,28 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     new = np.r_[True, (trigger[1:] != trigger[:-1]) | (text[1:] != text[:-1])]
     first = np.flatnonzero(new)
     last = np.r_[first[1:], total] - 1
-    return text[first], grams[trigger[first]].view(np.int64), local[first], local[last]
+    begin = offsets[text[first]]
+    digest = K.span_hash(prefix, begin + local[first], begin + local[last] + length)
+    return text[first], grams[trigger[first]].view(np.int64), digest.view(np.int64), local[first], local[last]
 
 
 def _parsed(length: int, gram: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for i, _, data, offsets in K.chunks(batch.column(2)):
-                text, g, a, b = phrases(data, offsets, length, gram)
-                rows = pa.array(text + i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(g), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["doc_id", "h", "g", "first", "last"])
+            for i, j, data, offsets in K.chunks(batch.column(2)):
+                text, g, d, a, b = phrases(data, offsets, length, gram)
+                ends = np.searchsorted(text, np.arange(j - i + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (g, d, a.astype(np.int32), b.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(np.arange(made, made + j - i)), *lists], ["doc_id", "h", "uid", "g", "d", "first", "last"])
+                made += j - i
 
     return run
 
 
-def _phrase_bytes(length: int):  # noqa: ANN202
+def _pieces(length: int):  # noqa: ANN202
+    """The bytes of the entries that a row is to hand in."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
@@ -80,43 +97,80 @@ def _phrase_bytes(length: int):  # noqa: ANN202
                 if found is None or not len(found):
                     continue
                 raw = batch.column(2)[r].as_py().encode()
-                g, a, b = (found.field(n) for n in ("g", "first", "last"))
+                g, a, b, once, hot = (found.field(n) for n in ("g", "first", "last", "once", "hot"))
                 pieces = [raw[x : y + length] for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
                 rows = pa.array(np.full(len(found), r))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), g, a, pa.array(pieces, pa.binary())], ["doc_id", "h", "g", "first", "bytes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), g, a, once, hot, pa.array(pieces, pa.binary())], ["doc_id", "h", "g", "first", "once", "hot", "bytes"])
 
     return run
 
 
-def _sorted(length: int):  # noqa: ANN202
+PIECES = "doc_id bigint, h bigint, g bigint, first int, once boolean, hot boolean, bytes binary"
+
+
+def window_classes(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
+    """Of every window of every piece, in order, its rank among all, by their bytes: a suffix array that looks length bytes far.
+
+    length is 8 bytes at least.
+    """
+    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
+    at = np.flatnonzero(left >= 8)
+    rank = np.full(len(data), -1, np.int64)
+    wide = np.lib.stride_tricks.sliding_window_view(data, 8)[at]
+    rank[at] = np.unique(np.ascontiguousarray(wide).view(">u8").ravel(), return_inverse=True)[1]
+    step = 8
+    while step < length:
+        shift = min(step, length - step)
+        at = np.flatnonzero(left >= step + shift)
+        pair = rank[at] * len(data) + rank[at + shift]
+        rank = np.full(len(data), -1, np.int64)
+        rank[at] = np.unique(pair, return_inverse=True)[1]
+        step += shift
+    return rank[left >= length]
+
+
+def _runs(batch: pa.RecordBatch, again: np.ndarray, length: int) -> pa.RecordBatch:
+    """Ranges of bytes under windows that stand again, of entries that stand once."""
+    sizes = np.array([len(v) for v in batch.column("bytes").cast(pa.large_binary()).to_pylist()], np.int64) - (length - 1)
+    row = np.repeat(np.arange(batch.num_rows), sizes)
+    again = again & batch.column("once").to_numpy(zero_copy_only=False)[row]
+    window = np.arange(len(again)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + batch.column("first").to_numpy().astype(np.int64)[row]
+    edge = np.r_[True, row[1:] != row[:-1]]
+    start = np.flatnonzero(again & (edge | ~np.r_[False, again[:-1]]))
+    end = np.flatnonzero(again & (np.r_[edge[1:], True] | ~np.r_[again[1:], False]))
+    rows = pa.array(row[start])
+    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("h").take(rows), pa.array(window[start]), pa.array(window[end] + length)], ["doc_id", "h", "start", "end"])
+
+
+def _ordered(length: int):  # noqa: ANN202
+    """All entries of some triggers: suffix array, and what of them is repeated."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        marks = []
-        for b in held:  # a fingerprint for every window
-            for _, _, data, offsets in K.chunks(b.column(4)):
+        table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        raw = table.column("bytes").to_pylist()
+        offsets = np.r_[0, np.cumsum([len(v) for v in raw])]
+        rank = window_classes(np.frombuffer(b"".join(raw), np.uint8), offsets, length)
+        yield _runs(table, np.bincount(rank)[rank] > 1, length)
+
+    return run
+
+
+def _windows(length: int):  # noqa: ANN202
+    """A row for each window of an entry, with its fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in K.chunks(batch.column("bytes"), 1 << 20):
                 n = np.diff(offsets) - (length - 1)
-                begin = np.repeat(offsets[:-1] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                marks.append(K.span_hash(K.prefix_hash(data), begin, begin + length))
-        mark = np.concatenate(marks)
-        order = np.argsort(mark)
-        ranked = mark[order]
-        same = ranked[1:] == ranked[:-1]
-        again = np.zeros(len(mark), bool)
-        again[order] = np.r_[same, False] | np.r_[False, same]
-        at = 0
-        for b in held:
-            sizes = np.diff(np.frombuffer(b.column(4).buffers()[1], np.int32)[b.column(4).offset : b.column(4).offset + b.num_rows + 1]).astype(np.int64) - (length - 1)
-            mine = again[at : at + int(sizes.sum())]
-            at += int(sizes.sum())
-            row = np.repeat(np.arange(b.num_rows), sizes)
-            window = np.arange(len(mine)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(b.column(3).to_numpy().astype(np.int64), sizes)
-            edge = np.r_[True, row[1:] != row[:-1]]
-            start = np.flatnonzero(mine & (edge | ~np.r_[False, mine[:-1]]))
-            end = np.flatnonzero(mine & (np.r_[edge[1:], True] | ~np.r_[mine[1:], False]))
-            rows = pa.array(row[start])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(window[start]), pa.array(window[end] + length)], ["doc_id", "h", "start", "end"])
+                row = np.repeat(np.arange(j - i), n)
+                begin = offsets[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                mark = K.span_hash(K.prefix_hash(data), begin, begin + length).view(np.int64)
+                rows = pa.array(row + i)
+                start = pa.array(begin - offsets[:-1][row] + batch.column("first").to_numpy().astype(np.int64)[row + i])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), batch.column("once").take(rows), pa.array(mark), start], ["doc_id", "h", "g", "once", "mark", "start"])
 
     return run
 
@@ -131,12 +185,13 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(keep_text: bool):  # noqa: ANN202
+def _cut(keep_text: bool, length: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 raw = (batch.column(2)[r].as_py() or "").encode()
-                spans = _merged([(s["start"], s["end"]) for s in batch.column(3)[r].as_py() or []])
+                whole = [(s["first"], s["last"] + length) for s in batch.column(3)[r].as_py() or []]
+                spans = _merged(whole + [(s["start"], s["end"]) for s in batch.column(4)[r].as_py() or []])
                 kept, at = [], 0
                 for a, b in spans:
                     kept.append(raw[at:a])
@@ -159,21 +214,40 @@ def _same_row(a: str, b: str):  # noqa: ANN202
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row; with keep_text the bytes kept and the spans removed too."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("h"), "text")
-    parsed = written(docs.mapInArrow(_parsed(length, gram), "doc_id bigint, h bigint, g bigint, first int, last int"), "parsed")
-    # a table of its own: then the join deals out both sides itself and can split a trigger that many texts share
-    again = written(parsed.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "again")
-    found = parsed.join(again, "g").groupBy("doc_id", "h").agg(F.collect_set(F.struct("g", "first", "last")).alias("found"), F.sum(F.col("last") - F.col("first") + length).alias("size"))
+    parsed = written(docs.mapInArrow(_parsed(length, gram), "doc_id bigint, h bigint, uid bigint, g array<bigint>, d array<bigint>, first array<int>, last array<int>"), "parsed")
+    entries = parsed.select("uid", F.inline(F.arrays_zip("g", "d"))).groupBy("g", "d").agg(F.count("*").alias("n"), F.min("uid").alias("from"))
+    entries = written(entries, "entries")
+    of = entries.groupBy("g").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.min("n").alias("least")).where("total > 1")
+    known = written(entries.join(of, "g").select("g", "d", "n", "from", ((F.col("kinds") > 1) & (F.col("least") == 1)).alias("sorted"), (F.col("kinds") > HOT).alias("hot")), "dictionary")
+    each = parsed.select("doc_id", "h", "uid", F.inline(F.arrays_zip("g", "d", "first", "last"))).join(known, ["g", "d"])
+    # what stands twice is gone as a whole; what is to be sorted is handed in by the first row that has it
+    handed = F.col("sorted") & (F.col("uid") == F.col("from"))
+    found = each.groupBy("doc_id", "h").agg(
+        F.collect_set(F.when(F.col("n") > 1, F.struct("first", "last"))).alias("whole"),
+        F.collect_set(F.when(handed, F.struct("g", "first", "last", (F.col("n") == 1).alias("once"), "hot"))).alias("found"),
+        F.sum(F.when(handed, F.col("last") - F.col("first") + length).otherwise(0)).alias("size"),
+    )
     found = written(found, "found")
     size = found.agg(F.sum("size")).first()[0] or 0
     tasks = max(partitions(docs.sparkSession), -(-size // TASK_BYTES))
     d, f = docs.alias("d"), found.alias("f")
     # left, like the join at the end, so that the texts are dealt out once for both
-    pieces = d.join(f, _same_row("d", "f"), "left").select("d.doc_id", "d.h", "d.text", "f.found").mapInArrow(_phrase_bytes(length), "doc_id bigint, h bigint, g bigint, first int, bytes binary")
-    ranges = pieces.repartition(tasks, "g").mapInArrow(_sorted(length), "doc_id bigint, h bigint, start bigint, end bigint")
+    texts = d.join(f, _same_row("d", "f"), "left").select("d.doc_id", "d.h", "d.text", "f.found", "f.whole")
+    pieces = texts.select("doc_id", "h", "text", "found").mapInArrow(_pieces(length), PIECES)
+    if not known.where("hot AND sorted").isEmpty():
+        pieces = written(pieces, "pieces")
+        windows = written(pieces.where("hot").mapInArrow(_windows(length), "doc_id bigint, h bigint, g bigint, once boolean, mark bigint, start bigint"), "windows")
+        twice = windows.groupBy("g", "mark").agg(F.count("*").alias("n")).where("n > 1").select("g", "mark")
+        hot = windows.where("once").join(written(twice, "twice"), ["g", "mark"], "left_semi").select("doc_id", "h", "start", (F.col("start") + length).alias("end"))
+        pieces = pieces.where("NOT hot")
+    else:
+        hot = None
+    ranges = pieces.repartition(tasks, "g").mapInArrow(_ordered(length), "doc_id bigint, h bigint, start bigint, end bigint")
+    ranges = ranges if hot is None else ranges.unionByName(hot)
     ranges = ranges.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     kind = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary, spans array<struct<start: bigint, end: bigint>>" if keep_text else "")
-    r = ranges.alias("r")
-    return d.join(r, _same_row("d", "r"), "left").select("d.doc_id", "d.h", "d.text", "r.spans").select("doc_id", "h", "text", "spans").mapInArrow(_cut(keep_text), kind)
+    t, r = texts.alias("t"), ranges.alias("r")
+    return t.join(r, _same_row("t", "r"), "left").select("t.doc_id", "t.text", "t.h", "t.whole", "r.spans").select("doc_id", "h", "text", "whole", "spans").mapInArrow(_cut(keep_text, length), kind)
 
 
 def query(spark, sf_dir):  # noqa: ANN001, ANN201

@@ -137,11 +137,16 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     made = TaskContext.get().partitionId() << 32
     for batch in batches:
         train = batch.column(2).to_numpy(zero_copy_only=False)
-        for i, j, data, offsets in K.chunks(batch.column(1), BLOCK_BYTES):
-            sym, at = symbols(data, offsets)
-            words, codes = np.unique(sym, return_inverse=True)
-            yield _packed([(made, batch.column(0).slice(i, j - i).to_pylist(), *map(_zip, (train[i:j], at.astype(np.int64), words, codes.astype(np.int32))), len(sym))], FIXED)
-            made += 1
+        begin, size, parts = 0, 0, []
+        for _, j, data, offsets in K.chunks(batch.column(1)):
+            parts.append(symbols(data, offsets))
+            size += len(data)
+            if size >= BLOCK_BYTES or j == batch.num_rows:
+                sizes = np.concatenate([np.diff(at) for _, at in parts])
+                words, codes = np.unique(np.concatenate([sym for sym, _ in parts]), return_inverse=True)
+                arrays = (train[begin:j], np.r_[0, np.cumsum(sizes)].astype(np.int64), words, codes.astype(np.int32))
+                yield _packed([(made, batch.column(0).slice(begin, j - begin).to_pylist(), *map(_zip, arrays), len(codes))], FIXED)
+                made, begin, size, parts = made + 1, j, 0, []
 
 
 def root_logs(counts: np.ndarray, total: int, distinct: int) -> np.ndarray:
