@@ -10,7 +10,7 @@ the one slice of each source in which the target ends is ordered document by doc
 
 Defined results: size is the number of words; a null or blank text has size 0 and is never needed for a target. Null is a
 source of its own, after all others. The order is by md5 of seed and id, then id, then size, so reruns agree; repeated rows
-share a place and are taken one after another. Other columns are carried, but for those named here. An empty table gives an
+share a place and are taken one after another. Other columns are carried, whatever their names. An empty table gives an
 empty mix; a source of size 0 has target 0.
 """
 
@@ -81,13 +81,27 @@ def mixed(docs: DataFrame, source: str = "source", text: str = "text", id_col: s
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
-    """The mix itself: each document as often as it is taken, with docs' own columns."""
-    plan = mixed(docs, **options).where("repeats > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("h").alias("_h")).agg(F.max("repeats").alias("_n"))
-    plan = written(plan, "repeats")
-    side = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_s")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_h"))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(side, same).select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_k")).select(*own)
+    """The mix itself: each document as often as it is taken, with docs' own columns whatever their names.
+
+    Rows that agree in id, source and text are numbered, and take the places that the plan has for them in its order.
+    """
+    same = Window.partitionBy("doc_id", "source", "h")
+    plan = written(mixed(docs, **options).select("doc_id", "source", "h", "repeats"), "repeats")
+    each = plan.groupBy("doc_id", "source", "h").agg(F.count("*").alias("rows"), F.sum("repeats").alias("n")).where("n > 0")
+    each = written(each, "taken")
+    # docs' columns travel as one, so that none of their names can clash
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("i"), F.col("source").alias("s"), F.xxhash64(F.col("text").cast("string")).alias("x")).alias("d")
+    side = F.broadcast(each) if each.count() <= BROADCAST_ROWS else each
+    p = side.alias("p")
+    both = d.join(p, F.col("d.i").eqNullSafe(F.col("p.doc_id")) & F.col("d.s").eqNullSafe(F.col("p.source")) & (F.col("d.x") == F.col("p.h"))).select("d.row", "p.rows", "p.n", "p.doc_id", "p.source", "p.h")
+    if each.where("rows > 1").isEmpty():
+        taken = both
+    else:
+        # n copies are dealt out over that many equal rows: the first n % rows of them take one more
+        nth = F.row_number().over(same.orderBy(F.to_json("row")))
+        many = both.where("rows > 1").withColumn("n", F.floor(F.col("n") / F.col("rows")) + (nth <= F.col("n") % F.col("rows")).cast("long"))
+        taken = both.where("rows = 1").unionByName(many.where("n > 0"))
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k")).select("row.*")
 
 
 def query(spark, sf_dir):  # noqa: ANN001, ANN201

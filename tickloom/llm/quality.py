@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import words
+from .shared import words, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -46,10 +46,10 @@ CURRENT = "v3"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the measurements as long columns."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    df = docs.drop(*MEASURES).withColumn("_w", words(F.col(text)))
+def _measured(texts: DataFrame) -> DataFrame:
+    """(row, text) with the measurements as long columns; a row's own columns travel as one, so that no name can clash."""
+    t = F.coalesce("text", F.lit(""))
+    df = texts.withColumn("_w", words(F.col("text")))
     df = df.withColumn("n_words", F.size("_w").cast("long")).withColumn(
         "_g", F.when(F.col("n_words") < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), (F.col("n_words") - 2).cast("int")), lambda i: F.xxhash64(F.get("_w", i - 1), F.get("_w", i), F.get("_w", i + 1))))
     )
@@ -66,12 +66,20 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.drop("_l")
 
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the measurements and ``failed_rules``, a bit for each rule that the document fails."""
+def _ledger(docs: DataFrame, text: str) -> DataFrame:
+    """(row, text, measurements, failed_rules)."""
     mask = F.lit(0).cast("long")
     for name, failed in rules().items():
         mask = mask.bitwiseOR(F.when(failed, F.lit(BITS[name])).otherwise(F.lit(0)).cast("long"))
-    return measured(docs, text).withColumn("failed_rules", mask)
+    texts = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+    return _measured(texts).withColumn("failed_rules", mask)
+
+
+def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with the measurements and ``failed_rules``, a bit for each rule that the document fails."""
+    named = (*MEASURES, "failed_rules")
+    own = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in named]
+    return _ledger(docs, text).select(*own, *named)
 
 
 def kept_by(policy: str = CURRENT) -> Column:
@@ -90,13 +98,9 @@ def ablations(rows: DataFrame) -> DataFrame:
 
 
 def filtered(docs: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
-    """The documents that a policy keeps, with docs' own columns."""
-    own = docs.columns
-    tagged = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in own]))
-    rows = ledger(tagged.select("_row", F.col(f"_row.`{text}`").alias("_text")), "_text").withColumn("_keep", kept_by(policy))
-    # A filter is pushed below projections by writing their expressions into it, which would evaluate every rule's whole
-    # chain once for each array element; it isn't where a projection has a random column. Any value of it passes.
-    return rows.withColumn("_any", F.rand()).where(F.col("_keep") & (F.col("_any") >= 0)).select("_row.*")
+    """The documents that a policy keeps, with docs' own columns whatever their names: a ledger is written, then the policy applied."""
+    rows = written(_ledger(docs, text).select("row", "failed_rules"), "ledger")
+    return rows.where(kept_by(policy)).select("row.*")
 
 
 def query(spark, sf_dir):  # noqa: ANN001, ANN201
