@@ -36,29 +36,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import bucketed, let_go, partitions, written
+from .shared import bucketed, let_go, written
 
 MIN_COUNT = 4
 RATIO = 1.5
 PRIOR = 24.0
 FOLDS, HELD_OUT = 5, 1
-#: A partition answers for so many symbols, about; a block holds so many bytes of text.
+#: A partition answers for so many symbols, about; a block holds so many bytes of text, and a bucket of blocks so many.
 TASK_SYMBOLS = 2_000_000
 BLOCK_BYTES = 4 << 20
+BUCKET_BYTES = 48 << 20
 HOT, HOT_PART = TASK_SYMBOLS // 4, 100_000
 END = K.mix(np.array([77], K.U))[0]
 STEP = K.PLACE[0]
 
 #: words: distinct symbols of the block; codes: each position's place among them; at: where texts begin.
-FIXED = "block bigint, doc_id array<bigint>, train binary, at binary, words binary, codes binary, size bigint"
-#: counts: of each of words; active: a bit for each position that asks at the next level, how many, their present scores and how often
-#: their contexts stand (-1: not known; from level 2 on, before that both follow from counts); done: what the others of a text sum to.
-STATE = "block bigint, counts binary, active binary, asking bigint, q binary, stands binary, done binary"
-#: c: distinct contexts, how many rows each has and how often it stands; w: distinct symbols; place: that of each row among them;
-#: n: of each row; q: of each row, at level 1 of each of w.
-ASKED = "t int, block bigint, c binary, sizes binary, stands binary, w binary, place binary, n binary, q binary"
+READ = "block bigint, doc_id array<bigint>, train binary, at binary, words binary, codes binary, size bigint"
+#: The same with ids in place of words, and how often each stands in training texts. Frequent symbols have low ids.
+FIXED = "block bigint, doc_id array<bigint>, train binary, at binary, ids binary, counts binary, codes binary"
+#: active: a bit for each position that asks at the next level, how many, their present scores and how often their contexts stand
+#: (-1: not known); done: what the others of a text sum to. Before level 1 all of it follows from counts.
+STATE = "block bigint, active binary, asking bigint, q binary, stands binary, done binary"
+#: c: distinct contexts in order, how many rows each has and how often it stands; of each row w: symbol, n: count, q: score.
+ASKED = "t int, block bigint, c binary, sizes binary, stands binary, w binary, n binary, q binary"
 #: n: of each row asked; about: of each context asked, twice how often it stands, and one more if it is retained.
 ANSWERED = "t int, block bigint, n binary, about binary, hot binary, total bigint, distinct bigint"
+#: Scores are asked about in steps of so much of a decimal place.
+STEPS = 2048
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,12 +71,24 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.insert(words, at[1:], END), at + np.arange(len(at))
 
 
-def contexts(sym: np.ndarray, depth: int, where: np.ndarray) -> np.ndarray:
-    """The hash of the depth symbols before each of the positions where, which all have so many in their text."""
+def contexts(ids: np.ndarray, depth: int, where: np.ndarray) -> np.ndarray:
+    """A key for the depth symbols before each of the positions where, which all have so many in their text: one's id, or 56 bits."""
+    if depth == 1:
+        return ids[where - 1].astype(K.U)
     h = np.full(len(where), K.U(depth))
     for j in range(depth, 0, -1):
-        h = h * STEP + sym[where - j]
-    return K.mix(h)
+        h = h * STEP + K.mix(ids[where - j].astype(K.U))
+    return K.mix(h) >> K.U(8)
+
+
+def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each among them."""
+    order = np.argsort(x)
+    s = x[order]
+    new = np.r_[True, s[1:] != s[:-1]] if len(s) else np.zeros(0, bool)
+    place = np.empty(len(x), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return s[new], place
 
 
 def _zip(x: np.ndarray) -> bytes:
@@ -102,7 +118,7 @@ class Block:
 
     def __init__(self, row: dict) -> None:
         self.row, self.block = row, row["block"]
-        self.words, self.codes, self.at = (self.raw(n, k) for n, k in (("words", K.U), ("codes", np.int32), ("at", np.int64)))
+        self.codes, self.at = self.raw("codes", np.int32), self.raw("at", np.int64)
 
     def raw(self, name: str, kind) -> np.ndarray:  # noqa: ANN001
         return _unzip(self.row[name], kind)
@@ -114,17 +130,8 @@ class Block:
         """How many symbols of its text stand before each position."""
         return np.arange(len(self.codes)) - np.repeat(self.at[:-1], np.diff(self.at))
 
-    def active(self) -> np.ndarray:
-        return np.flatnonzero(np.unpackbits(self.raw("active", np.uint8)))
-
-    def state(self, counts: np.ndarray, here: np.ndarray, go: np.ndarray, q: np.ndarray, stands: np.ndarray | None, done: np.ndarray) -> pa.RecordBatch:
-        """Of the positions here those of go stay active; scores of the others are summed by text."""
-        text = np.searchsorted(self.at, here[~go], "right") - 1
-        done = np.bincount(text, weights=q[~go], minlength=len(self.at) - 1) + (done if len(done) else 0.0)
-        bits = np.zeros(len(self.codes), bool)
-        bits[here[go]] = True
-        kept = (b"", b"") if stands is None else (_zip(q[go].astype(np.float32)), _zip(stands[go].astype(np.int32)))
-        return _packed([(self.block, _zip(counts), _zip(np.packbits(bits)) if go.any() else b"", int(go.sum()), *kept, _zip(done))], STATE)
+    def by_text(self, where: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return np.bincount(np.searchsorted(self.at, where, "right") - 1, weights=q, minlength=len(self.at) - 1)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -145,7 +152,7 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sizes = np.concatenate([np.diff(at) for _, at in parts])
                 words, codes = np.unique(np.concatenate([sym for sym, _ in parts]), return_inverse=True)
                 arrays = (train[begin:j], np.r_[0, np.cumsum(sizes)].astype(np.int64), words, codes.astype(np.int32))
-                yield _packed([(made, batch.column(0).slice(begin, j - begin).to_pylist(), *map(_zip, arrays), len(codes))], FIXED)
+                yield _packed([(made, batch.column(0).slice(begin, j - begin).to_pylist(), *map(_zip, arrays), len(codes))], READ)
                 made, begin, size, parts = made + 1, j, 0, []
 
 
@@ -162,25 +169,30 @@ class Pairs:
     """Distinct (context, symbol) of a block's active positions, dealt out to tasks: by context, of hot ones by symbol as well."""
 
     def __init__(self, b: Block, depth: int, tasks: int, total: int, distinct: int, hot: int) -> None:
-        self.counts, self.active = b.raw("counts", np.int64), b.active()
-        sym = b.words[b.codes]
-        c, w = contexts(sym, depth, self.active), b.codes[self.active]
+        ids, counts = b.raw("ids", np.int64), b.raw("counts", np.int64)
         if depth == 1:
-            self.q, stands = root_logs(self.counts, total, distinct)[w], self.counts[b.codes[self.active - 1]]
+            self.active = np.flatnonzero((b.before() > 0) & np.r_[False, counts[b.codes[:-1]] >= MIN_COUNT])
+            w = b.codes[self.active].astype(np.int64)
+            self.q, stands = root_logs(counts, total, distinct)[w], counts[b.codes[self.active - 1]]
         else:
+            self.active = np.flatnonzero(np.unpackbits(b.raw("active", np.uint8)))
+            w = b.codes[self.active].astype(np.int64)
             self.q, stands = b.raw("q", np.float32).astype(float), b.raw("stands", np.int32).astype(np.int64)
-        s = sym[self.active]
-        task = np.where(stands >= hot, K.mix(c + s * K.PLACE[1]), c) >> K.U(20)
-        task = (task % K.U(tasks)).astype(np.int32)
-        order = np.lexsort((w, c, task))
-        new = np.r_[True, (np.diff(c[order]) != 0) | (np.diff(w[order]) != 0)] if len(c) else np.zeros(0, bool)
-        #: each active position's pair
-        self.place = np.zeros(len(c), np.int64)
-        self.place[order] = np.cumsum(new) - 1
-        first = order[new]
-        self.c, self.w, self.stands, self.first = c[first], s[first], stands[first], first
-        self.task = task[first]
-        self.edge = np.r_[True, (np.diff(self.c) != 0) | (np.diff(self.task) != 0)] if len(first) else np.zeros(0, bool)
+        c, at = ranked(contexts(ids[b.codes], depth, self.active))
+        pair, place = ranked(at * len(ids) + w)
+        first = np.zeros(len(pair), np.int64)
+        first[place[::-1]] = np.arange(len(place))[::-1]
+        at, w = pair // max(len(ids), 1), ids[pair % max(len(ids), 1)]
+        key = np.where(stands[first] >= hot, K.mix(c[at] * STEP + w.astype(K.U)), K.mix(c[at]))
+        task = ((key >> K.U(20)) % K.U(tasks)).astype(np.uint16 if tasks < 1 << 16 else np.int64)
+        order = np.argsort(task, kind="stable")
+        #: each active position's pair, and of each pair its task, context, symbol, one position, and how often the context stands
+        self.place = np.empty(len(pair), np.int64)
+        self.place[order] = np.arange(len(pair))
+        self.place = self.place[place]
+        self.task, self.c, self.w, self.first = task[order], c[at][order], w[order], first[order]
+        self.stands = stands[self.first]
+        self.edge = np.r_[True, (self.c[1:] != self.c[:-1]) | (self.task[1:] != self.task[:-1])] if len(pair) else np.zeros(0, bool)
 
     def counted(self, train: np.ndarray) -> np.ndarray:
         return np.bincount(self.place, weights=train[self.active], minlength=len(self.first)).astype(np.int32)
@@ -188,19 +200,24 @@ class Pairs:
 
 def _parts(task: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(task, from, to) of each run of a sorted array."""
-    cuts = np.flatnonzero(np.r_[True, np.diff(task) != 0, True]) if len(task) else np.zeros(1, int)
+    cuts = np.flatnonzero(np.r_[True, task[1:] != task[:-1], True]) if len(task) else np.zeros(1, int)
     yield from zip(task[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
 
 
+def _word_tasks(words: np.ndarray, tasks: int) -> np.ndarray:
+    return ((words >> K.U(20)) % K.U(tasks)).astype(np.int64)
+
+
 def _ask_words(tasks: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _blocks(batches):
-            n = np.bincount(b.codes, weights=b.train(), minlength=len(b.words)).astype(np.int32)
-            task = ((b.words >> K.U(20)) % K.U(tasks)).astype(np.int32)
+            words = b.raw("words", K.U)
+            n = np.bincount(b.codes, weights=b.train(), minlength=len(words)).astype(np.int32)
+            task = _word_tasks(words, tasks)
             order = np.argsort(task, kind="stable")
             for t, i, j in _parts(task[order]):
                 mine = order[i:j]
-                yield _packed([(t, b.block, _zip(b.words[mine]), b"", b"", b"", b"", _zip(n[mine]), b"")], ASKED)
+                yield _packed([(t, b.block, _zip(words[mine]), b"", b"", b"", _zip(n[mine]), b"")], ASKED)
 
     return run
 
@@ -209,12 +226,11 @@ def _ask(depth: int, tasks: int, total: int, distinct: int, hot: int):  # noqa:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _blocks(batches):
             p = Pairs(b, depth, tasks, total, distinct, hot)
-            n, q = p.counted(b.train()), p.q[p.first].astype(np.float32)
+            n, q = p.counted(b.train()), np.round(p.q[p.first] * STEPS).astype(np.int16)
             starts = np.flatnonzero(p.edge)
             for t, i, j in _parts(p.task):
                 heads = starts[np.searchsorted(starts, i) : np.searchsorted(starts, j)]
-                every, at, place = np.unique(p.w[i:j], return_index=True, return_inverse=True)
-                arrays = (p.c[heads], np.diff(np.r_[heads, j]).astype(np.int32), p.stands[heads], every, place.astype(np.int32), n[i:j], q[i:j][at] if depth == 1 else q[i:j])
+                arrays = (np.diff(p.c[heads], prepend=K.U(0)), np.diff(np.r_[heads, j]).astype(np.int32), p.stands[heads], p.w[i:j], n[i:j], q[i:j])
                 yield _packed([(t, b.block, *map(_zip, arrays))], ASKED)
 
     return run
@@ -222,47 +238,42 @@ def _ask(depth: int, tasks: int, total: int, distinct: int, hot: int):  # noqa:
 
 def judged(c: np.ndarray, w: np.ndarray, n: np.ndarray, q: np.ndarray, stands: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of (context, symbol) rows, with all rows of each pair: counts, how often contexts stand, whether one of these symbols retains it."""
-    order = np.lexsort((w, c))
-    c, w, n, q, stands = c[order], w[order], n[order], q[order], stands[order]
-    edge = np.r_[True, np.diff(c) != 0]
-    new = edge | np.r_[True, np.diff(w) != 0]
-    pair = np.cumsum(new) - 1
-    ctx = (np.cumsum(edge) - 1)[new]
-    n = np.add.reduceat(n.astype(np.int64), np.flatnonzero(new))
-    known = stands[edge]
+    every, at = ranked(c)
+    words, place = ranked(w)
+    pair, row = ranked(at * len(words) + place)
+    ctx = pair // len(words)
+    n = np.bincount(row, weights=n).astype(np.int64)
+    known, was = np.empty(len(every), np.int64), np.empty(len(pair))
+    known[at], was[row] = stands, 10.0 ** (q.astype(float) / STEPS)
     stands = np.where(known >= 0, known, np.bincount(ctx, weights=n).astype(np.int64))
-    was = 10.0 ** q[new].astype(float)
     p = smoothed(n, stands[ctx], was)
     retained = np.bincount(ctx, weights=(n >= MIN_COUNT) & ((p >= RATIO * was) | (was >= RATIO * p))) > 0
-    back = np.empty(len(order), np.int64)
-    back[order] = pair
-    return n[back], stands[ctx][back], retained[ctx][back]
+    return n[row], stands[at], retained[at]
 
 
 def _counts(table: pa.Table) -> pa.Table:
-    """Level 0: the counts of the partition's words, and in its first row how many training symbols and distinct ones it has."""
+    """Level 0: counts and ranks of the partition's words, and in its first row how many training symbols and distinct ones it has."""
     c, n = ([_unzip(v.as_buffer(), k) for v in table[name]] for name, k in (("c", K.U), ("n", np.int32)))
-    every, place = np.unique(np.concatenate(c), return_inverse=True)
+    every, place = ranked(np.concatenate(c))
     count = np.bincount(place, weights=np.concatenate(n), minlength=len(every)).astype(np.int64)
+    rank = np.empty(len(every), np.int64)
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(every))
     total, distinct = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
     total[0], distinct[0] = count.sum(), (count > 0).sum()
-    zipped = [_zip(x) for x in np.split(count[place], np.cumsum([len(x) for x in c])[:-1])]
-    none = pa.array([b""] * len(c), pa.binary())
-    return pa.table({"t": table["t"], "block": table["block"], "n": pa.array(zipped, pa.binary()), "about": none, "hot": none, "total": total, "distinct": distinct})
+    cuts = np.cumsum([len(x) for x in c])[:-1]
+    zipped = [pa.array([_zip(x) for x in np.split(v[place], cuts)], pa.binary()) for v in (count, rank)]
+    return pa.table({"t": table["t"], "block": table["block"], "n": zipped[0], "about": zipped[1], "hot": pa.array([b""] * len(c), pa.binary()), "total": total, "distinct": distinct})
 
 
 def _answer(depth: int, hot: int):  # noqa: ANN202
     def run(table: pa.Table) -> pa.Table:
         column = lambda name, kind: [_unzip(v.as_buffer(), kind) for v in table[name]]
-        parts, sizes, place, heads = column("n", np.int32), column("sizes", np.int32), column("place", np.int32), column("c", K.U)
-        each = lambda v: np.concatenate([x[i] for x, i in zip(v, place, strict=True)])
-        spread = lambda v: np.repeat(np.concatenate(v), np.concatenate(sizes))
-        q = column("q", np.float32)
-        known = spread(column("stands", np.int64))
-        n, stands, retained = judged(spread(heads), each(column("w", K.U)), np.concatenate(parts), each(q) if depth == 1 else np.concatenate(q), known)
-        begins = np.cumsum(np.concatenate(sizes)) - np.concatenate(sizes)
+        parts, heads, sizes = column("n", np.int32), [np.cumsum(v) for v in column("c", K.U)], np.concatenate(column("sizes", np.int32))
+        c, known = (np.repeat(np.concatenate(v), sizes) for v in (heads, column("stands", np.int64)))
+        n, stands, retained = judged(c, np.concatenate(column("w", np.int64)), np.concatenate(parts), np.concatenate(column("q", np.int16)), known)
+        begins = np.cumsum(sizes) - sizes
         about = (stands * 2 + retained)[begins]
-        listed = np.unique(np.concatenate(heads)[(known >= hot)[begins] & retained[begins]])
+        listed = np.unique(c[begins][(known >= hot)[begins] & retained[begins]])
         zipped = [pa.array([_zip(x) for x in np.split(v, np.cumsum([len(x) for x in of])[:-1])], pa.binary()) for v, of in ((n.astype(np.int32), parts), (about, heads))]
         none = np.zeros(len(parts), np.int64)
         return pa.table({"t": table["t"], "block": table["block"], "n": zipped[0], "about": zipped[1], "hot": pa.array([_zip(listed)] + [b""] * (len(parts) - 1), pa.binary()), "total": none, "distinct": none})
@@ -276,15 +287,20 @@ def _answers(row: dict, name: str, kind) -> np.ndarray:  # noqa: ANN001
     return np.concatenate(found) if found else np.zeros(0, kind)
 
 
-def _started(tasks: int, total: int, distinct: int):  # noqa: ANN202
-    """Takes in the counts: every position has the root's score, and those behind a symbol that stands MIN_COUNT times ask."""
+def _counted(tasks: int):  # noqa: ANN202
+    """Takes in the counts: symbols get ids that are low where they are frequent, and codes in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _blocks(batches):
-            counts = np.zeros(len(b.words), np.int64)
-            counts[np.argsort((b.words >> K.U(20)) % K.U(tasks), kind="stable")] = _answers(b.row, "n", np.int64)
-            go = (b.before() > 0) & np.r_[False, counts[b.codes[:-1]] >= MIN_COUNT]
-            yield b.state(counts, np.arange(len(b.codes)), go, root_logs(counts, total, distinct)[b.codes], None, np.zeros(0))
+            task = _word_tasks(b.raw("words", K.U), tasks)
+            asked = np.argsort(task, kind="stable")
+            counts, ids = np.zeros(len(task), np.int64), np.zeros(len(task), np.int64)
+            counts[asked] = _answers(b.row, "n", np.int64)
+            ids[asked] = _answers(b.row, "about", np.int64) * tasks + task[asked]
+            order = np.argsort(ids)
+            code = np.empty(len(ids), np.int32)
+            code[order] = np.arange(len(ids))
+            yield _packed([(b.block, b.row["doc_id"], b.row["train"], b.row["at"], *map(_zip, (ids[order], counts[order], code[b.codes])))], FIXED)
 
     return run
 
@@ -306,7 +322,17 @@ def _deeper(depth: int, tasks: int, total: int, distinct: int, hot: int, listed:
             longer = longer[p.active]
             known = longer >= MIN_COUNT if depth == 1 else (longer >= MIN_COUNT) | (longer < 0)
             go = (retained | (depth == 1)) & (b.before()[p.active] > depth) & known
-            yield b.state(p.counts, p.active, go, q, longer, b.raw("done", np.float64))
+            if depth == 1:
+                others = np.ones(len(b.codes), bool)
+                others[p.active] = False
+                done = b.by_text(np.flatnonzero(others), root_logs(b.raw("counts", np.int64), total, distinct)[b.codes[others]])
+            else:
+                done = b.raw("done", np.float64)
+            bits = np.zeros(len(b.codes), bool)
+            bits[p.active[go]] = True
+            arrays = (np.packbits(bits) if go.any() else np.zeros(0, np.uint8), q[go].astype(np.float32), longer[go].astype(np.int32), done + b.by_text(p.active[~go], q[~go]))
+            active, q, longer, done = map(_zip, arrays)
+            yield _packed([(b.block, active, int(go.sum()), q, longer, done)], STATE)
 
     return run
 
@@ -329,36 +355,43 @@ def _joined(fixed: DataFrame, *others: DataFrame) -> DataFrame:
     return fixed
 
 
-def _by_block(answers: DataFrame) -> DataFrame:
-    return answers.groupBy("block").agg(F.collect_list(F.struct("t", "n", "about")).alias("answers"))
+def _by_block(answers: DataFrame, buckets: int) -> DataFrame:
+    # as many partitions as the blocks have buckets, or the planner deals out the blocks as well
+    return answers.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("t", "n", "about")).alias("answers"))
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     rest = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    buckets = partitions(docs.sparkSession)
-    fixed = bucketed(rows.select("doc_id", "text", (rest != HELD_OUT).alias("train")).mapInArrow(_blocked, FIXED), "blocks", buckets, "block")
+    # few buckets, so that levels write few files
+    buckets = 1 + (rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // BUCKET_BYTES)
+    read = rows.select("doc_id", "text", (rest != HELD_OUT).alias("train")).mapInArrow(_blocked, READ).repartition(buckets, "block")
+    read = bucketed(read, "read", buckets, "block")
     tasks_for = lambda n: max(1, -(-n // TASK_SYMBOLS))
-    tasks = tasks_for(fixed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
-    answers = written(fixed.mapInArrow(_ask_words(tasks), ASKED).groupBy("t").applyInArrow(_counts, ANSWERED), "answers")
+    asking = read.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    tasks = tasks_for(asking)
+    answers = written(read.mapInArrow(_ask_words(tasks), ASKED).groupBy("t").applyInArrow(_counts, ANSWERED).hint("rebalance"), "answers")
     total, distinct = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     hot = max(HOT, total // HOT_PART)
-    state, depth = bucketed(_joined(fixed, _by_block(answers)).mapInArrow(_started(tasks, total, distinct), STATE), "state", buckets, "block"), 1
-    let_go(answers)
-    while asking := state.agg(F.coalesce(F.sum("asking"), F.lit(0))).first()[0]:
+    fixed = bucketed(_joined(read, _by_block(answers, buckets)).mapInArrow(_counted(tasks), FIXED), "blocks", buckets, "block")
+    let_go(read, answers)
+    state: list[DataFrame] = []
+    depth = 1
+    while asking or depth == 1:
         tasks = tasks_for(asking)
-        answers = written(_joined(fixed, state).mapInArrow(_ask(depth, tasks, total, distinct, hot), ASKED).groupBy("t").applyInArrow(_answer(depth, hot), ANSWERED), "answers")
+        answers = written(_joined(fixed, *state).mapInArrow(_ask(depth, tasks, total, distinct, hot), ASKED).groupBy("t").applyInArrow(_answer(depth, hot), ANSWERED).hint("rebalance"), "answers")
         # at most HOT_PART contexts
         listed = [_unzip(r[0], K.U) for r in answers.where(F.octet_length("hot") > 0).select("hot").collect()]
         listed = np.unique(np.concatenate(listed)) if listed else np.zeros(0, K.U)
-        before = state
-        state = bucketed(_joined(fixed, state, _by_block(answers)).mapInArrow(_deeper(depth, tasks, total, distinct, hot, listed), STATE), "state", buckets, "block")
-        let_go(before, answers)
+        deeper = _deeper(depth, tasks, total, distinct, hot, listed)
+        before, state = state, [bucketed(_joined(fixed, *state, _by_block(answers, buckets)).mapInArrow(deeper, STATE), "state", buckets, "block")]
+        let_go(answers, *before)
+        asking = state[0].agg(F.coalesce(F.sum("asking"), F.lit(0))).first()[0]
         depth += 1
-    out = _joined(fixed, state).mapInArrow(_results(total, distinct), "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = _joined(fixed, *state).mapInArrow(_results(total, distinct), "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     out = written(out, "scores")
-    let_go(fixed, state)
+    let_go(fixed, *state)
     return out.select("doc_id", (rest == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
