@@ -154,10 +154,15 @@ class DeltaGate:
 
 @dataclass
 class LegState:
-    """What the composite knows of one provider's quote. Times are in milliseconds, gaps in seconds."""
+    """What the composite knows of one provider's quote. Times are in milliseconds, gaps in seconds.
+
+    Cadence and the gap before a join are those of confirmations: real frames and carries, which say that a book still stands.
+    """
 
     bid: float = 0.0
     ask: float = 0.0
+    vbid: float = 0.0
+    vask: float = 0.0
     last_update: int | None = None
     live_at: int | None = None
     joined: int | None = None
@@ -165,16 +170,23 @@ class LegState:
     last_gap: float = 0.0
     injected: bool = False
 
-    def update(self, now: int, bid: float, ask: float, carry: bool = False) -> None:
-        if carry:
-            self.live_at = now
-            return
+    def _confirm(self, gap: float) -> None:
+        self.ema_ipi = 0.1 * min(max(gap, 1e-6), 300.0) + 0.9 * self.ema_ipi
+
+    def update(self, now: int, bid: float, ask: float, vbid: float = 0.0, vask: float = 0.0, kind: str = "tick") -> None:
+        """kind: tick, carry (liveness only) or inject (a value from elsewhere, until the next real frame)."""
         if self.last_update is None:
             self.joined = now
+        elif kind == "inject":
+            self._confirm((now - self.last_update) / 1000.0)
         else:
-            self.last_gap = (now - self.last_update) / 1000.0
-            self.ema_ipi = 0.1 * min(max(self.last_gap, 1e-6), 300.0) + 0.9 * self.ema_ipi
-        self.bid, self.ask, self.last_update, self.live_at, self.injected = bid, ask, now, now, False
+            gap = max(now - self.live_at, 0) / 1000.0
+            self._confirm(gap)
+            if kind == "carry":
+                self.live_at = max(self.live_at, now)
+                return
+            self.last_gap = gap
+        self.bid, self.ask, self.vbid, self.vask, self.last_update, self.live_at, self.injected = bid, ask, vbid, vask, now, now, kind == "inject"
 
 
 def snap_25(x: float) -> float:

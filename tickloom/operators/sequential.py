@@ -87,15 +87,23 @@ def time_bounded(rows: DataFrame, now_ms: int, ts: str = "tc_ms", flags: str = "
     return rows.withColumn("quarantine", F.when(late, "future").when(old, "past"))
 
 
+LEG_STATE = "last_update bigint, live_at bigint, joined bigint, ema_ipi double, last_gap double, injected boolean"
+
+
 def leg_states(ticks: DataFrame, ts: str = "tc_ms") -> DataFrame:
-    """The state of each (ticker, provider) leg after each quote."""
-    rows = ticks.select(F.concat_ws("|", "ticker", "provider").alias("leg"), F.col(ts).alias("ts"), "seq", "bid", "ask")
+    """The state of each (ticker, provider) leg after each frame. A ``kind`` column (tick, carry, inject), where there is one, decides.
+
+    A leg's frames are one fold, so a ticker is split by its providers. Null prices count as frames and are refused by the composite.
+    """
+    kind = F.coalesce("kind", F.lit("tick")) if "kind" in ticks.columns else F.lit("tick")
+    rows = ticks.select("ticker", "provider", F.concat_ws("|", "ticker", "provider").alias("leg"), F.col(ts).alias("ts"), "seq", "bid", "ask", "vbid", "vask", kind.alias("kind"))
 
     def step(s, r):  # noqa: ANN001, ANN202
-        s.update(r.ts, r.bid, r.ask)
-        return [(r.leg, r.ts, r.seq, s.ema_ipi, s.last_gap)]
+        s.update(r.ts, r.bid, r.ask, r.vbid, r.vask, r.kind)
+        return [(r.ticker, r.provider, r.leg, r.ts, r.seq, s.bid, s.ask, s.vbid, s.vask, s.last_update, s.live_at, s.joined, s.ema_ipi, s.last_gap, s.injected)]
 
-    return fold_rows(rows, "leg", ["ts", "seq"], "leg string, ts bigint, seq bigint, ema_ipi double, last_gap double", folds.LegState, step)
+    schema = f"ticker string, provider bigint, leg string, ts bigint, seq bigint, bid double, ask double, vbid double, vask double, {LEG_STATE}"
+    return fold_rows(rows, "leg", ["ts", "seq"], schema, folds.LegState, step)
 
 
 BRICKS = "ticker string, ts bigint, seq bigint, brick_no bigint, open double, high double, low double, close double, up boolean, tick_count int, flags int, brick double"
