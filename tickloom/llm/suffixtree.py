@@ -57,10 +57,11 @@ FIXED = "block bigint, doc_id array<bigint>, train binary, at binary, ids binary
 #: active: a bit for each position that asks at the next level, how many, their present scores and how often their contexts stand
 #: (-1: not known); done: what the others of a text sum to. Before level 1 all of it follows from counts.
 STATE = "block bigint, active binary, asking bigint, q binary, stands binary, done binary"
-#: c: distinct contexts in order, how many rows each has and how often it stands; of each row w: symbol, n: count, q: score.
+#: c: distinct contexts in order, how many rows each has and how often it stands (of hot ones: what rows of others sum to); of each row
+#: w: symbol, n: count, q: score.
 ASKED = "t int, block bigint, c binary, sizes binary, stands binary, w binary, n binary, q binary"
 #: n: of each row asked; about: of each context asked, twice how often it stands, and one more if it is retained.
-ANSWERED = "t int, block bigint, n binary, about binary, hot binary, total bigint, distinct bigint"
+ANSWERED = "t int, block bigint, n binary, about binary, hot binary, total bigint, distinct bigint, words bigint"
 #: Scores are asked about in steps of so much of a decimal place.
 STEPS = 2048
 
@@ -71,10 +72,15 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.insert(words, at[1:], END), at + np.arange(len(at))
 
 
-def contexts(ids: np.ndarray, depth: int, where: np.ndarray) -> np.ndarray:
-    """A key for the depth symbols before each of the positions where, which all have so many in their text: one's id, or 56 bits."""
+def contexts(ids: np.ndarray, depth: int, where: np.ndarray, small: bool) -> np.ndarray:
+    """A key for the depth symbols before each of the positions where, which all have so many in their text.
+
+    One symbol is its id and two are both ids, which sort and compress well; more, or ids too large for that, are 56 bits of a hash.
+    """
     if depth == 1:
         return ids[where - 1].astype(K.U)
+    if depth == 2 and small:
+        return (ids[where - 2].astype(K.U) << K.U(32)) | ids[where - 1].astype(K.U)
     h = np.full(len(where), K.U(depth))
     for j in range(depth, 0, -1):
         h = h * STEP + K.mix(ids[where - j].astype(K.U))
@@ -168,7 +174,7 @@ def smoothed(n: np.ndarray, stands: np.ndarray, q: np.ndarray) -> np.ndarray:
 class Pairs:
     """Distinct (context, symbol) of a block's active positions, dealt out to tasks: by context, of hot ones by symbol as well."""
 
-    def __init__(self, b: Block, depth: int, tasks: int, total: int, distinct: int, hot: int) -> None:
+    def __init__(self, b: Block, depth: int, tasks: int, total: int, distinct: int, hot: int, small: bool) -> None:
         ids, counts = b.raw("ids", np.int64), b.raw("counts", np.int64)
         if depth == 1:
             self.active = np.flatnonzero((b.before() > 0) & np.r_[False, counts[b.codes[:-1]] >= MIN_COUNT])
@@ -178,7 +184,7 @@ class Pairs:
             self.active = np.flatnonzero(np.unpackbits(b.raw("active", np.uint8)))
             w = b.codes[self.active].astype(np.int64)
             self.q, stands = b.raw("q", np.float32).astype(float), b.raw("stands", np.int32).astype(np.int64)
-        c, at = ranked(contexts(ids[b.codes], depth, self.active))
+        c, at = ranked(contexts(ids[b.codes], depth, self.active, small))
         pair, place = ranked(at * len(ids) + w)
         first = np.zeros(len(pair), np.int64)
         first[place[::-1]] = np.arange(len(place))[::-1]
@@ -222,15 +228,15 @@ def _ask_words(tasks: int):  # noqa: ANN202
     return run
 
 
-def _ask(depth: int, tasks: int, total: int, distinct: int, hot: int):  # noqa: ANN202
+def _ask(depth: int, tasks: int, total: int, distinct: int, hot: int, small: bool):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _blocks(batches):
-            p = Pairs(b, depth, tasks, total, distinct, hot)
+            p = Pairs(b, depth, tasks, total, distinct, hot, small)
             n, q = p.counted(b.train()), np.round(p.q[p.first] * STEPS).astype(np.int16)
             starts = np.flatnonzero(p.edge)
             for t, i, j in _parts(p.task):
                 heads = starts[np.searchsorted(starts, i) : np.searchsorted(starts, j)]
-                arrays = (np.diff(p.c[heads], prepend=K.U(0)), np.diff(np.r_[heads, j]).astype(np.int32), p.stands[heads], p.w[i:j], n[i:j], q[i:j])
+                arrays = (np.diff(p.c[heads], prepend=K.U(0)), np.diff(np.r_[heads, j]).astype(np.int32), np.where(p.stands[heads] >= hot, p.stands[heads], -1), p.w[i:j], n[i:j], q[i:j])
                 yield _packed([(t, b.block, *map(_zip, arrays))], ASKED)
 
     return run
@@ -262,7 +268,7 @@ def _counts(table: pa.Table) -> pa.Table:
     total[0], distinct[0] = count.sum(), (count > 0).sum()
     cuts = np.cumsum([len(x) for x in c])[:-1]
     zipped = [pa.array([_zip(x) for x in np.split(v[place], cuts)], pa.binary()) for v in (count, rank)]
-    return pa.table({"t": table["t"], "block": table["block"], "n": zipped[0], "about": zipped[1], "hot": pa.array([b""] * len(c), pa.binary()), "total": total, "distinct": distinct})
+    return pa.table({"t": table["t"], "block": table["block"], "n": zipped[0], "about": zipped[1], "hot": pa.array([b""] * len(c), pa.binary()), "total": total, "distinct": distinct, "words": np.full(len(c), len(every))})
 
 
 def _answer(depth: int, hot: int):  # noqa: ANN202
@@ -276,7 +282,7 @@ def _answer(depth: int, hot: int):  # noqa: ANN202
         listed = np.unique(c[begins][(known >= hot)[begins] & retained[begins]])
         zipped = [pa.array([_zip(x) for x in np.split(v, np.cumsum([len(x) for x in of])[:-1])], pa.binary()) for v, of in ((n.astype(np.int32), parts), (about, heads))]
         none = np.zeros(len(parts), np.int64)
-        return pa.table({"t": table["t"], "block": table["block"], "n": zipped[0], "about": zipped[1], "hot": pa.array([_zip(listed)] + [b""] * (len(parts) - 1), pa.binary()), "total": none, "distinct": none})
+        return pa.table({"t": table["t"], "block": table["block"], "n": zipped[0], "about": zipped[1], "hot": pa.array([_zip(listed)] + [b""] * (len(parts) - 1), pa.binary()), "total": none, "distinct": none, "words": none})
 
     return run
 
@@ -305,12 +311,12 @@ def _counted(tasks: int):  # noqa: ANN202
     return run
 
 
-def _deeper(depth: int, tasks: int, total: int, distinct: int, hot: int, listed: np.ndarray):  # noqa: ANN202
+def _deeper(depth: int, tasks: int, total: int, distinct: int, hot: int, small: bool, listed: np.ndarray):  # noqa: ANN202
     """Takes in the answers of a level, and keeps active what can have a longer context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _blocks(batches):
-            p = Pairs(b, depth, tasks, total, distinct, hot)
+            p = Pairs(b, depth, tasks, total, distinct, hot, small)
             n, run_of = _answers(b.row, "n", np.int32).astype(np.int64), np.cumsum(p.edge) - 1
             about = _answers(b.row, "about", np.int64)[run_of]
             retained = (about & 1 > 0) | ((p.stands >= hot) & np.isin(p.c, listed))
@@ -372,19 +378,19 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     asking = read.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     tasks = tasks_for(asking)
     answers = written(read.mapInArrow(_ask_words(tasks), ASKED).groupBy("t").applyInArrow(_counts, ANSWERED).hint("rebalance"), "answers")
-    total, distinct = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    hot = max(HOT, total // HOT_PART)
+    total, distinct, largest = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.max("words"), F.lit(0))).first()
+    hot, small = max(HOT, total // HOT_PART), largest * tasks < 1 << 32
     fixed = bucketed(_joined(read, _by_block(answers, buckets)).mapInArrow(_counted(tasks), FIXED), "blocks", buckets, "block")
     let_go(read, answers)
     state: list[DataFrame] = []
     depth = 1
     while asking or depth == 1:
         tasks = tasks_for(asking)
-        answers = written(_joined(fixed, *state).mapInArrow(_ask(depth, tasks, total, distinct, hot), ASKED).groupBy("t").applyInArrow(_answer(depth, hot), ANSWERED).hint("rebalance"), "answers")
+        answers = written(_joined(fixed, *state).mapInArrow(_ask(depth, tasks, total, distinct, hot, small), ASKED).groupBy("t").applyInArrow(_answer(depth, hot), ANSWERED).hint("rebalance"), "answers")
         # at most HOT_PART contexts
         listed = [_unzip(r[0], K.U) for r in answers.where(F.octet_length("hot") > 0).select("hot").collect()]
         listed = np.unique(np.concatenate(listed)) if listed else np.zeros(0, K.U)
-        deeper = _deeper(depth, tasks, total, distinct, hot, listed)
+        deeper = _deeper(depth, tasks, total, distinct, hot, small, listed)
         before, state = state, [bucketed(_joined(fixed, *state, _by_block(answers, buckets)).mapInArrow(deeper, STATE), "state", buckets, "block")]
         let_go(answers, *before)
         asking = state[0].agg(F.coalesce(F.sum("asking"), F.lit(0))).first()[0]
