@@ -6,8 +6,11 @@ They depend on their own past output (the last accepted, written or emitted row)
 from __future__ import annotations
 
 import math
+from collections import deque
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
+
 
 @dataclass
 class SaneMid:
@@ -23,6 +26,17 @@ class SaneMid:
         self.last = mid
         return True
 
+    def accepts(self, mids: np.ndarray) -> np.ndarray:
+        """accept() of each in order; where no two neighbours are too far apart all are accepted at once."""
+        mids = np.asarray(mids, float)
+        before = np.r_[mids[:1] if self.last is None else self.last, mids[:-1]]
+        with np.errstate(all="ignore"):
+            still = (mids > 0) & (mids < 1e15) & (mids / before >= 0.5) & (mids / before <= 2.0)
+        if still.all():
+            self.last = float(mids[-1]) if len(mids) else self.last
+            return still
+        return np.array([self.accept(float(x)) for x in mids], bool)
+
 
 @dataclass
 class RunningStats:
@@ -226,6 +240,17 @@ class Renko:
     def _snap(self, x: float) -> float:
         return math.floor(x / self.step + 0.5) * self.step
 
+    def retune(self, k: float) -> None:
+        """A new k, never under 0.05; it takes effect when the size is next set, at a 30-minute boundary."""
+        if k != self.k:
+            self.k = max(k, 0.05)
+
+    def resume(self, close: float, ts: int, price: float, sigma: float) -> None:
+        """Goes on from the last close of an earlier run, with an empty wick."""
+        self.period = ts // 1_800_000
+        self._resize(price, sigma)
+        self.last_close = self._snap(close)
+
     def feed(self, ts: int, price: float, sigma: float) -> list[dict]:
         """The bricks that a price completes, the first with the wick and the ticks since the last brick."""
         self.high, self.low, self.ticks = max(self.high, price), min(self.low, price), self.ticks + 1
@@ -299,5 +324,57 @@ class ReplayWindow:
         return True
 
 
+class MtfBlend:
+    """Winsorised means of a series over several windows that look back, blended by weight over variance.
+
+    Each window is kept sorted, so that a row costs one insertion and one removal in each, and no list is sorted anew.
+    """
+
+    def __init__(self, windows: tuple[tuple[int, float], ...], least: int, floor: float, few: int = 5, cut: float = 0.05) -> None:
+        self.windows, self.least, self.floor, self.few, self.cut = windows, least, floor, few, cut
+        self.held = [np.zeros(0) for _ in windows]
+        self.recent: deque[float] = deque(maxlen=max(w for w, _ in windows) + 1)
+        self.n = 0
+
+    def _summary(self, v: np.ndarray) -> tuple[float, float]:
+        n = len(v)
+        if n >= self.few:
+            lo, hi = v[math.floor(n * self.cut)], v[min(max(math.floor(n * (1 - self.cut)) - 1, 0), n - 1)]
+            v = np.clip(v, lo, hi)
+        return float(v.mean()), float(v.var(ddof=1)) if n > 1 else 0.0
+
+    def next(self, sigma: float) -> float:
+        num = den = 0.0
+        for j, (w, weight) in enumerate(self.windows):
+            v = self.held[j]
+            if len(v) > w:  # the row itself and w before it
+                v = np.delete(v, np.searchsorted(v, self.recent[-(w + 1)]))
+            v = self.held[j] = np.insert(v, np.searchsorted(v, sigma), sigma)
+            mean, var = self._summary(v)
+            if min(self.n, w) >= self.least and var > 0 and mean > 0:
+                num, den = num + weight * mean / var, den + weight / var
+        self.recent.append(sigma)
+        self.n += 1
+        return num / den if den > 0 else max(sigma, self.floor)
+
+
+@dataclass
+class AttestState:
+    """What a signed beat is to the newest one accepted. Within a boot the sequence and the time go on; a new boot must be later."""
+
+    newest: tuple[int, int, int] | None = None
+
+    def judge(self, boot: int, seq: int, ts: int) -> str:
+        """valid, duplicate or regression; only a valid beat becomes the newest."""
+        if self.newest is not None:
+            b, s, t = self.newest
+            if (boot, seq) == (b, s):
+                return "duplicate"
+            if (seq < s or ts < t) if boot == b else ts <= t:
+                return "regression"
+        self.newest = (boot, seq, ts)
+        return "valid"
+
+
 def state_of(fold) -> dict:  # noqa: ANN001
     return asdict(fold)

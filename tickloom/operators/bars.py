@@ -14,10 +14,16 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 
 
-def ohlc(ticks: DataFrame, tf_ms: int, ts: str = "tc_ms") -> DataFrame:
-    """Light candles of sane mids; ci is averaged decoded and encoded again. No bars for empty buckets."""
+def ohlc(ticks: DataFrame, tf_ms: int, ts: str = "tc_ms", guard: bool = True) -> DataFrame:
+    """Light candles of the mids that the two-fold guard accepts; ci is averaged decoded and encoded again. No bars for empty buckets.
+
+    Null and insane mids are left out. Ties in time go by seq. guard=False takes every sane price.
+    """
+    from .sequential import guarded
+
     at = F.struct(ts, "seq")
-    g = ticks.where(X.sane_px("mid")).withColumn("bar_ts", X.bucket(ts, tf_ms)).groupBy("ticker", "bar_ts")
+    rows = guarded(ticks, ts) if guard else ticks.where(X.sane_px("mid"))
+    g = rows.withColumn("bar_ts", X.bucket(ts, tf_ms)).groupBy("ticker", "bar_ts")
     out = g.agg(
         F.min_by("mid", at).alias("open"),
         F.max("mid").alias("high"),
@@ -66,14 +72,18 @@ def rollup(bars: DataFrame, src_ms: int, dst_ms: int) -> DataFrame:
 
 def full_bars(ticks: DataFrame, tf_ms: int, ts: str = "tc_ms") -> DataFrame:
     """Bars with microstructure: variances, drift, flow, spread, quality. Returns restart in every bar."""
-    rows = ticks.withColumn("bar_ts", X.bucket(ts, tf_ms))
-    order = Window.partitionBy("ticker", "bar_ts").orderBy(ts, "seq")
+    return microstructure(ticks.withColumn("bar_ts", X.bucket(ts, tf_ms)), ["ticker", "bar_ts"], ts)
+
+
+def microstructure(rows: DataFrame, keys: list[str], ts: str = "tc_ms") -> DataFrame:
+    """The fields of a full bar for each group of ticks, in order of time and seq within it."""
+    order = Window.partitionBy(*keys).orderBy(ts, "seq")
     r = F.log(F.col("mid") / F.lag("mid").over(order))
     rows = rows.withColumn("r", r).withColumn("x", (F.col(ts) - F.first(ts).over(order)) / 1000.0)
     rows = rows.withColumn("rp", F.lag("r").over(order)).withColumn("vol", F.col("vbid") + F.col("vask"))
     at = F.struct(ts, "seq")
     moved = F.col("r").isNotNull()
-    g = rows.groupBy("ticker", "bar_ts").agg(
+    g = rows.groupBy(*keys).agg(
         F.min(ts).alias("open_ts"),
         F.max(ts).alias("close_ts"),
         F.min_by("mid", at).alias("open"),
@@ -98,7 +108,7 @@ def full_bars(ticks: DataFrame, tf_ms: int, ts: str = "tc_ms") -> DataFrame:
     )
     trend = (F.col("tick_count") >= 2) & (F.col("_last_x") > 0) & (F.abs("close") > 1e-10) & (F.col("_vx") * F.col("tick_count") * F.col("tick_count") > 1e-12)
     return g.select(
-        "ticker", "bar_ts", "open_ts", "close_ts", "open", "high", "low", "close", "vbid", "vask", "tick_count", "realized_var", "bipower_var",
+        *keys, "open_ts", "close_ts", "open", "high", "low", "close", "vbid", "vask", "tick_count", "realized_var", "bipower_var",
         F.when(trend, F.col("_slope") * F.col("_last_x") / F.col("close")).otherwise(0.0).alias("drift"),
         F.when(F.col("_flow_vol") > 0, F.col("_flow") / F.col("_flow_vol")).otherwise(0.0).alias("vol_imbalance"),
         F.coalesce("_spread", F.lit(float("nan"))).alias("avg_spread_bps"),

@@ -32,21 +32,25 @@ def pegged(e: DataFrame, aliases: DataFrame | None) -> DataFrame:
 def routes(e: DataFrame, barred: DataFrame | None = None, hops: int = MAX_HOPS) -> DataFrame:
     """(src, dst, hops, bottleneck, legs): for each ordered pair the fewest legs, then the deepest bottleneck, then the least symbols.
 
-    barred (src, dst, ticker_id): a pair's own ticker must not serve it.
+    barred (src, dst, ticker_id): a pair's own ticker must not serve it. Fewest legs come first, so a pair that is served is
+    out of the later hops: the last hop writes out only paths to pairs that nothing shorter serves.
     """
     step = e.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.struct("sym", "exp", "ticker_id").alias("_leg"), F.col("volume").alias("_v"))
     path = e.select("src", "dst", F.array("src", "dst").alias("seen"), F.array(F.struct("sym", "exp", "ticker_id")).alias("legs"), F.col("volume").alias("bottleneck"))
-    every = path
-    for _ in range(hops - 1):
-        path = path.join(step, F.col("dst") == F.col("_s")).where(~F.array_contains("seen", F.col("_d")))
-        path = path.select("src", F.col("_d").alias("dst"), F.concat("seen", F.array("_d")).alias("seen"), F.concat("legs", F.array("_leg")).alias("legs"), F.least("bottleneck", "_v").alias("bottleneck"))
-        every = every.unionByName(path)
-    if barred is not None:
-        b = barred.select(F.col("src").alias("_bs"), F.col("dst").alias("_bd"), F.col("ticker_id").alias("_bt"))
-        every = every.join(b, (F.col("src") == F.col("_bs")) & (F.col("dst") == F.col("_bd")), "left").where(F.col("_bt").isNull() | ~F.exists("legs", lambda x: x["ticker_id"] == F.col("_bt"))).drop("_bs", "_bd", "_bt")
     name = F.transform("legs", lambda x: x["sym"])
-    best = Window.partitionBy("src", "dst").orderBy(F.size("legs"), F.desc("bottleneck"), name)
-    return every.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("src", "dst", F.size("legs").alias("hops"), "bottleneck", "legs")
+    best = Window.partitionBy("src", "dst").orderBy(F.desc("bottleneck"), name)
+    served = None
+    for hop in range(1, hops + 1):
+        if hop > 1:
+            more = path.join(step, F.col("dst") == F.col("_s")).where(~F.array_contains("seen", F.col("_d")))
+            path = more.select("src", F.col("_d").alias("dst"), F.concat("seen", F.array("_d")).alias("seen"), F.concat("legs", F.array("_leg")).alias("legs"), F.least("bottleneck", "_v").alias("bottleneck"))
+        new = path if served is None else path.join(served.select("src", "dst"), ["src", "dst"], "left_anti")
+        if barred is not None:
+            b = barred.select(F.col("src").alias("_bs"), F.col("dst").alias("_bd"), F.col("ticker_id").alias("_bt"))
+            new = new.join(b, (F.col("src") == F.col("_bs")) & (F.col("dst") == F.col("_bd")), "left").where(F.col("_bt").isNull() | ~F.exists("legs", lambda x: x["ticker_id"] == F.col("_bt"))).drop("_bs", "_bd", "_bt")
+        new = new.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("src", "dst", F.size("legs").alias("hops"), "bottleneck", "legs")
+        served = new if served is None else served.unionByName(new)
+    return served
 
 
 def servable(e: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
@@ -60,9 +64,13 @@ def servable(e: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
     return reach.distinct()
 
 
-def expanded(assets: DataFrame, primaries: DataFrame, storage_quote: str = "USD") -> DataFrame:
-    """Directed pairs (base, quote) of an asset list that are neither live themselves nor quoted in the storage quote."""
+def expanded(assets: DataFrame, primaries: DataFrame, storage_quote: str = "USD", known: DataFrame | None = None) -> DataFrame:
+    """Directed pairs (base, quote) of an asset list that are neither live themselves nor quoted in the storage quote.
+
+    known (asset): with it, assets that can't be resolved are left out. The list is small: its square is the result.
+    """
     a = assets.select(F.col("asset").alias("base")).distinct()
+    a = a if known is None else a.join(known.select(F.col("asset").alias("base")), "base", "left_semi")
     both = a.join(a.select(F.col("base").alias("quote")), F.col("base") != F.col("quote")).where(F.col("quote") != storage_quote)
     return both.join(primaries.select("base", "quote"), ["base", "quote"], "left_anti")
 

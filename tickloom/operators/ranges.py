@@ -76,18 +76,51 @@ def days(first: str, last: str, spark) -> DataFrame:  # noqa: ANN001
 
 def retained(shards: DataFrame, keep_days: int, day: str = "day", key: str = "ticker", refuse: float = 0.25) -> DataFrame:
     """Shards with ``drop``: older than the newest keep_days. All are kept where that would drop more than a share of them."""
-    w = Window.partitionBy(key)
-    r = shards.withColumn("_n", F.dense_rank().over(w.orderBy(F.desc(day))))
-    share = F.avg((F.col("_n") > keep_days).cast("double")).over(Window.partitionBy())
-    return r.withColumn("_s", share).withColumn("drop", (F.col("_n") > keep_days) & (F.col("_s") <= refuse)).drop("_n", "_s")
+    r = shards.withColumn("_old", F.dense_rank().over(Window.partitionBy(key).orderBy(F.desc(day))) > keep_days)
+    share = r.agg(F.coalesce(F.avg(F.col("_old").cast("double")), F.lit(0.0)).alias("_s"))  # one row
+    return r.withColumn("_one", F.lit(1)).join(F.broadcast(share.withColumn("_one", F.lit(1))), "_one").withColumn("drop", F.col("_old") & (F.col("_s") <= refuse)).drop("_old", "_s", "_one")
+
+
+def trimmed(rows: DataFrame, n: int, ts: str = "bin_start_ms", key: str = "ticker") -> DataFrame:
+    """The newest n rows of each key, whatever their values."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(ts)))).where(F.col("_r") <= n).drop("_r")
+
+
+def vol_tail(rows: DataFrame, n: int, ts: str = "bin_start_ms", key: str = "ticker") -> DataFrame:
+    """The newest n rows of each key, of which those with a bad sigma are dropped after the cut."""
+    return trimmed(rows, n, ts, key).where(X.finite("sigma") & (F.col("sigma") >= 0))
+
+
+def vol_appended(stored: DataFrame, new: DataFrame, keep: int | None = None, ts: str = "bin_start_ms", key: str = "ticker") -> DataFrame:
+    """stored with the new rows that are later than its last one of their key; with keep only the newest so many of each."""
+    last = stored.groupBy(key).agg(F.max(ts).alias("_l"))
+    late = new.join(last, key, "left").where(F.col("_l").isNull() | (F.col(ts) > F.col("_l"))).select(*stored.columns)
+    out = stored.unionByName(late)
+    return out if keep is None else trimmed(out, keep, ts, key)
+
+
+def last_in_quote(last: DataFrame, routes: DataFrame, storage: DataFrame, quote: str) -> DataFrame:
+    """Last price of each asset in its storage quote (asset, quote, price), and in another quote by way of a route's rate.
 
+    storage (asset, quote, ticker): where an asset's price is kept; routes (src, dst, rate). An asset without a route has no price there.
+    """
+    own = storage.join(last.select("ticker", F.col("mid").alias("price")), "ticker").select("asset", F.col("quote").alias("own_quote"), "price")
+    r = routes.where(F.col("dst") == quote).select(F.col("src").alias("own_quote"), "rate")
+    both = own.join(r, "own_quote", "left").withColumn("rate", F.when(F.col("own_quote") == quote, 1.0).otherwise(F.col("rate")))
+    return both.select("asset", "own_quote", "price", F.lit(quote).alias("quote"), (F.col("price") * F.col("rate")).alias("quote_price"))
 
-def admissible(tickers: DataFrame, assets: DataFrame) -> DataFrame:
-    """Why a ticker is refused: shape, base or quote; null if it is admitted. assets (asset_key, blacklisted)."""
+
+def admissible(tickers: DataFrame, assets: DataFrame, classes: tuple[int, ...] = tuple(range(16))) -> DataFrame:
+    """Why a ticker is refused: shape (not spot, a sub-type, a class that isn't one of classes), base or quote; null if it is admitted.
+
+    assets (asset_key, blacklisted). Which class numbers are defined isn't published in full, so they are a parameter.
+    """
     t = tickers.withColumn("_b", X.asset_key(X.ticker_field("ticker_id", 56, 4), X.ticker_field("ticker_id", 40, 16))).withColumn("_q", X.asset_key(X.ticker_field("ticker_id", 36, 4), X.ticker_field("ticker_id", 20, 16)))
     a = assets.where("NOT blacklisted").select("asset_key")
     j = t.join(a.withColumnRenamed("asset_key", "_ba"), F.col("_b") == F.col("_ba"), "left").join(a.withColumnRenamed("asset_key", "_qa"), F.col("_q") == F.col("_qa"), "left")
+    kinds = list(classes)
     shape = (X.ticker_field("ticker_id", 60, 4) != 0) | (X.ticker_field("ticker_id", 0, 20) != 0)
+    shape = shape | ~X.ticker_field("ticker_id", 56, 4).isin(kinds) | ~X.ticker_field("ticker_id", 36, 4).isin(kinds)
     return j.withColumn("refusal", F.when(shape, "shape").when(F.col("_ba").isNull(), "base").when(F.col("_qa").isNull(), "quote")).drop("_b", "_q", "_ba", "_qa")
 
 
@@ -108,3 +141,20 @@ def orientation(pairs: DataFrame, storage_quote: dict[str, str], default: str =
 
 def without_excluded(df: DataFrame, providers: tuple[int, ...] = X.EXCLUDED_PROVIDERS) -> DataFrame:
     return df.where(~F.col("provider").isin(*providers))
+
+
+def pegged_pairs(pairs: DataFrame, pegged: tuple[str, ...]) -> DataFrame:
+    """Adds pegged: both legs are in the list, whatever the case. Null legs aren't."""
+    low = [x.lower() for x in pegged]
+    return pairs.withColumn("pegged", F.coalesce(F.lower("base").isin(low) & F.lower("quote").isin(low), F.lit(False)))
+
+
+def routed_days(bars: DataFrame, kind: str, ts: str = "close_ts") -> DataFrame:
+    """Bars with the day they are stored under: s10 bars by 2 s before their time, renko by 4 s, others by their own."""
+    shift = {"s10": 2_000, "renko": 4_000}.get(kind, 0)
+    return bars.withColumn("dt", F.to_date(F.timestamp_millis(F.col(ts) - shift)))
+
+
+def without_synthetic(bricks: DataFrame) -> DataFrame:
+    """Bricks that a tick completed, without those that only filled up a move."""
+    return bricks.where(~X.has_flag("flags", X.BAR_FLAGS["RENKO_SYNTHETIC"]))

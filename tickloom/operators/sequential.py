@@ -9,8 +9,10 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -34,10 +36,45 @@ def fold_rows(df: DataFrame, key: str, order: list[str], schema: str, make: Call
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
+def kept_rows(df: DataFrame, key: str, order: list[str], value: str, make: Callable) -> DataFrame:
+    """The rows, with all their columns, whose value a key's fold accepts: accepts(values) gives a mask and moves the state on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, fold = object(), None
+        for batch in batches:
+            keys, values = batch.column(k).to_pylist(), batch.column(v).to_numpy(zero_copy_only=False)
+            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            mask = np.zeros(len(keys), bool)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a < b:
+                    if keys[a] != now:
+                        now, fold = keys[a], make()
+                    mask[a:b] = fold.accepts(values[a:b])
+            yield batch.filter(pa.array(mask))
+
+    k, v = df.columns.index(key), df.columns.index(value)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, df.schema)
+
+
+def guarded(ticks: DataFrame, ts: str = "tc_ms", value: str = "mid", slice_ms: int = 3_600_000) -> DataFrame:
+    """The rows that the two-fold guard accepts, with all their columns; nulls and insane prices are not.
+
+    A row can only be refused if prices more than a factor of two apart stand in its slice of time or the one before that has
+    any. That is two minima a slice, summed where the rows are; only tickers with such a slice are folded, one task each.
+    """
+    rows = ticks.where(X.sane_px(value))
+    spans = rows.groupBy("ticker", X.bucket(ts, slice_ms).alias("_s")).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    w = Window.partitionBy("ticker").orderBy("_s")
+    lo, hi = (F.coalesce(F.lag(c).over(w), F.col(c)) for c in ("lo", "hi"))
+    wide = spans.withColumn("_r", F.greatest("hi", hi) / F.least("lo", lo)).where("_r > 2").select("ticker").distinct()
+    still = rows.join(wide, "ticker", "left_anti")
+    moving = kept_rows(rows.join(wide, "ticker", "left_semi"), "ticker", [ts, "seq"], value, folds.SaneMid)
+    return still.unionByName(moving)
+
+
 def sane_mids(ticks: DataFrame, ts: str = "tc_ms", value: str = "mid") -> DataFrame:
-    """Rows whose mid the two-fold guard accepts."""
-    rows = ticks.select("ticker", F.col(ts).alias("ts"), "seq", F.col(value).cast("double").alias("mid"))
-    return fold_rows(rows, "ticker", ["ts", "seq"], "ticker string, ts bigint, seq bigint, mid double", folds.SaneMid, lambda s, r: [(r.ticker, r.ts, r.seq, r.mid)] if s.accept(r.mid) else [])
+    """(ticker, ts, seq, mid) of the rows that the two-fold guard accepts."""
+    return guarded(ticks.select("ticker", F.col(ts).alias("ts"), "seq", F.col(value).cast("double").alias("mid")), "ts")
 
 
 def zscores(ticks: DataFrame, ts: str = "tc_ms", floor_bps: float = 0.0) -> DataFrame:
@@ -109,20 +146,38 @@ def leg_states(ticks: DataFrame, ts: str = "tc_ms") -> DataFrame:
 BRICKS = "ticker string, ts bigint, seq bigint, brick_no bigint, open double, high double, low double, close double, up boolean, tick_count int, flags int, brick double"
 
 
-def renko(ticks: DataFrame, sigma: DataFrame | None = None, k: float = 1.0, min_pct: float = 0.0, ts: str = "tc_ms", default_sigma: float = 0.01) -> DataFrame:
-    """Price-move bars of each ticker; sigma (ticker, bin_start_ms, sigma) is that of the tick's 30-minute bin."""
-    rows = ticks.select("ticker", F.col(ts).alias("ts"), "seq", "mid")
-    if sigma is None:
-        rows = rows.withColumn("sigma", F.lit(default_sigma))
-    else:
+def renko(ticks: DataFrame, sigma: DataFrame | None = None, k: float = 1.0, min_pct: float = 0.0, ts: str = "tc_ms", default_sigma: float = 0.01, jump: float | None = None, jump_limit: int = 30, closes: dict[str, float] | None = None) -> DataFrame:
+    """Price-move bars of each ticker; sigma (ticker, bin_start_ms, sigma) is that of the tick's 30-minute bin.
+
+    jump: prices further than this part from the last brick's close are skipped, until jump_limit in a row start the series anew.
+    closes: last closes to go on from, by ticker, with no wick. A ``k`` column in ticks changes k at the next 30-minute period. A
+    ticker is one task's fold. Null prices are skipped; ties in time go by seq.
+    """
+    rows = ticks.where(F.col("mid").isNotNull()).select("ticker", F.col(ts).alias("ts"), "seq", "mid", *(["k"] if "k" in ticks.columns else []))
+    own = F.lit(default_sigma)
+    if sigma is not None:
         s = sigma.select(F.col("ticker").alias("_t"), F.col("bin_start_ms").alias("_b"), "sigma")
-        rows = rows.join(s, (F.col("ticker") == F.col("_t")) & (X.bucket("ts", X.BIN_MS) == F.col("_b")), "left").select("ticker", "ts", "seq", "mid", F.coalesce("sigma", F.lit(default_sigma)).alias("sigma"))
+        rows, own = rows.join(s, (F.col("ticker") == F.col("_t")) & (X.bucket("ts", X.BIN_MS) == F.col("_b")), "left"), F.coalesce("sigma", F.lit(default_sigma))
+    hot = F.col("k").cast("double") if "k" in ticks.columns else F.lit(float(k))
+    rows = rows.select("ticker", "ts", "seq", "mid", own.alias("sigma"), F.coalesce(hot, F.lit(float(k))).alias("k"))
 
     class Numbered:
         def __init__(self) -> None:
-            self.fold, self.n = folds.Renko(k, min_pct), 0
+            self.fold, self.n, self.trips, self.begun = folds.Renko(k, min_pct), 0, 0, False
 
     def step(s, r):  # noqa: ANN001, ANN202
+        if not s.begun:
+            s.begun, s.fold.k = True, r.k
+            if closes and r.ticker in closes:
+                s.fold.resume(closes[r.ticker], r.ts, r.mid, r.sigma)
+        s.fold.retune(r.k)
+        last = s.fold.last_close
+        if jump is not None and last is not None and abs(r.mid - last) > jump * last:
+            s.trips += 1
+            if s.trips < jump_limit:
+                return []
+            s.fold.last_close = None
+        s.trips = 0
         out = []
         for b in s.fold.feed(r.ts, r.mid, r.sigma):
             out.append((r.ticker, r.ts, r.seq, s.n, b["open"], b["high"], b["low"], b["close"], b["up"], b["tick_count"], b["flags"], b["brick"]))
@@ -132,20 +187,20 @@ def renko(ticks: DataFrame, sigma: DataFrame | None = None, k: float = 1.0, min_
     return fold_rows(rows, "ticker", ["ts", "seq"], BRICKS, Numbered, step)
 
 
-def renko_with_microstructure(ticks: DataFrame, sigma: DataFrame | None = None, k: float = 1.0, ts: str = "tc_ms") -> DataFrame:
-    """Bricks with what the ticks since the brick before did: realised variance, volumes. Further bricks of one tick have none."""
-    from pyspark.sql import Window
-
-    bricks = renko(ticks, sigma, k, ts=ts)
-    first = bricks.where("flags = 0").select("ticker", F.col("seq").alias("brick_seq"), F.col("ts").alias("brick_ts"))
-    rows = ticks.select("ticker", F.col(ts).alias("ts"), "seq", "mid", "vbid", "vask")
-    tagged = rows.join(first.select("ticker", F.col("brick_seq").alias("seq"), F.lit(1).alias("_end")), ["ticker", "seq"], "left")
-    w = Window.partitionBy("ticker").orderBy("ts", "seq")
-    tagged = tagged.withColumn("_id", F.coalesce(F.sum("_end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    r = F.log(F.col("mid") / F.lag("mid").over(Window.partitionBy("ticker", "_id").orderBy("ts", "seq")))
-    stats = tagged.withColumn("r", r).groupBy("ticker", "_id").agg(F.max(F.when(F.col("_end") == 1, F.col("seq"))).alias("seq"), F.coalesce(F.sum(F.col("r") * F.col("r")), F.lit(0.0)).alias("realized_var"), F.sum("vbid").alias("vbid"), F.sum("vask").alias("vask"))
-    own = stats.where("seq IS NOT NULL").select("ticker", "seq", F.lit(0).alias("flags"), "realized_var", "vbid", "vask")
-    return bricks.join(own, ["ticker", "seq", "flags"], "left").na.fill(0, ["realized_var", "vbid", "vask"])
+def renko_with_microstructure(ticks: DataFrame, sigma: DataFrame | None = None, k: float = 1.0, ts: str = "tc_ms", **options) -> DataFrame:  # noqa: ANN003
+    """Bricks with what the ticks since the brick before did, the closing tick included: the fields of a full bar. Further bricks of one tick have none."""
+    from .bars import microstructure
+
+    bricks = renko(ticks, sigma, k, ts=ts, **options)
+    first = bricks.where("flags = 0").select("ticker", "seq", F.lit(1).alias("_end"))
+    tagged = ticks.join(first, ["ticker", "seq"], "left")
+    w = Window.partitionBy("ticker").orderBy(ts, "seq").rowsBetween(Window.unboundedPreceding, -1)
+    tagged = tagged.withColumn("_id", F.coalesce(F.sum("_end").over(w), F.lit(0)))
+    ends = tagged.groupBy("ticker", "_id").agg(F.max(F.when(F.col("_end") == 1, F.col("seq"))).alias("seq")).where("seq IS NOT NULL")
+    stats = microstructure(tagged, ["ticker", "_id"], ts).drop("open", "high", "low", "close", "tick_count", "open_ts", "close_ts")
+    own = stats.join(ends, ["ticker", "_id"]).drop("_id").withColumn("flags", F.lit(0))
+    out = bricks.join(own, ["ticker", "seq", "flags"], "left")
+    return out.na.fill(0, ["realized_var", "bipower_var", "drift", "vol_imbalance", "max_abs_return", "avg_ci_ubp", "reject_rate", "vbid", "vask"])
 
 
 def bricks_per_day(bricks: DataFrame) -> DataFrame:

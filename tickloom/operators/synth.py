@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 
 LN16 = 4 * math.log(2)
+#: Provider of composed quotes.
+SYNTH = 2010
 
 
 def compose_ticks(paths: DataFrame, quotes: DataFrame, max_price: float = X.ANY_MAX_PRICE) -> DataFrame:
@@ -31,11 +33,14 @@ def compose_ticks(paths: DataFrame, quotes: DataFrame, max_price: float = X.ANY_
 def asof_cross(base: DataFrame, quote: DataFrame, ttl_ms: int = 5000, ts: str = "tc_ms", slice_ms: int = 3_600_000) -> DataFrame:
     """On each tick of either leg, the cross with the other's latest, if neither is older than ttl_ms. Ties go by seq.
 
+    A ``confidence`` column, where both legs have one, must not be 0 and the less of the two stands; provider is SYNTH.
+
     A union and an ordered pass with last(): no inequality join. The pass runs for each slice of time by itself: what a slice
     needs from the one before is at most ttl_ms old, so those rows are dealt to both and give results in their own only.
     """
     slice_ms = max(slice_ms, ttl_ms)
-    row = lambda df, side: df.select(F.col(ts).alias("ts"), "seq", F.lit(side).alias("side"), F.struct(F.col(ts).alias("ts"), "bid", "ask", "vbid", "vask", "ci", "accepted").alias("q"))
+    conf = lambda df: F.col("confidence") if "confidence" in base.columns and "confidence" in quote.columns else F.lit(1)
+    row = lambda df, side: df.select(F.col(ts).alias("ts"), "seq", F.lit(side).alias("side"), F.struct(F.col(ts).alias("ts"), "bid", "ask", "vbid", "vask", "ci", "accepted", conf(df).alias("confidence")).alias("q"))
     own = X.bucket("ts", slice_ms)
     late = F.col("ts") >= own + slice_ms - ttl_ms
     both = row(base, 0).unionByName(row(quote, 1)).withColumn("slice", F.explode(F.when(late, F.array(own, own + slice_ms)).otherwise(F.array(own))))
@@ -43,6 +48,7 @@ def asof_cross(base: DataFrame, quote: DataFrame, ttl_ms: int = 5000, ts: str =
     last = lambda s: F.last(F.when(F.col("side") == s, F.col("q")), ignorenulls=True).over(w)
     j = both.withColumn("b", last(0)).withColumn("c", last(1)).where("b IS NOT NULL AND c IS NOT NULL").where(F.col("slice") == own)
     j = j.where((F.col("ts") - F.col("b.ts") <= ttl_ms) & (F.col("ts") - F.col("c.ts") <= ttl_ms))
+    j = j.where((F.col("b.confidence") != 0) & (F.col("c.confidence") != 0))
     ci = X.ci_encode(F.sqrt(F.pow(X.ci_decode("b.ci"), F.lit(2.0)) + F.pow(X.ci_decode("c.ci"), F.lit(2.0))))
     out = j.select("ts", "seq", (F.col("b.bid") / F.col("c.ask")).alias("bid"), (F.col("b.ask") / F.col("c.bid")).alias("ask"), F.least("b.vbid", "c.vbid").alias("vbid"), F.least("b.vask", "c.vask").alias("vask"), F.least("b.accepted", "c.accepted").alias("accepted"), ci.alias("ci"))
     return out.where(X.sane_px("bid") & X.sane_px("ask"))
@@ -55,32 +61,71 @@ def aligned(left: DataFrame, right: DataFrame, on: str = "bar_ts") -> DataFrame:
     return a.join(b, on)
 
 
+def aligned_legs(bars: DataFrame, path: list[str], on: str = "bar_ts") -> DataFrame:
+    """The bars at which every leg of a path (tickers in order, any number, one may stand twice) has one: columns suffixed _1, _2, ...
+
+    One grouped pass over the bars and no join. Of several bars of a ticker at one time the largest row counts; null tickers are none.
+    """
+    own = [c for c in bars.columns if c not in (on, "ticker")]
+    g = bars.where(F.col("ticker").isin(path)).groupBy(on).agg(*[F.max(F.when(F.col("ticker") == t, F.struct(*own))).alias(f"_{i}") for i, t in enumerate(path, 1)])
+    g = g.where(" AND ".join(f"_{i} IS NOT NULL" for i in range(1, len(path) + 1)))
+    return g.select(on, *[F.col(f"_{i}.{c}").alias(f"{c}_{i}") for i in range(1, len(path) + 1) for c in own])
+
+
 def _var(side: int, estimator: str) -> Column:
     c = [f"{x}_{side}" for x in ("open", "high", "low", "close")]
-    return F.greatest(X.rs_var(*c) if estimator == "rs" else X.parkinson_var(c[1], c[2]), F.lit(0.0))
+    v = F.greatest(X.rs_var(*c) if estimator == "rs" else X.parkinson_var(c[1], c[2]), F.lit(0.0))
+    return F.when(X.finite(v), v).otherwise(0.0)
 
 
-def synth_ohlc(pairs: DataFrame, rho: Column | float = 0.0, exps: tuple[int, int] = (1, -1), estimator: str = "rs") -> DataFrame:
-    """Open and close are products; the range comes from the legs' variances and their correlation, centred on sqrt(O C)."""
-    rho = rho if isinstance(rho, Column) else F.lit(float(rho))
-    product = lambda f: F.pow(F.col(f"{f}_1"), F.lit(float(exps[0]))) * F.pow(F.col(f"{f}_2"), F.lit(float(exps[1])))
-    v1, v2 = _var(1, estimator), _var(2, estimator)
-    v = F.greatest(v1 + v2 + 2 * exps[0] * exps[1] * rho * F.sqrt(v1 * v2), F.lit(1e-12))
+def _product(field: str, exps: tuple[int, ...]) -> Column:
+    out = F.lit(1.0)
+    for i, e in enumerate(exps, 1):
+        out = out * F.col(f"{field}_{i}") if e > 0 else out / F.col(f"{field}_{i}")
+    return out
+
+
+def _quadratic(values: list[Column], exps: tuple[int, ...], rho) -> Column:  # noqa: ANN001
+    """sum(v) + 2 sum over pairs of e_i e_j rho_ij sqrt(v_i v_j). rho: one number or column for all pairs, or {(i, j): rho} from 1, i < j."""
+    total = values[0]
+    for v in values[1:]:
+        total = total + v
+    for i in range(len(exps)):
+        for j in range(i + 1, len(exps)):
+            r = rho.get((i + 1, j + 1), 0.0) if isinstance(rho, dict) else rho
+            r = r if isinstance(r, Column) else F.lit(float(r))
+            total = total + 2 * exps[i] * exps[j] * r * F.sqrt(values[i] * values[j])
+    return total
+
+
+def _ranged(exps: tuple[int, ...], rho, estimator: str) -> list[Column]:  # noqa: ANN001
+    v = F.greatest(_quadratic([_var(i, estimator) for i in range(1, len(exps) + 1)], exps, rho), F.lit(1e-12))
     half = F.sqrt(LN16 * v) / 2
-    o, c = product("open"), product("close")
+    o, c = _product("open", exps), _product("close", exps)
     m = F.sqrt(o * c)
-    return pairs.select("bar_ts", o.alias("open"), F.greatest(m * F.exp(half), o, c).alias("high"), F.least(m * F.exp(-half), o, c).alias("low"), c.alias("close"))
+    return [o.alias("open"), F.greatest(m * F.exp(half), o, c).alias("high"), F.least(m * F.exp(-half), o, c).alias("low"), c.alias("close")]
+
 
+def _whole(exps: tuple[int, ...]) -> Column:
+    """Every leg has positive prices the right way round."""
+    ok = F.lit(True)
+    for i in range(1, len(exps) + 1):
+        ok = ok & (F.least(f"open_{i}", f"high_{i}", f"low_{i}", f"close_{i}") > 0) & (F.col(f"high_{i}") >= F.col(f"low_{i}"))
+    return ok
 
-def synth_bar(pairs: DataFrame, rho: Column | float = 0.0, exps: tuple[int, int] = (1, -1)) -> DataFrame:
-    """synth_ohlc with microstructure: a quadratic form of realised variances, all else from the leg with the worse ci (the first on ties)."""
-    r = rho if isinstance(rho, Column) else F.lit(float(rho))
-    first = F.col("avg_ci_ubp_1") >= F.col("avg_ci_ubp_2")
-    pick = lambda c: F.when(first, F.col(f"{c}_1")).otherwise(F.col(f"{c}_2"))
-    rv = F.greatest(F.col("realized_var_1") + F.col("realized_var_2") + 2 * exps[0] * exps[1] * r * F.sqrt(F.col("realized_var_1") * F.col("realized_var_2")), F.lit(0.0))
-    other = pairs.select(F.col("bar_ts").alias("_b"), rv.alias("realized_var"), *[pick(c).alias(c) for c in ("bipower_var", "drift", "vol_imbalance", "avg_spread_bps", "max_abs_return", "avg_ci_ubp", "reject_rate", "vbid", "vask", "tick_count")])
-    base = synth_ohlc(pairs, r, exps)
-    return base.join(other, base["bar_ts"] == other["_b"]).drop("_b")
+
+def synth_ohlc(legs: DataFrame, rho=0.0, exps: tuple[int, ...] = (1, -1), estimator: str = "rs") -> DataFrame:  # noqa: ANN001
+    """Open and close are products; the range comes from the legs' variances and their correlations, centred on sqrt(O C)."""
+    return legs.where(_whole(exps)).select("bar_ts", *_ranged(exps, rho, estimator))
+
+
+def synth_bar(legs: DataFrame, rho=0.0, exps: tuple[int, ...] = (1, -1), estimator: str = "rs") -> DataFrame:  # noqa: ANN001
+    """synth_ohlc with microstructure: a quadratic form of realised variances, all else from the leg with the worst ci (the first on ties)."""
+    n = range(1, len(exps) + 1)
+    rv = F.greatest(_quadratic([F.greatest(F.col(f"realized_var_{i}"), F.lit(0.0)) for i in n], exps, rho), F.lit(0.0))
+    fields = ("bipower_var", "drift", "vol_imbalance", "avg_spread_bps", "max_abs_return", "avg_ci_ubp", "reject_rate", "vbid", "vask", "tick_count")
+    worst = F.array_max(F.array(*[F.struct(F.col(f"avg_ci_ubp_{i}").alias("ci"), F.lit(-i).alias("i"), *[F.col(f"{c}_{i}").alias(c) for c in fields]) for i in n]))
+    return legs.where(_whole(exps)).select("bar_ts", *_ranged(exps, rho, estimator), rv.alias("realized_var"), worst.alias("_w")).select("bar_ts", "open", "high", "low", "close", "realized_var", *[f"_w.{c}" for c in fields])
 
 
 def synth_rollup(bars: DataFrame, tf_ms: int) -> DataFrame:
@@ -100,29 +145,50 @@ def ohlc_monoid(bars: DataFrame, tf_ms: int) -> DataFrame:
     return g.agg(F.min_by("open", "bar_ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "bar_ts").alias("close"), F.count("*").alias("n"))
 
 
+def chunked(rows: DataFrame, order: str, overlap: int, slice_ms: int = 86_400_000, least: int = 4096) -> DataFrame:
+    """rows in runs of their order, each with the last ``overlap`` rows of the run before: adds _chunk and _own, which those lack.
+
+    Slices of time are counted (a row a slice), so a row's place is its slice's beginning and its place there; no task sorts it all.
+    """
+    size = max(least, overlap)
+    s = rows.withColumn("_s", X.bucket(order, slice_ms))
+    sizes = s.groupBy("_s").agg(F.count("*").alias("_k"))
+    begins = sizes.select(F.col("_s").alias("_b"), (F.sum("_k").over(Window.orderBy("_s")) - F.col("_k")).alias("_begin"))
+    s = s.join(F.broadcast(begins), F.col("_s") == F.col("_b")).withColumn("_n", F.col("_begin") + F.row_number().over(Window.partitionBy("_s").orderBy(order)) - 1)
+    own = F.floor(F.col("_n") / size)
+    s = s.withColumn("_home", own).withColumn("_chunk", F.explode(F.when(F.col("_n") % size >= size - overlap, F.array(own, own + 1)).otherwise(F.array(own))))
+    return s.withColumn("_own", F.col("_chunk") == F.col("_home")).drop("_s", "_b", "_begin", "_n", "_home")
+
+
 def rolling_corr(pairs: DataFrame, n: int, a: str = "a", b: str = "b", order: str = "bar_ts", key: str | None = None) -> DataFrame:
-    """Adds rho of the last n pairs: 0 where it is undefined, held within 0.99."""
-    w = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(1))).orderBy(order).rowsBetween(-(n - 1), 0)
+    """Adds rho of the last n pairs: 0 where it is undefined, held within 0.99. Without a key the rows are one series, dealt out in runs."""
+    rows = pairs if key else chunked(pairs, order, n - 1)
+    w = Window.partitionBy(key or "_chunk").orderBy(order).rowsBetween(-(n - 1), 0)
     ok = X.finite(a) & X.finite(b)
     rho = F.corr(F.when(ok, F.col(a)), F.when(ok, F.col(b))).over(w)
     rho = F.when(F.isnan(rho), 0.0).otherwise(F.coalesce(rho, F.lit(0.0)))
-    return pairs.withColumn("rho", F.least(F.greatest(rho, F.lit(-0.99)), F.lit(0.99)))
+    out = rows.withColumn("rho", F.least(F.greatest(rho, F.lit(-0.99)), F.lit(0.99)))
+    return out if key else out.where("_own").drop("_own", "_chunk")
 
 
-def rho_cache(pairs: DataFrame, n: int = 180) -> DataFrame:
-    """Correlation of log returns between consecutive common bars of two aligned legs."""
-    w = Window.partitionBy(F.lit(1)).orderBy("bar_ts")
+def rho_cache(legs: DataFrame, n: int = 180, i: int = 1, j: int = 2) -> DataFrame:
+    """Correlation of log returns between consecutive common bars of two of the aligned legs."""
+    w = Window.partitionBy("_chunk").orderBy("bar_ts")
     r = lambda c: F.log(F.col(c) / F.lag(c).over(w))
-    return rolling_corr(pairs.withColumn("a", r("close_1")).withColumn("b", r("close_2")).where("a IS NOT NULL AND b IS NOT NULL"), n)
-
-
-def cross_bar(pairs: DataFrame, exps: tuple[int, int] = (1, -1)) -> DataFrame:
-    """A 10-second cross bar: exact open and close, extremes from the four corner products; flagged composed, no fast fields."""
-    p = lambda f, g=None: F.pow(F.col(f"{f}_1"), F.lit(float(exps[0]))) * F.pow(F.col(f"{g or f}_2"), F.lit(float(exps[1])))
-    o, c, hh, ll = p("open"), p("close"), p("high"), p("low")
-    ci = X.ci_encode(F.sqrt(F.pow(X.ci_decode("avg_ci_ubp_1"), F.lit(2.0)) + F.pow(X.ci_decode("avg_ci_ubp_2"), F.lit(2.0))))
-    out = pairs.select(
-        "bar_ts", o.alias("open"), F.greatest(o, c, hh, ll).alias("high"), F.least(o, c, hh, ll).alias("low"), c.alias("close"), F.least("vbid_1", "vbid_2").alias("vbid"), F.least("vask_1", "vask_2").alias("vask"),
-        F.greatest("tick_count_1", "tick_count_2").alias("tick_count"), (F.col("avg_spread_bps_1") + F.col("avg_spread_bps_2")).alias("avg_spread_bps"), ci.alias("avg_ci_ubp"), F.greatest("reject_rate_1", "reject_rate_2").alias("reject_rate"), F.lit(128).alias("flags"),
+    pairs = chunked(legs, "bar_ts", 1).withColumn("a", r(f"close_{i}")).withColumn("b", r(f"close_{j}"))
+    return rolling_corr(pairs.where("_own AND a IS NOT NULL AND b IS NOT NULL").drop("_own", "_chunk"), n)
+
+
+def cross_bar(legs: DataFrame, exps: tuple[int, ...] = (1, -1)) -> DataFrame:
+    """A 10-second cross bar: exact open and close, extremes from the corner products; flagged composed, no fast fields."""
+    n = range(1, len(exps) + 1)
+    every = lambda c: [F.col(f"{c}_{i}") for i in n]
+    total = lambda cols: sum(cols[1:], cols[0])
+    pick = lambda f, cols: f(*cols) if len(cols) > 1 else cols[0]
+    o, c, hh, ll = (_product(f, exps) for f in ("open", "close", "high", "low"))
+    ci = X.ci_encode(F.sqrt(total([F.pow(X.ci_decode(x), F.lit(2.0)) for x in every("avg_ci_ubp")])))
+    out = legs.select(
+        "bar_ts", o.alias("open"), F.greatest(o, c, hh, ll).alias("high"), F.least(o, c, hh, ll).alias("low"), c.alias("close"), pick(F.least, every("vbid")).alias("vbid"), pick(F.least, every("vask")).alias("vask"),
+        pick(F.greatest, every("tick_count")).alias("tick_count"), total(every("avg_spread_bps")).alias("avg_spread_bps"), ci.alias("avg_ci_ubp"), pick(F.greatest, every("reject_rate")).alias("reject_rate"), F.lit(128).alias("flags"),
     )
     return out.where(X.sane_px("open") & X.sane_px("high") & X.sane_px("low") & X.sane_px("close") & (F.col("high") >= F.col("low")))

@@ -161,12 +161,24 @@ def last_write_per_window(spark, d):  # noqa: ANN001, ANN201
 # folds
 
 
-@query()
+_O = ", o AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY tc_ms, seq) AS n FROM ticks)\n"
+
+
+@query(_O + """, g AS (WITH RECURSIVE g(ticker, n, mean, var, z) AS (SELECT ticker, n, mid, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM o WHERE n = 1
+  UNION ALL SELECT ticker, n, mean + 0.01 * dev, 0.99 * (var + 0.01 * dev * dev), CASE WHEN n <= 10 OR sd < 1e-12 THEN 0 ELSE abs(dev) / sd END FROM (SELECT o.ticker, o.n, g.mean, g.var, o.mid - g.mean AS dev, greatest(sqrt(g.var), o.mid * 2e-4) AS sd FROM g JOIN o ON o.ticker = g.ticker AND o.n = g.n + 1)) SELECT * FROM g)
+SELECT o.ticker, tc_ms AS ts, seq, round(z, 6) AS z FROM g JOIN o ON o.ticker = g.ticker AND o.n = g.n WHERE z <= 4""")
 def zscore_gate(spark, d):  # noqa: ANN001, ANN201
     return Q.z_gated(ticks(spark, d)).select("ticker", "ts", "seq", r("z", 6))
 
 
-@query()
+_DELTA = """, o AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY seq) AS n FROM ticks),
+g AS (WITH RECURSIVE g(ticker, n, lb, la, lvb, lva, lci, written, seen, flag) AS (SELECT ticker, n, bid, ask, vbid, vask, ci, tc_ms, tc_ms, 0 FROM o WHERE n = 1
+  UNION ALL SELECT ticker, n, CASE WHEN flag = 0 THEN bid ELSE lb END, CASE WHEN flag = 0 THEN ask ELSE la END, CASE WHEN flag = 0 THEN vbid ELSE lvb END, CASE WHEN flag = 0 THEN vask ELSE lva END, CASE WHEN flag = 0 THEN ci ELSE lci END, CASE WHEN flag IS NULL THEN written ELSE ts END, greatest(seen, ts), flag
+  FROM (SELECT o.ticker, o.n, o.bid, o.ask, o.vbid, o.vask, o.ci, o.tc_ms AS ts, g.lb, g.la, g.lvb, g.lva, g.lci, g.written, g.seen, CASE WHEN o.tc_ms < g.seen THEN NULL WHEN o.bid <> g.lb OR o.ask <> g.la OR o.vbid <> g.lvb OR o.vask <> g.lva OR o.ci <> g.lci OR o.tc_ms // 86400000 <> g.written // 86400000 THEN 0 WHEN o.tc_ms - g.written >= 60000 THEN 1 END AS flag FROM g JOIN o ON o.ticker = g.ticker AND o.n = g.n + 1)) SELECT * FROM g)
+SELECT o.ticker, tc_ms AS ts, seq, round(bid, 8) AS bid, round(ask, 8) AS ask, flag AS flags FROM g JOIN o ON o.ticker = g.ticker AND o.n = g.n WHERE flag IS NOT NULL"""
+
+
+@query(_DELTA)
 def delta_gate(spark, d):  # noqa: ANN001, ANN201
     return Q.delta_gated(ticks(spark, d)).select("ticker", "ts", "seq", r("bid"), r("ask"), "flags")
 
@@ -178,17 +190,25 @@ def leg_state_ipi(spark, d):  # noqa: ANN001, ANN201
     return Q.leg_states(ticks(spark, d)).select("leg", "ts", "seq", r("ema_ipi", 6))
 
 
-@query()
+@query(_O + """, g AS (WITH RECURSIVE g(ticker, n, anchor, trips, ok) AS (SELECT ticker, n, mid, 0, true FROM o WHERE n = 1
+  UNION ALL SELECT ticker, n, CASE WHEN ok THEN mid ELSE anchor END, CASE WHEN ok THEN 0 ELSE trips + 1 END, ok FROM (SELECT o.ticker, o.n, o.mid, g.anchor, g.trips, abs(o.mid - g.anchor) <= 0.05 * g.anchor OR g.trips + 1 >= 30 AS ok FROM g JOIN o ON o.ticker = g.ticker AND o.n = g.n + 1)) SELECT * FROM g)
+SELECT o.ticker, tc_ms AS ts, seq, round(mid, 8) AS mid FROM g JOIN o ON o.ticker = g.ticker AND o.n = g.n WHERE ok""")
 def jump_guard(spark, d):  # noqa: ANN001, ANN201
     return Q.jump_guarded(ticks(spark, d)).select("ticker", "ts", "seq", r("mid"))
 
 
-@query()
+@query(_O + """, g AS (WITH RECURSIVE g(ticker, n, mark) AS (SELECT ticker, n, mid FROM o WHERE n = 1
+  UNION ALL SELECT o.ticker, o.n, CASE WHEN abs(o.mid - g.mark) / g.mark * 1e4 >= 500 THEN o.mid ELSE g.mark END FROM g JOIN o ON o.ticker = g.ticker AND o.n = g.n + 1) SELECT * FROM g)
+SELECT o.ticker, tc_ms AS ts, seq, round(mark, 8) AS mark FROM g JOIN o ON o.ticker = g.ticker AND o.n = g.n""")
 def emit_deadband(spark, d):  # noqa: ANN001, ANN201
     return Q.deadband(ticks(spark, d), 500.0).select("ticker", "ts", "seq", r("mark"))
 
 
-@query()
+@query(_O + """, g AS (WITH RECURSIVE g(ticker, n, mark, since, begun, side) AS (SELECT ticker, n, mid, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), 0 FROM o WHERE n = 1
+  UNION ALL SELECT ticker, n, CASE WHEN near OR past THEN mid ELSE mark END, CASE WHEN near OR past THEN NULL ELSE since END, CASE WHEN near OR past THEN NULL ELSE begun END, CASE WHEN near OR past THEN 0 ELSE side END
+  FROM (SELECT *, ts - since >= 1500 OR ts - begun >= 3000 AS past FROM (SELECT ticker, n, ts, mid, mark, near, now AS side, coalesce(begun, ts) AS begun, CASE WHEN now <> side THEN ts ELSE since END AS since
+    FROM (SELECT o.ticker, o.n, o.tc_ms AS ts, o.mid, g.mark, g.since, g.begun, g.side, abs((o.mid - g.mark) / g.mark * 1e4) <= 4 AS near, CASE WHEN o.mid > g.mark THEN 1 ELSE -1 END AS now FROM g JOIN o ON o.ticker = g.ticker AND o.n = g.n + 1)))) SELECT * FROM g)
+SELECT o.ticker, tc_ms AS ts, seq, round(mark, 8) AS mark FROM g JOIN o ON o.ticker = g.ticker AND o.n = g.n""")
 def peg_confirm(spark, d):  # noqa: ANN001, ANN201
     return Q.peg_confirmed(ticks(spark, d)).select("ticker", "ts", "seq", r("mark"))
 
@@ -239,12 +259,20 @@ def vol_30m_ema(spark, d):  # noqa: ANN001, ANN201
 _WINDOWS = ((96, 1.0), (240, 2.0), (480, 3.0))
 
 
-@query()
+_BLEND = _V30 + ", x AS (SELECT q.ticker, q.bar_ts AS bin_start_ms, v AS sigma, q.n - 1 AS i FROM q JOIN m ON m.ticker = q.ticker AND m.n = q.n),\ny0 AS (SELECT * FROM x)" + "".join(
+    f""", y{j + 1} AS (SELECT * EXCLUDE (lst, srt), list_avg(cut{j}) AS mean{j}, list_var_samp(cut{j}) AS var{j} FROM (SELECT *, list_transform(lst, lambda z: CASE WHEN len(lst) < 5 THEN z ELSE greatest(least(z, srt[greatest(CAST(floor(len(lst) * 0.95) AS INT) - 1, 0) + 1]), srt[CAST(floor(len(lst) * 0.05) AS INT) + 1]) END) AS cut{j}
+ FROM (SELECT *, list_sort(lst) AS srt FROM (SELECT *, list(sigma) OVER (PARTITION BY ticker ORDER BY i ROWS {w} PRECEDING) AS lst FROM y{j}))))"""
+    for j, (w, _) in enumerate(_WINDOWS)
+) + ", z AS (SELECT ticker, bin_start_ms, i, sigma, " + " + ".join(f"CASE WHEN least(i, {w}) >= 48 AND var{j} > 0 AND mean{j} > 0 THEN {k} * mean{j} / var{j} ELSE 0 END" for j, (w, k) in enumerate(_WINDOWS)) + " AS num, " + " + ".join(f"CASE WHEN least(i, {w}) >= 48 AND var{j} > 0 AND mean{j} > 0 THEN {k} / var{j} ELSE 0 END" for j, (w, k) in enumerate(_WINDOWS)) + f" AS den FROM y{len(_WINDOWS)}), bl AS (SELECT ticker, bin_start_ms, i, sigma, CASE WHEN den > 0 THEN num / den ELSE greatest(sigma, 0.01) END AS blend FROM z)\n"
+
+
+@query(_BLEND + "SELECT ticker, bin_start_ms, round(sigma, 9) AS sigma, round(blend, 9) AS blend FROM bl")
 def vol_mtf_blend(spark, d):  # noqa: ANN001, ANN201
     return V.mtf_blend(_vol30(spark, d), _WINDOWS).select("ticker", "bin_start_ms", r("sigma", 9), r("blend", 9))
 
 
-@query()
+@query(_BLEND + f""", sp AS (SELECT *, list_filter(list(sigma) OVER (PARTITION BY ticker ORDER BY i ROWS 17 PRECEDING), lambda z: z > 0) AS lst FROM bl)
+SELECT ticker, bin_start_ms, round(blend, 9) AS blend, round(greatest(blend, least(CASE WHEN len(lst) > 0 THEN list_reduce(lst, lambda a, z: a + {1 - 2 ** (-1 / 3)!r} * (z - a)) ELSE 0 END, 8 * blend)), 9) AS effective FROM sp""")
 def vol_spike_floor(spark, d):  # noqa: ANN001, ANN201
     return V.spike_floor(V.mtf_blend(_vol30(spark, d), _WINDOWS)).select("ticker", "bin_start_ms", r("blend", 9), r("effective", 9))
 
@@ -258,18 +286,43 @@ def vol_signed_blend(spark, d):  # noqa: ANN001, ANN201
 # renko
 
 
-@query()
+def _renko_sql(k: float, min_pct: float, ts: str = "ts_ms", sigma: str = "") -> str:
+    """One step emits a brick of the present tick, or goes to the next one; the size of a tick's period is ready beside it."""
+    join = f"LEFT JOIN ({sigma}) v ON v.ticker = ticks.ticker AND v.bin_start_ms = ticks.{ts} // {H30} * {H30}" if sigma else ""
+    unit = "pow(10, floor(log10({0})) - 3)"
+    snap = lambda x, u: f"CASE WHEN abs({x} - floor({x} / ({u} * 2) + 0.5) * {u} * 2) <= abs({x} - floor({x} / ({u} * 5) + 0.5) * {u} * 5) THEN floor({x} / ({u} * 2) + 0.5) * {u} * 2 ELSE floor({x} / ({u} * 5) + 0.5) * {u} * 5 END"
+    return f""", o1 AS (SELECT ticks.ticker, {ts} AS ts, seq, mid, row_number() OVER (PARTITION BY ticks.ticker ORDER BY {ts}, seq) AS n, mid * greatest(CAST(CAST({k} AS FLOAT) AS DOUBLE) * {"coalesce(v.sigma, 0.01)" if sigma else "CAST(0.01 AS DOUBLE)"}, CAST(CAST({min_pct} AS FLOAT) AS DOUBLE)) AS want FROM ticks {join}),
+o2 AS (SELECT *, {snap("want", unit.format("want"))} AS size FROM o1), o AS (SELECT *, {unit.format("size")} * 2 AS step FROM o2),
+g AS (WITH RECURSIVE g(ticker, n, j, last, size, step, period, hi, lo, cnt, emit, op, hh, ll, tc, fl, no) AS (
+  SELECT ticker, n, 0, floor(mid / step + 0.5) * step, size, step, ts // {H30}, mid, mid, 1, false, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), 0, 0, CAST(0 AS BIGINT) FROM o WHERE n = 1
+  UNION ALL
+  SELECT ticker, CASE WHEN can THEN n ELSE n + 1 END, CASE WHEN can THEN j + 1 ELSE 0 END, CASE WHEN can THEN nc WHEN fresh THEN floor(last / step2 + 0.5) * step2 ELSE last END, CASE WHEN NOT can AND fresh THEN size2 ELSE size END, CASE WHEN NOT can AND fresh THEN step2 ELSE step END, CASE WHEN can THEN period ELSE ts2 // {H30} END,
+   CASE WHEN NOT can THEN greatest(hi, mid2) WHEN j = 0 THEN -1e300 ELSE hi END, CASE WHEN NOT can THEN least(lo, mid2) WHEN j = 0 THEN 1e300 ELSE lo END, CASE WHEN NOT can THEN cnt + 1 WHEN j = 0 THEN 0 ELSE cnt END, can, last,
+   CASE WHEN j = 0 THEN greatest(last, nc, hi) ELSE greatest(last, nc) END, CASE WHEN j = 0 THEN least(last, nc, lo) ELSE least(last, nc) END, CASE WHEN j = 0 THEN cnt ELSE 0 END, CASE WHEN j = 0 THEN 0 ELSE 4 END, CASE WHEN can THEN no + 1 ELSE no END
+  FROM (SELECT *, coalesce(nc <> last AND j < 1000, false) AS can FROM (SELECT g.*, c.mid, x.mid AS mid2, x.ts AS ts2, x.size AS size2, x.step AS step2, x.ts // {H30} <> g.period AS fresh, CASE WHEN c.mid - g.last >= g.size THEN floor((g.last + g.size) / g.step + 0.5) * g.step WHEN g.last - c.mid >= g.size THEN floor((g.last - g.size) / g.step + 0.5) * g.step END AS nc
+   FROM g JOIN o c ON c.ticker = g.ticker AND c.n = g.n LEFT JOIN o x ON x.ticker = g.ticker AND x.n = g.n + 1)) WHERE can OR mid2 IS NOT NULL) SELECT * FROM g),
+bricks AS (SELECT g.ticker, o.ts, o.seq, g.no - 1 AS brick_no, g.op AS open, g.hh AS high, g.ll AS low, g.last AS close, g.last > g.op AS up, g.tc AS tick_count, g.fl AS flags FROM g JOIN o ON o.ticker = g.ticker AND o.n = g.n WHERE emit)
+"""
+
+
+_SIGMA30 = "SELECT q.ticker, q.bar_ts AS bin_start_ms, v AS sigma FROM q JOIN m ON m.ticker = q.ticker AND m.n = q.n"
+
+
+@query(_V30 + _renko_sql(1.0, 0.005, sigma=_SIGMA30) + "SELECT ticker, ts, seq, brick_no, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, up, CAST(tick_count AS INT) AS tick_count, flags FROM bricks")
 def renko_bricks(spark, d):  # noqa: ANN001, ANN201
     b = Q.renko(ticks(spark, d), _vol30(spark, d), k=1.0, min_pct=0.005, ts="ts_ms")
     return b.select("ticker", "ts", "seq", "brick_no", r("open"), r("high"), r("low"), r("close"), "up", "tick_count", "flags")
 
 
-@query()
+@query(_renko_sql(2.0, 0.0, "tc_ms") + """, ends AS (SELECT ticker, seq, ts FROM bricks WHERE flags = 0),
+w AS (SELECT t.ticker, t.seq, t.tc_ms, t.mid, t.vbid, t.vask, e.seq IS NOT NULL AS ends, coalesce(sum(CASE WHEN e.seq IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY t.ticker ORDER BY t.tc_ms, t.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM ticks t LEFT JOIN ends e ON e.ticker = t.ticker AND e.seq = t.seq),
+u AS (SELECT *, ln(mid / lag(mid) OVER (PARTITION BY ticker, no ORDER BY tc_ms, seq)) AS r FROM w), s AS (SELECT ticker, max(CASE WHEN ends THEN seq END) AS seq, coalesce(sum(r * r), 0) AS rv, CAST(sum(vbid) AS BIGINT) AS vbid, CAST(sum(vask) AS BIGINT) AS vask FROM u GROUP BY ticker, no)
+SELECT b.ticker, b.ts, b.seq, brick_no, round(close, 8) AS close, round(CASE WHEN flags = 0 THEN rv ELSE 0 END, 8) AS realized_var, CASE WHEN flags = 0 THEN s.vbid ELSE 0 END AS vbid, CASE WHEN flags = 0 THEN s.vask ELSE 0 END AS vask FROM bricks b JOIN s ON s.ticker = b.ticker AND s.seq = b.seq""")
 def renko_microstructure(spark, d):  # noqa: ANN001, ANN201
     return Q.renko_with_microstructure(ticks(spark, d), k=2.0).select("ticker", "ts", "seq", "brick_no", r("close"), r("realized_var"), "vbid", "vask")
 
 
-@query()
+@query(_renko_sql(1.0, 0.0) + "SELECT ticker, ts // 86400000 * 86400000 AS day_ms, count(*) AS bricks FROM bricks GROUP BY ALL")
 def renko_per_day(spark, d):  # noqa: ANN001, ANN201
     return Q.bricks_per_day(Q.renko(ticks(spark, d), k=1.0, ts="ts_ms"))
 
@@ -290,45 +343,93 @@ def renko_grid(spark, d):  # noqa: ANN001, ANN201
 # composite
 
 STEP = 36_000
-_LEGS = f""", q AS (SELECT ticker, tc_ms // {STEP} * {STEP} + {STEP} AS t, provider, arg_max(bid, (tc_ms, seq)) AS bid, arg_max(ask, (tc_ms, seq)) AS ask, 1 + provider * 0.5 AS weight FROM ticks GROUP BY ALL), l AS (SELECT *, (bid + ask) * 0.5 AS mid FROM q)
+_LEGS = f""", q0 AS (SELECT *, lead(tc_ms) OVER (PARTITION BY ticker, provider ORDER BY tc_ms, seq) AS nxt FROM ticks),
+l AS (SELECT ticker, provider, bid, ask, vbid, vask, 1 + provider * 0.5 AS weight, (bid + ask) * 0.5 AS mid, unnest(range((tc_ms // {STEP} + 1) * {STEP}, least(coalesce(nxt, 4611686018427387904), tc_ms + 60000) + 1, {STEP})) AS t FROM q0)
 """
 
 
-@query()
+def _legs(quotes: DataFrame, ts: str) -> DataFrame:
+    legs = C.legs_at(quotes, STEP, ts=ts)
+    return legs.withColumn("weight", 1 + F.col("provider") * 0.5).withColumn("mapped", F.col("provider") < 6).withColumn("mid", X.mid())
+
+
+_VOL2 = X.kernel_sigma(X.KERNELS["ALT"][0]) ** 2
+_IPI = """, o AS (SELECT *, row_number() OVER w AS n, (tc_ms - lag(tc_ms) OVER w) / 1000.0 AS gap, min(tc_ms) OVER (PARTITION BY ticker, provider) AS joined, lead(tc_ms) OVER w AS nxt FROM ticks WINDOW w AS (PARTITION BY ticker, provider ORDER BY tc_ms, seq)),
+i AS (WITH RECURSIVE i(ticker, provider, n, ipi) AS (SELECT ticker, provider, n, CAST(5.0 AS DOUBLE) FROM o WHERE n = 1 UNION ALL SELECT o.ticker, o.provider, o.n, CAST(0.1 AS DOUBLE) * least(greatest(CAST(o.gap AS DOUBLE), 1e-6), 300.0) + CAST(0.9 AS DOUBLE) * i.ipi FROM i JOIN o ON o.ticker = i.ticker AND o.provider = i.provider AND o.n = i.n + 1) SELECT * FROM i)
+"""
+_COMPOSITE = _IPI + f""", l AS (SELECT o.ticker, o.provider, bid, ask, vbid, vask, tc_ms, joined, coalesce(gap, 0) AS gap, ipi, 1 + o.provider * 0.5 AS b, o.provider < 6 AS m, unnest(range((tc_ms // {STEP} + 1) * {STEP}, least(coalesce(nxt, 4611686018427387904), tc_ms + 60000) + 1, {STEP})) AS t FROM o JOIN i ON i.ticker = o.ticker AND i.provider = o.provider AND i.n = o.n),
+c1 AS (SELECT *, CAST((t - tc_ms) / 1000.0 AS DOUBLE) AS tau, greatest((ask - bid) / (ask + bid), {X.KERNELS["ALT"][1] * 1e-4!r}) AS s FROM l WHERE bid > 0 AND ask >= bid AND (ask - bid) / ((ask + bid) * 0.5) * 1e4 <= 2000),
+c2 AS (SELECT *, sum(b * s) OVER p / sum(b) OVER p AS sr FROM c1 WHERE tau <= 60 WINDOW p AS (PARTITION BY ticker, t)),
+c3 AS (SELECT *, least(greatest(pow(4 * sr, 2) / {_VOL2!r}, 30.0), 60.0) AS ev FROM c2),
+c4 AS (SELECT *, greatest(tau, least(ipi, ev / 2)) AS eff FROM c3),
+c5 AS (SELECT *, least(1.0, greatest(1e-3, (t - CASE WHEN gap > ev THEN tc_ms ELSE joined END) / 1000.0 / (3 * ipi))) AS ramp, least(1.0, greatest(0.0, 2 - 2 * tau / least(60.0, ev))) AS fr FROM c4 WHERE eff <= ev),
+c6 AS (SELECT *, fr * ramp AS g, b * ramp * sr * sr * (1 - eff / ev) / (s * s + {_VOL2!r} * eff) AS w0 FROM c5),
+c7 AS (SELECT *, fr + 1 - max(g) OVER p AS f, w0 * (fr + 1 - max(g) OVER p) AS w FROM c6 WINDOW p AS (PARTITION BY ticker, t)),
+c8 AS (SELECT *, sum(w) OVER p AS ws, sum(CASE WHEN m THEN w ELSE 0 END) OVER p AS wm, sum(CASE WHEN m THEN w * g ELSE 0 END) OVER p AS wg FROM c7 WINDOW p AS (PARTITION BY ticker, t)),
+c9 AS (SELECT *, CASE WHEN m OR wm = 0 THEN least(b, 5) * g ELSE 0 END AS x, (ws - wm) / ws AS u FROM c8 WHERE ws >= 1e-12),
+c10 AS (SELECT *, CASE WHEN sum(x * x) OVER p > 0 THEN pow(sum(x) OVER p, 2) / sum(x * x) OVER p ELSE 0 END AS n, wg / greatest(wm, 1e-300) * least(u, {0.4 / 1.4!r}) + (1 - wg / greatest(wm, 1e-300)) * u AS ub FROM c9 WINDOW p AS (PARTITION BY ticker, t)),
+c11 AS (SELECT *, least(0.99, 0.253 + exp(-0.228 * greatest(n, 1))) AS cap, w / ws * CASE WHEN wm = 0 THEN 1 WHEN m THEN (1 - ub) / greatest(1 - u, 1e-300) WHEN u > 0 THEN ub / u ELSE 1 END AS r FROM c10),
+k1 AS (SELECT ticker, t, provider, k, r, cap, CASE WHEN k = 2 THEN r WHEN m OR wm = 0 THEN r * g ELSE 0 END AS e FROM c11, (VALUES (1), (2)) AS tries(k)),
+k2 AS (SELECT *, CASE WHEN e > 0 AND r < cap THEN (cap - r) / e END AS bend FROM k1),
+k3 AS (SELECT *, sum(least(r, cap)) OVER p AS st, sum(CASE WHEN bend IS NULL THEN 0 ELSE e END) OVER p - coalesce(sum(CASE WHEN bend IS NULL THEN 0 ELSE e END) OVER q, 0) AS sl, coalesce(sum(CASE WHEN bend IS NULL THEN 0 ELSE e * bend END) OVER q, 0) AS gone FROM k2
+  WINDOW p AS (PARTITION BY ticker, t, k), q AS (PARTITION BY ticker, t, k ORDER BY bend NULLS LAST, provider ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k4 AS (SELECT ticker, t, k, CASE WHEN max(st) >= 1 - 1e-12 THEN 0 ELSE arg_min((1 - st - gone) / sl, bend) FILTER (WHERE bend IS NOT NULL AND st + gone + bend * sl >= 1 - 1e-12) END AS lv FROM k3 GROUP BY ticker, t, k),
+c12 AS (SELECT c11.*, coalesce(CASE WHEN a.lv IS NOT NULL THEN least(cap, r + a.lv * CASE WHEN m OR wm = 0 THEN r * g ELSE 0 END) END, CASE WHEN z.lv IS NOT NULL THEN least(cap, r + z.lv * r) END, r) AS fin
+  FROM c11 JOIN k4 a ON a.ticker = c11.ticker AND a.t = c11.t AND a.k = 1 JOIN k4 z ON z.ticker = c11.ticker AND z.t = c11.t AND z.k = 2),
+c13 AS (SELECT *, (bid + ask) / 2 AS mid, CASE WHEN fin > 1e-12 THEN fin ELSE 0 END AS sh FROM c12),
+c14 AS (SELECT *, sum(sh * mid) OVER p / sum(sh) OVER p AS centre, sum(sh) OVER p AS tot FROM c13 WINDOW p AS (PARTITION BY ticker, t))
+"""
+_COMPOSED = _COMPOSITE + """, a AS (SELECT ticker, t, sum(sh * bid) / sum(sh) AS bid, sum(sh * ask) / sum(sh) AS ask, sum(sh * pow(mid - centre, 2)) / sum(sh) AS apart, sum(sh * pow((ask - bid) / 2 * least(sqrt(tau / greatest(ipi, 1e-6)), 3), 2)) / sum(sh) AS aged,
+  count_if(sh > 0) AS accepted, count_if(g > 0 AND f >= 0.5) AS live, sum(CASE WHEN g > 0 AND f >= 0.5 THEN fin ELSE 0 END) / sum(sh) AS live_share, sum(CASE WHEN sh > 0 THEN vbid + vask ELSE 0 END) AS vol, sum(sh) * sum(sh) / sum(sh * sh) AS n_eff, max(sh) / sum(sh) AS top_share FROM c14 GROUP BY ticker, t)
+SELECT ticker, t, round(CASE WHEN ask > bid THEN bid ELSE (bid + ask) / 2 - CASE WHEN ask = bid AND accepted >= 2 THEN sqrt(apart) ELSE 0 END END, 9) AS bid, round(CASE WHEN ask > bid THEN ask ELSE (bid + ask) / 2 + CASE WHEN ask = bid AND accepted >= 2 THEN sqrt(apart) ELSE 0 END END, 9) AS ask, CAST(accepted AS INT) AS accepted,
+ CAST(least(65535, round(sqrt(greatest(sqrt(apart + aged), abs(ask - bid) / 2) / ((bid + ask) / 2) * 1e8) * 16)) AS INT) AS ci, CAST(least(live, 64) + CASE WHEN live_share >= 0.2 THEN 128 ELSE 0 END AS INT) AS confidence, CASE WHEN vol = 0 THEN 96 ELSE 64 END AS flags, round(n_eff, 6) AS n_eff, round(top_share, 6) AS top_share FROM a
+"""
+
+
+@query(_COMPOSED)
 def composite_tdwap(spark, d):  # noqa: ANN001, ANN201
-    c = C.composites(C.legs_at(ticks(spark, d), STEP), 60.0)
-    return c.select("ticker", "t", r("bid", 6), r("ask", 6), "accepted", "ci", "confidence", "flags", r("n_eff", 6), r("top_share", 6))
+    c = C.composites(_legs(Q.leg_states(ticks(spark, d)), "ts"), 60.0)
+    return c.select("ticker", "t", r("bid", 9), r("ask", 9), "accepted", "ci", "confidence", "flags", r("n_eff", 6), r("top_share", 6))
 
 
-@query()
+@query(_COMPOSITE + "SELECT ticker, t, provider, round(sh / tot, 6) AS share FROM c14 WHERE sh > 0")
 def composite_weights(spark, d):  # noqa: ANN001, ANN201
-    c = C.composites(C.legs_at(ticks(spark, d), STEP), 60.0)
+    c = C.composites(_legs(Q.leg_states(ticks(spark, d)), "ts"), 60.0)
     return c.select("ticker", "t", F.inline("shares")).select("ticker", "t", "provider", r("share", 6))
 
 
 @query(_LEGS + """, x AS (SELECT *, sum(weight) OVER (PARTITION BY ticker, t) AS s, sum(weight) OVER (PARTITION BY ticker, t ORDER BY mid, weight ROWS UNBOUNDED PRECEDING) AS c FROM l)
-SELECT ticker, t, round(sum(mid * greatest(0, least(0.6 * s, c) - greatest(0.4 * s, c - weight))) / max(0.2 * s), 6) AS median FROM x GROUP BY ticker, t""")
+SELECT ticker, t, round(sum(mid * greatest(0, least(0.6 * s, c) - greatest(0.4 * s, c - weight))) / max(0.2 * s), 9) AS median FROM x GROUP BY ticker, t""")
 def weighted_median(spark, d):  # noqa: ANN001, ANN201
-    legs = C.legs_at(ticks(spark, d), STEP).withColumn("mid", X.mid())
-    return C.weighted_medians(legs, ["ticker", "t"]).select("ticker", "t", r("median", 6))
+    legs = _legs(ticks(spark, d), "tc_ms")
+    return C.weighted_medians(legs, ["ticker", "t"]).select("ticker", "t", r("median", 9))
 
 
 @query(_LEGS + """, x AS (SELECT *, sum(weight) OVER (PARTITION BY ticker, t) / 2 AS h, sum(weight) OVER (PARTITION BY ticker, t ORDER BY mid, weight ROWS UNBOUNDED PRECEDING) - weight / 2 AS c FROM l),
 p AS (SELECT *, lag(c) OVER w AS pc, lag(mid) OVER w AS pm FROM x WINDOW w AS (PARTITION BY ticker, t ORDER BY mid, weight))
 SELECT ticker, t, round(arg_min(CASE WHEN pc IS NULL OR pc = c THEN mid ELSE pm + (mid - pm) * (h - pc) / (c - pc) END, c), 6) AS median FROM p WHERE c >= h GROUP BY ticker, t""")
 def interp_median(spark, d):  # noqa: ANN001, ANN201
-    legs = C.legs_at(ticks(spark, d), STEP).withColumn("mid", X.mid())
+    legs = _legs(ticks(spark, d), "tc_ms")
     return C.interpolated_medians(legs, ["ticker", "t"]).select("ticker", "t", r("median", 6))
 
 
 @query(_LEGS + "SELECT ticker, t, round(sum(weight) * sum(weight) / sum(weight * weight), 6) AS n_eff, round(sum(weight * weight) / (sum(weight) * sum(weight)), 6) AS hhi, round(least(0.99, 0.253 + exp(-0.228 * greatest(1, sum(weight) * sum(weight) / sum(weight * weight)))), 6) AS w_max FROM l GROUP BY ticker, t")
 def concentration(spark, d):  # noqa: ANN001, ANN201
-    return C.concentration(C.legs_at(ticks(spark, d), STEP), ["ticker", "t"]).select("ticker", "t", r("n_eff", 6), r("hhi", 6), r("w_max", 6))
+    return C.concentration(_legs(ticks(spark, d), "tc_ms"), ["ticker", "t"]).select("ticker", "t", r("n_eff", 6), r("hhi", 6), r("w_max", 6))
 
 
-@query()
+@query(_LEGS + """, h AS (SELECT ticker, t, list((provider, bid, ask, vbid, vask) ORDER BY provider) AS legs FROM l GROUP BY ticker, t)
+SELECT ticker, t, coalesce(legs <> lag(legs) OVER (PARTITION BY ticker ORDER BY t), true) AS changed FROM h""")
 def composite_throttle(spark, d):  # noqa: ANN001, ANN201
-    return C.unchanged_cycles(C.legs_at(ticks(spark, d), STEP)).select("ticker", "t", "changed")
+    return C.unchanged_cycles(_legs(ticks(spark, d), "tc_ms")).select("ticker", "t", "changed")
+
+
+@query(_LEGS + """, h AS (SELECT ticker, t, list((provider, bid, ask, vbid, vask) ORDER BY provider) AS legs, max(bid) AS best FROM l GROUP BY ticker, t),
+c AS (SELECT *, coalesce(legs <> lag(legs) OVER (PARTITION BY ticker ORDER BY t), true) AS changed FROM h), k AS (SELECT *, max(CASE WHEN changed THEN t END) OVER (PARTITION BY ticker ORDER BY t) AS c FROM c)
+SELECT ticker, t, changed, round(first_value(best) OVER (PARTITION BY ticker, c + (t - c) // 100000 * 100000 ORDER BY t), 8) AS best FROM k""")
+def composite_replay(spark, d):  # noqa: ANN001, ANN201
+    legs = _legs(ticks(spark, d), "tc_ms")
+    return C.throttled(legs, legs.groupBy("ticker", "t").agg(F.max("bid").alias("best")), 100_000).select("ticker", "t", "changed", r("best"))
 
 
 @query("SELECT seq, round(1 / ask, 10) AS bid, round(1 / bid, 10) AS ask FROM ticks")
@@ -377,17 +478,27 @@ def _full_pair(spark, d):  # noqa: ANN001, ANN202
     return Y.aligned(bars.where("ticker = 'click'"), bars.where("ticker = 'view'"))
 
 
-@query()
+_FULL_BARS = _FULL + f""", fb AS (SELECT ticker, bar_ts, arg_min(mid, (tc_ms, seq)) AS o, max(mid) AS h, min(mid) AS l, arg_max(mid, (tc_ms, seq)) AS c, CAST(sum(vbid) AS BIGINT) AS vbid, CAST(sum(vask) AS BIGINT) AS vask, count(*) AS n, coalesce(sum(r * r), 0) AS rv, coalesce(sum(abs(r) * abs(rp)) * pi() / 2, 0) AS bv, coalesce(max(abs(r)), 0) AS mr,
+ CAST(least(65535, round(sqrt(sum((ci / 16.0) * (ci / 16.0) * accepted) / sum(accepted)) * 16)) AS INT) AS ci, CAST(round(sum(rejected) / (sum(accepted) + sum(rejected)) * 65535) AS INT) AS rej FROM c GROUP BY ALL),
+fv AS (SELECT *, greatest(0, ln(h / c) * ln(h / o) + ln(l / c) * ln(l / o)) AS v FROM fb)
+"""
+_SYNTH2 = _FULL_BARS + """, sb AS (SELECT x.bar_ts, x.o / y.o AS o, x.c / y.c AS c, sqrt(x.o / y.o * x.c / y.c) AS mid, sqrt(4 * ln(2) * greatest(x.v + y.v - 2 * 0.3 * sqrt(x.v * y.v), 1e-12)) / 2 AS half, greatest(x.rv + y.rv - 2 * 0.3 * sqrt(x.rv * y.rv), 0) AS rv, greatest(x.ci, y.ci) AS ci, CASE WHEN x.ci >= y.ci THEN x.n ELSE y.n END AS n
+ FROM fv x JOIN fv y ON x.bar_ts = y.bar_ts AND x.ticker = 'click' AND y.ticker = 'view')
+"""
+
+
+@query(_SYNTH2 + "SELECT bar_ts, round(o, 7) AS open, round(c, 7) AS close, round(rv, 8) AS realized_var, ci AS avg_ci_ubp, n AS tick_count FROM sb")
 def synth_bar(spark, d):  # noqa: ANN001, ANN201
     return Y.synth_bar(_full_pair(spark, d), 0.3).select("bar_ts", r("open", 7), r("close", 7), r("realized_var"), "avg_ci_ubp", "tick_count")
 
 
-@query()
+@query(_SYNTH2 + "SELECT bar_ts // 300000 * 300000 AS dst_ts, round(arg_min(o, bar_ts), 7) AS open, round(max(greatest(mid * exp(half), o, c)), 7) AS high, round(min(least(mid * exp(-half), o, c)), 7) AS low, round(arg_max(c, bar_ts), 7) AS close, round(sum(rv), 8) AS realized_var, CAST(sum(n) AS BIGINT) AS tick_count FROM sb GROUP BY ALL")
 def synth_bar_rollup(spark, d):  # noqa: ANN001, ANN201
     return Y.synth_rollup(Y.synth_bar(_full_pair(spark, d), 0.3), 300_000).select("dst_ts", r("open", 7), r("high", 7), r("low", 7), r("close", 7), r("realized_var"), "tick_count")
 
 
-@query()
+@query(_FULL_BARS + """SELECT x.bar_ts, round(x.o / y.o, 7) AS open, round(greatest(x.o / y.o, x.c / y.c, x.h / y.h, x.l / y.l), 7) AS high, round(least(x.o / y.o, x.c / y.c, x.h / y.h, x.l / y.l), 7) AS low, round(x.c / y.c, 7) AS close, least(x.vbid, y.vbid) AS vbid, least(x.vask, y.vask) AS vask, greatest(x.n, y.n) AS tick_count,
+ CAST(least(65535, round(sqrt(sqrt(pow(x.ci / 16.0, 4) + pow(y.ci / 16.0, 4))) * 16)) AS INT) AS avg_ci_ubp, 128 AS flags FROM fb x JOIN fb y ON x.bar_ts = y.bar_ts AND x.ticker = 'click' AND y.ticker = 'view'""")
 def cross_bar_10s(spark, d):  # noqa: ANN001, ANN201
     return Y.cross_bar(_full_pair(spark, d)).select("bar_ts", r("open", 7), r("high", 7), r("low", 7), r("close", 7), "vbid", "vask", "tick_count", "avg_ci_ubp", "flags")
 
@@ -535,7 +646,7 @@ def jaro_winkler(spark, d):  # noqa: ANN001, ANN201
     return N.similarities(a.join(b, "n_regionkey").select("a", "b"), "a", "b").select("a", "b", r("jw", 6))
 
 
-@query()
+@query("SELECT n_name, CAST(list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split(n_name, ''), lambda x: CAST(ord(x) AS UHUGEINT))), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS VARCHAR) AS id FROM nation", raw=True)
 def fnv_phantom_id(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "nation").select("n_name", N.fnv1a_64("n_name").cast("string").alias("id"))
 
@@ -546,11 +657,11 @@ def resolve_symbols(spark, d):  # noqa: ANN001, ANN201
     return N.resolved(symbols, N.seed_registry(spark)).select("symbol", "name", "class", "asset_id")
 
 
-@query()
+@query("SELECT CAST(ascii(ticker) * 1000 + length(ticker) AS BIGINT) AS ticker, 1262304000000 + ((ts_ms - 1262304000000) * 1000 // 16) * 16 // 1000 AS ts_ms, bid, ask, vbid, vask, ci, CAST(accepted AS INT) AS accepted, CAST(rejected AS INT) AS rejected, round(mid, 8) AS mid FROM ticks")
 def idx_codec_roundtrip(spark, d):  # noqa: ANN001, ANN201
     from ..sources import codec
 
-    t = ticks(spark, d).select((F.crc32(F.col("ticker").cast("binary"))).alias("ticker"), "seq", X.ms_to_mts("ts_ms").alias("mts"), "bid", "ask", "vbid", "vask", "ci", "accepted", "rejected")
+    t = ticks(spark, d).select((F.ascii("ticker") * 1000 + F.length("ticker")).cast("long").alias("ticker"), "seq", X.ms_to_mts("ts_ms").alias("mts"), "bid", "ask", "vbid", "vask", "ci", "accepted", "rejected")
     blobs = codec.encode_rows(t.withColumn("key", F.col("ticker").cast("string")), "idx", ["key"], ["seq"])
     return codec.decoded_view(codec.decode_column(blobs, "idx", label="key")).select("ticker", "ts_ms", "bid", "ask", "vbid", "vask", "ci", "accepted", "rejected", r("mid"))
 
@@ -564,7 +675,7 @@ def stream_ohlc(spark, d):  # noqa: ANN001, ANN201
     return out.select("ticker", "bar_ts", r("open"), r("high"), r("low"), r("close"), "tick_count")
 
 
-@query()
+@query(_DELTA)
 def stream_delta_gate(spark, d):  # noqa: ANN001, ANN201
     return L.collected(L.stream_delta_gate(stream_ticks(spark, d)), "tl_stream_delta_gate").select("ticker", "ts", "seq", r("bid"), r("ask"), "flags")
 

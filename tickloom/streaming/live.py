@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -99,9 +100,16 @@ def reloaded(stream: DataFrame, params_path: str, apply: Any, sink: Any):  # noq
 
 
 def collected(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now and returns what it emitted, from memory: for tests and small checks."""
-    import tempfile
+    """Runs a stream over all that is there now and returns what it emitted, as a Parquet table in the folder that all executors share."""
+    from ..session import shared_dir
 
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start()
+    path = f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def attested(rows: DataFrame) -> DataFrame:
+    """(seat, ts, boot, seq, verdict) of signed beats, by what each seat's newest valid one was."""
+    schema = "seat string, ts bigint, boot bigint, seq bigint, verdict string"
+    return folded(rows, "seat", ["arrived"], schema, folds.AttestState, lambda s, r: [(r.seat, r.ts, r.boot, r.seq, s.judge(r.boot, r.seq, r.ts))])
