@@ -356,6 +356,10 @@ def test_warc(spark, monkeypatch):
         want.append((i, len(h.encode()), warc.digest_of(h.encode()), "response" if i == f else "revisit", None if i == f else f))
     same([r[:5] for r in got], want)
     assert warc.read_records(warc.write_archives(table.limit(0))).count() == 0
+    files = warc.stored(warc.write_archives(table))  # by ranges of files
+    assert files.first()["file"].endswith(".zip")
+    same([r[:5] for r in warc.read_records(files).collect()], want)
+    assert warc.read_records(warc.stored(warc.write_archives(table.limit(0)))).count() == 0
 
 
 def test_zip64_directory(monkeypatch):
@@ -386,7 +390,7 @@ def test_encoder_is_the_library():
             assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [enc.lib.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
-def test_token_counts(spark, docs, rows):
+def test_token_counts(spark, docs, rows, tmp_path):
     enc = encoding.Encoder(encoding.default_vocabulary(), plain=True)
     want = sorted(len(enc.lib.encode(r[1] or "", add_special_tokens=False).ids) for r in rows)
     for size in (7, 64, 1 << 20):  # block borders change nothing
@@ -394,6 +398,9 @@ def test_token_counts(spark, docs, rows):
         got = tokencount.scan(blocks).collect()
         assert sorted(r["n_tokens"] for r in got) == want and all(r["closed"] for r in got)
     assert tokencount.scan(tokencount.write_flat(empty(spark))).count() == 0
+    spark.createDataFrame(rows, COLUMNS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    pairs = [(r[0], len(enc.lib.encode(r[1] or "", add_special_tokens=False).ids), True) for r in rows]
+    same(tokencount.query(spark, str(tmp_path)).select("doc_id", "n_tokens", "closed").collect(), pairs)
     torn = spark.createDataFrame([(0, 0, bytearray(np.array([1, 9, 2, 3], "<u2").tobytes())), (0, 1, bytearray(np.array([4, 4], "<u2").tobytes()))], "file_id bigint, block int, ids binary")
     same([tuple(r) for r in tokencount.scan(torn, end_id=9).collect()], [(0, 0, 0, 1, True), (0, 1, 2, 4, False)])
 

@@ -23,6 +23,13 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def id_width(path: str) -> int:
+    """Bytes that every id of a vocabulary fits in: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) < 1 << 16 else 4
+
+
 def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of all units, in order; together they are the whole data."""
     n = len(data)

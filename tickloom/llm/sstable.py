@@ -248,18 +248,31 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the shards; start counts all ids before it."""
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("part", "seq", "n_ids").withColumn("base", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).drop("n_ids")
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the shards; start counts all ids before it.
+
+    What stands before a shard is summed by part, a row a part, and then within its part.
+    """
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("ids")).select(F.col("part").alias("_p"), (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before_part"))
+    order = Window.partitionBy("part").orderBy("seq")
+    own = shards.select("part", "seq", "n_ids").withColumn("own", F.sum("n_ids").over(order) - F.col("n_ids"))
+    starts = own.join(F.broadcast(parts), F.col("part") == F.col("_p")).select("part", "seq", (F.col("before_part") + F.col("own")).alias("base"))
     rows = shards.select("part", "seq", "shard").mapInArrow(_scan, "part int, seq int, doc_id bigint, before bigint, n_tokens bigint, ids_crc32 bigint")
     return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def lookup(shards: DataFrame, doc_id: int | None) -> list[list[int]]:
-    """The ids of the documents with this id: only shards whose key range holds it are read."""
+    """The ids of the documents with this id: shards whose key range holds it ask their Bloom filter, then one block, where they lie."""
     key = key_of(doc_id)
-    hits = shards.where((F.col("first_key") <= F.lit(bytearray(key))) & (F.col("last_key") >= F.lit(bytearray(key)))).orderBy("part", "seq").select("shard")
-    return [ids.tolist() for row in hits.toLocalIterator() for ids in Reader(bytes(row["shard"])).get(key)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, seq, shard in zip(*(batch.column(i) for i in range(3)), strict=True):
+                for n, ids in enumerate(Reader(memoryview(shard.as_buffer())).get(key)):
+                    yield pa.RecordBatch.from_pydict({"part": [part.as_py()], "seq": [seq.as_py()], "n": [n], "ids": [ids.tolist()]})
+
+    hits = shards.where((F.col("first_key") <= F.lit(bytearray(key))) & (F.col("last_key") >= F.lit(bytearray(key)))).select("part", "seq", "shard")
+    found = hits.mapInArrow(run, "part bigint, seq bigint, n bigint, ids array<bigint>").collect()
+    return [r["ids"] for r in sorted(found, key=lambda r: (r["part"], r["seq"], r["n"]))]
 
 
 def stored(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:

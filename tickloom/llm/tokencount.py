@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .encoding import default_vocabulary, encoder
+from .encoding import default_vocabulary, encoder, id_width
 from .shared import written
 
 END_ID = 50256
@@ -28,7 +28,7 @@ BLOCK_IDS = 1 << 20
 FILE_BLOCKS = 64
 
 
-def _flat(path: str, end_id: int, block_ids: int):  # noqa: ANN202
+def _flat(path: str, end_id: int, block_ids: int, width: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -41,7 +41,7 @@ def _flat(path: str, end_id: int, block_ids: int):  # noqa: ANN202
             ends = int((ids == end_id).sum())
             mine, names[:] = names[:ends], names[ends:]
             return pa.RecordBatch.from_arrays(
-                [pa.array([part * (1 << 20) + file], pa.int64()), pa.array([block], pa.int32()), pa.array([ids.astype("<u2").tobytes()], pa.binary()), pa.array([mine], pa.list_(pa.int64()))], ["file_id", "block", "ids", "doc_ids"]
+                [pa.array([part * (1 << 20) + file], pa.int64()), pa.array([block], pa.int32()), pa.array([ids.astype(f"<u{width}").tobytes()], pa.binary()), pa.array([mine], pa.list_(pa.int64()))], ["file_id", "block", "ids", "doc_ids"]
             )
 
         for batch in batches:
@@ -72,9 +72,13 @@ def _flat(path: str, end_id: int, block_ids: int):  # noqa: ANN202
 
 
 def write_flat(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(file_id, block, ids, doc_ids): the files' blocks in order; doc_ids, which the scan never reads, names the documents that end in a block."""
+    """(file_id, block, ids, doc_ids): the files' blocks in order; doc_ids, which the scan never reads, names the documents that end in a block.
+
+    Ids are two or four bytes wide, as the vocabulary needs (``encoding.id_width``).
+    """
+    vocabulary = vocabulary or default_vocabulary()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_flat(vocabulary or default_vocabulary(), end_id, block_ids), "file_id bigint, block int, ids binary, doc_ids array<bigint>")
+    return rows.mapInArrow(_flat(vocabulary, end_id, block_ids, id_width(vocabulary)), "file_id bigint, block int, ids binary, doc_ids array<bigint>")
 
 
 def _search(end_id: int, width: int):  # noqa: ANN202

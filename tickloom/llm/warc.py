@@ -1,8 +1,9 @@
 """WARC records in ZIP archives: written with an index, read back by ranges and never extracted.
 
-An archive is a ZIP of stored members: ``records.warc``, the records end to end, and ``index.cdxj``, a line for each record with
+Archives are files in the folder that all executors share, written and read by the tasks through Arrow's file systems; where that
+folder is in a store that these don't open, they are kept as cells of a table instead. An archive is a ZIP of stored members: ``records.warc``, the records end to end, and ``index.cdxj``, a line for each record with
 its offset and length. The reader needs only read(offset, length): it takes the end record, the ZIP64 records where sizes call
-for them, the central directory and a member's local header, then the index, then one range for each record wanted.
+for them, the central directory and a member's local header, then the index, then ranges of records that lie together.
 
 Of pages with equal payloads of at least MIN_REVISIT bytes, that with the smallest page_id is a response and the others are
 revisits that name it. Digests are summed before they are shuffled, so a payload that a third of all pages share is no load.
@@ -19,19 +20,23 @@ import hashlib
 import io
 import json
 import struct
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import shared_dir, written
 
 MIN_REVISIT = 0
 ARCHIVE_BYTES = 8 << 20
+#: Records that lie together are read in ranges of about so many bytes.
+RANGE_BYTES = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END, END64, LOCATOR64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -143,9 +148,17 @@ def records(read: Read, size: int) -> Iterator[tuple[int | None, bytes]]:
     found = {m.name: m for m in members(read, size)}
     base = data_at(read, found["records.warc"])
     index = found["index.cdxj"]
-    for line in bytes(read(data_at(read, index), index.size)).decode().splitlines():
-        e = json.loads(line)
-        yield e["page_id"], bytes(read(base + e["offset"], e["length"]))
+    lines = [json.loads(x) for x in bytes(read(data_at(read, index), index.size)).decode().splitlines()]
+    i = 0
+    while i < len(lines):
+        j, at = i + 1, lines[i]["offset"]
+        end = at + lines[i]["length"]
+        while j < len(lines) and lines[j]["offset"] == end and end - at < RANGE_BYTES:
+            end, j = end + lines[j]["length"], j + 1
+        block = bytes(read(base + at, end - at))
+        for e in lines[i:j]:
+            yield e["page_id"], block[e["offset"] - at : e["offset"] - at + e["length"]]
+        i = j
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,34 +188,79 @@ def write_archives(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFram
     return both.select("page_id", "url", "html", "first", revisit.alias("revisit")).mapInArrow(_write, "n_records bigint, archive binary")
 
 
+def _files(folder: str):  # noqa: ANN202
+    """Archives to files named by their content, so that a task that runs again writes the same ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        for batch in batches:
+            for n, a in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = a.as_buffer()
+                name = f"{hashlib.sha256(data).hexdigest()}.zip"
+                part = f"{root}/{name}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as f:
+                    f.write(data)
+                fs.move(part, f"{root}/{name}")
+                yield pa.RecordBatch.from_pydict({"n_records": [n], "bytes": [data.size], "file": [name]})
+
+    return run
+
+
+def stored(archives: DataFrame) -> DataFrame:
+    """(n_records, bytes, file, folder) of archives as files in the shared folder; as they are where Arrow can't open it."""
+    folder = f"{shared_dir(archives.sparkSession)}/archives-{uuid.uuid4().hex}"
+    try:
+        pafs.FileSystem.from_uri(folder)
+    except (pa.ArrowInvalid, OSError):
+        return written(archives, "archives")
+    files = archives.mapInArrow(_files(folder), "n_records bigint, bytes bigint, file string")
+    return written(files.withColumn("folder", F.lit(folder)), "archive-files").distinct()
+
+
+def _parsed(read: Read, size: int) -> pa.RecordBatch:
+    rows = []
+    for page_id, raw in records(read, size):
+        headers, http, payload = parse_record(raw)
+        full = int(next(x for x in http.decode().split("\r\n") if x.startswith("Content-Length: "))[16:])
+        digest = headers["warc-payload-digest"].removeprefix("sha1:")
+        if headers["warc-type"] == "response" and (digest_of(payload) != digest or len(payload) != full):
+            raise ValueError(f"payload of page {page_id} doesn't match its record")
+        first = headers.get("warc-refers-to")
+        rows.append({"page_id": page_id, "payload_bytes": full, "payload_digest": digest, "record_type": headers["warc-type"], "refers_to": int(first.removeprefix("<urn:page:").removesuffix(">")) if first else None, "url": headers.get("warc-target-uri")})
+    return pa.RecordBatch.from_pylist(rows, RECORD_SCHEMA)
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in batch.column(0):
             data = memoryview(a.as_buffer())
-            rows = []
-            for page_id, raw in records(lambda at, n: bytes(data[at : at + n]), len(data)):  # noqa: B023
-                headers, http, payload = parse_record(raw)
-                size = int(next(x for x in http.decode().split("\r\n") if x.startswith("Content-Length: "))[16:])
-                digest = headers["warc-payload-digest"].removeprefix("sha1:")
-                if headers["warc-type"] == "response" and (digest_of(payload) != digest or len(payload) != size):
-                    raise ValueError(f"payload of page {page_id} doesn't match its record")
-                first = headers.get("warc-refers-to")
-                rows.append({"page_id": page_id, "payload_bytes": size, "payload_digest": digest, "record_type": headers["warc-type"], "refers_to": int(first.removeprefix("<urn:page:").removesuffix(">")) if first else None, "url": headers.get("warc-target-uri")})
-            yield pa.RecordBatch.from_pylist(rows, RECORD_SCHEMA)
+            yield _parsed(lambda at, n: bytes(data[at : at + n]), len(data))  # noqa: B023
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for folder, name, size in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            fs, root = pafs.FileSystem.from_uri(folder)
+            with fs.open_input_file(f"{root}/{name}") as f:
+                yield _parsed(lambda at, n: f.read_at(n, at), size)  # noqa: B023
 
 
 RECORD_SCHEMA = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())])
 
 
 def read_records(archives: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of every record in the archives."""
-    return archives.select("archive").mapInArrow(_digests, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string")
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of every record in archives, stored as files or cells."""
+    kinds = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string"
+    if "archive" in archives.columns:
+        return archives.select("archive").mapInArrow(_digests, kinds)
+    return archives.select("folder", "file", "bytes").mapInArrow(_ranges, kinds)
 
 
 def query(spark, sf_dir):  # noqa: ANN001, ANN201
     from .shared import table
 
-    return read_records(written(write_archives(table(spark, sf_dir, "pages")), "archives")).drop("url")
+    return read_records(stored(write_archives(table(spark, sf_dir, "pages")))).drop("url")
 
 
 ORACLE = r"""
