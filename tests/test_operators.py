@@ -130,8 +130,51 @@ def test_resolver(spark):
     s = spark.createDataFrame([(x,) for x in ("btc", "#ETH", "EURC_", "nothing")], "symbol string")
     assert {r["symbol"]: r["asset_id"] for r in N.resolved(s, N.seed_registry(spark)).collect()} == {"btc": 2701, "#ETH": 5801, "EURC_": 6251}
     assert N.collisions(N.seed_registry(spark)).count() == 0
-    got = one(spark, N.fnv1a_64(F.lit("a")).cast("string"), N.fnv1a_64(F.lit("")).cast("string"), N.split_pair(F.lit("A/B"))["quote"], N.split_pair(F.lit("A/B/C")), N.detect_quote(F.lit("BTCUSDT"))["base"], N.normalized(F.lit(" Acme Holdings, Inc. ")))
-    assert list(got) == [str(0xAF63DC4C8601EC8C), str(0xCBF29CE484222325), "B", None, "BTC", "acme"]
+    got = one(spark, N.fnv1a_64(F.lit("a")).cast("string"), N.fnv1a_64(F.lit("")).cast("string"), N.split_pair(F.lit("A/B"))["quote"], N.split_pair(F.lit("A/B/C")), N.normalized(F.lit(" The Acme Co Inc. ")))
+    assert list(got) == [str(0xAF63DC4C8601EC8C), str(0xCBF29CE484222325), "B", None, "acmeco"]
+
+
+NAMES = ("Acme LLC", "The Acme Co", "ETH+", " Foo Group.", "BRK-B", "Bar, Inc", "x", "", "the the company", "Ünï Limited!")
+SYMBOLS = ("ABC.x", "_BTC", "goldusx", "BRK-B", "CVX.US", "^GSPC", "EURUSD.m", "btc_usdt-", "abc.us.m", "cash", "miniMICRO", "A-", "-", "", "x.y.us")
+
+
+def test_symbol_forms_are_alike_in_columns_and_in_lookups(spark):
+    rows = spark.createDataFrame([(x,) for x in NAMES + SYMBOLS], "s string").select("s", N.normalized("s"), N.stripped("s")).collect()
+    for s, n, t in rows:
+        assert (n, t) == (N.plain_normalized(s), N.plain_stripped(s)), s
+    assert [N.plain_normalized(x) for x in NAMES[:5]] == ["acme", "acmeco", "eth+", "foo", "brk-b"]
+    assert [N.plain_stripped(x) for x in SYMBOLS[:5]] == ["abc.x", "btc", "gold", "brk", "cvx"]
+
+
+def test_upper_bound_never_cuts_a_similarity():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(3000):
+        a, b = ("".join(rng.choices("abcd", k=rng.randint(0, 9))) for _ in range(2))
+        assert N.jaro_winkler(a, b) <= N.upper_bound(a, b) + 1e-9
+
+
+def test_tickers(spark):
+    """Crypto quotes force crypto bases, then other classes; pins; currency order; six letters; honest failures; perpetuals."""
+    reg = [("US Dollar", ["USD"], "FX", 3, 5001), ("Euro", ["EUR"], "FX", 3, 1301), ("Yen", ["JPY"], "FX", 3, 2001), ("Baht", ["THB"], "FX", 3, 4501), ("Tether", ["USDT"], "CR", 6, 17001), ("Bitcoin", ["BTC"], "CR", 6, 2701), ("Ethereum", ["ETH"], "CR", 6, 5801),
+           ("Ethereum Index", ["ETH"], "IP", 10, 2101), ("Sui", ["SUI"], "CR", 6, 20301), ("Sun Communities", ["SUI"], "EQ", 0, 13131), ("Solana", ["SOL"], "CR", 6, 14701), ("Gold", ["XAU"], "CM", 4, 161), ("Berkshire", ["BRK-B"], "EQ", 0, 1521), ("Brent", ["BR"], "CM", 4, 77)]
+    registry = spark.createDataFrame(reg, N.ASSET)
+    known = N.Registry(reg)
+    of = lambda s: (lambda m: m and (m[0][2:4], m[1][2:4]))(known.ticker(s))
+    assert of("SUI/USDT") == of("SUIUSDT") == ((6, 20301), (6, 17001)) and of("SUI/USD") == ((6, 20301), (3, 5001)) and of("SUI.US") == ((0, 13131), (3, 5001))
+    assert of("EUR/USDT") == ((3, 1301), (6, 17001)) and of("XAU/BTC") == ((4, 161), (6, 2701)) and of("USDT/THB") == ((6, 17001), (3, 4501))
+    assert of("USDJPY") == of("USD/JPY") == ((3, 5001), (3, 2001)) and of("SOL/ETH") == ((6, 14701), (6, 5801)) and of("BRK-B/USD") == ((0, 1521), (3, 5001))
+    assert of("ALGO/USD") is None and of("SOLV/USDT") is None and of("SOL") == ((6, 14701), (3, 5001)) and of("") is None
+    s = spark.createDataFrame([("SOL/USDT",), ("SOL/USDT:perp",), ("ALGO/USD",), (None,), ("SOL/USDT",)], "symbol string")
+    ids = {r["symbol"]: (r["ticker_id"], r["phantom"]) for r in N.ticker_ids(s, registry).collect()}
+    assert len(ids) == 3 and ids["ALGO/USD"][1] and ids["SOL/USDT:perp"][0] - ids["SOL/USDT"][0] == 1 << 60
+    back = {r["ticker_id"]: (r["base"], r["quote"], r["itype"]) for r in N.named_tickers(N.ticker_ids(s, registry).select("ticker_id"), registry).collect()}
+    assert back[ids["SOL/USDT"][0]] == ("SOLANA", "TETHER", 0) and back[ids["ALGO/USD"][0]][:2] == (f"0x{ids['ALGO/USD'][0] % (1 << 64):016x}", "")
+    clash = N.unpinned_clashes(spark.createDataFrame([("SUI",), ("ETH",), ("Sun",)], "symbol string"), spark.createDataFrame([*reg, ("Sun", [], "CR", 6, 9), ("Sun", [], "EQ", 0, 9)], N.ASSET)).collect()
+    assert [(r["symbol"], r["class"]) for r in clash] == [("Sun", "EQ")]
+    with pytest.raises(ValueError, match="share"):
+        N.checked(spark.createDataFrame([("A", ["X"], "CR", 6, 1), ("B", ["x"], "CR", 6, 2)], N.ASSET))
 
 
 def test_ranges(spark):
@@ -194,3 +237,93 @@ def test_calibration_meets_the_target(spark):
     for own in (None, sigma):
         (r,) = Q.calibrate_k(ticks, 80.0, sigma=own).collect()
         assert abs(r["median"] / 80 - 1) <= 0.05 and (own is None or r["k"] > 5)
+
+
+def test_record_files_by_ranges(spark, tmp_path):
+    import warnings
+
+    import pandas as pd
+
+    from tickloom.sources import files
+
+    n = 500
+    data = codec.encode("vol", pd.DataFrame({"mts": range(n), "sigma": [i / 7 for i in range(n)]}))
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "2024-01-01.vol").write_bytes(data + b"torn")
+    (tmp_path / "t" / "2024-01-02.vol").write_bytes(data[: 14 * 30])
+    (tmp_path / "t" / "notes.vol").write_bytes(b"zzz")
+    (tmp_path / "t" / "2024-01-03.vol").write_bytes(b"")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        df = files.read_records(spark, str(tmp_path), "vol", range_bytes=14 * 64)
+        assert df.rdd.getNumPartitions() == 9 and sorted(r["mts"] for r in df.where("dt = '2024-01-01'").collect()) == list(range(n)) and df.count() == n + 30
+        tail = files.read_records(spark, str(tmp_path), "vol", tail=5)
+        assert sorted((str(r["dt"]), r["mts"]) for r in tail.collect()) == [*(("2024-01-01", i) for i in range(n - 5, n)), *(("2024-01-02", i) for i in range(25, 30))]
+        with pytest.raises(Exception, match="not whole"):
+            files.read_records(spark, str(tmp_path), "vol", strict=True).count()
+
+
+def test_frames_as_columns(spark):
+    import numpy as np
+    import pandas as pd
+
+    ws = codec.encode_ws(pd.DataFrame([[1, 2, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0]], columns=list(codec.FRAMES[1])))
+    rest = codec.rest_frames(3, np.arange(14.0).reshape(2, 7))
+    with pytest.raises(ValueError, match="65535"):
+        codec.encode_rest(3, np.zeros((65_536, 7)))
+    assert [len(codec.decode_rest(x)[1]) for x in codec.rest_frames(3, np.zeros((65_536, 7)))] == [65_535, 1]
+    blobs = spark.createDataFrame([("a", bytearray(ws)), ("b", None), ("c", bytearray(b"short"))], "path string, content binary")
+    got = codec.decoded_frames(blobs, "ws", strict=False).collect()
+    assert len(got) == 1 and (got[0]["path"], got[0]["ticker"], got[0]["rejected"]) == ("a", 2, 9.0)
+    r = codec.decoded_frames(spark.createDataFrame([("a", bytearray(rest[0]))], "path string, content binary"), "rest").collect()
+    assert [(x["kind"], x["row"], x["values"][0]) for x in r] == [(3, 0, 0.0), (3, 1, 7.0)]
+    import gzip
+
+    t = codec.texts(spark.createDataFrame([(bytearray(gzip.compress(b"hi")),), (bytearray(b"no"),), (None,)], "content binary")).collect()
+    assert [x["text"] for x in t] == ["hi", None, None]
+
+
+def test_manifest_keeps_the_last_entry(spark):
+    files = spark.createDataFrame([("p", bytearray(b"old"), 1), ("p", bytearray(b"newer"), 2)], "path string, content binary, entry int")
+    records = spark.createDataFrame([("p", 5), ("p", 9)], "path string, ts_ms bigint")
+    assert [(r["bytes"], r["first_ts"], r["last_ts"], r["n"]) for r in codec.manifest(records, files).collect()] == [(5, 5, 9, 2)]
+    old = spark.createDataFrame([("d1", 1), ("d2", 2)], "dt string, n int")
+    new = spark.createDataFrame([("d2", 7, 1), ("d2", 8, 2), ("d3", 9, 1)], "dt string, n int, entry int")
+    assert sorted(map(tuple, codec.upserted(old, new).collect())) == [("d1", 1), ("d2", 8), ("d3", 9)]
+
+
+def test_stores_gate_and_route(spark, tmp_path):
+    t = tick_rows(spark, [100, 100, 101], step=10_000).withColumn("bid", F.lit(1.0)).withColumn("ask", F.lit(2.0)).withColumn("vbid", F.lit(1)).withColumn("ci", F.lit(1)).withColumn("vask", F.when(F.col("seq") < 2, 1).otherwise(2))
+    codec.write_gated(t, str(tmp_path / "g"))
+    assert spark.read.parquet(str(tmp_path / "g")).count() == 2
+    bars = spark.createDataFrame([("T", 86_400_000 + 1_000, 1.0), ("T", 86_400_000 + 3_000, 1.0)], "ticker string, close_ts bigint, close double")
+    codec.write_bars(bars, str(tmp_path / "b"), "s10")
+    assert sorted(str(r["dt"]) for r in spark.read.parquet(str(tmp_path / "b")).collect()) == ["1970-01-01", "1970-01-02"]
+
+
+def test_guard_in_candles(spark):
+    """A doubled price is out until it is near again; still tickers aren't folded, and both give the same."""
+    mids = [100.0, 110.0, 500.0, 105.0, float("nan"), None, -1.0, 108.0]
+    rows = [(i, "T", i * 1000, m) for i, m in enumerate(mids)] + [(i, "U", i * 1000, 50.0 + i) for i in range(8)]
+    t = spark.createDataFrame(rows, "seq bigint, ticker string, tc_ms bigint, mid double").withColumns({"vbid": F.lit(1), "vask": F.lit(1), "ci": F.lit(16)})
+    got = {r["ticker"]: (r["high"], r["tick_count"]) for r in B.ohlc(t, 60_000).collect()}
+    assert got == {"T": (110.0, 4), "U": (57.0, 8)} and B.ohlc(t.limit(0), 1000).count() == 0
+
+
+def test_renko_guard_resumes_and_takes_a_new_k(spark):
+    half = 1_800_000
+    t = tick_rows(spark, [100, 101, 150, 102, 103], step=1000)
+    plain, held = (Q.renko(t, k=1.0, jump=j).collect() for j in (None, 0.05))
+    assert max(b["close"] for b in plain) > 140 and max(b["close"] for b in held) < 104
+    again = Q.renko(tick_rows(spark, [103, 103.5], step=1000), k=1.0, closes={"T": 100.0}).collect()
+    assert again and again[0]["open"] == pytest.approx(100.0)
+    moved = t.unionByName(tick_rows(spark, [104, 106, 108], step=1000).withColumn("tc_ms", F.col("tc_ms") + half).withColumn("seq", F.col("seq") + 9))
+    hot = moved.withColumn("k", F.when(F.col("tc_ms") < half, 1.0).otherwise(0.2))
+    sizes = {b["brick"] for b in Q.renko(hot, jump=0.05).where(F.col("ts") >= half).collect()}
+    assert sizes and max(sizes) < 0.3
+
+
+def test_parity_regime(spark):
+    rows = [("x", m, 100.0 * (1.0 if m < 60 else 1.01), 100.0) for m in range(90)]
+    got = {r["minute"]: (r["basis"], r["regime"]) for r in C.parity_basis(spark.createDataFrame(rows, "ticker string, minute bigint, leg_mid double, ref_mid double"), 80).collect()}
+    assert got[59] == (0.0, False) and got[85][1] and got[85][0] == pytest.approx(0.00995, abs=1e-4)

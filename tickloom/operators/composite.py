@@ -236,12 +236,24 @@ def multi_market(rows: DataFrame, keys: list[str], gain: float = 0.5, cap: float
     return g.select(*keys, "mid", F.least(F.col("_d") + gain * (F.col("_n") - F.col("_d")), cap * F.col("_d")).alias("volume"))
 
 
-def parity_basis(legs: DataFrame, minutes: int = 30, cap_bps: float = 200.0) -> DataFrame:
-    """Rolling median log ratio of a leg to its reference over common minutes: (ticker, minute, leg_mid, ref_mid) adds basis."""
-    w = Window.partitionBy("ticker").orderBy("minute").rowsBetween(-(minutes - 1), 0)
-    b = F.median(F.log(F.col("leg_mid") / F.col("ref_mid"))).over(w)
-    lim = cap_bps * 1e-4
-    return legs.withColumn("basis", F.least(F.greatest(b, F.lit(-lim)), F.lit(lim)))
+def _middle(values: Column) -> Column:
+    """Median of an array, null if it is empty."""
+    v, n = F.array_sort(values), F.size(values)
+    return (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2
+
+
+def parity_basis(legs: DataFrame, minutes: int = 30, cap_bps: float = 200.0, recent: int = 30, most: int = 20, reset_bps: float = 25.0) -> DataFrame:
+    """(ticker, minute, leg_mid, ref_mid), a row for each common minute, with basis: the median log ratio of the last minutes, held in a cap.
+
+    Adds regime: ``most`` of the common minutes in the last ``recent`` are further from the basis than reset_bps and than three
+    times the median deviation; the basis is then that of those recent minutes alone. Minutes without a row don't count.
+    """
+    w = lambda n: Window.partitionBy("ticker").orderBy("minute").rangeBetween(-(n - 1), 0)
+    rows = legs.withColumn("_x", F.log(F.col("leg_mid") / F.col("ref_mid"))).withColumn("_v", F.collect_list("_x").over(w(minutes))).withColumn("_m", _middle(F.col("_v")))
+    rows = rows.withColumn("_d", F.greatest(3 * _middle(F.transform("_v", lambda x: F.abs(x - F.col("_m")))), F.lit(reset_bps * 1e-4))).withColumn("_r", F.collect_list("_x").over(w(recent)))
+    rows = rows.withColumn("regime", F.size(F.filter("_r", lambda x: F.abs(x - F.col("_m")) > F.col("_d"))) >= most)
+    b, lim = F.when(F.col("regime"), _middle(F.col("_r"))).otherwise(F.col("_m")), cap_bps * 1e-4
+    return rows.withColumn("basis", F.least(F.greatest(b, F.lit(-lim)), F.lit(lim))).drop("_x", "_v", "_m", "_d", "_r")
 
 
 def fallback(rows: DataFrame, key: str, order: str, primary: str, spare: str) -> DataFrame:

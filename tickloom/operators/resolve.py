@@ -143,7 +143,7 @@ def jaro_winkler(a: str, b: str) -> float:
 def upper_bound(a: str, b: str) -> float:
     """What the similarity can't exceed: every letter of the shorter that the other has at all may match, and the common prefix is real."""
     if not a or not b:
-        return 0.0
+        return float(a == b)
     m = min(len(a), len(b), sum(c in a for c in b))
     jaro = (m / len(a) + m / len(b) + 1) / 3
     prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
@@ -320,7 +320,7 @@ def ticker_ids(symbols: DataFrame, registry: DataFrame) -> DataFrame:
     s = symbols.select("symbol").where("symbol IS NOT NULL").distinct()
     r = resolved_tickers(s, registry).select("symbol", "ticker_id")
     h = fnv1a_64("symbol")
-    signed = F.when(h > (1 << 63) - 1, h - F.lit(1 << 64).cast("decimal(20,0)")).otherwise(h).cast("long")
+    signed = F.when(h > (1 << 63) - 1, h - F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(h).cast("long")
     return s.join(r, "symbol", "left").select("symbol", F.coalesce("ticker_id", signed).alias("ticker_id"), F.col("ticker_id").isNull().alias("phantom"))
 
 

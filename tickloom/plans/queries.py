@@ -651,12 +651,6 @@ def fnv_phantom_id(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "nation").select("n_name", N.fnv1a_64("n_name").cast("string").alias("id"))
 
 
-@query()
-def resolve_symbols(spark, d):  # noqa: ANN001, ANN201
-    symbols = spark.createDataFrame([(x,) for x in ("BTC", "btc", "#ETH", "WBTC.", "EURC", "JPYC_", "cbbtc", "CADX", "nothing")], "symbol string")
-    return N.resolved(symbols, N.seed_registry(spark)).select("symbol", "name", "class", "asset_id")
-
-
 @query("SELECT CAST(ascii(ticker) * 1000 + length(ticker) AS BIGINT) AS ticker, 1262304000000 + ((ts_ms - 1262304000000) * 1000 // 16) * 16 // 1000 AS ts_ms, bid, ask, vbid, vask, ci, CAST(accepted AS INT) AS accepted, CAST(rejected AS INT) AS rejected, round(mid, 8) AS mid FROM ticks")
 def idx_codec_roundtrip(spark, d):  # noqa: ANN001, ANN201
     from ..sources import codec
@@ -685,3 +679,6 @@ def stream_dedupe(spark, d):  # noqa: ANN001, ANN201
     t = stream_ticks(spark, d)
     twice = t.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     return L.collected(L.deduplicated(twice, ts="tc_ms").select("seq", "provider", "tc_ms"), "tl_stream_dedupe")
+
+
+from . import catalogue  # noqa: E402, F401

@@ -1,7 +1,8 @@
 """Packed little-endian records to and from rows: index, bar, tick and volatility files, frames, id lists and signed blobs.
 
-Files are read whole by Spark's binaryFile source, one row a file, and decoded in Arrow batches with a NumPy view of the bytes;
-a torn tail is left out unless strict. Offsets below are fixed values of the format.
+``read_files`` reads whole files by Spark's binaryFile source, from any store that Spark reads, one row a file and 2 GB at most;
+``sources.files`` reads byte ranges of larger ones. Bytes are decoded in Arrow batches with a NumPy view; a torn tail is left
+out unless strict. A null blob has no rows. Offsets, magic and strides below are fixed values of the formats.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ LAYOUTS = {
     "tick": (32, [("ticker", "u8", 0), ("bid", "f8", 8), ("ask", "f8", 16), ("vbid", "u4", 24), ("vask", "u4", 28)]),
     "vol": (14, [("mts", "u6", 0), ("sigma", "f8", 6)]),
 }
+REST_MAGIC = b"NXRF"
 FRAMES = {1: ("epoch_ms", "ticker", "mid", "bid", "ask", "ci_ubp", "confidence", "accepted", "rejected"), 2: ("epoch_ms", "ticker", "mid", "bid", "ask", "ci_ubp", "confidence", "accepted", "rejected", "flags")}
 TICK_FRAME = ("epoch_ms", "ticker", "provider", "bid", "ask", "accepted")
 REST_STRIDES = {1: 11, 2: 20, 3: 7}
@@ -96,9 +98,10 @@ def decode_column(blobs: DataFrame, kind: str, strict: bool = True, label: str =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, data in zip(pdf[label], pdf[content], strict=True):
-                out = decode(kind, bytes(data), strict)
-                out.insert(0, label, name)
-                yield out
+                if data is not None:
+                    out = decode(kind, bytes(data), strict)
+                    out.insert(0, label, name)
+                    yield out
 
     return blobs.select(label, content).mapInPandas(run, f"{label} string, {schema(kind)}")
 
@@ -148,16 +151,67 @@ def encode_ws(rows: pd.DataFrame, kind: int = 1) -> bytes:
 
 
 def encode_rest(kind: int, rows: np.ndarray) -> bytes:
-    return b"NXRF" + struct.pack("<BBH", kind, rows.shape[1], min(len(rows), 65535)) + rows[:65535].astype("<f8").tobytes()
+    """One frame; its count is 16 bits wide, so more rows are an error (see rest_frames)."""
+    if len(rows) > 65535:
+        raise ValueError(f"{len(rows)} rows in one frame; it counts to 65535")
+    return REST_MAGIC + struct.pack("<BBH", kind, rows.shape[1], len(rows)) + rows.astype("<f8").tobytes()
+
+
+def rest_frames(kind: int, rows: np.ndarray) -> list[bytes]:
+    """As many frames as the rows need, one at least."""
+    return [encode_rest(kind, rows[i : i + 65535]) for i in range(0, max(len(rows), 1), 65535)]
 
 
 def decode_rest(data: bytes) -> tuple[int, np.ndarray]:
-    if data[:4] != b"NXRF":
+    if data[:4] != REST_MAGIC:
         raise ValueError("bad magic")
     kind, stride, count = struct.unpack_from("<BBH", data, 4)
     return kind, np.frombuffer(data, "<f8", count * stride, 8).reshape(count, stride)
 
 
+def decoded_frames(blobs: DataFrame, form: str, label: str = "path", content: str = "content", strict: bool = True) -> DataFrame:
+    """(label, rows) of a binary column of stream frames (ws, ws_ticks), REST frames (rest), id lists (ids) or signed quotes (signed).
+
+    Not strict: a malformed stream frame has no rows. REST rows are (kind, row, values). A null blob has no rows.
+    """
+    wide = lambda names: ", ".join(f"{n} {'bigint' if n in ('epoch_ms', 'ticker') else 'double'}" for n in names)
+    kinds = {"ws": wide(FRAMES[2]), "ws_ticks": wide(TICK_FRAME), "rest": "kind int, row int, values array<double>", "ids": "id bigint", "signed": "source_ts bigint, ticker bigint, price double, sigma bigint, conf int"}[form]
+
+    def one(data: bytes) -> pd.DataFrame:
+        if form in ("ws", "ws_ticks"):
+            out = decode_ws(data, form == "ws_ticks", strict)
+            return out if form == "ws_ticks" or "flags" in out else out.assign(flags=np.nan)
+        if form == "rest":
+            kind, rows = decode_rest(data)
+            return pd.DataFrame({"kind": kind, "row": np.arange(len(rows)), "values": list(rows)})
+        if form == "ids":
+            return pd.DataFrame({"id": decode_ids(data).view(np.int64)})
+        out = decode_signed(data)
+        return out.assign(ticker=out["ticker"].astype("uint64").to_numpy().view(np.int64)) if len(out) else out
+
+    names = [c.split()[0] for c in kinds.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, data in zip(pdf[label], pdf[content], strict=True):
+                if data is not None:
+                    out = one(bytes(data))[names]
+                    out.insert(0, label, name)
+                    yield out
+
+    return blobs.select(label, content).mapInPandas(run, f"{label} string, {kinds}")
+
+
+def texts(blobs: DataFrame, content: str = "content") -> DataFrame:
+    """Adds text: a gzip or zlib column unpacked, null for anything else."""
+
+    @F.pandas_udf("string")
+    def unpacked(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else text_of(bytes(x)))
+
+    return blobs.withColumn("text", unpacked(content))
+
+
 def decode_ids(data: bytes) -> np.ndarray:
     if len(data) % 8:
         raise ValueError("not whole ids")
@@ -195,9 +249,18 @@ def text_of(data: bytes) -> str | None:
 
 
 def manifest(records: DataFrame, files: DataFrame, ts: str = "ts_ms") -> DataFrame:
-    """One row a file: first and last time, rows, bytes and digest. The last entry for a path wins."""
+    """One row a file: first and last time, rows, bytes and digest. Of several entries for a path the last one (by ``entry``) wins."""
     stats = records.groupBy("path").agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n"))
-    return files.select("path", F.length("content").alias("bytes"), F.sha2("content", 256).alias("sha256")).join(stats, "path", "left")
+    own = files.select("path", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"), (F.col("entry") if "entry" in files.columns else F.lit(0)).alias("entry"))
+    last = own.groupBy("path").agg(F.max_by(F.struct("bytes", "sha256"), "entry").alias("f")).select("path", "f.*")
+    return last.join(stats, "path", "left")
+
+
+def upserted(entries: DataFrame, new: DataFrame, key: str = "dt") -> DataFrame:
+    """A manifest with new entries in place of those of the same key; of several new ones the last (by ``entry``) wins."""
+    cols = [c for c in entries.columns if c != key]
+    newest = new.groupBy(key).agg(F.max_by(F.struct(*cols), "entry").alias("r")).select(key, "r.*")
+    return entries.join(newest.select(key), key, "left_anti").select(key, *cols).unionByName(newest)
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
@@ -208,10 +271,33 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_params(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", "true").json(path)
+    """Parameters in JSON, or in YAML (one document a file) where a YAML parser is installed."""
+    if not path.endswith((".yml", ".yaml")):
+        return spark.read.option("multiLine", "true").json(path)
+    import json
+
+    import yaml
+
+    docs = [r["value"] for r in spark.read.text(path, wholetext=True).collect()]
+    return spark.createDataFrame([(json.dumps(yaml.safe_load(d)),) for d in docs], "value string").transform(lambda df: spark.read.json(df.rdd.map(lambda r: r["value"])))
 
 
 def write_table(df: DataFrame, path: str, mode: str = "append") -> None:
     """A store of kind, ticker and day partitions; overwriting replaces only the days written."""
     cols = [c for c in ("kind", "ticker", "dt") if c in df.columns]
     df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*cols).parquet(path)
+
+
+def write_gated(rows: DataFrame, path: str, sentinel_ms: int = 60_000, ts: str = "tc_ms") -> None:
+    """A delta-gated store: only what the gate writes, by ticker and day, appended."""
+    from ..operators.sequential import delta_gated
+
+    out = delta_gated(rows, sentinel_ms, ts)
+    write_table(out.withColumn("dt", F.to_date(F.timestamp_millis("ts"))), path)
+
+
+def write_bars(bars: DataFrame, path: str, kind: str, ts: str = "close_ts") -> None:
+    """Bars by kind, ticker and the day that their kind routes them to."""
+    from ..operators.ranges import routed_days
+
+    write_table(routed_days(bars, kind, ts).withColumn("kind", F.lit(kind)), path)
