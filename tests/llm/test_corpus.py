@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import io
 import random
 import re
@@ -510,3 +511,94 @@ def test_pipeline(spark, docs, rows, tmp_path):
     assert 6 in ids and not ids & {0, 1, 2, 3, 7, 16}
     starts = sorted((r["start"], r["n_tokens"]) for r in got)
     assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+
+
+def plain_pipeline(rows, items):
+    """(doc_id, start, n_tokens, crc32) of the pipeline's documents, stage by stage in plain Python."""
+    kept = []
+    for r in rows:
+        text = r[1] or ""
+        w = WORD.findall(text)
+        windows = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        again = {i + d for i, g in enumerate(zip(w, w[1:], w[2:], strict=False)) if windows[g] > 1 for d in range(3)}
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        chars = sum(map(len, w))
+        bad = len(w) < 50 or 100 * len(again) > 50 * len(w) or 100 * len(re.findall(r"[#*$%&|<>]", text)) > 30 * len(w) or 100 * (len(lines) - len(set(lines))) > 50 * len(lines) or not 2 * len(w) <= chars <= 20 * len(w)
+        if not bad:
+            kept.append(r)
+    sets, label = shingle_sets(kept, 5), list(range(len(kept)))
+    for _ in kept:  # labels sink until they stand still
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+    groups = collections.defaultdict(list)
+    for x, r in zip(label, kept, strict=True):
+        groups[x].append(r)
+    kept = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+
+    def leaks(text):
+        w = text.lower().split()
+        for item in items:
+            t = item.lower().split()
+            k = min(5, len(t))
+            grams = lambda x: collections.Counter(tuple(x[i : i + k]) for i in range(len(x) - k + 1))  # noqa: B023, E731
+            for i in range(max(1, len(w) - len(t) + 1)):
+                a, b = grams(w[i : i + len(t)]), grams(t)
+                if 100 * (a & b).total() >= 80 * (a | b).total() > 0:
+                    return True
+        return False
+
+    kept = [r for r in kept if not leaks(r[1])]
+    sources = sorted({r[3] for r in kept}, key=lambda s: (s is None, s or ""))
+    size = lambda r: len(WORD.findall(r[1]))
+    total = {s: sum(size(r) for r in kept if r[3] == s) for s in sources}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    goal, capped = 1.5 * sum(total.values()), set()
+    while True:
+        level = (goal - sum(2 * total[s] for s in capped)) / max(sum(weight[s] for s in sources if s not in capped), 1e-9)
+        over = {s for s in sources if s not in capped and level * weight[s] > 2 * total[s]}
+        if not over:
+            break
+        capped |= over
+    out = []
+    for s in sources:
+        target = 2 * total[s] if s in capped else level * weight[s]
+        whole = int(target // total[s])
+        rest, before = target - whole * total[s], 0
+        place = lambda r: hashlib.md5(f"mix-1:{'null' if r[0] is None else r[0]}".encode()).hexdigest()
+        for _, own in itertools.groupby(sorted((r for r in kept if r[3] == s), key=lambda r: (int(place(r)[:8], 16) % 4096, place(r))), key=lambda r: int(place(r)[:8], 16) % 4096):
+            own = list(own)
+            n, begun = sum(map(size, own)), before
+            for r in own:
+                edge = begun < rest < begun + n
+                more = before + size(r) / 2 <= rest if edge else begun + n <= rest
+                out += [r] * (whole + more)
+                before += size(r)
+    enc, at, want = encoding.Encoder(encoding.default_vocabulary()), 0, []
+    for r in sorted(out, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = [*enc.lib.encode(r[1], add_special_tokens=False).ids, 2]
+        want.append((r[0], at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    return want
+
+
+def test_pipeline_gives_the_rows_of_the_plain_stages(spark, tmp_path):
+    """With clashing columns; and an empty table goes through all stages."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    items = [prose(rng, 25), prose(rng, 40)]
+    texts = [prose(rng, rng.randint(40, 150)) for _ in range(40)]
+    texts += [f"{prose(rng, 30)} {rng.choice(items)} {prose(rng, 30)}" for _ in range(4)] + [t + " more" for t in texts[:6]] + texts[6:9] + ["", None, "na " * 100]
+    rows = [(i, t, "en", rng.choice(["a", "b", "c", None]), 0) for i, t in enumerate(texts)]
+    for name, part in (("full", rows), ("none", [])):
+        clash = spark.createDataFrame(part, COLUMNS).withColumns({c: F.lit(1) for c in ("row", "h", "i", "x", "_id", "_w", "k", "n", "uid", "label", "failed_rules", "source_size")})
+        clash.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        same([tuple(r) for r in got], plain_pipeline(part, items) if part else [])
+    docs = spark.read.parquet(f"{tmp_path}/full/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/full")
+        assert len(docs.columns) == 17 and docs.count() > 0

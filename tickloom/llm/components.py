@@ -25,16 +25,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
+#: Edges in a file of a round, about: few links make one file, however many partitions a shuffle has.
+FILE_EDGES = 500_000
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label) for every linked node: label is the least node of its component. Links to itself or null are none."""
+    files = 1 + links.count() // FILE_EDGES
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    edges = written(edges, "cc")
+    edges = written(edges.coalesce(files), "cc")
     last = None
     while True:
-        before, edges = edges, written(_star(_star(edges, True), False), "cc")
+        before, edges = edges, written(_star(_star(edges, True), False).coalesce(files), "cc")
         let_go(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break
         last = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()).coalesce(files)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .shared import written
+from .shared import let_go, written
 
 ROWS = 7
 BANDS = 64
@@ -209,7 +209,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # a star in each bucket
     hubs = members.groupBy("band").agg(F.max(F.struct("weight", "cid", "n")).alias("c")).select("band", F.col("c.cid").alias("hub"), F.col("c.n").alias("hub_n"))
     fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-    edges = members.join(written(hubs, "hubs"), "band").where((F.col("cid") != F.col("hub")) & fits).select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
+    hubs = written(hubs, "hubs")
+    edges = members.join(hubs, "band").where((F.col("cid") != F.col("hub")) & fits).select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
     links = _confirm(edges, sets, percent)
     labels = written(components(links, "a", "b"), "labels")
 
@@ -224,7 +225,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     left = tagged.join(mixed.select("band", "blocks"), "band").withColumn("own", own).select("band", "cid", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     left = left.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "label", "own").join(sets, "cid")
     more = written(left.groupBy("band", "i", "j").applyInArrow(_spanned(percent), "a bigint, b bigint"), "more")
+    let_go(tagged)
     labels = written(components(links.union(more), "a", "b"), "labels")
+    let_go(members, hubs, links, more)
 
     named = classes.join(labels, classes["cid"] == labels["node"], "left").select("d1", "d2", "root", F.coalesce("label", "cid").alias("label"))
     least = named.groupBy("label").agg(F.min("root").alias("component_id"))
