@@ -98,22 +98,28 @@ class Market:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL names: tl_jaro_winkler and the table function tl_records(kind, bytes)."""
+    """SQL names: tl_jaro_winkler, and the table functions tl_idx_records, tl_bar_records, tl_tick_records and tl_vol_records of bytes.
+
+    A null or torn blob gives its whole records.
+    """
     from .operators.resolve import jaro_winkler
     from .sources import codec
 
     @F.pandas_udf("double")
     def jw(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)])
+        return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b, strict=True)])
+
+    def records(kind: str):  # noqa: ANN202
+        class Records:
+            def eval(self, data: bytes):  # noqa: ANN202
+                for row in codec.decode(kind, bytes(data or b""), strict=False).itertuples(index=False):
+                    yield tuple(v.item() if hasattr(v, "item") else v for v in row)
 
-    @udtf(returnType="mts bigint, sigma double")
-    class VolRecords:
-        def eval(self, data: bytes):  # noqa: ANN202
-            for r in codec.decode("vol", bytes(data), strict=False).itertuples(index=False):
-                yield int(r.mts), float(r.sigma)
+        return udtf(Records, returnType=codec.schema(kind))
 
     spark.udf.register("tl_jaro_winkler", jw)
-    spark.udtf.register("tl_vol_records", VolRecords)
+    for kind in codec.LAYOUTS:
+        spark.udtf.register(f"tl_{kind}_records", records(kind))
 
 
 __all__ = ["History", "Market", "X", "register"]

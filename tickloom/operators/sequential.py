@@ -151,9 +151,9 @@ def renko(ticks: DataFrame, sigma: DataFrame | None = None, k: float = 1.0, min_
 
     jump: prices further than this part from the last brick's close are skipped, until jump_limit in a row start the series anew.
     closes: last closes to go on from, by ticker, with no wick. A ``k`` column in ticks changes k at the next 30-minute period. A
-    ticker is one task's fold. Null prices are skipped; ties in time go by seq.
+    ticker is one task's fold. Null and insane prices are skipped; ties in time go by seq.
     """
-    rows = ticks.where(F.col("mid").isNotNull()).select("ticker", F.col(ts).alias("ts"), "seq", "mid", *(["k"] if "k" in ticks.columns else []))
+    rows = ticks.where(X.sane_px("mid")).select("ticker", F.col(ts).alias("ts"), "seq", "mid", *(["k"] if "k" in ticks.columns else []))
     own = F.lit(default_sigma)
     if sigma is not None:
         s = sigma.select(F.col("ticker").alias("_t"), F.col("bin_start_ms").alias("_b"), "sigma")
@@ -231,7 +231,7 @@ def calibrate_k(ticks: DataFrame, target: float, grid: tuple[float, ...] = (0.05
     After the grid each ticker without one halves log k between its brackets, doubling where none brackets from above and halving
     where none does from below, all tickers of a step in one job. After the last step the nearest k stands; no bricks, no row.
     """
-    rows = ticks.select("ticker", F.col(ts).alias("ts"), "seq", "mid")
+    rows = ticks.where(X.sane_px("mid")).select("ticker", F.col(ts).alias("ts"), "seq", "mid")
     own = F.lit(default_sigma)
     if sigma is not None:
         s = sigma.select(F.col("ticker").alias("_t"), F.col("bin_start_ms").alias("_b"), "sigma")

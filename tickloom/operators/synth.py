@@ -50,7 +50,7 @@ def asof_cross(base: DataFrame, quote: DataFrame, ttl_ms: int = 5000, ts: str =
     j = j.where((F.col("ts") - F.col("b.ts") <= ttl_ms) & (F.col("ts") - F.col("c.ts") <= ttl_ms))
     j = j.where((F.col("b.confidence") != 0) & (F.col("c.confidence") != 0))
     ci = X.ci_encode(F.sqrt(F.pow(X.ci_decode("b.ci"), F.lit(2.0)) + F.pow(X.ci_decode("c.ci"), F.lit(2.0))))
-    out = j.select("ts", "seq", (F.col("b.bid") / F.col("c.ask")).alias("bid"), (F.col("b.ask") / F.col("c.bid")).alias("ask"), F.least("b.vbid", "c.vbid").alias("vbid"), F.least("b.vask", "c.vask").alias("vask"), F.least("b.accepted", "c.accepted").alias("accepted"), ci.alias("ci"))
+    out = j.select("ts", "seq", (F.col("b.bid") / F.col("c.ask")).alias("bid"), (F.col("b.ask") / F.col("c.bid")).alias("ask"), F.least("b.vbid", "c.vbid").alias("vbid"), F.least("b.vask", "c.vask").alias("vask"), F.least("b.accepted", "c.accepted").alias("accepted"), ci.alias("ci"), F.least("b.confidence", "c.confidence").alias("confidence"), F.lit(SYNTH).alias("provider"))
     return out.where(X.sane_px("bid") & X.sane_px("ask"))
 
 

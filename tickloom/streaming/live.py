@@ -79,7 +79,14 @@ def stream_last(rows: DataFrame, heartbeat_s: int = 1) -> DataFrame:
 
 
 def subscribed(stream: DataFrame, ids: list) -> DataFrame:
-    return stream.where(F.col("ticker").isin(ids))
+    """The rows of listed tickers; an empty list has none, and null tickers are in no list."""
+    return stream.where(F.col("ticker").isin(ids)) if ids else stream.where("false")
+
+
+def acknowledged(ids: list, known: DataFrame) -> dict[str, list]:
+    """What a subscription answers: which of the ids are known tickers, in the order asked, and which are rejected."""
+    found = {r["ticker"] for r in known.where(F.col("ticker").isin(ids)).select("ticker").distinct().collect()} if ids else set()
+    return {"subscribed": [i for i in ids if i in found], "rejected": [i for i in ids if i not in found]}
 
 
 def table_stream(spark: SparkSession, path: str, schema) -> DataFrame:  # noqa: ANN001
