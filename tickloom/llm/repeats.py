@@ -108,25 +108,30 @@ def _pieces(length: int):  # noqa: ANN202
 PIECES = "doc_id bigint, h bigint, g bigint, first int, once boolean, hot boolean, bytes binary"
 
 
-def window_classes(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
-    """Of every window of every piece, in order, its rank among all, by their bytes: a suffix array that looks length bytes far.
+def repeated_windows(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
+    """Of every window of every piece, in order, whether its bytes are those of another: a suffix array that looks length bytes far.
 
-    length is 8 bytes at least.
+    Ranks of twice as many bytes come from pairs of ranks. A place whose bytes so far stand nowhere else has no equal further on
+    either, so it is put aside (-1) and not sorted again. length is 8 bytes at least.
     """
     left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
     at = np.flatnonzero(left >= 8)
-    rank = np.full(len(data), -1, np.int64)
-    wide = np.lib.stride_tricks.sliding_window_view(data, 8)[at]
-    rank[at] = np.unique(np.ascontiguousarray(wide).view(">u8").ravel(), return_inverse=True)[1]
+    key = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)[at]).view(">u8").ravel().astype(np.uint64)
     step = 8
-    while step < length:
-        shift = min(step, length - step)
-        at = np.flatnonzero(left >= step + shift)
-        pair = rank[at] * len(data) + rank[at + shift]
+    while True:
+        order = np.argsort(key)
+        ranked = key[order]
+        new = np.r_[True, ranked[1:] != ranked[:-1]] if len(key) else np.zeros(0, bool)
+        alone = new & np.r_[new[1:], True] if len(key) else new
         rank = np.full(len(data), -1, np.int64)
-        rank[at] = np.unique(pair, return_inverse=True)[1]
+        rank[at[order]] = np.where(alone, -1, np.cumsum(new) - 1)
+        if step >= length:
+            return (rank >= 0)[left >= length]
+        shift = min(step, length - step)
+        at = np.flatnonzero((rank >= 0) & (left >= step + shift))
+        at = at[rank[at + shift] >= 0]
+        key = rank[at] * len(data) + rank[at + shift]
         step += shift
-    return rank[left >= length]
 
 
 def _runs(batch: pa.RecordBatch, again: np.ndarray, length: int) -> pa.RecordBatch:
@@ -152,8 +157,7 @@ def _ordered(length: int):  # noqa: ANN202
         table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         raw = table.column("bytes").to_pylist()
         offsets = np.r_[0, np.cumsum([len(v) for v in raw])]
-        rank = window_classes(np.frombuffer(b"".join(raw), np.uint8), offsets, length)
-        yield _runs(table, np.bincount(rank)[rank] > 1, length)
+        yield _runs(table, repeated_windows(np.frombuffer(b"".join(raw), np.uint8), offsets, length), length)
 
     return run
 
