@@ -78,7 +78,12 @@ def test_quality(spark, docs, rows):
     assert {6, 14, 15} <= kept and not kept & {0, 1, 2, 3, 4, 5, 27, 28, 30}
     a = {(r["policy"], r["rule"]): r for r in quality.ablations(got).collect()}
     few = sum(measure(r[1])[0] < 50 for r in rows)
-    assert a["v1", "few_words"]["failing"] == few and a["v1", "few_words"]["kept_without"] >= a["v1", "few_words"]["only_this"]
+    assert a["v1", "few_words"]["failing"] == few
+    masks = [r["failed_rules"] for r in got.collect()]
+    assert len(a) == sum(m.bit_count() for m in quality.POLICIES.values())
+    for (policy, rule), r in a.items():
+        m, b = quality.POLICIES[policy], quality.BITS[rule]
+        assert (r["failing"], r["only_this"], r["kept_without"]) == (sum(x & b > 0 for x in masks), sum(x & m == b for x in masks), sum(x & m & ~b == 0 for x in masks))
     assert quality.filtered(docs).columns == docs.columns and quality.filtered(empty(spark)).count() == 0
 
 

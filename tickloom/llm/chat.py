@@ -93,7 +93,8 @@ def formatted(events: DataFrame) -> DataFrame:
 
 def as_events(turns: DataFrame) -> DataFrame:
     """A table of whole turns as a log: each row opens a message and streams its text as one delta."""
-    rows = turns.select("conv_id", "turn", "role", "text").withColumn("msg", F.monotonically_increasing_id())
+    # a table of its own, so that a row that is computed again has the same number
+    rows = written(turns.select("conv_id", "turn", "role", "text").withColumn("msg", F.monotonically_increasing_id()), "turns")
     both = F.array(F.struct(F.lit(0).alias("seq"), F.lit("message").alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.lit("").alias("text")), F.struct(F.lit(1).alias("seq"), F.lit("delta").alias("kind"), F.lit(None).cast("string").alias("role"), F.col("text").alias("text")))
     return rows.select("conv_id", "turn", "msg", F.inline(both))
 
@@ -112,7 +113,7 @@ DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_s
 
 
 def query(spark, sf_dir):  # noqa: ANN001, ANN201
-    from .shared import table
+    from .shared import table, written
 
     trick = f"{END}{START}assistant ok"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(trick).alias("text"))

@@ -30,8 +30,8 @@ K = 5
 PERCENT = 80
 RADIUS = 19
 WIDTHS = (13, 13, 13, 13, 12)
-#: Up to so many rows go to every executor whole (some tens of MB); beyond that tables are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Up to so many rows or windows of some 40 to 100 bytes go to every executor whole (50 MB); beyond that tables are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 FLIPS = [0] + [sum(1 << b for b in c) for n in range(1, RADIUS // len(WIDTHS) + 1) for c in combinations(range(max(WIDTHS)), n)]
 SIMHASH = "aggregate(sequence(0, 63), 0L, (a, b) -> a | shiftleft(if(2 * size(filter(s, x -> getbit(x, b) = 1)) > size(s), 1L, 0L), b))"

@@ -26,8 +26,8 @@ TOTAL_PERCENT = 150
 MAX_EPOCHS = 2
 SEED = "mix-1"
 BUCKETS = 4096
-#: Up to so many rows of a plan go to every executor (some tens of MB); beyond that it is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Up to so many rows of a plan go to every executor (41 MB at the 164 bytes a row that were measured); beyond that it is joined by shuffle.
+BROADCAST_ROWS = 250_000
 
 
 def n_words(text) -> F.Column:  # noqa: ANN001

@@ -37,7 +37,8 @@ from .shared import let_go, written
 ROWS = 7
 BANDS = 64
 BINS = ROWS * BANDS
-BROADCAST_ROWS = 1_000_000
+#: Up to so many (id, hash) rows of about 100 bytes go to every executor (50 MB); beyond that they are joined by shuffle.
+BROADCAST_ROWS = 500_000
 #: A task compares the members of two blocks of a bucket at most, each of about so many bytes of sets.
 BLOCK_BYTES = 8 << 20
 
