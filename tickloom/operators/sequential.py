@@ -208,19 +208,20 @@ def bricks_per_day(bricks: DataFrame) -> DataFrame:
 
 
 def _brick_medians(rows: DataFrame, tries: list[tuple[str, float]]) -> dict[tuple[str, float], float]:
-    """The median of bricks a day of each (ticker, k), all in one job; 0 where there is none."""
-    ks = rows.sparkSession.createDataFrame(tries, "ticker string, k double")
-    rows = rows.join(F.broadcast(ks), "ticker").withColumn("series", F.concat_ws("|", "k", "ticker"))
+    """The median of bricks a day of each (ticker, k); 0 where there is none. One sorted pass over a ticker feeds all its k."""
+    ks: dict[str, list[float]] = {}
+    for ticker, k in tries:
+        ks.setdefault(ticker, []).append(k)
 
-    class Lazy:
-        fold = None
+    class Many:
+        made = None
 
     def step(s, r):  # noqa: ANN001, ANN202
-        s.fold = s.fold or folds.Renko(r.k, 0.0)
-        return [(r.ticker, r.ts, r.k) for _ in s.fold.feed(r.ts, r.mid, r.sigma)]
+        s.made = s.made or [folds.Renko(k, 0.0) for k in ks.get(r.ticker, [])]
+        return [(r.ticker, r.ts, f.k, n) for f in s.made if (n := len(f.feed(r.ts, r.mid, r.sigma)))]
 
-    bricks = fold_rows(rows, "series", ["ts", "seq"], "ticker string, ts bigint, k double", Lazy, step)
-    days = bricks.groupBy("ticker", "k", (F.col("ts") - F.pmod("ts", F.lit(86_400_000))).alias("day_ms")).agg(F.count("*").alias("bricks"))
+    bricks = fold_rows(rows.where(F.col("ticker").isin(list(ks))), "ticker", ["ts", "seq"], "ticker string, ts bigint, k double, n bigint", Many, step)
+    days = bricks.groupBy("ticker", "k", (F.col("ts") - F.pmod("ts", F.lit(86_400_000))).alias("day_ms")).agg(F.sum("n").alias("bricks"))
     found = {(r["ticker"], r["k"]): r["median"] for r in days.groupBy("ticker", "k").agg(F.median("bricks").alias("median")).collect()}
     return {t: found.get(t, 0.0) for t in tries}
 

@@ -513,7 +513,7 @@ def synth_tick(spark, d):  # noqa: ANN001, ANN201
 
 
 _PRIMARIES = [("EUR/USD", "EUR", "USD", 1), ("USDC/USD", "USDC", "USD", 2), ("EUR/USDT", "EUR", "USDT", 3), ("USDC/USDT", "USDC", "USDT", 4), ("GER40/EUR", "GER40", "EUR", 5)]
-_ROUTES = """WITH RECURSIVE p(sym, base, quote, id, volume) AS (VALUES ('EUR/USD', 'EUR', 'USD', 1, 9.0), ('USDC/USD', 'USDC', 'USD', 2, 9.0), ('EUR/USDT', 'EUR', 'USDT', 3, 2.0), ('USDC/USDT', 'USDC', 'USDT', 4, 2.0), ('GER40/EUR', 'GER40', 'EUR', 5, 1.0)),
+_ROUTES = """WITH RECURSIVE p(sym, base, quote, id, volume) AS (VALUES ('EUR/USD', 'EUR', 'USD', 1, 9e0), ('USDC/USD', 'USDC', 'USD', 2, 9e0), ('EUR/USDT', 'EUR', 'USDT', 3, 2e0), ('USDC/USDT', 'USDC', 'USDT', 4, 2e0), ('GER40/EUR', 'GER40', 'EUR', 5, 1e0)),
 e AS (SELECT base AS src, quote AS dst, sym, volume FROM p UNION ALL SELECT quote, base, sym, volume FROM p),
 w AS (SELECT src, dst, [src, dst] AS seen, [sym] AS legs, volume FROM e UNION ALL SELECT w.src, e.dst, list_append(w.seen, e.dst), list_append(w.legs, e.sym), least(w.volume, e.volume) FROM w JOIN e ON e.src = w.dst WHERE len(w.legs) < 3 AND NOT list_contains(w.seen, e.dst))
 """
@@ -592,10 +592,11 @@ def retention(spark, d):  # noqa: ANN001, ANN201
     return R.retained(s, 5000).select("ticker", F.col("day").cast("string").alias("day"), "drop")
 
 
-@query("WITH p AS (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS day, l_extendedprice / l_quantity AS px, l_orderkey, l_linenumber, l_quantity FROM lineitem) SELECT ticker, CAST(day AS VARCHAR) AS day, round(arg_min(px, (l_orderkey, l_linenumber)), 6) AS open, round(max(px), 6) AS high, round(min(px), 6) AS low, round(arg_max(px, (l_orderkey, l_linenumber)), 6) AS close, round(sum(l_quantity), 2) AS volume, count(*) AS n FROM p GROUP BY ALL", raw=True)
+@query("WITH p AS (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS day, l_extendedprice / l_quantity AS px, l_orderkey, l_linenumber, l_quantity FROM lineitem) SELECT ticker, CAST(day AS VARCHAR) AS day, round(arg_min(px, (l_orderkey, l_linenumber)), 9) AS open, round(max(px), 9) AS high, round(min(px), 9) AS low, round(arg_max(px, (l_orderkey, l_linenumber)), 9) AS close, round(sum(l_quantity), 2) AS volume, count(*) AS n FROM p GROUP BY ALL", raw=True)
 def daily_ohlc(spark, d):  # noqa: ANN001, ANN201
-    p = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").cast("string").alias("day"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), F.struct("l_orderkey", "l_linenumber").alias("at"), "l_quantity")
-    return p.groupBy("ticker", "day").agg(r(F.min_by("px", "at"), 6, "open"), r(F.max("px"), 6, "high"), r(F.min("px"), 6, "low"), r(F.max_by("px", "at"), 6, "close"), r(F.sum("l_quantity"), 2, "volume"), F.count("*").alias("n"))
+    p = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("day"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), F.struct("l_orderkey", "l_linenumber").alias("at"), "l_quantity")
+    bars = p.groupBy("ticker", "day").agg(r(F.min_by("px", "at"), 9, "open"), r(F.max("px"), 9, "high"), r(F.min("px"), 9, "low"), r(F.max_by("px", "at"), 9, "close"), r(F.sum("l_quantity"), 2, "volume"), F.count("*").alias("n"))
+    return bars.withColumn("day", F.col("day").cast("string"))
 
 
 # statistics and codecs
