@@ -240,8 +240,42 @@ def lag_bucket(ms: Column | str) -> Column:
     return F.least(F.lit(15), F.when(m <= 0, 0).otherwise(F.length(F.bin(m)))).cast("int")
 
 
-def bucket_class(symbol: Column | str, majors: tuple[str, ...] = ("BTC", "ETH"), stables: tuple[str, ...] = ("USDT", "USDC", "DAI"), fiats: tuple[str, ...] = ("USD", "EUR", "JPY", "GBP", "CHF", "CAD", "AUD", "NZD")) -> Column:
-    """Calibration class of BASE/QUOTE."""
-    b, q = F.split_part(_c(symbol), F.lit("/"), F.lit(1)), F.split_part(_c(symbol), F.lit("/"), F.lit(2))
-    fiat = b.isin(*fiats) & q.isin(*fiats)
-    return F.when(fiat & ((b == "USD") | (q == "USD")), "fx_major").when(fiat, "fx_cross").when(b.isin(*stables) & (q.isin(*stables) | (q == "USD")), "crypto_stable").when(b.isin(*majors) & (q.isin(*stables) | (q == "USD")), "crypto_major").when(q.isin(*stables) | (q == "USD"), "crypto_alt").when(F.length(q) > 0, "crypto_cross").otherwise("default")
+#: Class numbers that the rules below name.
+FX, COMMODITY, CRYPTO = 3, 4, 6
+
+
+def _legs(ticker_id: Column | str) -> tuple[Column, Column]:
+    return ticker_field(ticker_id, 56, 4), ticker_field(ticker_id, 36, 4)
+
+
+def bucket_class(ticker_id: Column | str, base: Column | str = "base", quote: Column | str = "quote", majors: tuple[str, ...] = ("BTC", "ETH"), stables: tuple[str, ...] = ("USDT", "USDC", "DAI"), fx_majors: tuple[str, ...] = ("USD", "EUR", "JPY", "GBP", "CHF", "CAD", "AUD", "NZD")) -> Column:
+    """Calibration class of a ticker, from the classes of its legs and whether its symbols, whatever their case, are in the lists."""
+    b, q = _legs(ticker_id)
+    within = lambda c, names: F.upper(_c(c)).isin([n.upper() for n in names])
+    crypto = F.when(within(base, stables) & within(quote, stables), "crypto_stable").when(~within(quote, stables), "crypto_cross").when(within(base, majors), "crypto_major").otherwise("crypto_alt")
+    fiat = F.when((b == FX) & (q == FX) & within(base, fx_majors) & within(quote, fx_majors), "fx_major").otherwise("fx_cross")
+    return F.when((b == FX) | (q == FX), fiat).when((b == CRYPTO) & (q == CRYPTO), crypto).otherwise("default")
+
+
+def sigma_floor(ticker_id: Column | str, peg: Column | str | None = None, commodities: tuple[int, ...] = (COMMODITY,)) -> Column:
+    """Least 30-minute sigma of a ticker by its legs' classes; a peg (same_numeraire, cross_fiat) is better information and wins.
+
+    Metals are a class of their own whose number isn't published: it goes into commodities.
+    """
+    b, q = _legs(ticker_id)
+    own = F.when((b == FX) & (q == FX), CLASS_FLOORS["FX"]).when(b.isin(*commodities) | q.isin(*commodities), CLASS_FLOORS["CM"]).when((b == CRYPTO) | (q == CRYPTO), CLASS_FLOORS["CR"]).otherwise(CLASS_FLOORS["EQ"])
+    if peg is None:
+        return own
+    return F.when(_c(peg) == "same_numeraire", CLASS_FLOORS["STABLE"]).when(_c(peg) == "cross_fiat", CLASS_FLOORS["FX"]).otherwise(own)
+
+
+def wire_kernel(ticker_id: Column | str) -> Column:
+    """Kernel by the id alone: a crypto leg ages as ALT, all else as FX_METAL."""
+    b, q = _legs(ticker_id)
+    return F.when((b == CRYPTO) | (q == CRYPTO), "ALT").otherwise("FX_METAL")
+
+
+def clamped_sigma(realised: Column | str, kernel: str) -> Column:
+    """A measured sigma within once and ten times the kernel's own; one that isn't finite doesn't count."""
+    own = kernel_sigma(KERNELS[kernel][0])
+    return F.when(finite(realised), F.least(F.greatest(_c(realised), F.lit(own)), F.lit(10 * own))).otherwise(own)

@@ -143,11 +143,27 @@ def renko_brick_size(spark, d):  # noqa: ANN001, ANN201
     return ticks(spark, d).select("seq", r(X.brick_size("mid", (F.col("value") + 1) / 1000, 0.075, 0.002), 9, "brick"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'crypto_major' WHEN 1 THEN 'crypto_alt' WHEN 2 THEN 'crypto_stable' WHEN 3 THEN 'fx_major' WHEN 4 THEN 'fx_cross' ELSE 'crypto_cross' END AS bucket FROM orders""", raw=True)
+_CLASSES = "SELECT o_orderkey, o_orderkey % 7 AS k, CAST(CASE o_orderkey % 7 WHEN 3 THEN 3 WHEN 4 THEN 3 WHEN 6 THEN 4 ELSE 6 END AS INT) AS b, CAST(CASE o_orderkey % 7 WHEN 3 THEN 3 WHEN 4 THEN 3 WHEN 6 THEN 0 ELSE 6 END AS INT) AS q FROM orders"
+
+
+def _classes(spark, d):  # noqa: ANN001, ANN202
+    k = F.col("o_orderkey") % 7
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (k + 1).cast("int"))
+    t = table(spark, d, "orders").select("o_orderkey", pick("btc", "SOL", "DAI", "EUR", "EUR", "SOL", "WTI").alias("base"), pick("USDT", "USDT", "USDC", "usd", "THB", "BTC", "AAPL").alias("quote"), pick(6, 6, 6, 3, 3, 6, 4).alias("b"), pick(6, 6, 6, 3, 3, 6, 0).alias("q"))
+    return t.withColumn("ticker_id", X.make_ticker(0, F.col("b"), 1, F.col("q"), 2))
+
+
+@query(f"SELECT o_orderkey, CASE k WHEN 0 THEN 'crypto_major' WHEN 1 THEN 'crypto_alt' WHEN 2 THEN 'crypto_stable' WHEN 3 THEN 'fx_major' WHEN 4 THEN 'fx_cross' WHEN 5 THEN 'crypto_cross' ELSE 'default' END AS bucket FROM ({_CLASSES})", raw=True)
 def class_bucket(spark, d):  # noqa: ANN001, ANN201
-    k = F.col("o_orderkey") % 6
-    sym = F.when(k == 0, "BTC/USDT").when(k == 1, "SOL/USD").when(k == 2, "DAI/USDC").when(k == 3, "EUR/USD").when(k == 4, "EUR/JPY").otherwise("SOL/BNB")
-    return table(spark, d, "orders").select("o_orderkey", X.bucket_class(sym).alias("bucket"))
+    return _classes(spark, d).select("o_orderkey", X.bucket_class("ticker_id").alias("bucket"))
+
+
+@query(f"SELECT o_orderkey, CASE WHEN k = 2 THEN 0.0002e0 WHEN k = 1 THEN 0.00025e0 WHEN b = 3 THEN 0.00025e0 WHEN b = 4 THEN 0.0014e0 ELSE 0.0008e0 END AS floor, CASE WHEN b = 6 THEN 'ALT' ELSE 'FX_METAL' END AS kernel, round(CASE WHEN k = 0 THEN {10 * X.kernel_sigma(6.0)!r} ELSE {X.kernel_sigma(6.0)!r} END, 12) AS sigma FROM ({_CLASSES})", raw=True)
+def class_floors(spark, d):  # noqa: ANN001, ANN201
+    k = F.col("o_orderkey") % 7
+    peg = F.when(k == 2, "same_numeraire").when(k == 1, "cross_fiat")
+    measured = F.when(k == 0, 1.0).when(k == 1, float("nan")).otherwise(0.0)
+    return _classes(spark, d).select("o_orderkey", X.sigma_floor("ticker_id", peg).alias("floor"), X.wire_kernel("ticker_id").alias("kernel"), r(X.clamped_sigma(measured, "MAJOR"), 12, "sigma"))
 
 
 @query(P._renko_sql(1.0, 0.0) + "SELECT ticker, ts, seq, round(close, 8) AS close FROM bricks WHERE flags & 4 = 0")
@@ -469,6 +485,21 @@ def symbol_forms(spark, d):  # noqa: ANN001, ANN201
 # streams
 
 
+@query(P.ORACLE["leg_state_ipi"], raw=True)
+def stream_leg_state(spark, d):  # noqa: ANN001, ANN201
+    return L.collected(L.stream_leg_states(stream_ticks(spark, d)), "tl_stream_legs").select("leg", "ts", "seq", r("ema_ipi", 6))
+
+
+@query(P.ORACLE["zscore_gate"], raw=True)
+def stream_zscore_gate(spark, d):  # noqa: ANN001, ANN201
+    return L.collected(L.stream_zscores(stream_ticks(spark, d), 2.0), "tl_stream_z").where("z <= 4").select("ticker", "ts", "seq", r("z", 6))
+
+
+@query(P._GUARD.replace("value", "mid") + "SELECT o.ticker, o.tc_ms AS ts, o.seq, round(o.mid, 8) AS mid FROM g JOIN o ON o.ticker = g.ticker AND o.n = g.n WHERE g.ok")
+def stream_guard(spark, d):  # noqa: ANN001, ANN201
+    return L.collected(L.stream_sane_mids(stream_ticks(spark, d)), "tl_stream_sane").select("ticker", "ts", "seq", r("mid"))
+
+
 @query("SELECT seq, provider AS peer FROM ticks")
 def stream_replay_window(spark, d):  # noqa: ANN001, ANN201
     """Every frame twice: the second one isn't accepted."""

@@ -58,6 +58,31 @@ def stream_renko(rows: DataFrame, k: float, sigma: float) -> DataFrame:
     return folded(rows, "ticker", ["tc_ms", "seq"], "ticker string, ts bigint, seq bigint, open double, close double, flags int", lambda: folds.Renko(k), step)
 
 
+def stream_leg_states(rows: DataFrame) -> DataFrame:
+    """The state of each (ticker, provider) leg after each of its quotes."""
+    legs = rows.select(F.concat_ws("|", "ticker", "provider").alias("leg"), "tc_ms", "seq", "bid", "ask", "vbid", "vask")
+
+    def step(s, r):  # noqa: ANN001, ANN202
+        s.update(r.tc_ms, r.bid, r.ask, r.vbid, r.vask)
+        return [(r.leg, r.tc_ms, r.seq, s.ema_ipi, s.last_gap)]
+
+    return folded(legs, "leg", ["tc_ms", "seq"], "leg string, ts bigint, seq bigint, ema_ipi double, last_gap double", folds.LegState, step)
+
+
+def stream_zscores(rows: DataFrame, floor_bps: float = 0.0) -> DataFrame:
+    return folded(rows, "ticker", ["tc_ms", "seq"], "ticker string, ts bigint, seq bigint, z double", folds.RunningStats, lambda s, r: [(r.ticker, r.tc_ms, r.seq, s.score(r.mid, r.mid * floor_bps * 1e-4))])
+
+
+def stream_sane_mids(rows: DataFrame) -> DataFrame:
+    """The rows that the two-fold guard accepts; null prices aren't."""
+    return folded(rows.where(F.col("mid").isNotNull()), "ticker", ["tc_ms", "seq"], "ticker string, ts bigint, seq bigint, mid double", folds.SaneMid, lambda s, r: [(r.ticker, r.tc_ms, r.seq, r.mid)] if s.accept(r.mid) else [])
+
+
+def stream_vol_rows(bins: DataFrame, period: int = 28) -> DataFrame:
+    """Smoothed sigma of a stream of closed bins (ticker, bin_start_ms, raw)."""
+    return folded(bins, "ticker", ["bin_start_ms"], "ticker string, bin_start_ms bigint, raw double, sigma double", lambda: folds.VolEma(period), lambda s, r: [(r.ticker, r.bin_start_ms, r.raw, s.next(r.raw))])
+
+
 def stream_replay_check(rows: DataFrame) -> DataFrame:
     return folded(rows, "peer", ["ts", "seq"], "peer string, ts bigint, seq bigint", folds.ReplayWindow, lambda s, r: [(r.peer, r.ts, r.seq)] if s.accept(r.ts, r.seq) else [])
 
