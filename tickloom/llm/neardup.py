@@ -127,6 +127,7 @@ def _sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int) -> DataFra
     sets = written(texts.mapInArrow(_packed(k), "cid bigint, shingles binary"), "sets", compression="none")
     if sets.count() != n:  # rows that are repeated as a whole
         sets = written(sets.dropDuplicates(["cid"]), "sets")
+    let_go(reps)
     return sets
 
 
@@ -206,6 +207,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     members = written(met.join(nodes.join(weight, ["d1", "d2"]), ["d1", "d2"]).select("band", "cid", "n", "weight"), "members")
 
     sets = _sets(docs, rows, nodes, k)
+    let_go(met, nodes)
 
     # a star in each bucket
     hubs = members.groupBy("band").agg(F.max(F.struct("weight", "cid", "n")).alias("c")).select("band", F.col("c.cid").alias("hub"), F.col("c.n").alias("hub_n"))
@@ -228,7 +230,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     more = written(left.groupBy("band", "i", "j").applyInArrow(_spanned(percent), "a bigint, b bigint"), "more")
     let_go(tagged)
     labels = written(components(links.union(more), "a", "b"), "labels")
-    let_go(members, hubs, links, more)
+    let_go(members, hubs, links, more, sets)
 
     named = classes.join(labels, classes["cid"] == labels["node"], "left").select("d1", "d2", "root", F.coalesce("label", "cid").alias("label"))
     least = named.groupBy("label").agg(F.min("root").alias("component_id"))

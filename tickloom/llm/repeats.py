@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import partitions, written
+from .shared import let_go, partitions, written
 
 LENGTH = 200
 GRAM = 48
@@ -224,6 +224,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kee
     of = entries.groupBy("g").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.min("n").alias("least")).where("total > 1")
     known = written(entries.join(of, "g").select("g", "d", "n", "from", ((F.col("kinds") > 1) & (F.col("least") == 1)).alias("sorted"), (F.col("kinds") > HOT).alias("hot")), "dictionary")
     each = parsed.select("doc_id", "h", "uid", F.inline(F.arrays_zip("g", "d", "first", "last"))).join(known, ["g", "d"])
+    let_go(entries)
     # what stands twice is gone as a whole; what is to be sorted is handed in by the first row that has it
     handed = F.col("sorted") & (F.col("uid") == F.col("from"))
     found = each.groupBy("doc_id", "h").agg(
@@ -232,6 +233,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kee
         F.sum(F.when(handed, F.col("last") - F.col("first") + length).otherwise(0)).alias("size"),
     )
     found = written(found, "found")
+    let_go(parsed)
     size = found.agg(F.sum("size")).first()[0] or 0
     tasks = max(partitions(docs.sparkSession), -(-size // TASK_BYTES))
     d, f = docs.alias("d"), found.alias("f")
