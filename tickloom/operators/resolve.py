@@ -35,7 +35,7 @@ FX_SEED = {"EUR": 1301, "CAD": 601, "AUD": 101, "BRL": 301, "JPY": 2001, "KRW":
 #: A registry of more assets than this is refused: its rows go to every task (a few MB at this size).
 MOST_ASSETS = 100_000
 ASSET = "name string, aliases array<string>, class string, class_id int, asset_id int"
-#: Nibble of a perpetual; the reference's value isn't published, so it is a parameter.
+#: Nibble of a perpetual: not a published value, so it is a parameter.
 PERP = 1
 
 
