@@ -179,6 +179,19 @@ def rho_cache(legs: DataFrame, n: int = 180, i: int = 1, j: int = 2) -> DataFram
     return rolling_corr(pairs.where("_own AND a IS NOT NULL AND b IS NOT NULL").drop("_own", "_chunk"), n)
 
 
+def synth_bar_rolling(legs: DataFrame, exps: tuple[int, ...] = (1, -1), n: int = 180, estimator: str = "rs") -> DataFrame:
+    """synth_bar with the legs' own correlations over the last n common returns; 0 where a bar has none yet."""
+    rho = {}
+    rows = legs
+    for i in range(1, len(exps) + 1):
+        for j in range(i + 1, len(exps) + 1):
+            name = f"_rho_{i}_{j}"
+            own = rho_cache(legs, n, i, j).select("bar_ts", F.col("rho").alias(name))
+            rows = rows.join(own, "bar_ts", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+            rho[i, j] = F.col(name)
+    return synth_bar(rows, rho, exps, estimator)
+
+
 def cross_bar(legs: DataFrame, exps: tuple[int, ...] = (1, -1)) -> DataFrame:
     """A 10-second cross bar: exact open and close, extremes from the corner products; flagged composed, no fast fields."""
     n = range(1, len(exps) + 1)

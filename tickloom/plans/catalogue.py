@@ -198,6 +198,14 @@ def cross_bar_three_legs(spark, d):  # noqa: ANN001, ANN201
     return Y.cross_bar(legs, _EXPS3).select("bar_ts", r("open", 6), r("high", 6), r("low", 6), r("close", 6), "flags")
 
 
+@query(P._FULL_BARS + """, j AS (SELECT x.bar_ts, x.o / y.o AS o, x.c / y.c AS c, x.v AS v1, y.v AS v2, x.rv AS r1, y.rv AS r2, ln(x.c / lag(x.c) OVER w) AS a, ln(y.c / lag(y.c) OVER w) AS b FROM fv x JOIN fv y ON x.bar_ts = y.bar_ts AND x.ticker = 'click' AND y.ticker = 'view' WINDOW w AS (ORDER BY x.bar_ts)),
+p AS (SELECT bar_ts, row_number() OVER (ORDER BY bar_ts) AS n, corr(a, b) OVER (ORDER BY bar_ts ROWS 59 PRECEDING) AS rho FROM j WHERE a IS NOT NULL), k AS (SELECT j.*, CASE WHEN p.n IS NULL OR p.n < 2 OR isnan(p.rho) THEN 0 ELSE least(0.99, greatest(-0.99, p.rho)) END AS rho FROM j LEFT JOIN p ON p.bar_ts = j.bar_ts),
+m AS (SELECT *, sqrt(4 * ln(2) * greatest(v1 + v2 - 2 * rho * sqrt(v1 * v2), 1e-12)) / 2 AS half FROM k)
+SELECT bar_ts, round(greatest(sqrt(o * c) * exp(half), o, c), 6) AS high, round(least(sqrt(o * c) * exp(-half), o, c), 6) AS low, round(greatest(r1 + r2 - 2 * rho * sqrt(r1 * r2), 0), 8) AS realized_var FROM m""")
+def synth_bar_rolling_rho(spark, d):  # noqa: ANN001, ANN201
+    return Y.synth_bar_rolling(P._full_pair(spark, d), n=60).select("bar_ts", r("high", 6), r("low", 6), r("realized_var"))
+
+
 # graph: nations that trade with nations of their region, and with one of another
 
 _GRAPH = """WITH RECURSIVE p AS (SELECT a.n_nationkey * 100 + b.n_nationkey AS ticker_id, a.n_name AS base, b.n_name AS quote, a.n_name || '/' || b.n_name AS sym, CAST((a.n_nationkey * 7 + b.n_nationkey * 3) % 11 AS DOUBLE) AS volume FROM nation a JOIN nation b ON (a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey AND (a.n_nationkey + b.n_nationkey) % 3 <> 0) OR b.n_nationkey = a.n_nationkey + 6),
