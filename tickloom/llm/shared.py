@@ -2,35 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir, ship, table
+
 #: White space as every operator here sees it: space and \t \n \v \f \r.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
 
 
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package where the driver only has it on its own path (local runs, tests)."""
-    here = str(Path(__file__).resolve().parents[2])
-    path = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if here not in path.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (here, path)))
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def trimmed(text: Column) -> Column:
     """text without white space at its ends; a null text is empty."""
     return F.trim(F.coalesce(text.cast("string"), F.lit("")), F.lit(SPACE))
@@ -47,17 +32,6 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only a local master, whose executors are the driver, gets one made where none is named."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = f"file://{tempfile.mkdtemp(prefix='tickloom-')}"
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs a re-read."""
     spark = df.sparkSession
@@ -103,3 +77,6 @@ def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+__all__ = ["SPACE", "SPACE_RE", "arrow_batches", "bucketed", "let_go", "lower_ascii", "partitions", "shared_dir", "ship", "table", "trimmed", "words", "written"]
