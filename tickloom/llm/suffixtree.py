@@ -45,7 +45,7 @@ FOLDS, HELD_OUT = 5, 1
 #: A partition answers for so many symbols, about; a block holds so many bytes of text, and a bucket of blocks so many.
 TASK_SYMBOLS = 2_000_000
 BLOCK_BYTES = 4 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 32 << 20
 HOT, HOT_PART = TASK_SYMBOLS // 4, 100_000
 END = K.mix(np.array([77], K.U))[0]
 STEP = K.PLACE[0]
