@@ -172,6 +172,31 @@ def test_deduplicated_has_one_row_of_each_group_whatever_ids_and_names(spark):
     assert sorted((r["doc_id"] or 0, r["_id"]) for r in out.collect()) in ([(0, v), (0, "e"), (0, "f"), (4, "c")] for v in "ab") or sorted((r["doc_id"] or 0, r["_id"]) for r in out.collect()) == [(0, "b"), (0, "e"), (0, "f"), (4, "c")]
 
 
+def test_near_duplicate_tables_of_few_rows_are_few_files(spark, docs, monkeypatch):
+    """Each file costs an executor processes, so their number must not follow that of the shuffle partitions."""
+    files, plain = collections.defaultdict(list), neardup.written
+
+    def counted(df, name, *args, **options):
+        out = plain(df, name, *args, **options)
+        files[name].append(len(out.inputFiles()))
+        return out
+
+    want = sorted(map(str, neardup.deduplicated(docs).collect()))
+    monkeypatch.setattr(neardup, "written", counted)
+    conf = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = sorted(map(str, neardup.deduplicated(docs).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want
+    assert {"met", "nodes", "members", "reps", "hubs", "links", "tagged", "more", "kept", "each"} <= set(files)
+    assert {k: n for k, n in files.items() if k not in ("signed", "sets") and max(n) > 1} == {}
+
+
 def test_residual_blocks_find_links_that_no_star_has(spark):
     rng = random.Random(3)
     base = [f"w{rng.randrange(10**6)}" for _ in range(120)]

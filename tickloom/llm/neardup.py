@@ -119,8 +119,8 @@ def _confirmed(percent: int):  # noqa: ANN202
 
 def _sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(cid, shingles) of each node: the packed set of one of its texts."""
-    reps = written(rows.select("uid", "doc_id", "h").join(nodes.select("cid"), F.col("uid") == F.col("cid")).select("cid", F.col("doc_id").alias("rep"), F.col("h").alias("rep_h")), "reps")
-    n = reps.count()
+    n = nodes.count()
+    reps = written(rows.select("uid", "doc_id", "h").join(nodes.select("cid"), F.col("uid") == F.col("cid")).select("cid", F.col("doc_id").alias("rep"), F.col("h").alias("rep_h")), "reps", n)
     # a few tens of MB at most go to every executor; beyond that the texts are shuffled to their keys
     side = F.broadcast(reps) if n <= BROADCAST_ROWS else reps
     texts = docs.join(side, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rep_h"))).select("cid", "text")
@@ -182,29 +182,37 @@ def _spanned(percent: int):  # noqa: ANN202
     return run
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
+    """The pairs (a, b), n at most, whose full sets are similar enough."""
     pairs = pairs.distinct()
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    return written(both.mapInArrow(_confirmed(percent), "a bigint, b bigint"), "links")
+    return written(both.mapInArrow(_confirmed(percent), "a bigint, b bigint"), "links", n)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", with_hash: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: links at 100 * intersection >= percent * union."""
+    out, _ = _found(docs, k, percent, id_col, text)
+    return out if with_hash else out.drop("h", "uid", "label")
+
+
+def _found(docs: DataFrame, k: int, percent: int, id_col: str, text: str) -> tuple[DataFrame, int]:
+    """What near_duplicates gives, with the texts' hashes, and its number of rows."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.mapInArrow(_signed(k), f"doc_id {kind}, h bigint, d1 bigint, d2 bigint, n_shingles bigint, bands array<bigint>")
     rows = written(rows.withColumn("uid", F.monotonically_increasing_id()), "signed")
+    total = rows.count()
     classes = rows.where("d1 IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("root"), F.min("uid").alias("cid"), F.max("n_shingles").alias("n"))
 
     # buckets that more than one class falls in
     banded = rows.select("uid", "d1", "d2", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.min("d2").alias("lo2"), F.max("d2").alias("hi2")).where("lo < hi OR lo2 < hi2").select("band")
-    met = written(banded.join(shared, "band").groupBy("band", "d1", "d2").agg(F.min("uid").alias("uid")), "met")
-    nodes = written(met.select("d1", "d2").distinct().join(classes, ["d1", "d2"]).select("cid", "d1", "d2", "n"), "nodes")
+    met = written(banded.join(shared, "band").groupBy("band", "d1", "d2").agg(F.min("uid").alias("uid")), "met", total * BANDS)
+    n_met = met.count()
+    nodes = written(met.select("d1", "d2").distinct().join(classes, ["d1", "d2"]).select("cid", "d1", "d2", "n"), "nodes", n_met)
     sizes = met.groupBy("band").agg(F.count("*").alias("size"))
     weight = met.join(sizes, "band").groupBy("d1", "d2").agg(F.sum("size").alias("weight"))
-    members = written(met.join(nodes.join(weight, ["d1", "d2"]), ["d1", "d2"]).select("band", "cid", "n", "weight"), "members")
+    members = written(met.join(nodes.join(weight, ["d1", "d2"]), ["d1", "d2"]).select("band", "cid", "n", "weight"), "members", n_met)
 
     sets = _sets(docs, rows, nodes, k)
     let_go(met, nodes)
@@ -212,14 +220,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # a star in each bucket
     hubs = members.groupBy("band").agg(F.max(F.struct("weight", "cid", "n")).alias("c")).select("band", F.col("c.cid").alias("hub"), F.col("c.n").alias("hub_n"))
     fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-    hubs = written(hubs, "hubs")
+    hubs = written(hubs, "hubs", n_met)
     edges = members.join(hubs, "band").where((F.col("cid") != F.col("hub")) & fits).select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
-    links = _confirm(edges, sets, percent)
+    links = _confirm(edges, sets, percent, n_met)
     labels = written(components(links, "a", "b"), "labels")
 
     # what the stars left: buckets that still hold different components; of buckets with the same members one is enough
     tagged = members.join(labels, members["cid"] == labels["node"], "left").select("band", "cid", "n", F.coalesce("label", "cid").alias("label"))
-    tagged = written(tagged, "tagged")
+    tagged = written(tagged, "tagged", n_met)
     alike = F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64(F.col("cid") * 31 + 7)).alias("y"), F.count("*").alias("size")
     mixed = tagged.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("n"), *alike).where("lo < hi")
     mixed = mixed.groupBy("x", "y", "size").agg(F.min("band").alias("band"), F.max(F.ceil(F.col("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
@@ -227,7 +235,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # a bucket of many blocks is dealt out as pairs of blocks, so that no task holds more than two
     left = tagged.join(mixed.select("band", "blocks"), "band").withColumn("own", own).select("band", "cid", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     left = left.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "label", "own").join(sets, "cid")
-    more = written(left.groupBy("band", "i", "j").applyInArrow(_spanned(percent), "a bigint, b bigint"), "more")
+    more = written(left.groupBy("band", "i", "j").applyInArrow(_spanned(percent), "a bigint, b bigint"), "more", n_met)
     let_go(tagged)
     labels = written(components(links.union(more), "a", "b"), "labels")
     let_go(members, hubs, links, more, sets)
@@ -238,16 +246,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     out = rows.select("doc_id", "h", "n_shingles", "d1", "d2", "uid").join(named, ["d1", "d2"], "left")
     component = F.when(F.col("d1").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "h", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "uid", F.coalesce("label", "uid").alias("label"))
-    return out if with_hash else out.drop("h", "uid", "label")
+    return out, total
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, with docs' own columns whatever their names; of rows repeated as a whole one stays."""
-    found = written(near_duplicates(docs, k, percent, with_hash=True), "kept")
+    found, total = _found(docs, k, percent, "doc_id", "text")
+    found = written(found, "kept", total)
     # a group without any id: the first of its rows
     firsts = found.where("kept AND doc_id IS NULL").groupBy("label").agg(F.min("uid").alias("first"))
     found = found.join(firsts, "label", "left").withColumn("stays", F.col("kept") & (F.col("doc_id").isNotNull() | F.col("uid").eqNullSafe(F.col("first"))))
-    each = written(found.groupBy("doc_id", "h").agg(F.max("stays").alias("stays"), F.count("*").alias("n")), "each")
+    each = written(found.groupBy("doc_id", "h").agg(F.max("stays").alias("stays"), F.count("*").alias("n")), "each", total)
     gone = each.where(~F.col("stays")).select("doc_id", "h")
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     # docs' columns travel as one, so that none of their names can clash

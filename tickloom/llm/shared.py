@@ -32,9 +32,19 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs a re-read."""
+#: Narrow rows in a file of a table whose size is known beforehand, about.
+FILE_ROWS = 1_000_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None, **options: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs a re-read.
+
+    rows: how many it has at most, about. Few rows then make few files, however many partitions a shuffle has: on a local file
+    system an executor starts three processes for each file it writes (chmod).
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.repartition(1 + rows // FILE_ROWS)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
