@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import chat, decontam, mixing, neardup, quality, repeats, sstable, suffixtree, tokencount, warc
+from . import chat, codes, decontam, mixing, neardup, quality, repeats, reputation, sstable, suffixtree, tokencount, warc, whitening
 
 _ALL = {
     "op1_quality_rules": quality,
@@ -13,6 +13,9 @@ _ALL = {
     "op8_token_sstable": sstable,
     "op9_repeat_removal": repeats,
     "op10_minhash_neardup": neardup,
+    "op11_url_reputation": reputation,
+    "op12_embedding_whitening": whitening,
+    "op13_vector_codes": codes,
 }
 QUERIES = {name: module.query for name, module in _ALL.items()}
 ORACLE = {name: module.ORACLE for name, module in _ALL.items() if getattr(module, "ORACLE", None)}

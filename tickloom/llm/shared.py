@@ -73,6 +73,28 @@ def let_go(*tables: DataFrame) -> None:
     jvm.System.gc()
 
 
+#: A key that this part of all rows or more have is a hot one; there are at most so many.
+HOT_PARTS = 20_000
+#: Longer keys than this many bytes aren't sent to every executor, so hot ones take 5 MB at most besides the columns beside them.
+HOT_KEY_BYTES = 255
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """rows with the other columns of table, whose key is unique and in which weight is how many of the total rows have it.
+
+    Rows of hot keys meet a broadcast of at most HOT_PARTS rows where they are; only the others are dealt out by key. Nulls match
+    nulls; a row whose key the table hasn't goes.
+    """
+    hot = (F.col(weight) * HOT_PARTS >= total) & F.coalesce(F.octet_length(F.col(key).cast("string")) <= HOT_KEY_BYTES, F.lit(True))
+    names = [c for c in table.columns if c not in (key, weight)]
+    few, many = (table.where(c).select(F.col(key).alias("_key"), *names) for c in (hot, ~hot))
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    columns = [*rows.columns, *names]
+    near = rows.join(F.broadcast(few), same).select(columns)
+    far = rows.join(F.broadcast(few.select("_key")), same, "left_anti").join(many, same).select(columns)
+    return near.unionByName(far)
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Batches of so many rows for Python workers, where a row is some MB; jobs that run inside are bound by it."""
@@ -89,4 +111,4 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["SPACE", "SPACE_RE", "arrow_batches", "bucketed", "let_go", "lower_ascii", "partitions", "shared_dir", "ship", "table", "trimmed", "words", "written"]
+__all__ = ["SPACE", "SPACE_RE", "arrow_batches", "bucketed", "let_go", "looked_up", "lower_ascii", "partitions", "shared_dir", "ship", "table", "trimmed", "words", "written"]
