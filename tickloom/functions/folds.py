@@ -60,6 +60,64 @@ class RunningStats:
         self.count += 1
         return z
 
+    def scores(self, x: np.ndarray, least_sd: np.ndarray) -> np.ndarray:
+        """score() of each in order."""
+        if not len(x):
+            return np.zeros(0)
+        if self.count == 0:
+            self.mean = float(x[0])
+        means, self.mean = ema(x, self.alpha, self.mean)
+        d = x - means
+        vars_, self.var = ema((1 - self.alpha) * d * d, self.alpha, self.var)
+        sd = np.maximum(np.sqrt(vars_), least_sd)
+        with np.errstate(all="ignore"):
+            z = np.where((self.count + np.arange(len(x)) < self.warm) | (sd < 1e-12), 0.0, np.abs(d) / sd)
+        self.count += len(x)
+        return z
+
+
+def ema(x: np.ndarray, rate: float, start: float) -> tuple[np.ndarray, float]:
+    """The exponential mean before each value, and the one after the last; in blocks, so that powers stay small."""
+    before, keep = np.empty(len(x)), 1 - rate
+    block = max(1, int(math.log(1e3) / -math.log(keep))) if 0 < keep < 1 else 1
+    w = keep ** np.arange(1, block + 1)
+    for i in range(0, len(x), block):
+        part = x[i : i + block]
+        after = w[: len(part)] * (start + rate * np.cumsum(part / w[: len(part)]))
+        before[i], before[i + 1 : i + len(part)] = start, after[:-1]
+        start = float(after[-1])
+    return before, start
+
+
+@dataclass
+class ScoreMap:
+    """What a run of values does to RunningStats: mean -> a mean + b, var -> v var + c0 + c1 mean + c2 mean^2."""
+
+    alpha: float = 0.01
+    n: int = 0
+    a: float = 1.0
+    b: float = 0.0
+    v: float = 1.0
+    c0: float = 0.0
+    c1: float = 0.0
+    c2: float = 0.0
+    first: float | None = None
+
+    def add(self, x: np.ndarray) -> None:
+        if len(x) and self.first is None:
+            self.first = float(x[0])
+        keep = 1 - self.alpha
+        b, self.b = ema(x, self.alpha, self.b)
+        a = self.a * keep ** np.arange(len(x))
+        p = x - b
+        self.c0, self.c1, self.c2 = (ema(keep * u, self.alpha, c)[1] for u, c in ((p * p, self.c0), (-2 * p * a, self.c1), (a * a, self.c2)))
+        self.a, self.v, self.n = self.a * keep ** len(x), self.v * keep ** len(x), self.n + len(x)
+
+    def apply(self, s: RunningStats) -> RunningStats:
+        """The state after; a fresh state takes the first value as its mean, which that value then leaves as it is."""
+        m = self.first if s.count == 0 else s.mean
+        return RunningStats(s.alpha, s.warm, self.a * m + self.b, max(0.0, self.v * s.var + self.c0 + self.c1 * m + self.c2 * m * m), s.count + self.n)
+
 
 @dataclass
 class JumpGuard:
@@ -358,6 +416,30 @@ class MtfBlend:
         return num / den if den > 0 else max(sigma, self.floor)
 
 
+@dataclass
+class AsOfPair:
+    """The last quotes of two legs; each tick of either gives their cross if neither is older than ttl_ms."""
+
+    ttl_ms: int = 5000
+    base: tuple | None = None
+    quote: tuple | None = None
+
+    def next(self, ts: int, seq: int, side: int, bid: float, ask: float, vbid: int, vask: int, ci: int, accepted: int) -> tuple | None:
+        row = (ts, bid, ask, vbid, vask, ci, accepted)
+        if side == 0:
+            self.base = row
+        else:
+            self.quote = row
+        b, q = self.base, self.quote
+        if b is None or q is None or ts - b[0] > self.ttl_ms or ts - q[0] > self.ttl_ms or None in b or None in q or not (q[1] and q[2]):
+            return None
+        low, high = b[1] / q[2], b[2] / q[1]
+        if not all(math.isfinite(x) and 0 < x < 1e15 for x in (low, high)):
+            return None
+        wide = math.sqrt((b[5] / 16) ** 4 + (q[5] / 16) ** 4)
+        return ts, seq, low, high, min(b[3], q[3]), min(b[4], q[4]), min(b[6], q[6]), max(0, min(65535, math.floor(math.sqrt(wide) * 16 + 0.5)))
+
+
 @dataclass
 class AttestState:
     """What a signed beat is to the newest one accepted. Within a boot the sequence and the time go on; a new boot must be later."""

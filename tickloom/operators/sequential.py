@@ -1,6 +1,7 @@
 """Grouped application of the folds: one series in order at a time, streamed through its state.
 
-A series is one task's work because each row depends on what was accepted before it. Rows come to Python in Arrow batches,
+Guards, gates, deadbands and scores cut a series into slices that many tasks work on (``chunked``). Renko keeps one task a ticker: where
+its bricks stand follows from the first one for good, so no slice can begin on its own. Rows come to Python in Arrow batches,
 already sorted by Spark, so memory holds a batch and the state, not the series.
 """
 
@@ -14,9 +15,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import exprs as X
 from ..functions import folds
+from ..session import dealt
+from .chunked import arrow, by_row, composed, speculated
 
 
 def fold_rows(df: DataFrame, key: str, order: list[str], schema: str, make: Callable, step: Callable) -> DataFrame:
@@ -33,7 +37,7 @@ def fold_rows(df: DataFrame, key: str, order: list[str], schema: str, make: Call
             yield pd.DataFrame(out, columns=names)
 
     names = [c.split()[0] for c in schema.split(", ")]
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return dealt(df, key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def kept_rows(df: DataFrame, key: str, order: list[str], value: str, make: Callable) -> DataFrame:
@@ -53,60 +57,92 @@ def kept_rows(df: DataFrame, key: str, order: list[str], value: str, make: Calla
             yield batch.filter(pa.array(mask))
 
     k, v = df.columns.index(key), df.columns.index(value)
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, df.schema)
+    return dealt(df, key).sortWithinPartitions(key, *order).mapInArrow(run, df.schema)
 
 
-def guarded(ticks: DataFrame, ts: str = "tc_ms", value: str = "mid", slice_ms: int = 3_600_000) -> DataFrame:
-    """The rows that the two-fold guard accepts, with all their columns; nulls and insane prices are not.
+#: Series are cut into slices of an hour, or of so many sequence numbers where those are their order.
+SLICE_MS = 3_600_000
+SLICE_ROWS = 1_000_000
+
+
+def folded(df: DataFrame, order: list[str], schema: str, make: Callable, step: Callable, width: int) -> DataFrame:
+    """fold_rows by ticker, in many tasks a ticker."""
+    kind = StructType.fromDDL(schema)
+    return speculated(df, "ticker", order, kind, make, by_row(arrow(kind), step), width)
+
+
+def guarded(ticks: DataFrame, ts: str = "tc_ms", value: str = "mid", slice_ms: int = SLICE_MS, parallel: bool = False) -> DataFrame:
+    """The rows that the two-fold guard accepts, with all their columns; nulls and insane prices are not. Null tickers are a series.
 
     A row can only be refused if prices more than a factor of two apart stand in its slice of time or the one before that has
-    any. That is two minima a slice, summed where the rows are; only tickers with such a slice are folded, one task each.
+    any. That is two minima a slice, summed where the rows are; only tickers with such a slice are folded, one task each, or with
+    parallel by slices, which runs jobs at once.
     """
     rows = ticks.where(X.sane_px(value))
     spans = rows.groupBy("ticker", X.bucket(ts, slice_ms).alias("_s")).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     w = Window.partitionBy("ticker").orderBy("_s")
     lo, hi = (F.coalesce(F.lag(c).over(w), F.col(c)) for c in ("lo", "hi"))
-    wide = spans.withColumn("_r", F.greatest("hi", hi) / F.least("lo", lo)).where("_r > 2").select("ticker").distinct()
-    still = rows.join(wide, "ticker", "left_anti")
-    moving = kept_rows(rows.join(wide, "ticker", "left_semi"), "ticker", [ts, "seq"], value, folds.SaneMid)
+    wide = spans.withColumn("_r", F.greatest("hi", hi) / F.least("lo", lo)).where("_r > 2").select(F.col("ticker").alias("_wide")).distinct()
+    same = F.col("ticker").eqNullSafe(F.col("_wide"))
+    still, moving = rows.join(wide, same, "left_anti"), rows.join(wide, same, "left_semi")
+    if parallel:
+        moving = speculated(moving, "ticker", [ts, "seq"], moving.schema, folds.SaneMid, lambda s, r: r.filter(pa.array(s.accepts(r.column(value).to_numpy(zero_copy_only=False)))), slice_ms)
+    else:
+        moving = kept_rows(moving, "ticker", [ts, "seq"], value, folds.SaneMid)
     return still.unionByName(moving)
 
 
-def sane_mids(ticks: DataFrame, ts: str = "tc_ms", value: str = "mid") -> DataFrame:
+def sane_mids(ticks: DataFrame, ts: str = "tc_ms", value: str = "mid", slice_ms: int = SLICE_MS) -> DataFrame:
     """(ticker, ts, seq, mid) of the rows that the two-fold guard accepts."""
-    return guarded(ticks.select("ticker", F.col(ts).alias("ts"), "seq", F.col(value).cast("double").alias("mid")), "ts")
+    return guarded(ticks.select("ticker", F.col(ts).alias("ts"), "seq", F.col(value).cast("double").alias("mid")), "ts", slice_ms=slice_ms, parallel=True)
+
 
+class _Scores(folds.ScoreMap):
+    def add(self, rows: pa.RecordBatch) -> None:
+        super().add(rows.column("mid").to_numpy())
 
-def zscores(ticks: DataFrame, ts: str = "tc_ms", floor_bps: float = 0.0) -> DataFrame:
-    rows = ticks.select("ticker", F.col(ts).alias("ts"), "seq", "mid")
-    return fold_rows(rows, "ticker", ["ts", "seq"], "ticker string, ts bigint, seq bigint, z double", folds.RunningStats, lambda s, r: [(r.ticker, r.ts, r.seq, s.score(r.mid, r.mid * floor_bps * 1e-4))])
+
+def zscores(ticks: DataFrame, ts: str = "tc_ms", floor_bps: float = 0.0, slice_ms: int = SLICE_MS) -> DataFrame:
+    """(ticker, ts, seq, z); null mids are left out. Means and variances of slices compose, so a ticker's slices are scored in many tasks."""
+    rows = ticks.where(F.col("mid").isNotNull()).select("ticker", F.col(ts).alias("ts"), "seq", F.col("mid").cast("double").alias("mid"))
+    kind = StructType.fromDDL("ticker string, ts bigint, seq bigint, z double")
+    names = kind.names
+
+    def advance(s, r):  # noqa: ANN001, ANN202
+        x = r.column("mid").to_numpy()
+        return pa.RecordBatch.from_arrays([*r.columns[:3], pa.array(s.scores(x, x * floor_bps * 1e-4))], names)
+
+    return composed(rows, "ticker", ["ts", "seq"], kind, folds.RunningStats, _Scores, advance, slice_ms)
 
 
 def z_gated(ticks: DataFrame, limit: float = 4.0, floor_bps: float = 2.0) -> DataFrame:
     return zscores(ticks, floor_bps=floor_bps).where(F.col("z") <= limit)
 
 
-def jump_guarded(ticks: DataFrame, frac: float = 0.05, limit: int = 30, ts: str = "tc_ms", value: str = "mid") -> DataFrame:
-    rows = ticks.select("ticker", F.col(ts).alias("ts"), "seq", F.col(value).cast("double").alias("mid"))
-    return fold_rows(rows, "ticker", ["ts", "seq"], "ticker string, ts bigint, seq bigint, mid double", lambda: folds.JumpGuard(frac, limit), lambda s, r: [(r.ticker, r.ts, r.seq, r.mid)] if s.accept(r.mid) else [])
+def _mids(ticks: DataFrame, ts: str, value: str = "mid") -> DataFrame:
+    return ticks.where(F.col(value).isNotNull()).select("ticker", F.col(ts).alias("ts"), "seq", F.col(value).cast("double").alias("mid"))
+
+
+def jump_guarded(ticks: DataFrame, frac: float = 0.05, limit: int = 30, ts: str = "tc_ms", value: str = "mid", slice_ms: int = SLICE_MS) -> DataFrame:
+    """(ticker, ts, seq, mid) of what the guard accepts; null prices are left out, here and below."""
+    return folded(_mids(ticks, ts, value), ["ts", "seq"], "ticker string, ts bigint, seq bigint, mid double", lambda: folds.JumpGuard(frac, limit), lambda s, r: [(r.ticker, r.ts, r.seq, r.mid)] if s.accept(r.mid) else [], slice_ms)
 
 
-def deadband(ticks: DataFrame, eps_bps: float, ts: str = "tc_ms") -> DataFrame:
-    rows = ticks.select("ticker", F.col(ts).alias("ts"), "seq", "mid")
-    return fold_rows(rows, "ticker", ["ts", "seq"], "ticker string, ts bigint, seq bigint, mark double", lambda: folds.Deadband(eps_bps), lambda s, r: [(r.ticker, r.ts, r.seq, s.next(r.mid))])
+def deadband(ticks: DataFrame, eps_bps: float, ts: str = "tc_ms", slice_ms: int = SLICE_MS) -> DataFrame:
+    return folded(_mids(ticks, ts), ["ts", "seq"], "ticker string, ts bigint, seq bigint, mark double", lambda: folds.Deadband(eps_bps), lambda s, r: [(r.ticker, r.ts, r.seq, s.next(r.mid))], slice_ms)
 
 
-def peg_confirmed(ticks: DataFrame, ts: str = "tc_ms", bps: float = 4.0) -> DataFrame:
-    rows = ticks.select("ticker", F.col(ts).alias("ts"), "seq", "mid")
-    return fold_rows(rows, "ticker", ["ts", "seq"], "ticker string, ts bigint, seq bigint, mark double", lambda: folds.PegConfirm(bps), lambda s, r: [(r.ticker, r.ts, r.seq, s.next(r.ts, r.mid))])
+def peg_confirmed(ticks: DataFrame, ts: str = "tc_ms", bps: float = 4.0, slice_ms: int = SLICE_MS) -> DataFrame:
+    return folded(_mids(ticks, ts), ["ts", "seq"], "ticker string, ts bigint, seq bigint, mark double", lambda: folds.PegConfirm(bps), lambda s, r: [(r.ticker, r.ts, r.seq, s.next(r.ts, r.mid))], slice_ms)
 
 
-def basis_gate(minutes: DataFrame, run: int) -> DataFrame:
-    """(ticker, ts, seq, breach) rows, one a minute, to whether the provider is in."""
-    return fold_rows(minutes, "ticker", ["ts", "seq"], "ticker string, ts bigint, seq bigint, admitted boolean", lambda: folds.BasisGate(run), lambda s, r: [(r.ticker, r.ts, r.seq, s.next(r.breach))])
+def basis_gate(minutes: DataFrame, run: int, slice_ms: int = SLICE_MS) -> DataFrame:
+    """(ticker, ts, seq, breach) rows, one a minute, to whether the provider is in; a null breach is none."""
+    rows = minutes.select("ticker", "ts", "seq", F.coalesce("breach", F.lit(False)).alias("breach"))
+    return folded(rows, ["ts", "seq"], "ticker string, ts bigint, seq bigint, admitted boolean", lambda: folds.BasisGate(run), lambda s, r: [(r.ticker, r.ts, r.seq, s.next(r.breach))], slice_ms)
 
 
-def delta_gated(rows: DataFrame, sentinel_ms: int = 60_000, ts: str = "tc_ms") -> DataFrame:
+def delta_gated(rows: DataFrame, sentinel_ms: int = 60_000, ts: str = "tc_ms", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """What a delta-gated store writes: changed rows, a row each day, and copies flagged 1 in quiet times."""
     rows = rows.select("ticker", F.col(ts).alias("ts"), "seq", "bid", "ask", "vbid", "vask", "ci")
 
@@ -114,7 +150,7 @@ def delta_gated(rows: DataFrame, sentinel_ms: int = 60_000, ts: str = "tc_ms") -
         flag = s.next(r.ts, (r.bid, r.ask, r.vbid, r.vask, r.ci))
         return [] if flag is None else [(r.ticker, r.ts, r.seq, r.bid, r.ask, flag)]
 
-    return fold_rows(rows, "ticker", ["seq"], "ticker string, ts bigint, seq bigint, bid double, ask double, flags int", lambda: folds.DeltaGate(sentinel_ms), step)
+    return folded(rows, ["seq"], "ticker string, ts bigint, seq bigint, bid double, ask double, flags int", lambda: folds.DeltaGate(sentinel_ms), step, slice_rows)
 
 
 def time_bounded(rows: DataFrame, now_ms: int, ts: str = "tc_ms", flags: str = "flags") -> DataFrame:

@@ -180,7 +180,7 @@ SELECT o.ticker, tc_ms AS ts, seq, round(bid, 8) AS bid, round(ask, 8) AS ask, f
 
 @query(_DELTA)
 def delta_gate(spark, d):  # noqa: ANN001, ANN201
-    return Q.delta_gated(ticks(spark, d)).select("ticker", "ts", "seq", r("bid"), r("ask"), "flags")
+    return Q.delta_gated(ticks(spark, d), slice_rows=2_000).select("ticker", "ts", "seq", r("bid"), r("ask"), "flags")
 
 
 @query(""", o AS (SELECT ticker, provider, tc_ms, seq, row_number() OVER (PARTITION BY ticker, provider ORDER BY tc_ms, seq) AS n, (tc_ms - lag(tc_ms) OVER (PARTITION BY ticker, provider ORDER BY tc_ms, seq)) / 1000.0 AS gap FROM ticks),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor costs a re-read."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by the hash of keys in as many partitions as shuffles have, however few bytes they hold: what works on them is Python, and slow."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package where only the driver has it on its path (local runs, tests)."""
     here = str(Path(__file__).resolve().parents[1])
