@@ -8,12 +8,16 @@ looked up by hash. Texts that hold a control string or white space beyond ASCII
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 
 from . import kernels as K
 
-CACHE_UNITS = 1_500_000
+#: A worker's units and their ids take so much at most; with it full, the units start anew.
+CACHE_BYTES = 32 << 20
+#: The library makes objects for so many units at a time.
+LIBRARY_UNITS = 2048
 SPECIAL = b"<|endoftext|>"
 
 
@@ -88,6 +92,51 @@ def encoder(path: str, plain: bool = False) -> "Encoder":
     return _made[path, plain]
 
 
+class Units:
+    """Hashes of units in order, and each unit's ids. New ones gather beside the others and are merged as they reach half of them."""
+
+    def __init__(self) -> None:
+        self.keys, self.lens, self.at = [np.zeros(0, K.U)] * 2, [np.zeros(0, np.int32)] * 2, [np.zeros(0, np.int32)] * 2
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def nbytes(self) -> int:
+        return 4 * self.used + sum(16 * len(k) for k in self.keys)
+
+    def _place(self, j: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where keys stand in table j, and which of them do."""
+        if not len(self.keys[j]):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        place = np.minimum(np.searchsorted(self.keys[j], keys), len(self.keys[j]) - 1)
+        return place, self.keys[j][place] == keys
+
+    def missing(self, keys: np.ndarray) -> np.ndarray:
+        return ~(self._place(0, keys)[1] | self._place(1, keys)[1])
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, length) in ids of keys that are all there."""
+        at, lens = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        for j in (0, 1):
+            place, hit = self._place(j, keys)
+            at[hit], lens[hit] = self.at[j][place[hit]], self.lens[j][place[hit]]
+        return at, lens
+
+    def _insert(self, j: int, keys: np.ndarray, lens: np.ndarray, at: np.ndarray) -> None:
+        where = np.searchsorted(self.keys[j], keys)
+        self.keys[j], self.lens[j], self.at[j] = (np.insert(old, where, new) for old, new in ((self.keys[j], keys), (self.lens[j], lens), (self.at[j], at)))
+
+    def add(self, keys: np.ndarray, lens: np.ndarray, ids: np.ndarray) -> None:
+        """New keys, in order."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids[: self.used], np.zeros(max(len(self.ids) // 2, len(ids)), np.uint32)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        at = self.used + np.cumsum(lens) - lens
+        self.used += len(ids)
+        self._insert(1, keys, lens.astype(np.int32), at.astype(np.int32))
+        if 2 * len(self.keys[1]) > len(self.keys[0]):
+            self._insert(0, self.keys[1], self.lens[1], self.at[1])
+            self.keys[1], self.lens[1], self.at[1] = self.keys[1][:0], self.lens[1][:0], self.at[1][:0]
+
+
 class Encoder:
     def __init__(self, path: str, plain: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -96,28 +145,20 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         self.plain = plain
         self.lib.encode_special_tokens = plain
-        self.keys = np.zeros(0, K.U)
-        self.lens = np.zeros(0, np.int64)
-        self.at = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.units = Units()
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        """Adds units; keys are sorted and new."""
-        got = self._library(texts)
-        lens = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter((i for g in got for i in g), np.uint32, int(lens.sum()))
-        at = np.cumsum(lens) - lens
-        where = np.searchsorted(self.keys, keys)
-        self.at = np.insert(self.at, where, at + len(self.ids))
-        self.keys, self.lens, self.ids = np.insert(self.keys, where, keys), np.insert(self.lens, where, lens), np.r_[self.ids, ids]
-
-    def _unknown(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.ones(len(keys), bool)
-        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys
+    def _learn(self, keys: np.ndarray, raw: bytes, start: np.ndarray, end: np.ndarray) -> None:
+        """Adds the units at start to end; keys are sorted and new."""
+        ids, lens = [], []
+        for i in range(0, len(keys), LIBRARY_UNITS):
+            j = slice(i, i + LIBRARY_UNITS)
+            got = self._library([raw[a:b].decode("utf-8") for a, b in zip(start[j].tolist(), end[j].tolist(), strict=True)])
+            lens += map(len, got)
+            ids.append(np.fromiter(chain.from_iterable(got), np.uint32))
+        self.units.add(keys, np.array(lens, np.int64), np.concatenate(ids))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk end to end, and where each text's begin (and one more at the end)."""
@@ -131,23 +172,20 @@ class Encoder:
             use[at_unit[o] : at_unit[o + 1]] = False
         start, end = start[use], end[use]
         distinct, first, back = np.unique(K.span_hash(K.prefix_hash(data), start, end), return_index=True, return_inverse=True)
-        new = self._unknown(distinct)
-        if len(self.keys) + int(new.sum()) > CACHE_UNITS:  # a full cache starts anew
-            self.keys, self.lens, self.at, self.ids = self.keys[:0], self.lens[:0], self.at[:0], self.ids[:0]
-            new[:] = True
+        if self.units.nbytes() > CACHE_BYTES:
+            self.units = Units()
+        new = self.units.missing(distinct)
         if new.any():
-            raw = data.tobytes()
-            self._learn(distinct[new], [raw[a:b].decode("utf-8") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
-        place = np.searchsorted(self.keys, distinct)
-        at = self.at[place][back]
-        lens = self.lens[place][back]
+            self._learn(distinct[new], data.tobytes(), start[first[new]], end[first[new]])
+        at, lens = self.units.find(distinct)
+        at, lens = at[back], lens[back]
         total = np.r_[0, np.cumsum(lens)]
-        out = self.ids[np.repeat(at - total[:-1], lens) + np.arange(total[-1])]
+        out = self.units.ids[np.repeat(at - total[:-1], lens) + np.arange(total[-1])]
         begin = total[np.r_[0, np.cumsum(use)][at_unit]]
         if len(odd):
             raw = data.tobytes()
-            whole = dict(zip(odd.tolist(), self._library([raw[offsets[o] : offsets[o + 1]].decode("utf-8") for o in odd]), strict=True))
-            parts = [np.array(whole[i], np.uint32) if i in whole else out[begin[i] : begin[i + 1]] for i in range(len(offsets) - 1)]
+            whole = {o: np.array(self._library([raw[offsets[o] : offsets[o + 1]].decode("utf-8")])[0], np.uint32) for o in odd.tolist()}
+            parts = [whole[i] if i in whole else out[begin[i] : begin[i + 1]] for i in range(len(offsets) - 1)]
             begin = np.r_[0, np.cumsum([len(p) for p in parts])]
             out = np.concatenate(parts)
         return out, begin

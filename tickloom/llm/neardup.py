@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .shared import let_go, written
+from .shared import arrow_batches, let_go, written
 
 ROWS = 7
 BANDS = 64
@@ -41,6 +41,8 @@ BINS = ROWS * BANDS
 BROADCAST_ROWS = 500_000
 #: A task compares the members of two blocks of a bucket at most, each of about so many bytes of sets.
 BLOCK_BYTES = 8 << 20
+#: Texts, or pairs with both their sets, in an Arrow batch at most.
+BATCH_ROWS = 1000
 
 
 @lru_cache(maxsize=1)
@@ -197,6 +199,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 def _found(docs: DataFrame, k: int, percent: int, id_col: str, text: str) -> tuple[DataFrame, int]:
     """What near_duplicates gives, with the texts' hashes, and its number of rows."""
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        return _labelled(docs, k, percent, id_col, text)
+
+
+def _labelled(docs: DataFrame, k: int, percent: int, id_col: str, text: str) -> tuple[DataFrame, int]:
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.mapInArrow(_signed(k), f"doc_id {kind}, h bigint, d1 bigint, d2 bigint, n_shingles bigint, bands array<bigint>")

@@ -32,12 +32,14 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .encoding import default_vocabulary, encoder
-from .shared import partitions, written
+from .shared import arrow_batches, partitions, written
 
 MAGIC = b"TLSSTv1\n"
 FOOTER = struct.Struct("<6Q8s")
 BLOCK_BYTES = 64 << 10
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+#: Texts in an Arrow batch at most.
+BATCH_ROWS = 1000
 RESTART = 16
 BLOOM_BITS = 10
 BLOOM_HASHES = 7
@@ -113,8 +115,8 @@ class Writer:
 
     def _close(self) -> None:
         if self.n:
-            raw = bytes(self.block) + struct.pack(f"<{len(self.restarts) + 1}I", *self.restarts, len(self.restarts))
-            packed = self.pack(raw)
+            self.block += struct.pack(f"<{len(self.restarts) + 1}I", *self.restarts, len(self.restarts))
+            packed = self.pack(self.block)
             self.index.append((self.last, len(self.out), len(packed), self.before))
             self.out += packed
         self._open()
@@ -122,17 +124,22 @@ class Writer:
     def full(self) -> bool:
         return len(self.out) >= SHARD_BYTES
 
-    def finish(self) -> bytes:
+    def finish(self) -> bytearray:
+        """The shard, in the buffer that its blocks stand in."""
         self._close()
         at = len(self.out)
-        index = b"".join(struct.pack("<H", len(k)) + k + struct.pack("<QIQ", o, n, b) for k, o, n, b in self.index)
+        for k, o, n, b in self.index:
+            self.out += struct.pack("<H", len(k)) + k + struct.pack("<QIQ", o, n, b)
+        bloom_at = len(self.out)
         bits = max(64, BLOOM_BITS * len(self.keys))
         bloom = bytearray((bits + 7) // 8)
         for k in self.keys:
             for p in _bloom_places(k, len(bloom) * 8, BLOOM_HASHES):
                 bloom[p >> 3] |= 1 << (p & 7)
-        tail = bytes([BLOOM_HASHES]) + bytes(bloom)
-        return bytes(self.out) + index + tail + FOOTER.pack(at, len(index), at + len(index), len(tail), len(self.keys), self.ids, MAGIC)
+        self.out.append(BLOOM_HASHES)
+        self.out += bloom
+        self.out += FOOTER.pack(at, bloom_at - at, bloom_at, len(self.out) - bloom_at, len(self.keys), self.ids, MAGIC)
+        return self.out
 
 
 class Reader:
@@ -211,7 +218,10 @@ def _shards(path: str, end_id: int):  # noqa: ANN202
         part, seq, w, enc = TaskContext.get().partitionId(), 0, Writer(), encoder(path)
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "n_docs": [len(w.keys)], "n_ids": [w.ids], "first_key": [w.keys[0]], "last_key": [w.keys[-1]], "shard": [w.finish()]}, SHARD_SCHEMA)
+            out = w.finish()
+            shard = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, len(out)], np.int32)), pa.py_buffer(out)])
+            narrow = ([part], [seq], [len(w.keys)], [w.ids], [w.keys[0]], [w.keys[-1]])
+            return pa.RecordBatch.from_arrays([*(pa.array(v, f.type) for v, f in zip(narrow, SHARD_SCHEMA, strict=False)), shard], schema=SHARD_SCHEMA)
 
         for batch in batches:
             names = batch.column(0).to_pylist()
@@ -277,7 +287,8 @@ def lookup(shards: DataFrame, doc_id: int | None) -> list[list[int]]:
 
 def stored(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
     """The shards of docs as a table in the shared folder."""
-    return written(write_shards(docs, vocabulary, end_id), "shards", compression="none")
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        return written(write_shards(docs, vocabulary, end_id), "shards", compression="none")
 
 
 def query(spark, sf_dir):  # noqa: ANN001, ANN201
