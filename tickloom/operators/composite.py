@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,17 +165,19 @@ def composites(legs: DataFrame, stale: float = 10.0, kernel: str = "ALT", k_disp
     )
 
 
-def throttled(legs: DataFrame, outputs: DataFrame, refresh_ms: float) -> DataFrame:
-    """outputs where a cycle's legs changed or refresh_ms have passed since the last change, else the output of that last cycle.
+def throttled(legs: DataFrame, refresh_ms: float, compose: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(ticker, t, changed, what compose gives): composites of cycles whose legs changed or refresh_ms after that, and copies of them elsewhere.
 
     The interval counts from the last change, whatever was refreshed since: a row refreshes at each multiple of refresh_ms behind it.
+    Only the legs of cycles that are due go to compose; the others' are hashed and summed, no more.
     """
     w = Window.partitionBy("ticker").orderBy("t")
     f = unchanged_cycles(legs).withColumn("_c", F.last(F.when(F.col("changed"), F.col("t")), ignorenulls=True).over(w))
-    f = f.withColumn("_r", F.col("_c") + F.floor((F.col("t") - F.col("_c")) / refresh_ms) * int(refresh_ms)).select("ticker", "t", "changed", "_r")
-    o = outputs.join(f, ["ticker", "t"])
-    keep = F.first(F.struct(*[c for c in outputs.columns if c not in ("ticker", "t")])).over(Window.partitionBy("ticker", "_r").orderBy("t"))
-    return o.withColumn("_o", keep).select("ticker", "t", "changed", "_o.*")
+    f = f.withColumn("_r", F.col("_c") + F.floor((F.col("t") - F.col("_c")) / refresh_ms) * int(refresh_ms))
+    f = f.withColumn("_due", F.min("t").over(Window.partitionBy("ticker", "_r"))).select("ticker", "t", "changed", "_due")
+    due = compose(legs.join(f.where("t = _due").select("ticker", "t"), ["ticker", "t"], "left_semi"))
+    columns = [c for c in due.columns if c not in ("ticker", "t")]
+    return f.join(due.withColumnRenamed("t", "_due"), ["ticker", "_due"]).select("ticker", "t", "changed", *columns)
 
 
 def weighted_medians(rows: DataFrame, keys: list[str], value: str = "mid", weight: str = "weight") -> DataFrame:

@@ -74,6 +74,25 @@ def days(first: str, last: str, spark) -> DataFrame:  # noqa: ANN001
     return spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
 
 
+def heartbeats(ticks: DataFrame, every_ms: int, most_ms: int, ts: str = "tc_ms") -> DataFrame:
+    """(ticker, ts, seq, bid, ask, flags): each quote, and in quiet times its copies flagged 1 each every_ms behind it, up to most_ms.
+
+    A copy stands before the next quote, not at it. Ties in time go by seq; null times and tickers are left out.
+    """
+    rows = ticks.where(F.col(ts).isNotNull() & F.col("ticker").isNotNull())
+    until = F.least(F.coalesce(F.lead(ts).over(Window.partitionBy("ticker").orderBy(ts, "seq")) - 1, F.lit(1 << 62)), F.col(ts) + most_ms)
+    out = rows.select("ticker", F.col(ts).alias("_ts"), F.greatest(until, F.col(ts)).alias("_until"), "seq", "bid", "ask")
+    out = out.withColumn("ts", F.explode(F.sequence("_ts", "_until", F.lit(every_ms).cast("long"))))
+    return out.select("ticker", "ts", "seq", "bid", "ask", (F.col("ts") > F.col("_ts")).cast("int").alias("flags"))
+
+
+def sessions(rows: DataFrame, gap_ms: int, keys: list[str], ts: str = "tc_ms") -> DataFrame:
+    """(keys, start, last, n): runs of rows of which none follows the one before it by gap_ms or more; of a batch or of a stream with a watermark on ``at``."""
+    at = "at" if "at" in rows.columns else F.timestamp_millis(ts)
+    g = rows.groupBy(*keys, F.session_window(at, f"{gap_ms} milliseconds").alias("_w")).agg(F.min(ts).alias("start"), F.max(ts).alias("last"), F.count("*").alias("n"))
+    return g.select(*keys, "start", "last", "n")
+
+
 def retained(shards: DataFrame, keep_days: int, day: str = "day", key: str = "ticker", refuse: float = 0.25) -> DataFrame:
     """Shards with ``drop``: older than the newest keep_days. All are kept where that would drop more than a share of them."""
     r = shards.withColumn("_old", F.dense_rank().over(Window.partitionBy(key).orderBy(F.desc(day))) > keep_days)

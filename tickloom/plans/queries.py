@@ -429,7 +429,7 @@ c AS (SELECT *, coalesce(legs <> lag(legs) OVER (PARTITION BY ticker ORDER BY t)
 SELECT ticker, t, changed, round(first_value(best) OVER (PARTITION BY ticker, c + (t - c) // 100000 * 100000 ORDER BY t), 8) AS best FROM k""")
 def composite_replay(spark, d):  # noqa: ANN001, ANN201
     legs = _legs(ticks(spark, d), "tc_ms")
-    return C.throttled(legs, legs.groupBy("ticker", "t").agg(F.max("bid").alias("best")), 100_000).select("ticker", "t", "changed", r("best"))
+    return C.throttled(legs, 100_000, lambda due: due.groupBy("ticker", "t").agg(F.max("bid").alias("best"))).select("ticker", "t", "changed", r("best"))
 
 
 @query("SELECT seq, round(1 / ask, 10) AS bid, round(1 / bid, 10) AS ask FROM ticks")
@@ -682,4 +682,4 @@ def stream_dedupe(spark, d):  # noqa: ANN001, ANN201
     return L.collected(L.deduplicated(twice, ts="tc_ms").select("seq", "provider", "tc_ms"), "tl_stream_dedupe")
 
 
-from . import catalogue  # noqa: E402, F401
+from . import catalogue, live  # noqa: E402, F401
