@@ -1,6 +1,7 @@
 """Spark operators on small tables: golden numbers, batch against stream, and the API."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -327,3 +328,35 @@ def test_parity_regime(spark):
     rows = [("x", m, 100.0 * (1.0 if m < 60 else 1.01), 100.0) for m in range(90)]
     got = {r["minute"]: (r["basis"], r["regime"]) for r in C.parity_basis(spark.createDataFrame(rows, "ticker string, minute bigint, leg_mid double, ref_mid double"), 80).collect()}
     assert got[59] == (0.0, False) and got[85][1] and got[85][0] == pytest.approx(0.00995, abs=1e-4)
+
+
+def test_near_names_by_index_are_those_of_a_full_scan(spark):
+    rng = random.Random(4)
+    name = lambda n: "".join(rng.choice("abcdeghinorstz19é") for _ in range(n))
+    keys = sorted({name(rng.randint(1, 14)) for _ in range(250)} | {"", "a", "aa", "zzzzzz", "the same"})
+
+    def bent(s):
+        s = list(s)
+        for _ in range(rng.randint(0, 2)):
+            i = rng.randrange(len(s) + 1)
+            kind = rng.random()
+            s[i : i + (kind > 0.5)] = [] if 0.5 < kind < 0.75 else [rng.choice("abcz")]
+        if len(s) > 3 and rng.random() < 0.3:
+            i = rng.randrange(len(s) - 1)
+            s[i], s[i + 1] = s[i + 1], s[i]
+        return "".join(s)
+
+    queries = sorted({bent(rng.choice(keys)) for _ in range(300)} | {"", "q", "abc" * 20})
+    for least in (0.8, 0.9):
+        want = {(q, k) for q in queries for k in keys if q and k and N.jaro_winkler(q, k) >= least}
+        got = N.similar_names(spark.createDataFrame([(q, least) for q in queries], "q string, need double"), spark.createDataFrame([(k,) for k in keys], "key string"), least).collect()
+        assert {(r["q"], r["key"]) for r in got} == want and len(got) == len(want) > 50
+        assert all(r["jw"] == N.jaro_winkler(r["q"], r["key"]) for r in got)
+    registry = spark.createDataFrame([(k, [bent(k)] if i % 3 == 0 else None, "CR" if i % 2 else "EQ", 6 if i % 2 else 0, i) for i, k in enumerate(keys)], N.ASSET)
+    known = N.Registry(N._rows(registry))
+    want = {}
+    for s in queries:
+        m = known.find(s, 0.95 if len(N.plain_normalized(N.plain_stripped(s))) <= 4 else 0.9)
+        if m:
+            want[s] = (m[0][0], m[0][3], round(m[1], 12))
+    assert {r["symbol"]: (r["name"], r["asset_id"], round(r["jw"], 12)) for r in N.resolved(spark.createDataFrame([(s,) for s in [*queries, None]], "symbol string"), registry).collect()} == want

@@ -1,8 +1,9 @@
 """Symbols to ids: splitting, normalising, exact and fuzzy lookup, quotes, whole tickers, phantom ids.
 
-The registry is a bounded table: its rows go to every task as a list, checked against MOST_ASSETS. Symbols are resolved once for
-each distinct spelling, however often they stand, and joined back by whoever needs them. String forms are Catalyst
-expressions; lookups run over Arrow batches of distinct spellings, as what to look for depends on what was found before.
+Symbols are resolved once for each distinct spelling, however often they stand, and joined back by whoever needs them. Assets are
+found by joins, near names by an inverted index (``similar_names``). Whole tickers are looked up over Arrow batches of distinct
+spellings, as what to look for depends on what was found before: there the registry is a bounded table, whose rows go to every task
+as a list, checked against MOST_ASSETS. String forms are Catalyst expressions.
 
 A null or blank symbol resolves to nothing. Ties go by rank, then class, then id (exact), or by similarity, shorter name, class and id.
 """
@@ -13,10 +14,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..session import written
 
 SEPARATORS = "[/_-]"
 # Suffixes of business names and of venue symbols, quotes, classes, pinned tokens.
@@ -291,14 +293,72 @@ def _per_symbol(symbols: DataFrame, rows: list[tuple], schema: str, one) -> Data
     return symbols.select("symbol").where("symbol IS NOT NULL").distinct().mapInPandas(run, f"symbol string, {schema}")
 
 
+def _tokens(strings: DataFrame) -> DataFrame:
+    """(s, n, c, occ): the letters of each distinct string of n letters, each with which of its kind it is, so that they are a set."""
+    letters = strings.select("s", F.length("s").alias("n"), F.posexplode(F.regexp_extract_all("s", F.lit("(?s)."), F.lit(0))).alias("at", "c"))
+    return letters.select("s", "n", "c", F.row_number().over(Window.partitionBy("s", "c").orderBy("at")).alias("occ"))
+
+
+def _rarest_first(tokens: DataFrame, counts: DataFrame) -> DataFrame:
+    """Adds i: which token of its string it is, those that few keys have first."""
+    t = tokens.join(counts, ["c", "occ"], "left")
+    return t.withColumn("i", F.row_number().over(Window.partitionBy("s").orderBy(F.coalesce("keys", F.lit(0)), "c", "occ")) - 1).drop("keys")
+
+
+def similar_names(queries: DataFrame, keys: DataFrame, least: float) -> DataFrame:
+    """(q, key, jw) of all distinct strings q of queries (q, need) and key of keys whose Jaro-Winkler similarity is need or more; need is at least least.
+
+    A join on an inverted index, not a scan. With k common letters at the start (4 count at most) the similarity is
+    J + k/10 (1 - J), so J must be j = (need - k/10) / (1 - k/10). J is at most (m/a + m/b + 1) / 3 for lengths a and b and m letters in
+    common, so one length is 3j - 2 of the other or more, and m is o = (3j - 1) ab / (a + b) or more. Two sets of a and b letters with o in
+    common share one of the first a - o + 1 and b - o + 1 of them, in any order that holds for all: the rarest come first. So pairs
+    meet by (k, first k letters, b, letter), and what meets is compared in full. need is 0.7 or more, or pairs could have no letter in common.
+    """
+    if least < 0.7:
+        raise ValueError(f"names are compared at similarities from 0.7 on, not {least}")
+    q = queries.where("q <> ''").groupBy("q").agg(F.min("need").alias("need"))
+    names = keys.select(F.col("key").alias("s")).where("s <> ''").distinct()
+    index = _tokens(names)
+    counts = index.groupBy("c", "occ").agg(F.count("*").alias("keys"))
+    index, asked = _rarest_first(index, counts), _rarest_first(_tokens(q.select(F.col("q").alias("s"))), counts)
+    starts = F.explode(F.sequence(F.lit(0), F.least(F.lit(4), F.col("n")))).alias("k")
+    j = lambda need: (need - 0.1 * F.col("k")) / (1 - 0.1 * F.col("k"))
+    common = lambda a, b: F.ceil((3 * F.col("j") - 1) * a * b / (a + b) - 1e-9)
+    index = index.select("s", "n", "c", "occ", "i", starts).withColumn("j", j(F.lit(float(least)))).withColumn("r", F.greatest(3 * F.col("j") - 2, F.lit(0.1)))
+    index = index.where(F.col("i") <= F.col("n") - common(F.col("n"), F.col("n") * F.col("r")))
+    index = index.select(F.col("s").alias("key"), F.col("n").alias("b"), "c", "occ", F.col("i").alias("at"), "k", F.substring(F.col("s"), F.lit(1), F.col("k")).alias("start"))
+    longest = index.agg(F.max("b")).first()[0] or 0
+    asked = asked.join(q, F.col("s") == F.col("q")).select("q", "need", "n", "c", "occ", "i", starts).withColumn("j", j(F.col("need"))).withColumn("r", F.greatest(3 * F.col("j") - 2, F.lit(0.1)))
+    lo, hi = F.greatest(F.ceil(F.col("n") * F.col("r") - 1e-9), F.lit(1)), F.least(F.floor(F.col("n") / F.col("r") + 1e-9), F.lit(longest))
+    asked = asked.where(lo <= hi).withColumn("b", F.explode(F.sequence(lo.cast("int"), hi.cast("int")))).withColumn("o", common(F.col("n"), F.col("b")))
+    asked = asked.where(F.col("i") <= F.col("n") - F.col("o")).select("q", "need", "c", "occ", "k", "b", "o", F.substring(F.col("q"), F.lit(1), F.col("k")).alias("start"))
+    met = asked.join(index, ["k", "start", "b", "c", "occ"]).where(F.col("at") <= F.col("b") - F.col("o")).select("q", "need", "key").distinct()
+    return similarities(met, "q", "key").where("jw >= need").select("q", "key", "jw")
+
+
 def resolved(symbols: DataFrame, registry: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """(symbol, name, class, asset_id, jw) of each distinct symbol that is an asset; short symbols (four letters) need 0.95."""
+    """(symbol, name, class, asset_id, jw) of each distinct symbol that is an asset; short symbols (four letters) need 0.95.
 
-    def one(known: Registry, s: str) -> tuple | None:
-        m = known.find(s, max(0.95, threshold) if len(plain_normalized(plain_stripped(s))) <= 4 else threshold)
-        return m and (m[0][0], m[0][1], m[0][3], m[1])
+    Exact on the spelling, then on its stripped form, then the nearest name at least so near: joins all three, for registries of
+    any size. Names without a list of aliases have none.
+    """
 
-    return _per_symbol(symbols, _rows(registry), "name string, class string, asset_id int, jw double", one)
+    def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(k1=pdf["symbol"].map(plain_normalized), k2=pdf["symbol"].map(lambda x: plain_normalized(plain_stripped(x))))
+
+    s = symbols.select("symbol").where(F.trim("symbol") != "").distinct().mapInPandas(forms, "symbol string, k1 string, k2 string")
+    spelled = _spelled(registry.where("name IS NOT NULL"))
+    asset = F.struct("rank", "class_id", "asset_id", "name", "class")
+    best = spelled.groupBy("key").agg(F.min(asset).alias("m"))
+    found = s.join(best.select(F.col("key").alias("k1"), F.col("m").alias("m1")), "k1", "left").join(best.select(F.col("key").alias("k2"), F.col("m").alias("m2")), "k2", "left")
+    found = written(found.withColumn("m", F.coalesce("m1", "m2")).select("symbol", "k2", "m"), "symbols")
+    need = F.when(F.length("k2") <= 4, F.lit(max(0.95, threshold))).otherwise(F.lit(threshold))
+    rest = found.where("m IS NULL AND k2 <> ''").select("symbol", "k2", need.alias("need"))
+    near = similar_names(rest.select(F.col("k2").alias("q"), "need"), spelled, threshold).join(spelled, "key")
+    nearest = near.groupBy("q").agg(F.min(F.struct((-F.col("jw")).alias("far"), F.length("name").alias("long"), "class_id", "asset_id", "name", "class")).alias("m"))
+    fuzzy = rest.join(nearest, F.col("k2") == F.col("q")).select("symbol", "m.name", "m.class", "m.asset_id", (-F.col("m.far")).alias("jw"))
+    return found.where("m IS NOT NULL").select("symbol", "m.name", "m.class", "m.asset_id", F.lit(1.0).alias("jw")).unionByName(fuzzy)
 
 
 def resolved_tickers(symbols: DataFrame, registry: DataFrame, perp: int = PERP) -> DataFrame:
@@ -331,7 +391,7 @@ def named_tickers(tickers: DataFrame, registry: DataFrame) -> DataFrame:
     out = tickers
     for side, at in (("base", 56), ("quote", 36)):
         r = a.select(F.col("c").alias(f"_{side}_c"), F.col("i").alias(f"_{side}_i"), F.col("name").alias(f"_{side}"))
-        out = out.join(F.broadcast(r), (X.ticker_field(t, at, 4) == F.col(f"_{side}_c")) & (X.ticker_field(t, at - 16, 16) == F.col(f"_{side}_i")), "left")
+        out = out.join(r, (X.ticker_field(t, at, 4) == F.col(f"_{side}_c")) & (X.ticker_field(t, at - 16, 16) == F.col(f"_{side}_i")), "left")
     both = F.col("_base").isNotNull() & F.col("_quote").isNotNull()
     shown = F.concat(F.lit("0x"), F.lower(F.lpad(F.hex(t), 16, "0")))
     out = out.withColumn("base", F.when(both, F.col("_base")).otherwise(shown)).withColumn("quote", F.when(both, F.col("_quote")).otherwise("")).withColumn("itype", X.ticker_field(t, 60, 4))
@@ -339,16 +399,16 @@ def named_tickers(tickers: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def providers_named(rows: DataFrame, providers: DataFrame) -> DataFrame:
-    """Adds provider_name to rows by provider; providers (id, name) is small. An unknown id has no name."""
+    """Adds provider_name to rows by provider; An unknown id has no name."""
     p = providers.select(F.col("id").alias("_id"), F.col("name").alias("provider_name"))
-    return rows.join(F.broadcast(p), F.col("provider") == F.col("_id"), "left").drop("_id")
+    return rows.join(p, F.col("provider") == F.col("_id"), "left").drop("_id")
 
 
 def _spelled(registry: DataFrame) -> DataFrame:
-    """(key, rank, class, class_id, asset_id): every spelling of every asset, its name and first alias first."""
+    """(key, rank, name, class, class_id, asset_id): every spelling of every asset, its name and first alias first."""
     aliases = F.coalesce("aliases", F.array().cast("array<string>")) if "aliases" in registry.columns else F.array().cast("array<string>")
-    e = registry.select("class", "class_id", "asset_id", F.posexplode(F.concat(F.array("name"), F.filter(aliases, lambda x: x != ""))).alias("i", "spelling"))
-    return e.select(normalized("spelling").alias("key"), (F.col("i") > 1).cast("int").alias("rank"), "class", "class_id", "asset_id").where("key <> ''").groupBy("key", "class", "class_id", "asset_id").agg(F.min("rank").alias("rank"))
+    e = registry.select("name", "class", "class_id", "asset_id", F.posexplode(F.concat(F.array("name"), F.filter(aliases, lambda x: x != ""))).alias("i", "spelling"))
+    return e.select(normalized("spelling").alias("key"), (F.col("i") > 1).cast("int").alias("rank"), "name", "class", "class_id", "asset_id").where("key <> ''").groupBy("key", "name", "class", "class_id", "asset_id").agg(F.min("rank").alias("rank"))
 
 
 def collisions(registry: DataFrame) -> DataFrame:
