@@ -144,3 +144,30 @@ def test_jaro_winkler():
     assert jaro_winkler("MARTHA", "MARHTA") == pytest.approx(0.961111, abs=1e-6)
     assert jaro_winkler("DIXON", "DICKSONX") == pytest.approx(0.813333, abs=1e-6)
     assert jaro_winkler("", "A") == 0 and jaro_winkler("A", "A") == 1
+
+
+def test_bricks_by_day_are_those_of_the_fold():
+    rng = np.random.default_rng(5)
+    for n, sd in ((400, 0.1), (3000, 0.02), (50, 30.0)):
+        ts = np.cumsum(rng.integers(0, 900_000, n))
+        price, sigma = np.abs(100 + np.cumsum(rng.normal(0, sd, n))) + 1, rng.uniform(0.001, 0.02, n)
+        for k in (0.01, 0.05, 0.3, 1.0, 4.0):
+            fold, days = folds.Renko(k), {}
+            for t, p, s in zip(ts.tolist(), price.tolist(), sigma.tolist(), strict=True):
+                made = len(fold.feed(t, p, s))
+                if made:
+                    days[t // 86_400_000] = days.get(t // 86_400_000, 0) + made
+            assert sorted(folds.bricks_by_day(ts, price, sigma, k)) == sorted(days.values())
+
+
+def test_search_of_k_beats_a_fine_grid():
+    rng = np.random.default_rng(6)
+    ts = np.arange(20_000) * 60_000
+    price, sigma = 100 + np.cumsum(rng.normal(0, 0.05, 20_000)), np.full(20_000, 0.004)
+    count = lambda k: folds.bricks_by_day(ts, price, sigma, k)
+    for target in (3.0, 60.0, 500.0):
+        k, median = folds.search_k(count, target, (0.05, 0.2, 1.0, 5.0), 0.05, 12)
+        assert median == np.median(count(k))
+        fine = min(abs(np.log(np.median(d) / target)) for x in np.geomspace(0.05, 8, 120) if (d := count(x)))
+        assert abs(median / target - 1) <= 0.05 or abs(np.log(median / target)) <= fine + 0.05
+    assert folds.search_k(lambda k: [], 5.0, (1.0,), 0.05, 3) is None

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections import deque
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -344,6 +345,61 @@ class Renko:
         return out
 
 
+def bricks_by_day(ts: np.ndarray, price: np.ndarray, sigma: np.ndarray, k: float, most: int = 1000) -> list[int]:
+    """How many bricks Renko makes of a series on each day that has any; runs of prices that complete none cost two comparisons each."""
+    days: dict[int, int] = {}
+    fold = Renko(k, most=most)
+    cuts = [0, *(np.flatnonzero(np.diff(ts // 1_800_000)) + 1).tolist(), len(ts)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a == b:
+            continue
+        made = len(fold.feed(int(ts[a]), float(price[a]), float(sigma[a])))
+        if made:
+            day = int(ts[a]) // 86_400_000
+            days[day] = days.get(day, 0) + made
+        last, brick = fold.last_close, fold.brick
+        if brick <= 0:
+            continue
+        for i, p in enumerate(price[a + 1 : b].tolist(), a + 1):
+            if -brick < p - last < brick:
+                continue
+            made = 0
+            while made < most:
+                move = p - last
+                close = fold._snap(last + brick) if move >= brick else fold._snap(last - brick) if -move >= brick else last
+                if close == last:
+                    break
+                last, made = close, made + 1
+            if made:
+                day = int(ts[i]) // 86_400_000
+                days[day] = days.get(day, 0) + made
+        fold.last_close = last
+    return list(days.values())
+
+
+def search_k(count: Callable[[float], list[int]], target: float, grid: tuple[float, ...], tolerance: float, steps: int) -> tuple[float, float] | None:
+    """(k, median of count(k)): within tolerance of target if any is found, else the nearest; none without bricks.
+
+    After the grid log k is halved between its brackets, doubled where none brackets from above and halved where none does from below.
+    """
+    had: dict[float, float] = {}
+
+    def take(k: float) -> bool:
+        days = count(k)
+        had[k] = float(np.median(days)) if days else 0.0
+        return abs(had[k] / target - 1) <= tolerance
+
+    if not any([take(float(k)) for k in grid]):
+        for _ in range(steps):
+            lo = max((k for k, m in had.items() if m > target), default=None)
+            hi = min((k for k, m in had.items() if m < target and (lo is None or k > lo)), default=None)
+            k = lo * 2 if hi is None else hi / 2 if lo is None else (lo * hi) ** 0.5
+            if k in had or take(k):
+                break
+    some = [(abs(math.log(m / target)), k, m) for k, m in had.items() if m > 0]
+    return min(some)[1:] if some else None
+
+
 @dataclass
 class VolEma:
     """Smoothed sigma of a bin: the mean so far for the first `period` bins, then an exponential mean."""

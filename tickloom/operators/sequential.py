@@ -7,7 +7,7 @@ already sorted by Spark, so memory holds a batch and the state, not the series.
 
 from __future__ import annotations
 
-import math
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 from ..functions import exprs as X
 from ..functions import folds
 from ..session import dealt
-from .chunked import arrow, by_row, composed, speculated
+from .chunked import arrow, by_row, composed, segments, speculated
 
 
 def fold_rows(df: DataFrame, key: str, order: list[str], schema: str, make: Callable, step: Callable) -> DataFrame:
@@ -243,53 +243,68 @@ def bricks_per_day(bricks: DataFrame) -> DataFrame:
     return bricks.groupBy("ticker", (F.col("ts") - F.pmod("ts", F.lit(86_400_000))).alias("day_ms")).agg(F.count("*").alias("bricks"))
 
 
-def _brick_medians(rows: DataFrame, tries: list[tuple[str, float]]) -> dict[tuple[str, float], float]:
-    """The median of bricks a day of each (ticker, k); 0 where there is none. One sorted pass over a ticker feeds all its k."""
-    ks: dict[str, list[float]] = {}
-    for ticker, k in tries:
-        ks.setdefault(ticker, []).append(k)
+class _Series:
+    """The times, prices and sigmas of one ticker, in memory up to SPOOL_BYTES and then in a file of the task."""
 
-    class Many:
-        made = None
+    def __init__(self) -> None:
+        self.file = tempfile.SpooledTemporaryFile(max_size=SPOOL_BYTES)  # noqa: SIM115
+        self.last: tuple | None = None
 
-    def step(s, r):  # noqa: ANN001, ANN202
-        s.made = s.made or [folds.Renko(k, 0.0) for k in ks.get(r.ticker, [])]
-        return [(r.ticker, r.ts, f.k, n) for f in s.made if (n := len(f.feed(r.ts, r.mid, r.sigma)))]
+    def add(self, ts: np.ndarray, price: np.ndarray, sigma: np.ndarray) -> None:
+        """Prices that repeat the one before within a 30-minute period are left out: no brick can come of them."""
+        keep = np.ones(len(ts), bool)
+        keep[1:] = (price[1:] != price[:-1]) | (ts[1:] // X.BIN_MS != ts[:-1] // X.BIN_MS)
+        if self.last is not None and len(ts):
+            keep[0] = (float(price[0]), int(ts[0]) // X.BIN_MS) != self.last
+        if len(ts):
+            self.last = float(price[-1]), int(ts[-1]) // X.BIN_MS
+        rows = np.empty(int(keep.sum()), [("ts", "i8"), ("price", "f8"), ("sigma", "f8")])
+        rows["ts"], rows["price"], rows["sigma"] = ts[keep], price[keep], sigma[keep]
+        self.file.write(rows.tobytes())
+
+    def rows(self) -> np.ndarray:
+        kind = np.dtype([("ts", "i8"), ("price", "f8"), ("sigma", "f8")])
+        if self.file._rolled:
+            self.file.flush()
+            return np.memmap(self.file._file, kind, "r") if self.file.tell() else np.zeros(0, kind)
+        return np.frombuffer(self.file._file.getvalue(), kind)
 
-    bricks = fold_rows(rows.where(F.col("ticker").isin(list(ks))), "ticker", ["ts", "seq"], "ticker string, ts bigint, k double, n bigint", Many, step)
-    days = bricks.groupBy("ticker", "k", (F.col("ts") - F.pmod("ts", F.lit(86_400_000))).alias("day_ms")).agg(F.sum("n").alias("bricks"))
-    found = {(r["ticker"], r["k"]): r["median"] for r in days.groupBy("ticker", "k").agg(F.median("bricks").alias("median")).collect()}
-    return {t: found.get(t, 0.0) for t in tries}
+
+#: A ticker's ticks are held in memory up to so many bytes while its k is searched.
+SPOOL_BYTES = 256 << 20
 
 
 def calibrate_k(ticks: DataFrame, target: float, grid: tuple[float, ...] = (0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0), ts: str = "tc_ms", default_sigma: float = 0.01, sigma: DataFrame | None = None, tolerance: float = 0.05, steps: int = 12) -> DataFrame:
     """(ticker, k, median): a k whose median bricks a day is within tolerance of target.
 
-    After the grid each ticker without one halves log k between its brackets, doubling where none brackets from above and halving
-    where none does from below, all tickers of a step in one job. After the last step the nearest k stands; no bricks, no row.
+    One job, whatever the number of tickers: the task that has a ticker, sorted, keeps its prices and searches (``folds.search_k``). After
+    the last step the nearest k stands; no bricks, no row. Null tickers and insane prices are left out.
     """
-    rows = ticks.where(X.sane_px("mid")).select("ticker", F.col(ts).alias("ts"), "seq", "mid")
+    rows = ticks.where(X.sane_px("mid") & F.col("ticker").isNotNull()).select("ticker", F.col(ts).alias("ts"), "seq", "mid")
     own = F.lit(default_sigma)
     if sigma is not None:
         s = sigma.select(F.col("ticker").alias("_t"), F.col("bin_start_ms").alias("_b"), "sigma")
         rows = rows.join(s, (F.col("ticker") == F.col("_t")) & (X.bucket("ts", X.BIN_MS) == F.col("_b")), "left")
         own = F.coalesce("sigma", own)
     rows = rows.select("ticker", "ts", "seq", "mid", own.alias("sigma"))
-    names = [r["ticker"] for r in ticks.select("ticker").where("ticker IS NOT NULL").distinct().collect()]
-    seen: dict[str, dict[float, float]] = {n: {} for n in names}
-    tries = [(n, float(k)) for n in names for k in grid]
-    for _ in range(steps + 1):
-        if not tries:
-            break
-        for (n, k), median in _brick_medians(rows, tries).items():
-            seen[n][k] = median
-        tries = []
-        for n, had in seen.items():
-            if any(abs(m / target - 1) <= tolerance for m in had.values()):
-                continue
-            lo = max((k for k, m in had.items() if m > target), default=None)
-            hi = min((k for k, m in had.items() if m < target and (lo is None or k > lo)), default=None)
-            tries.append((n, lo * 2 if hi is None else hi / 2 if lo is None else (lo * hi) ** 0.5))
-    near = lambda had: min((abs(math.log(m / target)), k, m) for k, m in had.items() if m > 0)
-    best = [(n, *near(had)[1:]) for n, had in seen.items() if any(had.values())]
-    return ticks.sparkSession.createDataFrame(best, "ticker string, k double, median double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, series = None, None
+
+        def found() -> Iterator[pa.RecordBatch]:
+            r = series.rows()
+            best = folds.search_k(lambda k: folds.bricks_by_day(r["ts"], r["price"], r["sigma"], k), target, grid, tolerance, steps)
+            if best:
+                yield pa.RecordBatch.from_pydict({"ticker": [now], "k": [best[0]], "median": [best[1]]})
+
+        for batch in batches:
+            for (name,), part in segments(batch, [0]):
+                if name != now:
+                    if series:
+                        yield from found()
+                    now, series = name, _Series()
+                series.add(*(part.column(c).to_numpy(zero_copy_only=False) for c in ("ts", "mid", "sigma")))
+        if series:
+            yield from found()
+
+    return dealt(rows, "ticker").sortWithinPartitions("ticker", "ts", "seq").mapInArrow(run, "ticker string, k double, median double")
