@@ -47,6 +47,20 @@ def test_composites_are_those_of_the_plain_computation(spark, kernel, share_cap,
     assert some > 25
 
 
+def test_kernels_and_sigmas_of_legs_stand_for_those_of_all(spark):
+    rng = random.Random(9)
+    rows = [random_leg(rng, g, p) for g in range(40) for p in range(rng.randint(1, 6))]
+    names = ["ALT", "PEGGED", "FX_METAL", "MAJOR", None]
+    own = [(f"g{g}", names[g % 5], [None, 0.0005, float("nan"), 1.0][g % 4]) for g in range(40)]
+    legs = spark.createDataFrame(rows, LEG).join(spark.createDataFrame(own, "ticker string, kernel string, sigma double"), "ticker")
+    got = {r["ticker"]: r for r in C.composites(legs, 10.0, "ALT").collect()}
+    for ticker, kernel, sigma in own:
+        want = tdwap.composite([as_leg(r) for r in rows if r[0] == ticker], NOW / 1000, 10.0, kernel or "ALT", None if sigma is None or sigma != sigma else sigma)
+        assert (want is None) == (ticker not in got)
+        if want:
+            assert (got[ticker]["bid"], got[ticker]["n_eff"]) == (pytest.approx(want["bid"], rel=1e-6), pytest.approx(want["n_eff"], rel=1e-6)), (ticker, kernel)
+
+
 def test_legs_stand_until_the_next_quote_or_the_horizon(spark):
     rows = [("a", 1, 500, 1), ("a", 2, 1_500, 2), ("a", 1, 2_500, 3), ("a", 3, None, 4), ("b", 1, 1_000, 5)]
     q = spark.createDataFrame(rows, "ticker string, provider bigint, ts bigint, seq bigint")

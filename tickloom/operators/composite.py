@@ -75,14 +75,37 @@ def _filled(rows: DataFrame, group, cap: str, lift: str, name: str) -> DataFrame
     return rows.withColumn("_level", level).withColumn(name, F.when(F.col("_level").isNotNull(), F.least(c, F.col("share") + F.col("_level") * e))).drop("_at", "_e", "_start", "_slope", "_full", "_level")
 
 
+def kernels_at(legs: DataFrame, classes: DataFrame, sigma: DataFrame | None = None, lag_ms: int = X.BIN_MS) -> DataFrame:
+    """legs with the kernel of their ticker (ticker, kernel), and of sigma (ticker, bin_start_ms, sigma) that of the last bin closed before t.
+
+    Tickers without a class have a null kernel and instants without a bin a null sigma: what weighed() is told stands for those.
+    """
+    out = legs.join(classes.select("ticker", "kernel"), "ticker", "left")
+    if sigma is None:
+        return out
+    s = sigma.select(F.col("ticker").alias("_t"), F.col("bin_start_ms").alias("_b"), "sigma")
+    return out.join(s, (F.col("ticker") == F.col("_t")) & (X.bucket("t", X.BIN_MS) - lag_ms == F.col("_b")), "left").drop("_t", "_b")
+
+
 def weighed(legs: DataFrame, stale: float = 10.0, kernel: str = "ALT", sigma: float | None = None, share_cap: float = 1.0, anomaly: float = 5.0, bloc: float = 0.40) -> DataFrame:
     """The legs that stand, with their weights and final shares; all in windows over (ticker, t), so nothing leaves generated code.
 
-    Times are in milliseconds. A leg with a positive ``secs`` and a live_at after its last_update is carried.
+    Times are in milliseconds. A leg with a positive ``secs`` and a live_at after its last_update is carried. Columns ``kernel`` and
+    ``sigma``, where legs have them, stand for the kernel and sigma of all; a sigma counts within once and ten times its kernel's.
     """
-    bp, floor_bp, horizon = X.KERNELS[kernel]
-    base = X.kernel_sigma(bp)
-    vol2 = (min(max(sigma, base), 10 * base) if sigma is not None else base) ** 2
+    of = F.coalesce("kernel", F.lit(kernel)) if "kernel" in legs.columns else F.lit(kernel)
+
+    def its(value: Callable[[tuple], float]) -> Column:
+        out = F.lit(value(X.KERNELS[kernel]))
+        for name, k in X.KERNELS.items():
+            out = F.when(F.col("_kernel") == name, F.lit(value(k))).otherwise(out)
+        return out
+
+    legs = legs.withColumn("_kernel", of)
+    base, floor, horizon = its(lambda k: X.kernel_sigma(k[0])), its(lambda k: k[1] * 1e-4), its(lambda k: k[2])
+    real = F.coalesce(F.when(X.finite("sigma"), F.col("sigma")), F.lit(sigma).cast("double")) if "sigma" in legs.columns else F.lit(sigma).cast("double")
+    legs = legs.withColumn("_vol2", F.pow(F.coalesce(F.least(F.greatest(real, base), 10 * base), base), F.lit(2.0)))
+    vol2 = F.col("_vol2")
     for c, value in DEFAULTS.items():
         legs = legs.withColumn(c, F.coalesce(F.col(c), F.expr(value)) if c in legs.columns else F.expr(value))
     carries = set(CARRY) <= set(legs.columns)
@@ -90,7 +113,7 @@ def weighed(legs: DataFrame, stale: float = 10.0, kernel: str = "ALT", sigma: fl
     clamp = lambda x, lo=0.0: F.least(F.lit(1.0), F.greatest(F.lit(lo), x))
     rows = legs.withColumn("tau", (F.col("t") - F.col("last_update")) / 1000.0).withColumn("_ok", X.valid_tick())
     rows = rows.withColumn("rejected", F.sum((~F.col("_ok")).cast("int")).over(group)).where(F.col("_ok") & (F.col("tau") <= horizon))
-    rows = rows.withColumn("s", F.greatest((F.col("ask") - F.col("bid")) / (F.col("ask") + F.col("bid")), F.lit(floor_bp * 1e-4)))
+    rows = rows.withColumn("s", F.greatest((F.col("ask") - F.col("bid")) / (F.col("ask") + F.col("bid")), floor))
     rows = rows.withColumn("s_ref", F.sum(F.col("weight") * F.col("s")).over(group) / F.sum("weight").over(group)).where("s_ref > 0")
     evict = F.greatest(F.pow(4 * F.col("s_ref"), F.lit(2.0)) / vol2, F.lit(stale / 2))
     if carries:
@@ -98,7 +121,7 @@ def weighed(legs: DataFrame, stale: float = 10.0, kernel: str = "ALT", sigma: fl
         rows = _judged(rows, group, stale)
         evict = F.when(F.col("carried"), F.greatest("secs", F.lit(stale / 2))).otherwise(evict)
     carried = F.col("carried") if carries else F.lit(False)
-    rows = rows.withColumn("evict", F.least(evict, F.lit(horizon))).withColumn("eff", F.greatest("tau", F.least("ema_ipi", F.col("evict") / 2))).where("eff <= evict")
+    rows = rows.withColumn("evict", F.least(evict, horizon)).withColumn("eff", F.greatest("tau", F.least("ema_ipi", F.col("evict") / 2))).where("eff <= evict")
     taper, presence, diffused = 1 - F.col("eff") / F.col("evict"), X.freshness("tau", F.least(F.lit(stale), "evict")), F.col("eff")
     if carries:
         left = lambda age: clamp(F.when(F.col("held"), (1 - F.col(age) / F.greatest("secs", F.lit(1e-300))) / (1 - tdwap.CARRY_FLAT)).otherwise(2 * (1 - F.col(age) / F.greatest("lone", F.lit(1e-300)))))
@@ -143,18 +166,19 @@ def composites(legs: DataFrame, stale: float = 10.0, kernel: str = "ALT", k_disp
     aged = (F.col("ask") - F.col("bid")) / 2 * F.least(F.sqrt(F.col("tau") / F.greatest("ema_ipi", F.lit(1e-6))), F.lit(3.0))
     active = (F.col("g") > 0) & (F.col("f") >= 0.5) & ~F.col("injected")
     used = lambda x: F.sum(F.when(F.col("used"), x).otherwise(0.0))
-    pair = F.when(F.col("used"), F.struct("mid", F.col("u").alias("weight")))
+    mixed = "kernel" in legs.columns
+    pair = F.when(F.col("used") & (F.col("_kernel") == "PEGGED"), F.struct("mid", F.col("u").alias("weight")))
     g = rows.groupBy("ticker", "t").agg(
         F.sum("u").alias("total"), used(F.col("u") * F.col("bid")).alias("bid"), used(F.col("u") * F.col("ask")).alias("ask"), used(F.col("u") * apart * apart).alias("apart"), used(F.col("u") * aged * aged).alias("aged"),
         used(F.col("vbid").cast("double")).alias("vbid"), used(F.col("vask").cast("double")).alias("vask"), F.count_if("used").cast("int").alias("accepted"), F.max("rejected").cast("int").alias("rejected"),
         F.count_if(active).alias("live"), F.sum(F.when(active, F.col("final")).otherwise(0.0)).alias("live_share"), F.sum(F.col("u") * F.col("u")).alias("u2"), F.max("u").alias("top"),
         F.sort_array(F.collect_list(F.when(F.col("used"), F.struct("provider", F.col("u").alias("share"))))).alias("raw"),
-        *([F.collect_list(pair).alias("mids")] if kernel == "PEGGED" else []),
+        *([F.collect_list(pair).alias("mids")] if mixed or kernel == "PEGGED" else []),
     ).where(F.col("total") >= tdwap.TINY)
     total = F.col("total")
     g = g.withColumns({"bid": F.col("bid") / total, "ask": F.col("ask") / total, "apart": F.col("apart") / total}).withColumn("mid", (F.col("bid") + F.col("ask")) / 2)
     ci = F.greatest(F.sqrt(F.col("apart") + F.col("aged") / total), F.abs(F.col("ask") - F.col("bid")) / 2) / F.col("mid") * 1e8
-    shift = _median_of(F.col("mids")) - F.col("mid") if kernel == "PEGGED" else F.lit(0.0)
+    shift = F.when(F.size("mids") > 0, _median_of(F.col("mids")) - F.col("mid")).otherwise(0.0) if mixed or kernel == "PEGGED" else F.lit(0.0)
     half = F.when((F.col("ask") == F.col("bid")) & (F.col("accepted") >= 2), k_disp * F.sqrt("apart")).otherwise(0.0)
     real = F.col("ask") > F.col("bid")
     return g.select(

@@ -70,6 +70,13 @@ def markets(df: DataFrame, most: int = 100) -> DataFrame:
     return g.select("ticker", F.slice("all", 1, most).alias("providers"), F.size("all").alias("total"))
 
 
+def days_of(rows: DataFrame, ts: str = "ts_ms", key: str = "ticker") -> DataFrame:
+    """(key, day): every UTC day from each key's first row to its last, whether it has rows or not. Null times don't count."""
+    day = F.to_date(F.timestamp_millis(ts))
+    ends = rows.groupBy(key).agg(F.min(day).alias("_a"), F.max(day).alias("_z")).where("_a IS NOT NULL")
+    return ends.select(key, F.explode(F.sequence("_a", "_z")).alias("day"))
+
+
 def days(first: str, last: str, spark) -> DataFrame:  # noqa: ANN001
     return spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
 

@@ -17,6 +17,7 @@ from ..operators import vol as V
 from ..session import stream_ticks, table, ticks
 from ..sources import codec
 from ..streaming import live as L
+from ..streaming import stateful as SF
 from . import queries as P
 from .queries import H30, MIN, S10, query, r
 
@@ -315,9 +316,15 @@ def last_of_idents(spark, d):  # noqa: ANN001, ANN201
     return R.last_per_key(R.idents(ticks(spark, d), ["click", "view"]), "tc_ms").select("ticker", "seq")
 
 
-@query("SELECT CAST(CAST(day AS DATE) AS VARCHAR) AS day FROM range(DATE '2024-01-30', DATE '2024-03-03', INTERVAL 1 DAY) t(day)", raw=True)
+@query("SELECT ticker, CAST(unnest(generate_series(min(epoch_ms(ts_ms))::DATE, max(epoch_ms(ts_ms))::DATE, INTERVAL 1 DAY))::DATE AS VARCHAR) AS day FROM ticks WHERE seq % 9 = 0 AND value > 60 GROUP BY ticker")
 def day_range(spark, d):  # noqa: ANN001, ANN201
-    return R.days("2024-01-30", "2024-03-02", spark).select(F.col("day").cast("string").alias("day"))
+    """Days from the first to the last of the rare large values of a ticker."""
+    return R.days_of(ticks(spark, d).where("seq % 9 = 0 AND value > 60")).select("ticker", F.col("day").cast("string").alias("day"))
+
+
+@query("SELECT seq, provider FROM (SELECT seq, 60 + seq % 400 AS provider FROM ticks) WHERE provider NOT IN (71, 361, 371)")
+def excluded_providers(spark, d):  # noqa: ANN001, ANN201
+    return R.without_excluded(ticks(spark, d).withColumn("provider", 60 + F.col("seq") % 400)).select("seq", "provider")
 
 
 @query("""SELECT ticker, count(DISTINCT provider) AS total, array_to_string(list_sort(list(DISTINCT provider))[1:3], ',') AS providers FROM ticks GROUP BY ticker""")
@@ -508,25 +515,40 @@ def stream_guard(spark, d):  # noqa: ANN001, ANN201
     return L.collected(L.stream_sane_mids(stream_ticks(spark, d)), "tl_stream_sane").select("ticker", "ts", "seq", r("mid"))
 
 
-@query("SELECT seq, provider AS peer FROM ticks")
+_SENT = """, u AS (SELECT ticker AS peer, seq, (seq + CASE WHEN seq % 50 = 0 THEN 2500 ELSE 0 END) * 2 AS ts FROM ticks UNION ALL SELECT ticker, seq, (seq + seq * 7919 % 3000) * 2 + 1 FROM ticks),
+v AS (SELECT *, max(seq) OVER (PARTITION BY peer ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top, row_number() OVER (PARTITION BY peer, seq ORDER BY ts) AS nth FROM u)
+SELECT peer, ts, seq FROM v WHERE nth = 1 AND (top IS NULL OR seq > top - 1024)"""
+
+
+@query(_SENT)
 def stream_replay_window(spark, d):  # noqa: ANN001, ANN201
-    """Every frame twice: the second one isn't accepted."""
-    t = stream_ticks(spark, d).select(F.concat(F.lit("p"), "seq").alias("peer"), F.col("tc_ms").alias("ts"), "seq", F.col("provider"))
-    twice = t.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    out = L.collected(L.stream_replay_check(twice), "tl_replay")
-    return out.select("seq", "peer").join(ticks(spark, d).select("seq", "provider"), "seq").select("seq", F.col("provider").alias("peer"))
+    """Every frame of a peer twice, the second one late, and some first ones later than the window reaches back."""
+    t = ticks(spark, d).select(F.col("ticker").alias("peer"), "seq")
+    n = F.col("seq")
+    one = t.withColumn("ts", (n + F.when(n % 50 == 0, 2500).otherwise(0)) * 2)
+    sent = one.unionByName(t.withColumn("ts", (n + n * 7919 % 3000) * 2 + 1))
+    return SF.collected(spark, _halves(sent, "ts"), L.stream_replay_check, "tl_replay").select("peer", "ts", "seq")
 
 
-@query("SELECT seq, CASE WHEN seq % 2 = 0 THEN 'valid' ELSE 'duplicate' END AS verdict FROM ticks WHERE seq > 1")
-def stream_attested(spark, d):  # noqa: ANN001, ANN201
-    """Each beat is sent twice: the first copy is valid, the second a duplicate."""
-    t = stream_ticks(spark, d).where("seq > 1").select(F.lit("seat").alias("seat"), F.floor(F.col("seq") / 2).alias("ts"), F.lit(1).cast("long").alias("boot"), F.floor(F.col("seq") / 2).alias("n"), F.col("seq").alias("arrived"))
-    rows = t.select(F.concat("seat", F.col("n").cast("string")).alias("seat"), "ts", "boot", F.col("arrived").alias("arrived"), F.col("n").alias("seq"))
-    out = L.collected(L.attested(rows), "tl_attested").withColumn("k", F.row_number().over(_twice()))
-    return out.select((F.col("seq") * 2 + F.col("k") - 1).alias("seq"), "verdict")
+def _halves(rows, order: str) -> list:  # noqa: ANN001
+    cut = rows.agg(F.percentile_approx(order, 0.5, 1000)).first()[0] or 0
+    return [rows.where(F.col(order) <= cut), rows.where(F.col(order) > cut)]
+
 
+_BEAT_ROWS = """, n AS (SELECT ticker AS seat, seq AS arrived, row_number() OVER (PARTITION BY ticker ORDER BY seq) AS k FROM ticks),
+b AS (SELECT seat, arrived, k, k // 200 - CASE WHEN k % 97 = 0 THEN 1 ELSE 0 END AS boot, k - CASE WHEN k % 13 = 0 THEN 7 WHEN k % 11 = 0 THEN 1 ELSE 0 END AS seq, k * 10 - CASE WHEN k % 17 = 0 THEN 300 ELSE 0 END AS ts FROM n),
+g AS (WITH RECURSIVE g(seat, k, nb, ns, nt, verdict) AS (SELECT seat, k, boot, seq, ts, 'valid' FROM b WHERE k = 1
+  UNION ALL SELECT seat, k, CASE WHEN verdict = 'valid' THEN boot ELSE nb END, CASE WHEN verdict = 'valid' THEN seq ELSE ns END, CASE WHEN verdict = 'valid' THEN ts ELSE nt END, verdict
+  FROM (SELECT b.*, g.nb, g.ns, g.nt, CASE WHEN b.boot = g.nb AND b.seq = g.ns THEN 'duplicate' WHEN b.boot = g.nb AND (b.seq < g.ns OR b.ts < g.nt) THEN 'regression' WHEN b.boot <> g.nb AND b.ts <= g.nt THEN 'regression' ELSE 'valid' END AS verdict FROM g JOIN b ON b.seat = g.seat AND b.k = g.k + 1)) SELECT * FROM g)
+SELECT b.seat, b.ts, b.boot, b.seq, verdict FROM b JOIN g ON g.seat = b.seat AND g.k = b.k"""
 
-def _twice():  # noqa: ANN202
+
+@query(_BEAT_ROWS)
+def stream_attested(spark, d):  # noqa: ANN001, ANN201
+    """Beats of a seat over several boots, with repeats, steps back in sequence and time, and beats of a boot that is over."""
     from pyspark.sql import Window
 
-    return Window.partitionBy("seat").orderBy(F.desc("verdict"))
+    k = F.col("k")
+    n = ticks(spark, d).select(F.col("ticker").alias("seat"), F.col("seq").alias("arrived"), F.row_number().over(Window.partitionBy("ticker").orderBy("seq")).cast("long").alias("k"))
+    rows = n.select("seat", "arrived", (F.floor(k / 200) - F.when(k % 97 == 0, 1).otherwise(0)).alias("boot"), (k - F.when(k % 13 == 0, 7).when(k % 11 == 0, 1).otherwise(0)).alias("seq"), (k * 10 - F.when(k % 17 == 0, 300).otherwise(0)).alias("ts"))
+    return SF.collected(spark, _halves(rows, "arrived"), L.attested, "tl_attested")

@@ -513,26 +513,29 @@ def synth_tick(spark, d):  # noqa: ANN001, ANN201
 
 
 _PRIMARIES = [("EUR/USD", "EUR", "USD", 1), ("USDC/USD", "USDC", "USD", 2), ("EUR/USDT", "EUR", "USDT", 3), ("USDC/USDT", "USDC", "USDT", 4), ("GER40/EUR", "GER40", "EUR", 5)]
-_ROUTES = """WITH RECURSIVE p(sym, base, quote, id, volume) AS (VALUES ('EUR/USD', 'EUR', 'USD', 1, 9e0), ('USDC/USD', 'USDC', 'USD', 2, 9e0), ('EUR/USDT', 'EUR', 'USDT', 3, 2e0), ('USDC/USDT', 'USDC', 'USDT', 4, 2e0), ('GER40/EUR', 'GER40', 'EUR', 5, 1e0)),
+_ROUTES = """WITH RECURSIVE p AS (SELECT sym, base, quote, id, volume FROM (VALUES ('EUR/USD', 'EUR', 'USD', 1), ('USDC/USD', 'USDC', 'USD', 2), ('EUR/USDT', 'EUR', 'USDT', 3), ('USDC/USDT', 'USDC', 'USDT', 4), ('GER40/EUR', 'GER40', 'EUR', 5)) AS s(sym, base, quote, id)
+  JOIN (SELECT l_suppkey % 5 + 1 AS id, sum(l_quantity) AS volume FROM lineitem GROUP BY 1) USING (id)),
 e AS (SELECT base AS src, quote AS dst, sym, volume FROM p UNION ALL SELECT quote, base, sym, volume FROM p),
 w AS (SELECT src, dst, [src, dst] AS seen, [sym] AS legs, volume FROM e UNION ALL SELECT w.src, e.dst, list_append(w.seen, e.dst), list_append(w.legs, e.sym), least(w.volume, e.volume) FROM w JOIN e ON e.src = w.dst WHERE len(w.legs) < 3 AND NOT list_contains(w.seen, e.dst))
 """
 
 
-def _edges(spark):  # noqa: ANN001, ANN202
-    rows = [(*p, v) for p, v in zip(_PRIMARIES, (9.0, 9.0, 2.0, 2.0, 1.0), strict=True)]
-    p = spark.createDataFrame(rows, "sym string, base string, quote string, ticker_id bigint, volume double")
-    return G.edges(p.drop("volume"), p.select("sym", "volume"))
+def _edges(spark, d):  # noqa: ANN001, ANN202
+    """Five pairs, as deep as a fifth of the suppliers each sells."""
+    p = spark.createDataFrame(_PRIMARIES, "sym string, base string, quote string, ticker_id bigint")
+    sold = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 5 + 1).alias("ticker_id")).agg(F.sum("l_quantity").alias("volume"))
+    v = p.join(sold, "ticker_id").select("sym", "volume")
+    return G.edges(p.join(v.select("sym"), "sym", "left_semi"), v)
 
 
 @query(_ROUTES + "SELECT src, dst, CAST(len(legs) AS INT) AS hops, volume AS bottleneck, array_to_string(legs, ' ') AS legs FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY len(legs), volume DESC, legs) AS r FROM w) WHERE r = 1", raw=True)
 def cross_routes(spark, d):  # noqa: ANN001, ANN201
-    return G.routes(_edges(spark)).select("src", "dst", "hops", "bottleneck", F.array_join(F.transform("legs", lambda x: x["sym"]), " ").alias("legs"))
+    return G.routes(_edges(spark, d)).select("src", "dst", "hops", "bottleneck", F.array_join(F.transform("legs", lambda x: x["sym"]), " ").alias("legs"))
 
 
 @query(_ROUTES + "SELECT DISTINCT src, dst FROM w", raw=True)
 def servable_pairs(spark, d):  # noqa: ANN001, ANN201
-    return G.servable(_edges(spark))
+    return G.servable(_edges(spark, d))
 
 
 @query("SELECT a.event_type AS base, b.event_type AS quote FROM (SELECT DISTINCT event_type FROM events) a, (SELECT DISTINCT event_type FROM events) b WHERE a.event_type <> b.event_type AND b.event_type <> 'view' AND NOT (a.event_type = 'view' AND b.event_type = 'click')", raw=True)
