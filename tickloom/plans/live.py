@@ -14,7 +14,7 @@ from ..operators import ranges as R
 from ..operators import sequential as Q
 from ..operators import vol as V
 from ..session import shared_dir, ticks
-from ..sources import files
+from ..sources import files, signatures
 from ..streaming import live as L
 from ..streaming import stateful as S
 from . import queries as P
@@ -106,6 +106,24 @@ def record_files_tailed(spark, d):  # noqa: ANN001, ANN201
     return back.groupBy("ticker", X.mts_to_ms("mts").alias("ts_ms"), r("bid")).agg(F.count("*").alias("n"))
 
 
+# envelopes
+
+_KEY = bytes(range(32))
+_PADS = [bytes(b ^ x for b in _KEY.ljust(64, b"\0")).hex() for x in (0x36, 0x5C)]
+
+
+@query(f""", h AS (SELECT seq, from_hex('454e5631' || '0100' || '0007' || lpad(to_hex(seq), 16, '0') || lpad(to_hex(ts_ms), 16, '0') || '0020' || sha256(CAST(seq AS VARCHAR))) AS head FROM ticks)
+SELECT seq, lower(sha256(from_hex('{_PADS[1]}') || from_hex(sha256(from_hex('{_PADS[0]}') || head)))) AS tag, CASE WHEN seq % 15 = 1 THEN 'key' WHEN seq % 10 = 0 THEN 'tag' ELSE 'ok' END AS verdict, CASE WHEN seq % 15 <> 1 AND seq % 10 <> 0 THEN sha256(CAST(seq AS VARCHAR)) END AS payload FROM h""")
+def hmac_envelopes(spark, d):  # noqa: ANN001, ANN201
+    """Envelopes sealed, some of them altered on their way, and opened."""
+    t = ticks(spark, d).select("seq", "ts_ms", F.unhex(F.sha2(F.col("seq").cast("string").cast("binary"), 256)).alias("body"))
+    t = t.withColumn("sent", signatures.sealed(b"ENV1", 7, _KEY, F.col("seq"), F.col("ts_ms"), F.col("body")))
+    sent = F.hex("sent")
+    altered = F.when(F.col("seq") % 15 == 1, F.concat(F.substring(sent, 1, 14), F.lit("09"), F.substring(sent, 17, 1 << 20))).when(F.col("seq") % 10 == 0, F.concat(F.substring(sent, 1, 60), F.when(F.substring(sent, 61, 1) == "0", "1").otherwise("0"), F.substring(sent, 62, 1 << 20))).otherwise(sent)
+    out = signatures.opened(t.withColumn("frame", F.unhex(altered)), b"ENV1", {7: _KEY})
+    return out.select("seq", F.lower(F.substring(sent, -64, 64)).alias("tag"), "verdict", F.lower(F.hex("payload")).alias("payload"))
+
+
 # quiet times
 
 _BEATS = """, n AS (SELECT *, lead(tc_ms) OVER (PARTITION BY ticker ORDER BY tc_ms, seq) AS nxt FROM ticks)
