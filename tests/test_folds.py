@@ -171,3 +171,11 @@ def test_search_of_k_beats_a_fine_grid():
         fine = min(abs(np.log(np.median(d) / target)) for x in np.geomspace(0.05, 8, 120) if (d := count(x)))
         assert abs(median / target - 1) <= 0.05 or abs(np.log(median / target)) <= fine + 0.05
     assert folds.search_k(lambda k: [], 5.0, (1.0,), 0.05, 3) is None
+
+
+def test_a_tick_beyond_its_bricks_says_so():
+    fold = folds.Renko(1.0, most=3)
+    fold.feed(0, 100.0, 0.01)
+    out = fold.feed(1, 106.0, 0.01)
+    assert [b["flags"] for b in out] == [0, 4, 4 | folds.CAPPED] and len(fold.feed(2, 106.0, 0.01)) == 3
+    assert [b["flags"] for b in fold.feed(3, 107.0, 0.01)] == [0]

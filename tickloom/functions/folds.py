@@ -276,9 +276,16 @@ def single(x: float) -> float:
     return struct.unpack("<f", struct.pack("<f", x))[0]
 
 
+#: Flag of the last of ``most`` bricks of a tick that should have made more.
+CAPPED = 256
+
+
 @dataclass
 class Renko:
-    """Price-move bars. The size is set for each 30-minute period from its sigma; the anchor is snapped to the size's grid."""
+    """Price-move bars. The size is set for each 30-minute period from its sigma; the anchor is snapped to the size's grid.
+
+    A tick makes ``most`` bricks at most. What it should have made beyond is left to the next tick, if the price is still there.
+    """
 
     k: float = 1.0
     min_pct: float = 0.0
@@ -342,6 +349,8 @@ class Renko:
             self.last_close = close
             if first:
                 self.high, self.low, self.ticks = -math.inf, math.inf, 0
+        if len(out) == self.most and abs(price - self.last_close) >= self.brick:
+            out[-1]["flags"] |= CAPPED
         return out
 
 

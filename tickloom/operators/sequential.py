@@ -182,12 +182,13 @@ def leg_states(ticks: DataFrame, ts: str = "tc_ms") -> DataFrame:
 BRICKS = "ticker string, ts bigint, seq bigint, brick_no bigint, open double, high double, low double, close double, up boolean, tick_count int, flags int, brick double"
 
 
-def renko(ticks: DataFrame, sigma: DataFrame | None = None, k: float = 1.0, min_pct: float = 0.0, ts: str = "tc_ms", default_sigma: float = 0.01, jump: float | None = None, jump_limit: int = 30, closes: dict[str, float] | None = None) -> DataFrame:
+def renko(ticks: DataFrame, sigma: DataFrame | None = None, k: float = 1.0, min_pct: float = 0.0, ts: str = "tc_ms", default_sigma: float = 0.01, jump: float | None = None, jump_limit: int = 30, closes: dict[str, float] | None = None, most: int = 1000) -> DataFrame:
     """Price-move bars of each ticker; sigma (ticker, bin_start_ms, sigma) is that of the tick's 30-minute bin.
 
     jump: prices further than this part from the last brick's close are skipped, until jump_limit in a row start the series anew.
     closes: last closes to go on from, by ticker, with no wick. A ``k`` column in ticks changes k at the next 30-minute period. A
-    ticker is one task's fold. Null and insane prices are skipped; ties in time go by seq.
+    ticker is one task's fold. Null and insane prices are skipped; ties in time go by seq. A tick makes ``most`` bricks at most; the
+    last of them has flag 256 (``folds.CAPPED``) if the price was further away.
     """
     rows = ticks.where(X.sane_px("mid")).select("ticker", F.col(ts).alias("ts"), "seq", "mid", *(["k"] if "k" in ticks.columns else []))
     own = F.lit(default_sigma)
@@ -199,7 +200,7 @@ def renko(ticks: DataFrame, sigma: DataFrame | None = None, k: float = 1.0, min_
 
     class Numbered:
         def __init__(self) -> None:
-            self.fold, self.n, self.trips, self.begun = folds.Renko(k, min_pct), 0, 0, False
+            self.fold, self.n, self.trips, self.begun = folds.Renko(k, min_pct, most=most), 0, 0, False
 
     def step(s, r):  # noqa: ANN001, ANN202
         if not s.begun:
@@ -228,14 +229,14 @@ def renko_with_microstructure(ticks: DataFrame, sigma: DataFrame | None = None,
     from .bars import microstructure
 
     bricks = renko(ticks, sigma, k, ts=ts, **options)
-    first = bricks.where("flags = 0").select("ticker", "seq", F.lit(1).alias("_end"))
+    first = bricks.where("tick_count > 0").select("ticker", "seq", F.lit(1).alias("_end"))
     tagged = ticks.join(first, ["ticker", "seq"], "left")
     w = Window.partitionBy("ticker").orderBy(ts, "seq").rowsBetween(Window.unboundedPreceding, -1)
     tagged = tagged.withColumn("_id", F.coalesce(F.sum("_end").over(w), F.lit(0)))
     ends = tagged.groupBy("ticker", "_id").agg(F.max(F.when(F.col("_end") == 1, F.col("seq"))).alias("seq")).where("seq IS NOT NULL")
     stats = microstructure(tagged, ["ticker", "_id"], ts).drop("open", "high", "low", "close", "tick_count", "open_ts", "close_ts")
-    own = stats.join(ends, ["ticker", "_id"]).drop("_id").withColumn("flags", F.lit(0))
-    out = bricks.join(own, ["ticker", "seq", "flags"], "left")
+    own = stats.join(ends, ["ticker", "_id"]).drop("_id").withColumn("_first", F.lit(True))
+    out = bricks.withColumn("_first", F.col("tick_count") > 0).join(own, ["ticker", "seq", "_first"], "left").drop("_first")
     return out.na.fill(0, ["realized_var", "bipower_var", "drift", "vol_imbalance", "max_abs_return", "avg_ci_ubp", "reject_rate", "vbid", "vask"])
 
 

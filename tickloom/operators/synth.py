@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..session import written
 
 LN16 = 4 * math.log(2)
 #: Provider of composed quotes.
@@ -148,10 +149,11 @@ def ohlc_monoid(bars: DataFrame, tf_ms: int) -> DataFrame:
 def chunked(rows: DataFrame, order: str, overlap: int, slice_ms: int = 86_400_000, least: int = 4096) -> DataFrame:
     """rows in runs of their order, each with the last ``overlap`` rows of the run before: adds _chunk and _own, which those lack.
 
-    Slices of time are counted (a row a slice), so a row's place is its slice's beginning and its place there; no task sorts it all.
+    Slices of time are counted (a row a slice), so a row's place is its slice's beginning and its place there; no task sorts it all. What
+    rows come from is run once: they are a table, as they are read twice.
     """
     size = max(least, overlap)
-    s = rows.withColumn("_s", X.bucket(order, slice_ms))
+    s = written(rows, "series").withColumn("_s", X.bucket(order, slice_ms))
     sizes = s.groupBy("_s").agg(F.count("*").alias("_k"))
     begins = sizes.select(F.col("_s").alias("_b"), (F.sum("_k").over(Window.orderBy("_s")) - F.col("_k")).alias("_begin"))
     s = s.join(F.broadcast(begins), F.col("_s") == F.col("_b")).withColumn("_n", F.col("_begin") + F.row_number().over(Window.partitionBy("_s").orderBy(order)) - 1)
