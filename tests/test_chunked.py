@@ -127,3 +127,22 @@ def test_means_in_blocks_are_means_one_by_one():
             want.append(m)
             m += rate * (v - m)
         assert np.allclose(before, want, rtol=1e-12) and abs(end - m) < 1e-9
+
+
+def test_legs_that_only_tick_have_the_states_of_the_fold(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice("ab"), rng.randint(0, 2), rng.randint(0, 10**6), i, rng.random(), None, 1, 2) for i in range(900)]
+    df = spark.createDataFrame(rows, "ticker string, provider int, tc_ms bigint, seq bigint, bid double, ask double, vbid bigint, vask bigint")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {r["seq"]: r for r in Q.leg_states(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    states = {}
+    for t, p, ts, seq, bid, ask, vbid, vask in sorted(rows, key=lambda r: (r[2], r[3])):
+        s = states.setdefault((t, p), folds.LegState())
+        s.update(ts, bid, ask, vbid, vask)
+        r = got[seq]
+        assert (r["bid"], r["ask"], r["last_update"], r["live_at"], r["joined"], r["injected"]) == (bid, ask, ts, ts, s.joined, False)
+        assert abs(r["ema_ipi"] - s.ema_ipi) < 1e-9 and abs(r["last_gap"] - s.last_gap) < 1e-9
+    assert len(got) == 900

@@ -163,20 +163,46 @@ def time_bounded(rows: DataFrame, now_ms: int, ts: str = "tc_ms", flags: str = "
 LEG_STATE = "last_update bigint, live_at bigint, joined bigint, ema_ipi double, last_gap double, injected boolean"
 
 
+LEGS = f"ticker string, provider bigint, leg string, ts bigint, seq bigint, bid double, ask double, vbid double, vask double, {LEG_STATE}"
+
+
 def leg_states(ticks: DataFrame, ts: str = "tc_ms") -> DataFrame:
     """The state of each (ticker, provider) leg after each frame. A ``kind`` column (tick, carry, inject), where there is one, decides.
 
-    A leg's frames are one fold, so a ticker is split by its providers. Null prices count as frames and are refused by the composite.
+    A leg's frames are one fold, so a ticker is split by its providers. Without kinds all follows from the gaps between frames, whose
+    exponential mean is taken over a batch at once. Null prices count as frames and are refused by the composite; null times are left out.
     """
-    kind = F.coalesce("kind", F.lit("tick")) if "kind" in ticks.columns else F.lit("tick")
-    rows = ticks.select("ticker", "provider", F.concat_ws("|", "ticker", "provider").alias("leg"), F.col(ts).alias("ts"), "seq", "bid", "ask", "vbid", "vask", kind.alias("kind"))
+    rows = ticks.where(F.col(ts).isNotNull()).select("ticker", F.col("provider").cast("long").alias("provider"), F.concat_ws("|", "ticker", "provider").alias("leg"), F.col(ts).cast("long").alias("ts"), F.col("seq").cast("long").alias("seq"), *[F.col(c).cast("double").alias(c) for c in ("bid", "ask", "vbid", "vask")])
+    if "kind" not in ticks.columns:
+        return dealt(rows, "leg").sortWithinPartitions("leg", "ts", "seq").mapInArrow(_steady_legs, LEGS)
+    rows = ticks.where(F.col(ts).isNotNull()).select("ticker", "provider", F.concat_ws("|", "ticker", "provider").alias("leg"), F.col(ts).alias("ts"), "seq", "bid", "ask", "vbid", "vask", F.coalesce("kind", F.lit("tick")).alias("kind"))
 
     def step(s, r):  # noqa: ANN001, ANN202
         s.update(r.ts, r.bid, r.ask, r.vbid, r.vask, r.kind)
         return [(r.ticker, r.provider, r.leg, r.ts, r.seq, s.bid, s.ask, s.vbid, s.vask, s.last_update, s.live_at, s.joined, s.ema_ipi, s.last_gap, s.injected)]
 
-    schema = f"ticker string, provider bigint, leg string, ts bigint, seq bigint, bid double, ask double, vbid double, vask double, {LEG_STATE}"
-    return fold_rows(rows, "leg", ["ts", "seq"], schema, folds.LegState, step)
+    return fold_rows(rows, "leg", ["ts", "seq"], LEGS, folds.LegState, step)
+
+
+def _steady_legs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """LegState of legs that only tick: (joined, last time, mean gap) is all that goes on from batch to batch."""
+    now, state = None, None
+    names = [c.split()[0] for c in LEGS.split(", ")]
+    for batch in batches:
+        for (leg,), part in segments(batch, [2]):
+            at = part.column("ts").to_numpy()
+            if leg != now:
+                now, state = leg, (int(at[0]), int(at[0]), folds.LegState().ema_ipi)
+                gaps = np.r_[0.0, np.diff(at) / 1000.0]  # the first frame has none, and leaves the mean as it is
+                before, end = folds.ema(np.clip(gaps[1:], 1e-6, 300.0), 0.1, state[2])
+                after = np.r_[before, end]
+            else:
+                gaps = np.diff(np.r_[state[1], at]) / 1000.0
+                before, end = folds.ema(np.clip(gaps, 1e-6, 300.0), 0.1, state[2])
+                after = np.r_[before[1:], end]
+            state = state[0], int(at[-1]), float(after[-1])
+            own = [pa.array(v) for v in (at, at, np.full(len(at), state[0]), after, gaps, np.zeros(len(at), bool))]
+            yield pa.RecordBatch.from_arrays([*part.columns, *own], names)
 
 
 BRICKS = "ticker string, ts bigint, seq bigint, brick_no bigint, open double, high double, low double, close double, up boolean, tick_count int, flags int, brick double"
