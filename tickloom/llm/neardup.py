@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .shared import arrow_batches, let_go, written
+from .shared import arrow_batches, let_go, looked_up, written
 
 ROWS = 7
 BANDS = 64
@@ -248,8 +248,11 @@ def _labelled(docs: DataFrame, k: int, percent: int, id_col: str, text: str) ->
     let_go(members, hubs, links, more, sets)
 
     named = classes.join(labels, classes["cid"] == labels["node"], "left").select("d1", "d2", "root", F.coalesce("label", "cid").alias("label"))
-    least = named.groupBy("label").agg(F.min("root").alias("component_id"))
-    named = named.join(least, "label").select("d1", "d2", "component_id", "label")
+    named = written(named, "named", total)
+    # a component may hold a large part of all classes: those meet its least id where they are
+    least = written(named.groupBy("label").agg(F.min("root").alias("component_id"), F.count("*").alias("n_classes")), "least", total)
+    n_named = least.agg(F.sum("n_classes")).first()[0] or 0
+    named = looked_up(named, least, "label", "n_classes", n_named).select("d1", "d2", "component_id", "label")
     out = rows.select("doc_id", "h", "n_shingles", "d1", "d2", "uid").join(named, ["d1", "d2"], "left")
     component = F.when(F.col("d1").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "h", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "uid", F.coalesce("label", "uid").alias("label"))
