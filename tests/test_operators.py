@@ -360,3 +360,13 @@ def test_near_names_by_index_are_those_of_a_full_scan(spark):
         if m:
             want[s] = (m[0][0], m[0][3], round(m[1], 12))
     assert {r["symbol"]: (r["name"], r["asset_id"], round(r["jw"], 12)) for r in N.resolved(spark.createDataFrame([(s,) for s in [*queries, None]], "symbol string"), registry).collect()} == want
+
+
+def test_parameters_are_read(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"k": {"a": 1.5}, "names": ["x", "y"]}')
+    assert codec.read_params(spark, str(tmp_path / "p.json")).first().asDict(recursive=True) == {"k": {"a": 1.5}, "names": ["x", "y"]}
+    pytest.importorskip("yaml")
+    (tmp_path / "p.yml").write_text("k:\n  a: 1.5\nnames: [x, y]\n")
+    (tmp_path / "q.yml").write_text("m: 2\n")
+    rows = [r.asDict(recursive=True) for r in codec.read_params(spark, str(tmp_path / "[pq].yml")).collect()]
+    assert {"k": {"a": 1.5}, "names": ["x", "y"], "m": None} in rows and {"k": None, "names": None, "m": 2} in rows

@@ -219,21 +219,32 @@ _FLOOR, _BASE = X.KERNELS["ALT"][1] * 1e-4, X.kernel_sigma(X.KERNELS["ALT"][0])
 
 
 def _mixed_sql() -> str:
-    """The composite's SQL with each ticker's own kernel, and the sigma of its last closed half hour."""
+    """The composite's SQL with each ticker's own kernel (kn, least spread fl, horizon hz) and the sigma of its last closed half hour (v2 is its square)."""
     rows = ", ".join(f"('{t}', '{k}', {X.KERNELS[k][1] * 1e-4!r}::DOUBLE, {X.KERNELS[k][2]!r}::DOUBLE, {X.kernel_sigma(X.KERNELS[k][0])!r}::DOUBLE)" for t, k in _CLASSES.items())
     own = f"""lk AS (SELECT l.*, coalesce(kn, 'ALT') AS kn, coalesce(fl, {_FLOOR!r}) AS fl, coalesce(hz, 60.0) AS hz, pow(least(greatest(coalesce(sg.sigma, coalesce(bs, {_BASE!r})), coalesce(bs, {_BASE!r})), 10 * coalesce(bs, {_BASE!r})), 2) AS v2
  FROM l LEFT JOIN (VALUES {rows}) AS kt(tk, kn, fl, hz, bs) ON kt.tk = l.ticker LEFT JOIN (SELECT q.ticker AS tk, q.bar_ts AS bin, v AS sigma FROM q JOIN m ON m.ticker = q.ticker AND m.n = q.n) AS sg ON sg.tk = l.ticker AND sg.bin = l.t // {H30} * {H30} - {H30}),\n"""
-    text = P._V30.replace("ts_ms", "tc_ms") + P._COMPOSED
-    for old, new in (("tc_ms + 60000) + 1", f"tc_ms + {_REACH_MS}) + 1"), ("c1 AS (SELECT *,", own + "c1 AS (SELECT *,"), ("FROM l WHERE bid > 0", "FROM lk WHERE bid > 0"), (repr(_FLOOR) + ")", "fl)"), ("WHERE tau <= 60 ", "WHERE tau <= hz "), (f"/ {P._VOL2!r}, 30.0), 60.0)", "/ v2, 30.0), hz)"), (f"+ {P._VOL2!r} * eff", "+ v2 * eff")):
-        head, mark, tail = text.partition("l AS (SELECT o.ticker, o.provider, bid")
-        assert mark and old in mark + tail, old
-        text = head + (mark + tail).replace(old, new, 1) if old != repr(_FLOOR) + ")" else head + (mark + tail).replace(f"greatest((ask - bid) / (ask + bid), {_FLOOR!r})", "greatest((ask - bid) / (ask + bid), fl)", 1)
-    text = text.replace("\nSELECT ticker, t, round(CASE", """,
+    text = P._COMPOSED
+    for old, new in (
+        ("tc_ms + 60000) + 1", f"tc_ms + {_REACH_MS}) + 1"),
+        ("c1 AS (SELECT *,", own + "c1 AS (SELECT *,"),
+        ("FROM l WHERE bid > 0", "FROM lk WHERE bid > 0"),
+        (f"(ask + bid), {_FLOOR!r})", "(ask + bid), fl)"),
+        ("WHERE tau <= 60 ", "WHERE tau <= hz "),
+        (f"/ {P._VOL2!r}, 30.0), 60.0)", "/ v2, 30.0), hz)"),
+        (f"+ {P._VOL2!r} * eff", "+ v2 * eff"),
+        ("END, 9) AS bid", "END) AS bid"),
+        ("END, 9) AS ask", "END) AS ask"),
+    ):
+        assert old in text, old
+        text = text.replace(old, new, 1)
+    median = """
 w AS (SELECT ticker, t, mid, sh, sum(sh) OVER (PARTITION BY ticker, t) AS s, sum(sh) OVER (PARTITION BY ticker, t ORDER BY mid, sh ROWS UNBOUNDED PRECEDING) AS c FROM c14 WHERE kn = 'PEGGED' AND sh > 0),
 md AS (SELECT ticker, t, sum(mid * greatest(0, least(0.6 * s, c) - greatest(0.4 * s, c - sh))) / max(0.2 * s) AS median FROM w GROUP BY ticker, t),
-z AS (SELECT ticker, t, round(CASE""").replace("END, 9) AS bid", "END, 99) AS bid").replace("END, 9) AS ask", "END, 99) AS ask").replace("round(CASE WHEN ask > bid", "(CASE WHEN ask > bid").replace("END, 99)", "END)")
-    return text + """)
-SELECT z.ticker, z.t, round(z.bid + coalesce(median - (z.bid + z.ask) / 2, 0), 9) AS bid, round(z.ask + coalesce(median - (z.bid + z.ask) / 2, 0), 9) AS ask, accepted, ci, confidence, flags, n_eff, top_share FROM z LEFT JOIN md ON md.ticker = z.ticker AND md.t = z.t"""
+z AS (SELECT ticker, t, (CASE"""
+    text = text.replace("\nSELECT ticker, t, round(CASE", "," + median).replace("round(CASE WHEN ask > bid THEN ask", "(CASE WHEN ask > bid THEN ask")
+    shift = "coalesce(median - (z.bid + z.ask) / 2, 0)"
+    return P._V30.replace("ts_ms", "tc_ms") + text + f""")
+SELECT z.ticker, z.t, round(z.bid + {shift}, 9) AS bid, round(z.ask + {shift}, 9) AS ask, accepted, ci, confidence, flags, n_eff, top_share FROM z LEFT JOIN md ON md.ticker = z.ticker AND md.t = z.t"""
 
 
 @query(_mixed_sql())

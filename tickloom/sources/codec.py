@@ -278,8 +278,12 @@ def read_params(spark: SparkSession, path: str) -> DataFrame:
 
     import yaml
 
-    docs = [r["value"] for r in spark.read.text(path, wholetext=True).collect()]
-    return spark.createDataFrame([(json.dumps(yaml.safe_load(d)),) for d in docs], "value string").transform(lambda df: spark.read.json(df.rdd.map(lambda r: r["value"])))
+    out = None
+    for r in spark.read.text(path, wholetext=True).collect():  # parameter files: a few small ones
+        text = json.dumps(yaml.safe_load(r["value"]))
+        one = spark.createDataFrame([(text,)], "value string").select(F.from_json("value", F.schema_of_json(F.lit(text))).alias("p")).select("p.*")
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
 
 
 def write_table(df: DataFrame, path: str, mode: str = "append") -> None:
