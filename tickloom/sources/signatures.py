@@ -37,9 +37,9 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
     return F.unhex(F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256))
 
 
-#: Bytes of an envelope before its payload, and of its tag.
+# Fixed values of the format: bytes of an envelope before its payload, and of its tag.
 HEADER, TAG = 26, 32
-#: Bytes of one index record and of a heartbeat; a packed envelope has from 2 to MOST_FRAMES index records.
+# Fixed values too: bytes of one index record and of a heartbeat; a packed envelope has from 2 to MOST_FRAMES index records.
 INDEX, BEAT, MOST_FRAMES = 56, 32, 20
 
 
@@ -155,6 +155,7 @@ def keccak(message: Column) -> Column:
     return F.pandas_udf(_hashed, "binary")(message)
 
 
+# Fixed values of the format: what is signed, as EIP-712 writes types.
 DOMAIN_TYPE = "EIP712Domain(string name,string version,uint256 chainId,address verifyingContract)"
 BATCH_TYPE = "BatchQuote(bytes32 blobHash)"
 
