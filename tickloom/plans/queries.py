@@ -286,20 +286,24 @@ def vol_signed_blend(spark, d):  # noqa: ANN001, ANN201
 # renko
 
 
-def _renko_sql(k: float, min_pct: float, ts: str = "ts_ms", sigma: str = "") -> str:
-    """One step emits a brick of the present tick, or goes to the next one; the size of a tick's period is ready beside it."""
+def _renko_sql(k: float | str, min_pct: float, ts: str = "ts_ms", sigma: str = "", jump: float | None = None, limit: int = 30) -> str:
+    """One step emits a brick of the present tick, or goes to the next one; the size of a tick's period is ready beside it.
+
+    With jump a tick too far from the last close is skipped, and after so many in a row the series starts anew at it.
+    """
+    far = f"abs(x.mid - g.last) > {jump} * g.last" if jump else "false"
     join = f"LEFT JOIN ({sigma}) v ON v.ticker = ticks.ticker AND v.bin_start_ms = ticks.{ts} // {H30} * {H30}" if sigma else ""
     unit = "pow(10, floor(log10({0})) - 3)"
     snap = lambda x, u: f"CASE WHEN abs({x} - floor({x} / ({u} * 2) + 0.5) * {u} * 2) <= abs({x} - floor({x} / ({u} * 5) + 0.5) * {u} * 5) THEN floor({x} / ({u} * 2) + 0.5) * {u} * 2 ELSE floor({x} / ({u} * 5) + 0.5) * {u} * 5 END"
     return f""", o1 AS (SELECT ticks.ticker, {ts} AS ts, seq, mid, row_number() OVER (PARTITION BY ticks.ticker ORDER BY {ts}, seq) AS n, mid * greatest(CAST(CAST({k} AS FLOAT) AS DOUBLE) * {"coalesce(v.sigma, 0.01)" if sigma else "CAST(0.01 AS DOUBLE)"}, CAST(CAST({min_pct} AS FLOAT) AS DOUBLE)) AS want FROM ticks {join}),
 o2 AS (SELECT *, {snap("want", unit.format("want"))} AS size FROM o1), o AS (SELECT *, {unit.format("size")} * 2 AS step FROM o2),
-g AS (WITH RECURSIVE g(ticker, n, j, last, size, step, period, hi, lo, cnt, emit, op, hh, ll, tc, fl, no) AS (
-  SELECT ticker, n, 0, floor(mid / step + 0.5) * step, size, step, ts // {H30}, mid, mid, 1, false, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), 0, 0, CAST(0 AS BIGINT) FROM o WHERE n = 1
+g AS (WITH RECURSIVE g(ticker, n, j, last, size, step, period, hi, lo, cnt, emit, op, hh, ll, tc, fl, no, trips, skipped) AS (
+  SELECT ticker, n, 0, floor(mid / step + 0.5) * step, size, step, ts // {H30}, mid, mid, 1, false, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), 0, 0, CAST(0 AS BIGINT), 0, false FROM o WHERE n = 1
   UNION ALL
-  SELECT ticker, CASE WHEN can THEN n ELSE n + 1 END, CASE WHEN can THEN j + 1 ELSE 0 END, CASE WHEN can THEN nc WHEN fresh THEN floor(last / step2 + 0.5) * step2 ELSE last END, CASE WHEN NOT can AND fresh THEN size2 ELSE size END, CASE WHEN NOT can AND fresh THEN step2 ELSE step END, CASE WHEN can THEN period ELSE ts2 // {H30} END,
-   CASE WHEN NOT can THEN greatest(hi, mid2) WHEN j = 0 THEN -1e300 ELSE hi END, CASE WHEN NOT can THEN least(lo, mid2) WHEN j = 0 THEN 1e300 ELSE lo END, CASE WHEN NOT can THEN cnt + 1 WHEN j = 0 THEN 0 ELSE cnt END, can, last,
-   CASE WHEN j = 0 THEN greatest(last, nc, hi) ELSE greatest(last, nc) END, CASE WHEN j = 0 THEN least(last, nc, lo) ELSE least(last, nc) END, CASE WHEN j = 0 THEN cnt ELSE 0 END, CASE WHEN j = 0 THEN 0 ELSE 4 END, CASE WHEN can THEN no + 1 ELSE no END
-  FROM (SELECT *, coalesce(nc <> last AND j < 1000, false) AS can FROM (SELECT g.*, c.mid, x.mid AS mid2, x.ts AS ts2, x.size AS size2, x.step AS step2, x.ts // {H30} <> g.period AS fresh, CASE WHEN c.mid - g.last >= g.size THEN floor((g.last + g.size) / g.step + 0.5) * g.step WHEN g.last - c.mid >= g.size THEN floor((g.last - g.size) / g.step + 0.5) * g.step END AS nc
+  SELECT ticker, CASE WHEN can THEN n ELSE n + 1 END, CASE WHEN can THEN j + 1 ELSE 0 END, CASE WHEN can THEN nc WHEN skip THEN last WHEN anew THEN floor(mid2 / step2 + 0.5) * step2 WHEN fresh THEN floor(last / step2 + 0.5) * step2 ELSE last END, CASE WHEN NOT can AND NOT skip AND (fresh OR anew) THEN size2 ELSE size END, CASE WHEN NOT can AND NOT skip AND (fresh OR anew) THEN step2 ELSE step END, CASE WHEN can OR skip THEN period ELSE ts2 // {H30} END,
+   CASE WHEN NOT can AND skip THEN hi WHEN NOT can THEN greatest(hi, mid2) WHEN j = 0 THEN -1e300 ELSE hi END, CASE WHEN NOT can AND skip THEN lo WHEN NOT can THEN least(lo, mid2) WHEN j = 0 THEN 1e300 ELSE lo END, CASE WHEN NOT can AND skip THEN cnt WHEN NOT can THEN cnt + 1 WHEN j = 0 THEN 0 ELSE cnt END, can, last,
+   CASE WHEN j = 0 THEN greatest(last, nc, hi) ELSE greatest(last, nc) END, CASE WHEN j = 0 THEN least(last, nc, lo) ELSE least(last, nc) END, CASE WHEN j = 0 THEN cnt ELSE 0 END, CASE WHEN j = 0 THEN 0 ELSE 4 END, CASE WHEN can THEN no + 1 ELSE no END, CASE WHEN can THEN trips WHEN skip THEN trips + 1 ELSE 0 END, NOT can AND skip
+  FROM (SELECT *, coalesce(nc <> last AND j < 1000 AND NOT skipped, false) AS can FROM (SELECT g.*, coalesce({far} AND g.trips + 1 < {limit}, false) AS skip, coalesce({far} AND g.trips + 1 >= {limit}, false) AS anew, c.mid, x.mid AS mid2, x.ts AS ts2, x.size AS size2, x.step AS step2, x.ts // {H30} <> g.period AS fresh, CASE WHEN c.mid - g.last >= g.size THEN floor((g.last + g.size) / g.step + 0.5) * g.step WHEN g.last - c.mid >= g.size THEN floor((g.last - g.size) / g.step + 0.5) * g.step END AS nc
    FROM g JOIN o c ON c.ticker = g.ticker AND c.n = g.n LEFT JOIN o x ON x.ticker = g.ticker AND x.n = g.n + 1)) WHERE can OR mid2 IS NOT NULL) SELECT * FROM g),
 bricks AS (SELECT g.ticker, o.ts, o.seq, g.no - 1 AS brick_no, g.op AS open, g.hh AS high, g.ll AS low, g.last AS close, g.last > g.op AS up, g.tc AS tick_count, g.fl AS flags FROM g JOIN o ON o.ticker = g.ticker AND o.n = g.n WHERE emit)
 """
@@ -322,6 +326,26 @@ def renko_microstructure(spark, d):  # noqa: ANN001, ANN201
     return Q.renko_with_microstructure(ticks(spark, d), k=2.0).select("ticker", "ts", "seq", "brick_no", r("close"), r("realized_var"), "vbid", "vask")
 
 
+_BRICKS = "SELECT ticker, ts, seq, brick_no, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, up, CAST(tick_count AS INT) AS tick_count, flags FROM bricks"
+
+
+def _bricks(b: DataFrame) -> DataFrame:
+    return b.select("ticker", "ts", "seq", "brick_no", r("open"), r("high"), r("low"), r("close"), "up", "tick_count", "flags")
+
+
+@query(_renko_sql(1.0, 0.0, "tc_ms", jump=0.1, limit=4) + _BRICKS)
+def renko_jump_guarded(spark, d):  # noqa: ANN001, ANN201
+    """Ticks a tenth or more from the last close are skipped, until the fourth in a row."""
+    return _bricks(Q.renko(ticks(spark, d), jump=0.1, jump_limit=4))
+
+
+@query(_renko_sql("CASE WHEN ticks.seq // 700 % 2 = 0 THEN 1.5 ELSE 0.05 END", 0.0, "ts_ms") + _BRICKS)
+def renko_hot_k(spark, d):  # noqa: ANN001, ANN201
+    """k changes every so many ticks, for the next half hour on, and is never under 0.05."""
+    k = F.when(F.floor(F.col("seq") / 700) % 2 == 0, 1.5).otherwise(0.01)
+    return _bricks(Q.renko(ticks(spark, d).withColumn("k", k), ts="ts_ms"))
+
+
 @query(_renko_sql(1.0, 0.0) + "SELECT ticker, ts // 86400000 * 86400000 AS day_ms, count(*) AS bricks FROM bricks GROUP BY ALL")
 def renko_per_day(spark, d):  # noqa: ANN001, ANN201
     return Q.bricks_per_day(Q.renko(ticks(spark, d), k=1.0, ts="ts_ms"))
