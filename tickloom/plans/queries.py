@@ -339,10 +339,10 @@ def renko_jump_guarded(spark, d):  # noqa: ANN001, ANN201
     return _bricks(Q.renko(ticks(spark, d), jump=0.1, jump_limit=4))
 
 
-@query(_renko_sql("CASE WHEN ticks.seq // 700 % 2 = 0 THEN 1.5 ELSE 0.05 END", 0.0, "ts_ms") + _BRICKS)
+@query(_renko_sql("CASE WHEN ticks.seq // 700 % 8 = 7 THEN 0.05 ELSE 1.5 END", 0.0, "ts_ms") + _BRICKS)
 def renko_hot_k(spark, d):  # noqa: ANN001, ANN201
     """k changes every so many ticks, for the next half hour on, and is never under 0.05."""
-    k = F.when(F.floor(F.col("seq") / 700) % 2 == 0, 1.5).otherwise(0.01)
+    k = F.when(F.floor(F.col("seq") / 700) % 8 == 7, 0.01).otherwise(1.5)
     return _bricks(Q.renko(ticks(spark, d).withColumn("k", k), ts="ts_ms"))
 
 
