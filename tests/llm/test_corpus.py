@@ -531,15 +531,16 @@ def test_repeats(spark, docs, rows, length):
     assert sum(r["n_removed"] for r in got) > 0 and repeats.without_repeats(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("hot", [1, 10**9])
-def test_repeats_of_a_passage_that_many_texts_share(spark, monkeypatch, hot):
-    """Borders of shared passages, copies, near copies, a text that repeats itself; triggers sorted in one task and not."""
+@pytest.mark.parametrize(("block", "broadcast"), [(1, 0), (6, 10**6), (10**9, 10**6)])
+def test_repeats_of_a_passage_that_many_texts_share(spark, monkeypatch, block, broadcast):
+    """Borders of shared passages, copies, near copies, a text that repeats itself; triggers in one block and in many."""
     rng = random.Random(12)
     passages, base = [prose(rng, n) for n in (30, 50, 90)], prose(rng, 120)
     texts = [f"{prose(rng, rng.randrange(40))} {rng.choice(passages)} {prose(rng, rng.randrange(40))}" for _ in range(60)]
     texts += [base] * 5 + [base[:p] + "#" + base[p + 1 :] for p in range(50, 500, 45)] + ["ab " * 300, prose(rng, 20) * 3]
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
-    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    monkeypatch.setattr(repeats, "BROADCAST_ROWS", broadcast)
     same(repeats.without_repeats(spark.createDataFrame(rows, COLUMNS).repartition(5), gram=24).collect(), plain_repeats(rows, 200))
 
 

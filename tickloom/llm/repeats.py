@@ -10,8 +10,10 @@
    one task, which builds their suffix array up to LENGTH bytes by doubling: ranks of 8 bytes, of 16, of 32 and so on, each
    from pairs of the last. Windows of equal rank are equal byte by byte. As phrases overlap, no window crosses from
    one to the next, so the order of the parse itself is never needed.
-   A trigger with more than HOT entries (the border of a passage that very many texts share) isn't sorted in one task: its
-   windows are counted by fingerprint, each with its trigger, and meet only windows equal to them.
+   The entries of one trigger are dealt into blocks of some BLOCK. A trigger of several blocks (the border of a passage that very
+   many texts share) is sorted block by block, and each block names its distinct windows by fingerprint, one of each rank. Where
+   two blocks name one fingerprint, the bytes of those windows meet and decide. So at every size windows are equal if their bytes
+   are, no task holds a whole trigger, and a window that a thousand entries have is one row of each block.
 4. Repeated windows go back to their documents as byte ranges and are cut out there.
 
 Defined results: a null text is empty; texts shorter than LENGTH keep all. Matches never cross texts. Repeated rows are
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +40,10 @@ LENGTH = 200
 GRAM = 48
 #: Bytes of phrases that one task sorts, about.
 TASK_BYTES = 4 << 20
-#: Entries of a trigger that meet in one task at most.
-HOT = 10_000
+#: Entries of a trigger that meet in one suffix array, about.
+BLOCK = 1_000
+#: Hashes of so many documents go to every executor whole (8 MB); beyond that the documents are joined by shuffle alone.
+BROADCAST_ROWS = 500_000
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -97,19 +102,19 @@ def _pieces(length: int):  # noqa: ANN202
                 if found is None or not len(found):
                     continue
                 raw = batch.column(2)[r].as_py().encode()
-                g, a, b, once, hot = (found.field(n) for n in ("g", "first", "last", "once", "hot"))
+                g, a, b, once, block = (found.field(n) for n in ("g", "first", "last", "once", "block"))
                 pieces = [raw[x : y + length] for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
                 rows = pa.array(np.full(len(found), r))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), g, a, once, hot, pa.array(pieces, pa.binary())], ["doc_id", "h", "g", "first", "once", "hot", "bytes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), g, a, once, block, pa.array(pieces, pa.binary())], ["doc_id", "h", "g", "first", "once", "block", "bytes"])
 
     return run
 
 
-PIECES = "doc_id bigint, h bigint, g bigint, first int, once boolean, hot boolean, bytes binary"
+PIECES = "doc_id bigint, h bigint, g bigint, first int, once boolean, block int, bytes binary"
 
 
-def repeated_windows(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
-    """Of every window of every piece, in order, whether its bytes are those of another: a suffix array that looks length bytes far.
+def window_ranks(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
+    """A rank for every window of every piece, in order, -1 where no other has its bytes: a suffix array that looks length bytes far.
 
     Ranks of twice as many bytes come from pairs of ranks. A place whose bytes so far stand nowhere else has no equal further on
     either, so it is put aside (-1) and not sorted again. length is 8 bytes at least.
@@ -126,7 +131,7 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, length: int) -> np.n
         rank = np.full(len(data), -1, np.int64)
         rank[at[order]] = np.where(alone, -1, np.cumsum(new) - 1)
         if step >= length:
-            return (rank >= 0)[left >= length]
+            return rank[left >= length]
         shift = min(step, length - step)
         at = np.flatnonzero((rank >= 0) & (left >= step + shift))
         at = at[rank[at + shift] >= 0]
@@ -134,49 +139,62 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, length: int) -> np.n
         step += shift
 
 
-def _runs(batch: pa.RecordBatch, again: np.ndarray, length: int) -> pa.RecordBatch:
-    """Ranges of bytes under windows that stand again, of entries that stand once."""
-    sizes = np.array([len(v) for v in batch.column("bytes").cast(pa.large_binary()).to_pylist()], np.int64) - (length - 1)
-    row = np.repeat(np.arange(batch.num_rows), sizes)
-    again = again & batch.column("once").to_numpy(zero_copy_only=False)[row]
-    window = np.arange(len(again)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + batch.column("first").to_numpy().astype(np.int64)[row]
+def _places(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window of every piece, in order: the piece, where it begins in the pieces' bytes, and where in its document."""
+    sizes = pa.compute.binary_length(batch.column("bytes")).to_numpy().astype(np.int64)
+    counts = sizes - (length - 1)
+    row = np.repeat(np.arange(batch.num_rows), counts)
+    local = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return row, (np.cumsum(sizes) - sizes)[row] + local, local + batch.column("first").to_numpy().astype(np.int64)[row]
+
+
+def _runs(row: np.ndarray, window: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, first, last window) of the runs of windows that stand again."""
     edge = np.r_[True, row[1:] != row[:-1]]
     start = np.flatnonzero(again & (edge | ~np.r_[False, again[:-1]]))
     end = np.flatnonzero(again & (np.r_[edge[1:], True] | ~np.r_[again[1:], False]))
-    rows = pa.array(row[start])
-    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("h").take(rows), pa.array(window[start]), pa.array(window[end] + length)], ["doc_id", "h", "start", "end"])
+    return row[start], window[start], window[end]
+
 
+def _ordered(length: int, blocks: bool):  # noqa: ANN202
+    """All entries of some triggers or of some of their blocks: suffix array, and what of them is repeated.
 
-def _ordered(length: int):  # noqa: ANN202
-    """All entries of some triggers: suffix array, and what of them is repeated."""
+    With blocks, a row with a mark for each distinct window too, so that it can be held against other blocks'.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        raw = table.column("bytes").to_pylist()
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        raw = batch.column("bytes").to_pylist()
         offsets = np.r_[0, np.cumsum([len(v) for v in raw])]
-        yield _runs(table, repeated_windows(np.frombuffer(b"".join(raw), np.uint8), offsets, length), length)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        rank = window_ranks(data, offsets, length)
+        row, begin, window = _places(batch, length)
+        once = batch.column("once").to_numpy(zero_copy_only=False)[row]
+        piece, first, last = _runs(row, window, (rank >= 0) & once)
+        which = pa.array(piece)
+        ranges = [batch.column("doc_id").take(which), batch.column("h").take(which), pa.array(first), pa.array(last + length)]
+        if not blocks:
+            yield pa.RecordBatch.from_arrays(ranges, ["doc_id", "h", "start", "end"])
+            return
+        none = [pa.nulls(len(piece), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())]
+        names = ["doc_id", "h", "start", "end", "g", "block", "first", "alone", "mark"]
+        yield pa.RecordBatch.from_arrays(ranges + none, names)
+        several = np.flatnonzero(rank >= 0)
+        one = np.r_[np.flatnonzero(rank < 0), several[np.unique(rank[several], return_index=True)[1]]]
+        mark = K.span_hash(K.prefix_hash(data), begin[one], begin[one] + length).view(np.int64)
+        which = pa.array(row[one])
+        of = {n: batch.column(n).take(which) for n in ("doc_id", "h", "g", "block", "first")}
+        start = pa.array(window[one])
+        out = [of["doc_id"], of["h"], start, pa.array(window[one] + length), of["g"], of["block"], of["first"], pa.array((rank[one] < 0) & once[one]), pa.array(mark)]
+        yield from pa.Table.from_arrays(out, names).to_batches(max_chunksize=100_000)
 
     return run
 
 
-def _windows(length: int):  # noqa: ANN202
-    """A row for each window of an entry, with its fingerprint."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, data, offsets in K.chunks(batch.column("bytes"), 1 << 20):
-                n = np.diff(offsets) - (length - 1)
-                row = np.repeat(np.arange(j - i), n)
-                begin = offsets[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                mark = K.span_hash(K.prefix_hash(data), begin, begin + length).view(np.int64)
-                rows = pa.array(row + i)
-                start = pa.array(begin - offsets[:-1][row] + batch.column("first").to_numpy().astype(np.int64)[row + i])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), batch.column("once").take(rows), pa.array(mark), start], ["doc_id", "h", "g", "once", "mark", "start"])
-
-    return run
+RANGES = "doc_id bigint, h bigint, start bigint, end bigint"
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -215,6 +233,35 @@ def _same_row(a: str, b: str):  # noqa: ANN202
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
 
 
+def _across_blocks(docs: DataFrame, found: DataFrame, length: int) -> DataFrame | None:
+    """Ranges of bytes under repeated windows of the triggers that are dealt into blocks; None where there are none."""
+    dealt = found.where(F.size("dealt") > 0).select("doc_id", "h", F.col("dealt").alias("found"))
+    rows, entries = dealt.agg(F.count("*"), F.coalesce(F.sum(F.size("found")), F.lit(0))).first()
+    if not rows:
+        return None
+    if rows <= BROADCAST_ROWS:  # other texts needn't be shuffled
+        docs = docs.join(F.broadcast(dealt.select("h").distinct()), "h", "left_semi").select("doc_id", "h", "text")
+    d, f = docs.alias("d"), dealt.alias("f")
+    pieces = d.join(f, _same_row("d", "f")).select("d.doc_id", "d.h", "d.text", "f.found").mapInArrow(_pieces(length), PIECES)
+    pieces = written(pieces, "pieces")
+    tasks = max(partitions(docs.sparkSession), -(-entries * 2 * length // TASK_BYTES))
+    ordered = pieces.repartition(tasks, "g", "block").mapInArrow(_ordered(length, True), RANGES + ", g bigint, block int, first int, alone boolean, mark bigint")
+    ordered = written(ordered, "ordered")
+    in_two = (F.min("block") < F.max("block")).alias("two")
+    marks = ordered.where("mark IS NOT NULL")
+    met = marks.groupBy("g", "mark").agg(in_two).where("two").select("g", "mark")
+    # an entry has no more windows than a trigger has places in one
+    asked = marks.join(met, ["g", "mark"], "left_semi").groupBy("doc_id", "h", "g", "first").agg(F.collect_set(F.struct("start", "alone")).alias("asked"))
+    p, a = pieces.alias("p"), asked.alias("a")
+    windows = p.join(a, _same_row("p", "a") & (F.col("p.g") == F.col("a.g")) & (F.col("p.first") == F.col("a.first")))
+    windows = windows.select("p.doc_id", "p.h", "p.g", "p.block", "p.first", "p.bytes", F.inline("a.asked"))
+    windows = written(windows.select("doc_id", "h", "g", "block", "start", "alone", F.expr(f"substring(bytes, int(start - first + 1), {length})").alias("window")), "windows")
+    let_go(pieces)
+    equal = windows.groupBy("g", "window").agg(in_two).where("two").select("g", "window")
+    again = windows.where("alone").join(equal, ["g", "window"], "left_semi").select("doc_id", "h", "start", (F.col("start") + length).alias("end"))
+    return ordered.where("mark IS NULL").select("doc_id", "h", "start", "end").unionByName(again)
+
+
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row; with keep_text the bytes kept and the spans removed too."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("h"), "text")
@@ -222,34 +269,30 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kee
     entries = parsed.select("uid", F.inline(F.arrays_zip("g", "d"))).groupBy("g", "d").agg(F.count("*").alias("n"), F.min("uid").alias("from"))
     entries = written(entries, "entries")
     of = entries.groupBy("g").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.min("n").alias("least")).where("total > 1")
-    known = written(entries.join(of, "g").select("g", "d", "n", "from", ((F.col("kinds") > 1) & (F.col("least") == 1)).alias("sorted"), (F.col("kinds") > HOT).alias("hot")), "dictionary")
+    block = F.when(F.col("kinds") > BLOCK, F.pmod("d", F.ceil(F.col("kinds") / BLOCK)).cast("int"))
+    known = written(entries.join(of, "g").select("g", "d", "n", "from", ((F.col("kinds") > 1) & (F.col("least") == 1)).alias("sorted"), block.alias("block")), "dictionary")
     each = parsed.select("doc_id", "h", "uid", F.inline(F.arrays_zip("g", "d", "first", "last"))).join(known, ["g", "d"])
     let_go(entries)
     # what stands twice is gone as a whole; what is to be sorted is handed in by the first row that has it
     handed = F.col("sorted") & (F.col("uid") == F.col("from"))
+    entry = F.struct("g", "first", "last", (F.col("n") == 1).alias("once"), "block")
     found = each.groupBy("doc_id", "h").agg(
         F.collect_set(F.when(F.col("n") > 1, F.struct("first", "last"))).alias("whole"),
-        F.collect_set(F.when(handed, F.struct("g", "first", "last", (F.col("n") == 1).alias("once"), "hot"))).alias("found"),
-        F.sum(F.when(handed, F.col("last") - F.col("first") + length).otherwise(0)).alias("size"),
+        F.collect_set(F.when(handed & F.isnull("block"), entry)).alias("found"),
+        F.collect_set(F.when(handed & F.isnotnull("block"), entry)).alias("dealt"),
+        F.sum(F.when(handed & F.isnull("block"), F.col("last") - F.col("first") + length).otherwise(0)).alias("size"),
     )
     found = written(found, "found")
-    let_go(parsed)
+    let_go(parsed, known)
     size = found.agg(F.sum("size")).first()[0] or 0
     tasks = max(partitions(docs.sparkSession), -(-size // TASK_BYTES))
     d, f = docs.alias("d"), found.alias("f")
     # left, like the join at the end, so that the texts are dealt out once for both
     texts = d.join(f, _same_row("d", "f"), "left").select("d.doc_id", "d.h", "d.text", "f.found", "f.whole")
     pieces = texts.select("doc_id", "h", "text", "found").mapInArrow(_pieces(length), PIECES)
-    if not known.where("hot AND sorted").isEmpty():
-        pieces = written(pieces, "pieces")
-        windows = written(pieces.where("hot").mapInArrow(_windows(length), "doc_id bigint, h bigint, g bigint, once boolean, mark bigint, start bigint"), "windows")
-        twice = windows.groupBy("g", "mark").agg(F.count("*").alias("n")).where("n > 1").select("g", "mark")
-        hot = windows.where("once").join(written(twice, "twice"), ["g", "mark"], "left_semi").select("doc_id", "h", "start", (F.col("start") + length).alias("end"))
-        pieces = pieces.where("NOT hot")
-    else:
-        hot = None
-    ranges = pieces.repartition(tasks, "g").mapInArrow(_ordered(length), "doc_id bigint, h bigint, start bigint, end bigint")
-    ranges = ranges if hot is None else ranges.unionByName(hot)
+    ranges = pieces.repartition(tasks, "g").mapInArrow(_ordered(length, False), RANGES)
+    across = _across_blocks(docs, found, length)
+    ranges = ranges if across is None else ranges.unionByName(across)
     ranges = ranges.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     kind = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary, spans array<struct<start: bigint, end: bigint>>" if keep_text else "")
     t, r = texts.alias("t"), ranges.alias("r")
