@@ -9,11 +9,13 @@
 3. Order. Other entries stand once, but another entry has their trigger. The bytes of such a trigger's entries, once each, meet in
    one task, which builds their suffix array up to LENGTH bytes by doubling: ranks of 8 bytes, of 16, of 32 and so on, each
    from pairs of the last. Windows of equal rank are equal byte by byte. As phrases overlap, no window crosses from
-   one to the next, so the order of the parse itself is never needed.
+   one to the next, so the order of the parse itself is never needed. Equal windows have their trigger at the same place, so windows
+   whose trigger's places lie within PART of each other are looked at together first: where the bytes that they have in common
+   stand nowhere else in the task, neither do they, and nothing of them is sorted.
    The entries of one trigger are dealt into blocks of some BLOCK. A trigger of several blocks (the border of a passage that very
-   many texts share) is sorted block by block, and each block names its distinct windows by fingerprint, one of each rank. Where
-   two blocks name one fingerprint, the bytes of those windows meet and decide. So at every size windows are equal if their bytes
-   are, no task holds a whole trigger, and a window that a thousand entries have is one row of each block.
+   many texts share) is sorted block by block, and each task names its blocks' distinct windows by fingerprint, one of each rank. Where
+   two tasks name one fingerprint, the bytes of those windows meet and decide. So at every size windows are equal if their bytes
+   are, no task holds a whole trigger, and a window that a thousand entries have is named once by each task.
 4. Repeated windows go back to their documents as byte ranges and are cut out there.
 
 Defined results: a null text is empty; texts shorter than LENGTH keep all. Matches never cross texts. Repeated rows are
@@ -42,6 +44,8 @@ GRAM = 48
 TASK_BYTES = 4 << 20
 #: Entries of a trigger that meet in one suffix array, about.
 BLOCK = 1_000
+#: Windows of an entry that are looked at together.
+PART = 16
 #: Hashes of so many documents go to every executor whole (8 MB); beyond that the documents are joined by shuffle alone.
 BROADCAST_ROWS = 500_000
 
@@ -113,14 +117,18 @@ def _pieces(length: int):  # noqa: ANN202
 PIECES = "doc_id bigint, h bigint, g bigint, first int, once boolean, block int, bytes binary"
 
 
-def window_ranks(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
+def window_ranks(data: np.ndarray, offsets: np.ndarray, length: int, wanted: np.ndarray) -> np.ndarray:
     """A rank for every window of every piece, in order, -1 where no other has its bytes: a suffix array that looks length bytes far.
 
     Ranks of twice as many bytes come from pairs of ranks. A place whose bytes so far stand nowhere else has no equal further on
-    either, so it is put aside (-1) and not sorted again. length is 8 bytes at least.
+    either, so it is put aside (-1) and not sorted again. length is 8 bytes at least. Places under no wanted window aren't sorted.
     """
     left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
-    at = np.flatnonzero(left >= 8)
+    begin = np.flatnonzero(left >= length)[wanted]
+    under = np.zeros(len(data) + 1, np.int32)
+    under[begin] = 1
+    under[begin + length] -= 1  # a window's end may be another's beginning
+    at = np.flatnonzero((left >= 8) & (np.cumsum(under[:-1]) > 0))
     key = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)[at]).view(">u8").ravel().astype(np.uint64)
     step = 8
     while True:
@@ -156,10 +164,47 @@ def _runs(row: np.ndarray, window: np.ndarray, again: np.ndarray) -> tuple[np.nd
     return row[start], window[start], window[end]
 
 
-def _ordered(length: int, blocks: bool):  # noqa: ANN202
+def _pieces_hashed(batch: pa.RecordBatch, row: np.ndarray):  # noqa: ANN202
+    """(first piece, end piece, first window, end window, bytes before, offsets, prefix sums) of runs of pieces of about 1 MB."""
+    before = 0
+    for i, j, data, offsets in K.chunks(batch.column("bytes")):
+        a, b = np.searchsorted(row, [i, j])
+        yield i, j, a, b, before, offsets, K.prefix_hash(data)
+        before += len(data)
+
+
+def _shared_parts(batch: pa.RecordBatch, row: np.ndarray, begin: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Of every window whether what it has in common with its part of the entry, the trigger within, stands in another entry too."""
+    trigger = batch.column("g").to_numpy()
+    cores, part = [], np.zeros(len(row), np.int64)
+    n = 0
+    for i, j, a, b, before, offsets, prefix in _pieces_hashed(batch, row):
+        last = np.diff(offsets) - length  # last window; a trigger lies in all windows and is the last such place with its hash
+        counts = length - gram - last + 1
+        piece = np.repeat(np.arange(j - i), counts)
+        local = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts) + last[piece]
+        at = offsets[piece] + local
+        hit = K.span_hash(prefix, at, at + gram).view(np.int64) == trigger[i:j][piece]
+        place = np.zeros(j - i, np.int64)
+        place[piece[hit]] = local[hit]
+        here = row[a:b] - i
+        back = offsets[here] + place[here] - (begin[a:b] - before)
+        q = back // PART
+        new = np.r_[True, (here[1:] != here[:-1]) | (q[1:] != q[:-1])]
+        part[a:b] = np.cumsum(new) - 1 + n
+        of, low = here[new], q[new] * PART
+        high = np.minimum(low + PART - 1, length - gram)
+        middle = offsets[of] + place[of]
+        cores.append(K.span_hash(prefix, middle - low, middle - high + length))
+        n += len(of)
+    _, which, times = np.unique(np.concatenate(cores), return_inverse=True, return_counts=True)
+    return (times > 1)[which][part]
+
+
+def _ordered(length: int, gram: int, buckets: int = 0):  # noqa: ANN202
     """All entries of some triggers or of some of their blocks: suffix array, and what of them is repeated.
 
-    With blocks, a row with a mark for each distinct window too, so that it can be held against other blocks'.
+    With buckets, a row for each of them too: the fingerprints of the distinct windows that fall there, to be held against other tasks'.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,30 +215,57 @@ def _ordered(length: int, blocks: bool):  # noqa: ANN202
         raw = batch.column("bytes").to_pylist()
         offsets = np.r_[0, np.cumsum([len(v) for v in raw])]
         data = np.frombuffer(b"".join(raw), np.uint8)
-        rank = window_ranks(data, offsets, length)
+        del raw
         row, begin, window = _places(batch, length)
+        rank = window_ranks(data, offsets, length, _shared_parts(batch, row, begin, length, gram))
         once = batch.column("once").to_numpy(zero_copy_only=False)[row]
         piece, first, last = _runs(row, window, (rank >= 0) & once)
         which = pa.array(piece)
         ranges = [batch.column("doc_id").take(which), batch.column("h").take(which), pa.array(first), pa.array(last + length)]
-        if not blocks:
+        if not buckets:
             yield pa.RecordBatch.from_arrays(ranges, ["doc_id", "h", "start", "end"])
             return
-        none = [pa.nulls(len(piece), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())]
-        names = ["doc_id", "h", "start", "end", "g", "block", "first", "alone", "mark"]
-        yield pa.RecordBatch.from_arrays(ranges + none, names)
+        names = ["doc_id", "h", "start", "end", "bucket", "task", "windows"]
+        yield pa.RecordBatch.from_arrays([*ranges, *[pa.nulls(len(piece), t) for t in (pa.int32(), pa.int32(), pa.list_(WINDOW))]], names)
         several = np.flatnonzero(rank >= 0)
-        one = np.r_[np.flatnonzero(rank < 0), several[np.unique(rank[several], return_index=True)[1]]]
-        mark = K.span_hash(K.prefix_hash(data), begin[one], begin[one] + length).view(np.int64)
+        named = np.zeros(len(row), bool)
+        named[rank < 0] = True
+        named[several[np.unique(rank[several], return_index=True)[1]]] = True
+        mark = np.zeros(len(row), np.int64)
+        for _, _, a, b, before, _, prefix in _pieces_hashed(batch, row):
+            mark[a:b] = K.span_hash(prefix, begin[a:b] - before, begin[a:b] - before + length).view(np.int64)
+        one = np.flatnonzero(named)
+        bucket = (mark[one].view(K.U) % K.U(buckets)).astype(np.int64)
+        one = one[np.argsort(bucket, kind="stable")]
         which = pa.array(row[one])
-        of = {n: batch.column(n).take(which) for n in ("doc_id", "h", "g", "block", "first")}
-        start = pa.array(window[one])
-        out = [of["doc_id"], of["h"], start, pa.array(window[one] + length), of["g"], of["block"], of["first"], pa.array((rank[one] < 0) & once[one]), pa.array(mark)]
-        yield from pa.Table.from_arrays(out, names).to_batches(max_chunksize=100_000)
+        fields = [pa.array(mark[one]), *[batch.column(n).take(which) for n in ("doc_id", "h", "g", "first")], pa.array(window[one]), pa.array((rank[one] < 0) & once[one])]
+        ends = np.r_[0, np.cumsum(np.bincount(bucket, minlength=buckets))].astype(np.int32)
+        full = pa.array(np.flatnonzero(np.diff(ends)))
+        lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, fields=list(WINDOW))).take(full)
+        task = pa.array(np.full(len(full), TaskContext.get().partitionId(), np.int32))
+        yield from pa.Table.from_arrays([*[pa.nulls(len(full), pa.int64())] * 4, full.cast(pa.int32()), task, lists], names).to_batches(max_chunksize=100)
 
     return run
 
 
+WINDOW = pa.struct([("mark", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("first", pa.int32()), ("start", pa.int64()), ("alone", pa.bool_())])
+WINDOW_SQL = "mark: bigint, doc_id: bigint, h: bigint, g: bigint, first: int, start: bigint, alone: boolean"
+
+
+def _named_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows whose fingerprint two tasks name, of some buckets. A task names none twice."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    lists = pa.concat_arrays([b.column("windows") for b in held])
+    task = np.repeat(np.concatenate([b.column("task").to_numpy() for b in held]), pa.compute.list_value_length(lists).to_numpy())
+    windows = lists.flatten()
+    _, which, times = np.unique(windows.field("mark").to_numpy(), return_inverse=True, return_counts=True)
+    met = pa.array(np.flatnonzero((times > 1)[which]))
+    names = ["doc_id", "h", "g", "first", "start", "alone"]
+    yield from pa.Table.from_arrays([*[windows.field(n).take(met) for n in names], pa.array(task).take(met)], [*names, "task"]).to_batches(max_chunksize=100_000)
+
+
 RANGES = "doc_id bigint, h bigint, start bigint, end bigint"
 
 
@@ -233,7 +305,7 @@ def _same_row(a: str, b: str):  # noqa: ANN202
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
 
 
-def _across_blocks(docs: DataFrame, found: DataFrame, length: int) -> DataFrame | None:
+def _across_blocks(docs: DataFrame, found: DataFrame, length: int, gram: int) -> DataFrame | None:
     """Ranges of bytes under repeated windows of the triggers that are dealt into blocks; None where there are none."""
     dealt = found.where(F.size("dealt") > 0).select("doc_id", "h", F.col("dealt").alias("found"))
     rows, entries = dealt.agg(F.count("*"), F.coalesce(F.sum(F.size("found")), F.lit(0))).first()
@@ -245,21 +317,21 @@ def _across_blocks(docs: DataFrame, found: DataFrame, length: int) -> DataFrame
     pieces = d.join(f, _same_row("d", "f")).select("d.doc_id", "d.h", "d.text", "f.found").mapInArrow(_pieces(length), PIECES)
     pieces = written(pieces, "pieces")
     tasks = max(partitions(docs.sparkSession), -(-entries * 2 * length // TASK_BYTES))
-    ordered = pieces.repartition(tasks, "g", "block").mapInArrow(_ordered(length, True), RANGES + ", g bigint, block int, first int, alone boolean, mark bigint")
+    buckets = 1 + entries * (length - gram + 1) * 40 // TASK_BYTES
+    ordered = pieces.repartition(tasks, "g", "block").mapInArrow(_ordered(length, gram, buckets), f"{RANGES}, bucket int, task int, windows array<struct<{WINDOW_SQL}>>")
     ordered = written(ordered, "ordered")
-    in_two = (F.min("block") < F.max("block")).alias("two")
-    marks = ordered.where("mark IS NOT NULL")
-    met = marks.groupBy("g", "mark").agg(in_two).where("two").select("g", "mark")
+    named = ordered.where("bucket IS NOT NULL").select("bucket", "task", "windows").repartition(buckets, "bucket")
+    named = named.mapInArrow(_named_twice, "doc_id bigint, h bigint, g bigint, first int, start bigint, alone boolean, task int")
     # an entry has no more windows than a trigger has places in one
-    asked = marks.join(met, ["g", "mark"], "left_semi").groupBy("doc_id", "h", "g", "first").agg(F.collect_set(F.struct("start", "alone")).alias("asked"))
+    asked = named.groupBy("doc_id", "h", "g", "first").agg(F.collect_set(F.struct("start", "alone", "task")).alias("asked"))
     p, a = pieces.alias("p"), asked.alias("a")
     windows = p.join(a, _same_row("p", "a") & (F.col("p.g") == F.col("a.g")) & (F.col("p.first") == F.col("a.first")))
-    windows = windows.select("p.doc_id", "p.h", "p.g", "p.block", "p.first", "p.bytes", F.inline("a.asked"))
-    windows = written(windows.select("doc_id", "h", "g", "block", "start", "alone", F.expr(f"substring(bytes, int(start - first + 1), {length})").alias("window")), "windows")
+    windows = windows.select("p.doc_id", "p.h", "p.g", "p.first", "p.bytes", F.inline("a.asked"))
+    windows = written(windows.select("doc_id", "h", "g", "task", "start", "alone", F.expr(f"substring(bytes, int(start - first + 1), {length})").alias("window")), "windows")
     let_go(pieces)
-    equal = windows.groupBy("g", "window").agg(in_two).where("two").select("g", "window")
+    equal = windows.groupBy("g", "window").agg((F.min("task") < F.max("task")).alias("two")).where("two").select("g", "window")
     again = windows.where("alone").join(equal, ["g", "window"], "left_semi").select("doc_id", "h", "start", (F.col("start") + length).alias("end"))
-    return ordered.where("mark IS NULL").select("doc_id", "h", "start", "end").unionByName(again)
+    return ordered.where("bucket IS NULL").select("doc_id", "h", "start", "end").unionByName(again)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -290,8 +362,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kee
     # left, like the join at the end, so that the texts are dealt out once for both
     texts = d.join(f, _same_row("d", "f"), "left").select("d.doc_id", "d.h", "d.text", "f.found", "f.whole")
     pieces = texts.select("doc_id", "h", "text", "found").mapInArrow(_pieces(length), PIECES)
-    ranges = pieces.repartition(tasks, "g").mapInArrow(_ordered(length, False), RANGES)
-    across = _across_blocks(docs, found, length)
+    ranges = pieces.repartition(tasks, "g").mapInArrow(_ordered(length, gram), RANGES)
+    across = _across_blocks(docs, found, length, gram)
     ranges = ranges if across is None else ranges.unionByName(across)
     ranges = ranges.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     kind = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary, spans array<struct<start: bigint, end: bigint>>" if keep_text else "")
