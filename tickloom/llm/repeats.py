@@ -121,30 +121,35 @@ def window_ranks(data: np.ndarray, offsets: np.ndarray, length: int, wanted: np.
     """A rank for every window of every piece, in order, -1 where no other has its bytes: a suffix array that looks length bytes far.
 
     Ranks of twice as many bytes come from pairs of ranks. A place whose bytes so far stand nowhere else has no equal further on
-    either, so it is put aside (-1) and not sorted again. length is 8 bytes at least. Places under no wanted window aren't sorted.
+    either, so it is put aside (-1) and not sorted again. length is 8 bytes at least. Places that no wanted window's
+    rank is made of aren't sorted.
     """
     left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
-    begin = np.flatnonzero(left >= length)[wanted]
-    under = np.zeros(len(data) + 1, np.int32)
-    under[begin] = 1
-    under[begin + length] -= 1  # a window's end may be another's beginning
-    at = np.flatnonzero((left >= 8) & (np.cumsum(under[:-1]) > 0))
+    steps = [8]
+    while steps[-1] < length:
+        steps.append(min(2 * steps[-1], length))
+    # the places whose ranks a step asks for: windows at last, and before that what their ranks are made of
+    asked = np.zeros(len(data), bool)
+    asked[np.flatnonzero(left >= length)[wanted]] = True
+    needs = [asked]
+    for step, longer in zip(steps[-2::-1], steps[:0:-1], strict=True):
+        asked = asked.copy()
+        asked[longer - step :] |= needs[-1][: len(data) - (longer - step)]
+        needs.append(asked)
+    at = np.flatnonzero(needs.pop())
     key = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)[at]).view(">u8").ravel().astype(np.uint64)
-    step = 8
-    while True:
+    for step, longer in zip(steps, [*steps[1:], 0], strict=True):
         order = np.argsort(key)
         ranked = key[order]
         new = np.r_[True, ranked[1:] != ranked[:-1]] if len(key) else np.zeros(0, bool)
         alone = new & np.r_[new[1:], True] if len(key) else new
         rank = np.full(len(data), -1, np.int64)
         rank[at[order]] = np.where(alone, -1, np.cumsum(new) - 1)
-        if step >= length:
-            return rank[left >= length]
-        shift = min(step, length - step)
-        at = np.flatnonzero((rank >= 0) & (left >= step + shift))
-        at = at[rank[at + shift] >= 0]
-        key = rank[at] * len(data) + rank[at + shift]
-        step += shift
+        if longer:
+            at = np.flatnonzero(needs.pop() & (rank >= 0))
+            at = at[rank[at + longer - step] >= 0]
+            key = rank[at] * len(data) + rank[at + longer - step]
+    return rank[left >= length]
 
 
 def _places(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
