@@ -370,3 +370,14 @@ def test_parameters_are_read(spark, tmp_path):
     (tmp_path / "q.yml").write_text("m: 2\n")
     rows = [r.asDict(recursive=True) for r in codec.read_params(spark, str(tmp_path / "[pq].yml")).collect()]
     assert {"k": {"a": 1.5}, "names": ["x", "y"], "m": None} in rows and {"k": None, "names": None, "m": 2} in rows
+
+
+def _near_names(spark):
+    """A share whose symbol is near that of a token, which the classes of a crypto quote have first."""
+    return spark.createDataFrame([("Token 1", ["ABCDEF12"], "CR", 6, 1), ("Share 2", ["ABCDEF21"], "EQ", 0, 2), ("Tether", ["USDT"], "CR", 6, 9)], N.ASSET)
+
+
+def test_a_spelling_in_a_later_class_goes_before_a_near_name_in_an_earlier_one(spark):
+    s = spark.createDataFrame([("ABCDEF21/USDT",), ("ABCDEF12/USDT",), ("ABCDEF13/USDT",)], "symbol string")
+    got = {r["symbol"]: (r["base"], r["jw"] == 1.0) for r in N.resolved_tickers(s, _near_names(spark)).collect()}
+    assert got == {"ABCDEF21/USDT": ("Share 2", True), "ABCDEF12/USDT": ("Token 1", True), "ABCDEF13/USDT": ("Token 1", False)}

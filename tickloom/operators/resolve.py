@@ -206,12 +206,22 @@ class Registry:
 
     def find(self, query: str, least: float, kind: int | None = None) -> tuple | None:
         """(asset, similarity): exact on the spelling, then on its stripped form, then the nearest name at least so near."""
+        return self.spelled(query, kind) or self.nearest(query, least, kind)
+
+    def spelled(self, query: str, kind: int | None = None) -> tuple | None:
+        """The asset that is so spelled, as it stands or stripped."""
         if not query or not query.strip():
             return None
-        near = plain_normalized(plain_stripped(query))
-        for key in (plain_normalized(query), near):
+        for key in (plain_normalized(query), plain_normalized(plain_stripped(query))):
             if key and (kind, key) in self.exact:
                 return self.exact[kind, key], 1.0
+        return None
+
+    def nearest(self, query: str, least: float, kind: int | None = None) -> tuple | None:
+        """The asset whose name is nearest, at least so near."""
+        if not query or not query.strip():
+            return None
+        near = plain_normalized(plain_stripped(query))
         best = None
         for key, asset in self.keys:
             if (kind is None or asset[2] == kind) and key and upper_bound(near, key) + 1e-9 >= least:
@@ -267,7 +277,8 @@ class Registry:
         crypto = quote[0].lower() in CRYPTO_QUOTE_NAMES
         least = 0.95 if len(base) <= 4 else 0.9
         kinds = [CLASSES[c] for c in ("CR", "FX", "CM", "IP", "EQ")] if crypto else [pin(base)]
-        own = next((m for c in kinds if (m := self.find(base, least, c))), None)
+        # a spelling in any of the classes goes before a near name in an earlier one
+        own = next((m for c in kinds if (m := self.spelled(base, c))), None) or next((m for c in kinds if (m := self.nearest(base, least, c))), None)
         return own and (own[0], quote, own[1])
 
 
@@ -363,7 +374,8 @@ def resolved(symbols: DataFrame, registry: DataFrame, threshold: float = 0.9) ->
 
 def resolved_tickers(symbols: DataFrame, registry: DataFrame, perp: int = PERP) -> DataFrame:
     """(symbol, ticker_id, base, quote, jw) of each distinct symbol that is a ticker: ``:PERP`` sets the instrument, six letters are two
-    currencies, a crypto quote makes the base crypto (then a currency, a commodity, an index, a share), pinned tokens are crypto."""
+    currencies, a crypto quote makes the base crypto (then a currency, a commodity, an index, a share), pinned tokens are crypto. The
+    order of classes holds among exact spellings, then among near names."""
 
     def one(known: Registry, s: str) -> tuple | None:
         bare = re.sub("(?i):PERP$", "", s)
