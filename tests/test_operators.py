@@ -381,3 +381,9 @@ def test_a_spelling_in_a_later_class_goes_before_a_near_name_in_an_earlier_one(s
     s = spark.createDataFrame([("ABCDEF21/USDT",), ("ABCDEF12/USDT",), ("ABCDEF13/USDT",)], "symbol string")
     got = {r["symbol"]: (r["base"], r["jw"] == 1.0) for r in N.resolved_tickers(s, _near_names(spark)).collect()}
     assert got == {"ABCDEF21/USDT": ("Share 2", True), "ABCDEF12/USDT": ("Token 1", True), "ABCDEF13/USDT": ("Token 1", False)}
+
+
+def test_a_share_against_a_crypto_quote_has_its_own_name_back(spark):
+    s = spark.createDataFrame([("ABCDEF21_USDT:PERP",)], "symbol string")
+    back = N.named_tickers(N.resolved_tickers(s, _near_names(spark)).select("ticker_id"), _near_names(spark)).collect()
+    assert [(r["base"], r["quote"], r["itype"]) for r in back] == [("SHARE 2", "TETHER", 1)]
