@@ -66,3 +66,25 @@ def test_a_cross_needs_both_legs_within_their_time(spark):
 
     got = S.collected(spark, frames(spark, quote[:1], base + quote[1:], [END]), make, "cross").orderBy("seq").collect()
     assert [(r["ts"], r["seq"], round(r["bid"], 6), round(r["ask"], 6)) for r in got] == [(2_000, 2, round(9.9 / 2.1, 6), round(10.1 / 1.9, 6)), (9_000, 4, round(11.9 / 4.1, 6), round(12.1 / 3.9, 6))]
+
+
+def test_a_large_part_arrives_in_bounded_batches_in_order(spark, tmp_path):
+    """Folds that don't wait and those that do give over many batches what they give over one; no batch has many more rows than allowed."""
+    from tickloom.streaming import live as L
+
+    rng = random.Random(5)
+    rows = [tick(t, 1_000 + i // 3 * 900, 2 * i + j, 100 * 1.3 ** rng.gauss(0, 1)) for i in range(300) for j, t in enumerate("ab")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, COLUMNS).repartition(5).cache()
+    one, many = (S.collected(spark, [df], L.stream_sane_mids, "sane", "tc_ms", n) for n in (10_000, 100))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and 10 < one.count() < 600
+    gates = [S.collected(spark, [df], L.stream_delta_gate, "gate", "seq", n) for n in (10_000, 100)]
+    assert sorted(map(tuple, gates[0].collect())) == sorted(map(tuple, gates[1].collect()))
+    beats = [S.collected(spark, [df, spark.createDataFrame([END], COLUMNS)], lambda s: S.heartbeats(s, 200, 600, "20 seconds"), "beats", "tc_ms", n).where("ticker <> '~'") for n in (10_000, 100)]
+    assert sorted(map(tuple, beats[0].collect())) == sorted(map(tuple, beats[1].collect()))
+    quotes = [S.collected(spark, [df, spark.createDataFrame([END], COLUMNS)], lambda s: S.composites(s, 1_000, lambda p: (1.0, True), 60.0, late="20 seconds"), "live", "tc_ms", n) for n in (10_000, 100)]
+    assert sorted(map(tuple, quotes[0].collect())) == sorted(map(tuple, quotes[1].collect()))
+    parts = S._slices(df, "tc_ms", 100, str(tmp_path / "slices"))
+    sizes, ends = [p.count() for p in parts], [p.agg(F.min("tc_ms"), F.max("tc_ms")).first() for p in parts]
+    assert sum(sizes) == 600 and len(parts) > 4 and max(sizes) < 150
+    assert all(a[1] < b[0] for a, b in zip(ends[:-1], ends[1:], strict=True))

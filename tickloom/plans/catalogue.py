@@ -14,7 +14,7 @@ from ..operators import sequential as Q
 from ..operators import stats as S
 from ..operators import synth as Y
 from ..operators import vol as V
-from ..session import stream_ticks, table, ticks
+from ..session import table, ticks
 from ..sources import codec
 from ..streaming import live as L
 from ..streaming import stateful as SF
@@ -502,17 +502,17 @@ def symbol_forms(spark, d):  # noqa: ANN001, ANN201
 
 @query(P.ORACLE["leg_state_ipi"], raw=True)
 def stream_leg_state(spark, d):  # noqa: ANN001, ANN201
-    return L.collected(L.stream_leg_states(stream_ticks(spark, d)), "tl_stream_legs").select("leg", "ts", "seq", r("ema_ipi", 6))
+    return SF.collected(spark, [ticks(spark, d)], L.stream_leg_states, "tl_stream_legs", "tc_ms").select("leg", "ts", "seq", r("ema_ipi", 6))
 
 
 @query(P.ORACLE["zscore_gate"], raw=True)
 def stream_zscore_gate(spark, d):  # noqa: ANN001, ANN201
-    return L.collected(L.stream_zscores(stream_ticks(spark, d), 2.0), "tl_stream_z").where("z <= 4").select("ticker", "ts", "seq", r("z", 6))
+    return SF.collected(spark, [ticks(spark, d)], lambda s: L.stream_zscores(s, 2.0), "tl_stream_z", "tc_ms").where("z <= 4").select("ticker", "ts", "seq", r("z", 6))
 
 
 @query(P._GUARD.replace("value", "mid") + "SELECT o.ticker, o.tc_ms AS ts, o.seq, round(o.mid, 8) AS mid FROM g JOIN o ON o.ticker = g.ticker AND o.n = g.n WHERE g.ok")
 def stream_guard(spark, d):  # noqa: ANN001, ANN201
-    return L.collected(L.stream_sane_mids(stream_ticks(spark, d)), "tl_stream_sane").select("ticker", "ts", "seq", r("mid"))
+    return SF.collected(spark, [ticks(spark, d)], L.stream_sane_mids, "tl_stream_sane", "tc_ms").select("ticker", "ts", "seq", r("mid"))
 
 
 _SENT = """, u AS (SELECT ticker AS peer, seq, (seq + CASE WHEN seq % 50 = 0 THEN 2500 ELSE 0 END) * 2 AS ts FROM ticks UNION ALL SELECT ticker, seq, (seq + seq * 7919 % 3000) * 2 + 1 FROM ticks),
@@ -527,7 +527,7 @@ def stream_replay_window(spark, d):  # noqa: ANN001, ANN201
     n = F.col("seq")
     one = t.withColumn("ts", (n + F.when(n % 50 == 0, 2500).otherwise(0)) * 2)
     sent = one.unionByName(t.withColumn("ts", (n + n * 7919 % 3000) * 2 + 1))
-    return SF.collected(spark, _halves(sent, "ts"), L.stream_replay_check, "tl_replay").select("peer", "ts", "seq")
+    return SF.collected(spark, _halves(sent, "ts"), L.stream_replay_check, "tl_replay", "ts").select("peer", "ts", "seq")
 
 
 def _halves(rows, order: str) -> list:  # noqa: ANN001
@@ -551,4 +551,4 @@ def stream_attested(spark, d):  # noqa: ANN001, ANN201
     k = F.col("k")
     n = ticks(spark, d).select(F.col("ticker").alias("seat"), F.col("seq").alias("arrived"), F.row_number().over(Window.partitionBy("ticker").orderBy("seq")).cast("long").alias("k"))
     rows = n.select("seat", "arrived", (F.floor(k / 200) - F.when(k % 97 == 0, 1).otherwise(0)).alias("boot"), (k - F.when(k % 13 == 0, 7).when(k % 11 == 0, 1).otherwise(0)).alias("seq"), (k * 10 - F.when(k % 17 == 0, 300).otherwise(0)).alias("ts"))
-    return SF.collected(spark, _halves(rows, "arrived"), L.attested, "tl_attested")
+    return SF.collected(spark, _halves(rows, "arrived"), L.attested, "tl_attested", "arrived")

@@ -164,7 +164,7 @@ def _parts(t: DataFrame) -> list[DataFrame]:
 
 
 def _run(spark, d: str, make, name: str) -> DataFrame:  # noqa: ANN001
-    return S.collected(spark, _parts(ticks(spark, d)), make, f"tl_{name}")
+    return S.collected(spark, _parts(ticks(spark, d)), make, f"tl_{name}", "tc_ms")
 
 
 @query(_BEATS)
@@ -284,7 +284,7 @@ def stream_renko(spark, d):  # noqa: ANN001, ANN201
     """Bricks of a stream whose parts follow each other in time, as a fold that doesn't wait needs them."""
     t = ticks(spark, d)
     cut = t.agg(F.percentile_approx("tc_ms", 0.5, 1000)).first()[0] or 0
-    out = S.collected(spark, [t.where(F.col("tc_ms") <= cut), t.where(F.col("tc_ms") > cut)], lambda s: L.stream_renko(s, 2.0, 0.01), "tl_renko")
+    out = S.collected(spark, [t.where(F.col("tc_ms") <= cut), t.where(F.col("tc_ms") > cut)], lambda s: L.stream_renko(s, 2.0, 0.01), "tl_renko", "tc_ms")
     return out.select("ticker", "ts", "seq", r("open"), r("close"), "flags")
 
 
@@ -293,5 +293,5 @@ def stream_vol_rows(spark, d):  # noqa: ANN001, ANN201
     """Smoothed sigma of closed bins that arrive a half of the days after the other."""
     bins = P._vol30(spark, d).select("ticker", "bin_start_ms", "raw")
     cut = bins.agg(F.percentile_approx("bin_start_ms", 0.5, 1000)).first()[0] or 0
-    out = S.collected(spark, [bins.where(F.col("bin_start_ms") <= cut), bins.where(F.col("bin_start_ms") > cut)], L.stream_vol_rows, "tl_vol_rows")
+    out = S.collected(spark, [bins.where(F.col("bin_start_ms") <= cut), bins.where(F.col("bin_start_ms") > cut)], L.stream_vol_rows, "tl_vol_rows", "bin_start_ms")
     return out.select("ticker", "bin_start_ms", r("raw", 9), r("sigma", 9))

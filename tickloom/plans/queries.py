@@ -22,6 +22,7 @@ from ..operators import synth as Y
 from ..operators import vol as V
 from ..session import TICKS_SQL, stream_ticks, table, ticks
 from ..streaming import live as L
+from ..streaming import stateful as SF
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -699,7 +700,7 @@ def stream_ohlc(spark, d):  # noqa: ANN001, ANN201
 
 @query(_DELTA)
 def stream_delta_gate(spark, d):  # noqa: ANN001, ANN201
-    return L.collected(L.stream_delta_gate(stream_ticks(spark, d)), "tl_stream_delta_gate").select("ticker", "ts", "seq", r("bid"), r("ask"), "flags")
+    return SF.collected(spark, [ticks(spark, d)], L.stream_delta_gate, "tl_stream_delta_gate", "seq").select("ticker", "ts", "seq", r("bid"), r("ask"), "flags")
 
 
 @query("SELECT seq, provider, tc_ms FROM ticks")

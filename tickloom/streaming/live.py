@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 from typing import Any
 
 import pandas as pd
@@ -29,16 +30,25 @@ def deduplicated(frames: DataFrame, late: str = "10 seconds", ts: str = "ts_ms")
     return frames.withColumn("at", F.timestamp_millis(ts)).withWatermark("at", late).dropDuplicatesWithinWatermark(["provider", ts, "seq"]).drop("at")
 
 
+def in_frames(rows: Iterable[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    """rows, some thousands to a frame, as they come."""
+    rows = iter(rows)
+    while part := list(islice(rows, 10_000)):
+        yield pd.DataFrame(part, columns=names)
+
+
 def folded(stream: DataFrame, key: str, order: list[str], schema: str, make: Any, step: Any) -> DataFrame:  # noqa: ANN401
-    """A fold as keyed streaming state: the class that the batch operator uses, pickled between batches."""
+    """A fold as keyed streaming state: the class that the batch operator uses, pickled between batches.
+
+    What a batch brings of a key is sorted in one worker, so the stream's batches must be bounded (``stateful.collected`` does so).
+    """
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         fold = pickle.loads(state.get[0]) if state.exists else make()
         rows = pd.concat(list(batches)).sort_values(order)
-        out = [o for r in rows.itertuples(index=False) for o in step(fold, r)]
+        yield from in_frames((o for r in rows.itertuples(index=False) for o in step(fold, r)), names)
         state.update((pickle.dumps(fold),))
-        yield pd.DataFrame(out, columns=names)
 
     return stream.groupBy(key).applyInPandasWithState(run, schema, "fold binary", "append", GroupStateTimeout.NoTimeout)
 
@@ -48,14 +58,14 @@ def stream_delta_gate(rows: DataFrame, sentinel_ms: int = 60_000) -> DataFrame:
         flag = s.next(r.tc_ms, (r.bid, r.ask, r.vbid, r.vask, r.ci))
         return [] if flag is None else [(r.ticker, r.tc_ms, r.seq, r.bid, r.ask, flag)]
 
-    return folded(rows, "ticker", ["seq"], "ticker string, ts bigint, seq bigint, bid double, ask double, flags int", lambda: folds.DeltaGate(sentinel_ms), step)
+    return folded(rows.select("ticker", "tc_ms", "seq", "bid", "ask", "vbid", "vask", "ci"), "ticker", ["seq"], "ticker string, ts bigint, seq bigint, bid double, ask double, flags int", lambda: folds.DeltaGate(sentinel_ms), step)
 
 
 def stream_renko(rows: DataFrame, k: float, sigma: float) -> DataFrame:
     def step(s, r):  # noqa: ANN001, ANN202
         return [(r.ticker, b["ts"], r.seq, b["open"], b["close"], b["flags"]) for b in s.feed(r.tc_ms, r.mid, sigma)]
 
-    return folded(rows, "ticker", ["tc_ms", "seq"], "ticker string, ts bigint, seq bigint, open double, close double, flags int", lambda: folds.Renko(k), step)
+    return folded(rows.select("ticker", "tc_ms", "seq", "mid"), "ticker", ["tc_ms", "seq"], "ticker string, ts bigint, seq bigint, open double, close double, flags int", lambda: folds.Renko(k), step)
 
 
 def stream_leg_states(rows: DataFrame) -> DataFrame:
@@ -70,12 +80,12 @@ def stream_leg_states(rows: DataFrame) -> DataFrame:
 
 
 def stream_zscores(rows: DataFrame, floor_bps: float = 0.0) -> DataFrame:
-    return folded(rows, "ticker", ["tc_ms", "seq"], "ticker string, ts bigint, seq bigint, z double", folds.RunningStats, lambda s, r: [(r.ticker, r.tc_ms, r.seq, s.score(r.mid, r.mid * floor_bps * 1e-4))])
+    return folded(rows.select("ticker", "tc_ms", "seq", "mid"), "ticker", ["tc_ms", "seq"], "ticker string, ts bigint, seq bigint, z double", folds.RunningStats, lambda s, r: [(r.ticker, r.tc_ms, r.seq, s.score(r.mid, r.mid * floor_bps * 1e-4))])
 
 
 def stream_sane_mids(rows: DataFrame) -> DataFrame:
     """The rows that the two-fold guard accepts; null prices aren't."""
-    return folded(rows.where(F.col("mid").isNotNull()), "ticker", ["tc_ms", "seq"], "ticker string, ts bigint, seq bigint, mid double", folds.SaneMid, lambda s, r: [(r.ticker, r.tc_ms, r.seq, r.mid)] if s.accept(r.mid) else [])
+    return folded(rows.where(F.col("mid").isNotNull()).select("ticker", "tc_ms", "seq", "mid"), "ticker", ["tc_ms", "seq"], "ticker string, ts bigint, seq bigint, mid double", folds.SaneMid, lambda s, r: [(r.ticker, r.tc_ms, r.seq, r.mid)] if s.accept(r.mid) else [])
 
 
 def stream_vol_rows(bins: DataFrame, period: int = 28) -> DataFrame:
