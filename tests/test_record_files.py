@@ -118,3 +118,17 @@ def test_bars_and_index_records_come_back(spark, tmp_path):
     assert back.rdd.getNumPartitions() == 5
     assert [tuple(r) for r in back.orderBy("mts").select("mts", "ticker", "bid", "ask", "sequence", "accepted", "dt").collect()] == [(i * 7, i, i / 3, i / 2, i % 5, 1, dt.date(2024, 3, 1)) for i in range(300)]
     assert [r["ticker"] for r in files.read_records(spark, str(tmp_path), "idx", tail=3).orderBy("mts").collect()] == [297, 298, 299]
+
+
+def test_tasks_do_not_grow_with_records_where_ranges_are_small():
+    """Neighbours are joined, and every record is still in one range."""
+    tail = files.RecordTail({"path": "/none", "kind": "idx", "range_bytes": 56 * 4})
+    end = {f"f{i}": 100_000 + i for i in range(10)}
+    got = tail.partitions({"f3": 40}, end)
+    assert len(got) <= files.MOST_RANGES + len(end)
+    for path, n in end.items():
+        at = 40 if path == "f3" else 0
+        for r in [r for r in got if r.path == path]:
+            assert r.start == at * 56
+            at += r.records
+        assert at == n

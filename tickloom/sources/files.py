@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 import uuid
 import warnings
@@ -39,6 +40,8 @@ from . import codec
 
 REFILL = 4096
 RANGE_BYTES = 64 << 20
+#: Ranges beyond so many are joined with their neighbours, up to RANGE_BYTES: a task for each would cost more than its records.
+MOST_RANGES = 256
 #: Below a store's root: files of jobs that aren't done, and what a stream's last batch makes of its files.
 PENDING, BATCHES = "_temporary", "_batches"
 
@@ -91,8 +94,11 @@ class _Ranges:
             if f.is_file and f"/{PENDING}/" not in f.path and re.search(rf"(^|/)\d{{4}}-\d{{2}}-\d{{2}}\.{re.escape(self.ext)}$", f.path):
                 yield f
 
-    def ranges(self, path: str, first: int, end: int) -> list[Range]:
-        return [Range(path, i * self.size, min(self.per, end - i)) for i in range(first, end, self.per)]
+    def ranges(self, spans: list[tuple[str, int, int]]) -> list[Range]:
+        """The records first to end of each (path, first, end)."""
+        n = sum(math.ceil((end - first) / self.per) for _, first, end in spans)
+        per = self.per * max(1, min(math.ceil(n / MOST_RANGES), RANGE_BYTES // (self.per * self.size)))
+        return [Range(path, i * self.size, min(per, end - i)) for path, first, end in spans for i in range(first, end, per)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         fs, _ = _store(self.root)
@@ -116,8 +122,8 @@ class RecordReader(_Ranges, DataSourceReader):
                 raise ValueError(f"{f.path} has {f.size} bytes, which are not whole {self.kind} records of {self.size}")
             if torn:
                 warnings.warn(f"{f.path}: a torn tail of {torn} bytes is left out", stacklevel=2)
-            out += self.ranges(f.path, max(0, n - self.tail) if self.tail else 0, n)
-        return out
+            out.append((f.path, max(0, n - self.tail) if self.tail else 0, n))
+        return self.ranges(out)
 
 
 class RecordTail(_Ranges, DataSourceStreamReader):
@@ -133,7 +139,7 @@ class RecordTail(_Ranges, DataSourceStreamReader):
         short = [p for p, n in start.items() if end.get(p, 0) < n]
         if short:
             raise ValueError(f"{short[0]} has fewer records than were read from it")
-        return [r for p, n in sorted(end.items()) for r in self.ranges(p, start.get(p, 0), n)]
+        return self.ranges([(p, start.get(p, 0), n) for p, n in sorted(end.items())])
 
     def commit(self, end: dict) -> None:
         pass
