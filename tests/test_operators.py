@@ -387,3 +387,14 @@ def test_a_share_against_a_crypto_quote_has_its_own_name_back(spark):
     s = spark.createDataFrame([("ABCDEF21_USDT:PERP",)], "symbol string")
     back = N.named_tickers(N.resolved_tickers(s, _near_names(spark)).select("ticker_id"), _near_names(spark)).collect()
     assert [(r["base"], r["quote"], r["itype"]) for r in back] == [("SHARE 2", "TETHER", 1)]
+
+
+def test_tickers_whose_id_several_assets_share_have_each_name_once(spark, tmp_path):
+    from tickloom.plans import catalogue
+
+    keys = [1, 4, 7, 65_001, 65_004, 130_001]
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey bigint").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = catalogue.reverse_tickers(spark, str(tmp_path)).collect()
+    assert sorted(r["base"] for r in got) == sorted(f"TOKEN {k}" for k in keys)
+    ids = {r["base"]: r["ticker_id"] for r in got}
+    assert ids["TOKEN 1"] == ids["TOKEN 65001"] == ids["TOKEN 130001"] != ids["TOKEN 7"] and ids["TOKEN 4"] == ids["TOKEN 65004"]

@@ -397,7 +397,10 @@ def ticker_ids(symbols: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def named_tickers(tickers: DataFrame, registry: DataFrame) -> DataFrame:
-    """Adds base, quote and itype to (ticker_id, ...): upper-case names, or the id in hex and an empty quote where either leg is unknown."""
+    """Adds base, quote and itype to (ticker_id, ...): upper-case names, or the id in hex and an empty quote where either leg is unknown.
+
+    A row whose leg's id several assets share stands once for each of their names, so tickers should be distinct.
+    """
     t = "ticker_id"
     a = registry.select(F.col("class_id").cast("long").alias("c"), F.col("asset_id").cast("long").alias("i"), F.upper("name").alias("name"))
     out = tickers

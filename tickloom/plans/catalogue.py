@@ -479,8 +479,10 @@ def resolve_tickers(spark, d):  # noqa: ANN001, ANN201
 
 @query(_TOKENS + "SELECT ticker_id, 'TOKEN ' || k AS base, CASE qi WHEN 65001 THEN 'TETHER' WHEN 1301 THEN 'EURO' WHEN 65002 THEN 'BITCOIN' ELSE 'US DOLLAR' END AS quote, it AS itype FROM z", raw=True)
 def reverse_tickers(spark, d):  # noqa: ANN001, ANN201
+    """Each ticker once, however many symbols resolve to it, with every name that its ids stand for."""
     g = _token_registry(spark, d)
-    return N.named_tickers(N.resolved_tickers(_token_symbols(spark, d), g).select("ticker_id"), g).select("ticker_id", "base", "quote", "itype")
+    t = N.resolved_tickers(_token_symbols(spark, d), g).select("ticker_id").distinct()
+    return N.named_tickers(t, g).select("ticker_id", "base", "quote", "itype")
 
 
 @query("SELECT t.seq, n.n_name AS provider_name FROM ticks t LEFT JOIN nation n ON n.n_nationkey = t.provider AND n.n_nationkey < 6")
