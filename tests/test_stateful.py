@@ -88,3 +88,14 @@ def test_a_large_part_arrives_in_bounded_batches_in_order(spark, tmp_path):
     sizes, ends = [p.count() for p in parts], [p.agg(F.min("tc_ms"), F.max("tc_ms")).first() for p in parts]
     assert sum(sizes) == 600 and len(parts) > 4 and max(sizes) < 150
     assert all(a[1] < b[0] for a, b in zip(ends[:-1], ends[1:], strict=True))
+
+
+@pytest.mark.parametrize("ids", [(550, 1_600), (1_600, 550)])
+def test_frames_of_one_instant_go_by_seq_however_their_rows_lie(spark, tmp_path, ids):
+    """Both second copies come at 6,001; by seq the window takes 550 before it moves on to 1,600."""
+    from tickloom.plans import catalogue
+
+    rows = spark.createDataFrame([(n, 1, "view", 1.0) for n in ids], "event_id bigint, user_id bigint, event_type string, value double")
+    rows.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = catalogue.stream_replay_window(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("view", 6_001, 550), ("view", 6_001, 1_600)]

@@ -524,7 +524,10 @@ SELECT peer, ts, seq FROM v WHERE nth = 1 AND (top IS NULL OR seq > top - 1024)"
 
 @query(_SENT)
 def stream_replay_window(spark, d):  # noqa: ANN001, ANN201
-    """Every frame of a peer twice, the second one late, and some first ones later than the window reaches back."""
+    """Every frame of a peer twice, the second one late, and some first ones later than the window reaches back.
+
+    Frames of one ts go by seq. The SQL leaves their order open, so where a row hangs on it DuckDB may keep it or not.
+    """
     t = ticks(spark, d).select(F.col("ticker").alias("peer"), "seq")
     n = F.col("seq")
     one = t.withColumn("ts", (n + F.when(n % 50 == 0, 2500).otherwise(0)) * 2)
